@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
-from newsloom.llm import mixing, url_filter, warc_archive
+from newsloom.llm import language_id, license_scan, mixing, setsketch, token_counts, url_filter, warc_archive
 from newsloom.llm.shared import Scratch, table
 
 
+def op2_license_scan(spark, sf_dir):
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op3_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op5_token_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_edited(docs.withColumn("edits", token_counts.derived_edits("text")))
+
+
+def op6_setsketch_dedup(spark, sf_dir):
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mixing(spark, sf_dir):
     out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -24,5 +42,5 @@ def op10_warc_archive(spark, sf_dir):
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op8_source_mixing, op9_url_filter, op10_warc_archive)}
+QUERIES = {f.__name__: f for f in (op2_license_scan, op3_language_id, op5_token_counts, op6_setsketch_dedup, op8_source_mixing, op9_url_filter, op10_warc_archive)}
 ORACLE_SQL = {"op8_source_mixing": mixing.ORACLE, "op9_url_filter": url_filter.ORACLE, "op10_warc_archive": warc_archive.ORACLE}
