@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.llm import language_id, license_scan, mixing, setsketch, token_counts, url_filter, warc_archive
+from newsloom.llm import decontaminate, language_id, license_scan, mixing, secret_scan, setsketch, token_counts, url_filter, warc_archive
 from newsloom.llm.shared import Scratch, table
 
 
@@ -15,6 +15,12 @@ def op3_language_id(spark, sf_dir):
     return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_secret_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    model = secret_scan.fit_forest(secret_scan.labelled_findings(docs))
+    return secret_scan.scan_secrets(docs, model)
+
+
 def op5_token_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_edited(docs.withColumn("edits", token_counts.derived_edits("text")))
@@ -24,6 +30,10 @@ def op6_setsketch_dedup(spark, sf_dir):
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_source_mixing(spark, sf_dir):
     out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -42,5 +52,5 @@ def op10_warc_archive(spark, sf_dir):
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op3_language_id, op5_token_counts, op6_setsketch_dedup, op8_source_mixing, op9_url_filter, op10_warc_archive)}
+QUERIES = {f.__name__: f for f in (op2_license_scan, op3_language_id, op4_secret_scan, op5_token_counts, op6_setsketch_dedup, op7_decontamination, op8_source_mixing, op9_url_filter, op10_warc_archive)}
 ORACLE_SQL = {"op8_source_mixing": mixing.ORACLE, "op9_url_filter": url_filter.ORACLE, "op10_warc_archive": warc_archive.ORACLE}

@@ -25,11 +25,17 @@ TEMPLATES = [
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("cc-by-nc", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-nc/4.0/."),
+    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
+    ("lgpl", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("bsd", "This work is licensed under the BSD 3-Clause License."),
+    ("mpl-2", "This work is licensed under the Mozilla Public License, version 2.0."),
+    ("cc-by-sa", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
 ]
 #: A match counts from this many tokens on; a chain may skip this many tokens of either text between two matches.
 MIN_MATCH, MAX_GAP = 4, 12
 #: Share of a template's tokens that a chain must cover to give its label.
-MIN_COVER = 0.6
+MIN_COVER = 0.8
 
 _UPPER = bytes(range(65, 91))
 _KEEP = set(range(48, 58)) | set(range(97, 123)) | set(range(128, 256))

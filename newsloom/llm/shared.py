@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -50,6 +50,12 @@ class Scratch:
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: Catalyst may copy a column's expression to each of
+    its uses, and inside a lambda it would then be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
