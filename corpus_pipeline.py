@@ -1,13 +1,66 @@
-"""From raw documents to a mixed training corpus."""
+"""From raw documents to a mixed training corpus: five stages, each on all that the one before kept."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import functions as F
+
+from newsloom.llm import decontaminate, language_id, mixing, secret_scan, setsketch
+from newsloom.llm.shared import Scratch, table
+
+#: Language scores below this (no profile is any nearer than chance) count as no language.
+LANGUAGE_SCORE = 0.02
+BROADCAST_IDS = 1_000_000
+
+
+def _without(docs, ids):
+    """``docs`` without those whose doc_id is in ``ids``; up to BROADCAST_IDS ids are broadcast, more are shuffled."""
+    ids = Scratch(docs.sparkSession, "ids").save(ids.select("doc_id").distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
+
+
+def language(spark, docs, sf_dir):
+    """Documents without text, letters or any language's n-grams go."""
+    judged = language_id.identify(docs)
+    return judged.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE)).select(docs.columns)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """The document with the smallest doc_id of each near-duplicate group stays."""
+    return _without(docs, setsketch.near_duplicates(docs).where("not kept"))
+
+
+def decontamination(spark, docs, sf_dir):
+    """Documents that hold a benchmark item go."""
+    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
+
+
+def secrets(spark, docs, sf_dir):
+    """Secrets in the text are replaced by a mark; n_chars follows."""
+    model = secret_scan.fit_forest(secret_scan.labelled_findings(docs))
+    changed = secret_scan.redact(docs, model)
+    return changed.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else changed
+
+
+def mixing_stage(spark, docs, sf_dir):
+    """Every document with the words that the mix takes from it."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("language ID", language),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret scan", secrets),
+    ("source mixing", mixing_stage),
+]
+#: The stages use trained models and sketches, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages one after the other, each written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    scratch = Scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

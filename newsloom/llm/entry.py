@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from newsloom.llm import decontaminate, language_id, license_scan, mixing, secret_scan, setsketch, token_counts, url_filter, warc_archive
+from newsloom.llm import decontaminate, language_id, license_scan, mixing, near_embeddings, secret_scan, setsketch, token_counts, url_filter, warc_archive
 from newsloom.llm.shared import Scratch, table
 
 
+def op1_near_embeddings(spark, sf_dir):
+    return near_embeddings.near_embeddings(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op2_license_scan(spark, sf_dir):
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -52,5 +56,5 @@ def op10_warc_archive(spark, sf_dir):
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op3_language_id, op4_secret_scan, op5_token_counts, op6_setsketch_dedup, op7_decontamination, op8_source_mixing, op9_url_filter, op10_warc_archive)}
+QUERIES = {f.__name__: f for f in (op1_near_embeddings, op2_license_scan, op3_language_id, op4_secret_scan, op5_token_counts, op6_setsketch_dedup, op7_decontamination, op8_source_mixing, op9_url_filter, op10_warc_archive)}
 ORACLE_SQL = {"op8_source_mixing": mixing.ORACLE, "op9_url_filter": url_filter.ORACLE, "op10_warc_archive": warc_archive.ORACLE}

@@ -12,7 +12,6 @@ Reference: O. Ertl, "SetSketch: filling the gap between MinHash and HyperLogLog"
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -27,7 +26,7 @@ BASE, RATE, LIMIT = 1.001, 20.0, 65534
 #: Pairs whose estimate is six standard errors under the threshold aren't looked up in full.
 MARGIN = 6.0
 #: A worker's word cache is emptied at this many words.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 #: Leaders of a bucket, from one round to the next.
 GROWTH = 8
 #: Id lists of up to this many rows are broadcast (8 bytes each); longer ones are shuffled.
@@ -172,7 +171,8 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, scratch: Scratc
 
     Documents are linked if 100 * intersection >= threshold * union of their shingle sets. A text of
     fewer than five words is one shingle; null, empty and blank texts have none and link with nothing
-    (component_id = doc_id, kept). Rows that repeat a doc_id are answered alike; doc_id must not be null.
+    (component_id = doc_id, kept). Of rows that repeat a doc_id one text stands for
+    all in comparisons; a row without doc_id links with nothing (component_id null, kept).
 
     Equal sets become one class first, so exact copies cost nothing further. A band's bucket isn't
     expanded into pairs: in each round every bucket whose members lie in several components compares
@@ -185,6 +185,8 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, scratch: Scratc
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "setsketch")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    unnamed = sketch(docs.where("doc_id is null")).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    docs = docs.where("doc_id is not null")
     all_docs = scratch.save(sketch(docs))
     classes = all_docs.where("n_shingles > 0").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"))
     classes = scratch.save(classes)
@@ -200,7 +202,8 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, scratch: Scratc
     label = None
     if in_buckets:
         known = scratch.save(_only(reps.select("doc_id", "n_shingles", "regs"), fame.select("doc_id"), in_buckets))
-        current = scratch.save(buckets.join(fame, "doc_id").select("bucket", "doc_id", "fame"))
+        facts = fame.join(known.select("doc_id", F.col("n_shingles").alias("n")), "doc_id").withColumn("own", F.lit(0).cast("long"))
+        current = scratch.save(buckets.select("bucket", "doc_id").join(facts, "doc_id"))
         scratch.drop(buckets)
         leaders_each, edges, checked = 1, None, None
         while True:
@@ -210,19 +213,22 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, scratch: Scratc
             state = scratch.save(state.join(open_, "bucket", "left_semi"))
             if state.isEmpty():
                 break
+            if leaders_each == GROWTH:
+                state = scratch.save(_with_own(state, docs, threshold, scratch))
             salt = F.pmod(F.xxhash64("doc_id", F.lit(leaders_each)), F.lit(leaders_each))
+            best = F.max(F.struct("fame", (-F.col("doc_id")).alias("minus"), F.col("component").alias("c"), "n", "own"))
             lead = scratch.save(
-                state.groupBy("bucket", salt.alias("salt")).agg(F.max(F.struct("fame", (-F.col("doc_id")).alias("minus"), F.col("component").alias("c"))).alias("top"))
-                .select("bucket", (-F.col("top.minus")).alias("leader"), F.col("top.c").alias("leader_component"))
+                state.groupBy("bucket", salt.alias("salt")).agg(best.alias("top"))
+                .select("bucket", (-F.col("top.minus")).alias("leader"), F.col("top.c").alias("leader_component"), F.col("top.n").alias("ln"), F.col("top.own").alias("lown"))
             )
-            met = state.join(lead, "bucket").where("component <> leader_component")
+            common = F.least(F.col("n") - F.col("own"), F.col("ln") - F.col("lown"))
+            can = (F.col("component") != F.col("leader_component")) & ((100 + threshold) * common >= threshold * (F.col("n") + F.col("ln")))
+            met = state.join(lead, "bucket").where(can)
             pairs = met.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
             if checked is not None:
                 pairs = pairs.join(checked, ["a", "b"], "left_anti")
             side = lambda x, n, r: known.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(n), F.col("regs").alias(r))
-            sized = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na")), "a").join(known.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb")), "b")
-            sized = sized.where(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-            likely = scratch.save(_likely(sized.join(side("a", "_n", "ra").drop("_n"), "a").join(side("b", "_m", "rb").drop("_m"), "b").select("a", "b", "na", "nb", "ra", "rb"), threshold / 100))
+            likely = scratch.save(_likely(pairs.join(side("a", "na", "ra"), "a").join(side("b", "nb", "rb"), "b").select("a", "b", "na", "nb", "ra", "rb"), threshold / 100))
             checked = likely if checked is None else checked.unionByName(likely)
             new = scratch.save(_verified(likely, docs, threshold, scratch))
             if label is None or not new.isEmpty():
@@ -230,7 +236,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, scratch: Scratc
                 found = components(edges, scratch)
                 label = scratch.save(found.select(F.col("id").alias("doc_id"), "component"))
             rest = state.join(lead.select("bucket", F.col("leader").alias("doc_id")), ["bucket", "doc_id"], "left_anti")
-            current = scratch.save(rest.select("bucket", "doc_id", "fame"))
+            current = scratch.save(rest.select("bucket", "doc_id", "fame", "n", "own"))
             leaders_each *= GROWTH
         parts = [label] if label is not None else []
     rows = all_docs.select("doc_id", "n_shingles", "digest").join(classes, ["digest", "n_shingles"], "left")
@@ -239,7 +245,20 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, scratch: Scratc
         rows = rows.withColumn("component_id", F.coalesce("component", "rep", "doc_id"))
     else:
         rows = rows.withColumn("component_id", F.coalesce("rep", "doc_id"))
-    return rows.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return rows.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept")).unionByName(unnamed)
+
+
+def _with_own(state: DataFrame, docs: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+    """The members of open buckets that can still link, with ``own``, the number of their shingles that
+    no other open member has. A pair shares at most what isn't own in either, which rules out most pairs of
+    a large group's widely edited copies before they are formed; a member with too many links with none.
+    """
+    ids = scratch.save(state.select("doc_id").distinct())
+    sets = shingle_sets(_only(docs, ids, ids.count()).dropDuplicates(["doc_id"]))
+    single = sets.select("doc_id", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("k"), F.min("doc_id").alias("doc_id")).where("k = 1")
+    own = single.groupBy("doc_id").agg(F.count("*").alias("own"))
+    out = state.drop("own").join(own, "doc_id", "left").withColumn("own", F.coalesce("own", F.lit(0)).cast("long"))
+    return out.where((100 - threshold) * F.col("n") >= 100 * F.col("own")).select(*state.columns)
 
 
 def _verified(likely: DataFrame, docs: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
@@ -249,10 +268,6 @@ def _verified(likely: DataFrame, docs: DataFrame, threshold: int, scratch: Scrat
     sets = scratch.save(shingle_sets(_only(docs, ids, ids.count()).dropDuplicates(["doc_id"])))
     both = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("ib")), "b")
 
-    @F.pandas_udf("long")
-    def common(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)], dtype="int64")
-
-    n = both.select("a", "b", F.size("ia").alias("na"), F.size("ib").alias("nb"), common("ia", "ib").alias("common"))
+    n = both.select("a", "b", F.size("ia").alias("na"), F.size("ib").alias("nb"), F.size(F.array_intersect("ia", "ib")).alias("common"))
     out = n.where(100 * F.col("common") >= threshold * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
     return out
