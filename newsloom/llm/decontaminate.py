@@ -18,7 +18,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.shared import let
+from newsloom.llm.shared import Scratch, let
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -28,6 +28,8 @@ BLOCKS, BLOCK_BITS = 4, 16
 BLOCK_RADIUS = RADIUS // BLOCKS
 #: Benchmark shingles (8-byte hash, id, two ints) up to this many are broadcast, more are shuffled.
 BROADCAST_SHINGLES = 500_000
+#: (doc_id, hash) pairs of documents with such a shingle: the same.
+BROADCAST_DOCUMENTS = 1_000_000
 
 _MASKS = [sum(1 << b for b in bits) for k in range(BLOCK_RADIUS + 1) for bits in combinations(range(BLOCK_BITS), k)]
 _BLANK = r"[\x20\x09-\x0D]+"
@@ -66,31 +68,38 @@ def weighted_similarity(a: Column, b: Column) -> Column:
     return let(F.struct(a.alias("a"), b.alias("b")), ratio)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, scratch: Scratch | None = None) -> DataFrame:
     """One row for each document and item that it holds: doc_id, item_id, start_word, n_words, distance,
     similarity (of the best window; ties by the earliest).
 
     A document holds an item if a window of the item's length, laid so that a shared shingle falls on its
     own place in the item and cut at the document's ends, has a fingerprint within ``radius`` and a weighted
     shingle similarity of ``similarity`` or more. Whole texts are read. Null and empty texts or items, and items
-    of fewer than five words, match nothing; repeated rows and doc_ids give one row; other columns aren't read.
+    of fewer than five words, match nothing; repeated rows and doc_ids give one row, rows without doc_id none; other columns aren't read.
 
     Windows are compared by their content, once each, so a passage that fills many documents is
     fingerprinted once. Documents are never grouped by item or passage.
     """
     if radius != RADIUS:
         raise ValueError("the block index is made for the module's RADIUS")
+    scratch = scratch or Scratch(docs.sparkSession, "decontaminate")
     items = benchmark.select("item_id", words(F.col("text")).alias("ws")).where(F.size("ws") >= SHINGLE)
     items = items.select("item_id", F.size("ws").alias("w"), shingles(F.col("ws")).alias("item_shingles"), fingerprint(F.col("ws")).alias("item_fp"))
     places = items.select("w", F.posexplode("item_shingles").alias("j", "h")).select("h", "j", "w").distinct()
     if places.count() <= BROADCAST_SHINGLES:
         places = F.broadcast(places)
-    cut = docs.select("doc_id", words(F.col("text")).alias("ws"))
-    cut = cut.select("doc_id", "ws", shingles(F.col("ws")).alias("hs"))
-    anchors = cut.select("doc_id", "ws", F.posexplode("hs").alias("i", "h")).join(places, "h")
-    start = F.greatest(F.lit(0), F.col("i") - F.col("j"))
-    length = F.least(F.col("i") - F.col("j") + F.col("w"), F.size("ws")) - start
-    windows = anchors.select("doc_id", start.alias("start_word"), F.array_join(F.slice("ws", start + 1, length), " ").alias("window")).distinct()
+    # only hashes are exploded; texts are cut again where one of them is the benchmark's
+    docs = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    each = docs.select("doc_id", "text_key", F.posexplode(shingles(words(F.col("text")))).alias("i", "h"))
+    starts = scratch.save(each.join(places, "h").select("doc_id", "text_key", (F.col("i") - F.col("j")).alias("at"), "w").distinct())
+    held = starts.select("doc_id", "text_key").distinct()
+    if held.count() <= BROADCAST_DOCUMENTS:
+        held = F.broadcast(held)
+    texts = scratch.save(docs.join(held, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", words(F.col("text")).alias("ws")))
+    start = F.greatest(F.lit(0), F.col("at"))
+    length = F.least(F.col("at") + F.col("w"), F.size("ws")) - start
+    windows = texts.join(starts, ["doc_id", "text_key"]).select("doc_id", start.alias("start_word"), F.array_join(F.slice("ws", start + 1, length), " ").alias("window"))
+    windows = scratch.save(windows.distinct())
     contents = windows.select("window").distinct().withColumn("ws", F.split("window", " ")).where(F.size("ws") >= SHINGLE)
     contents = contents.select("window", fingerprint(F.col("ws")).alias("fp"), shingles(F.col("ws")).alias("hs"))
     blocks = contents.select("window", "fp", "hs", F.explode(F.array(*[_block(F.col("fp"), k) for k in range(BLOCKS)])).alias("key"))
