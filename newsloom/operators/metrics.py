@@ -113,7 +113,7 @@ def retry_decision(code: Column, status: Column, retry_after_ms: Column, attempt
 def retry_after_ms(header: Column, as_of: Column) -> Column:
     """Retry-After as milliseconds: seconds, or an HTTP date."""
     when = F.try_to_timestamp(F.regexp_replace(header, r"^[A-Za-z]{3},\s*|\s*GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
-    return F.coalesce(header.try_cast("double") * 1000, F.greatest(F.lit(0), F.unix_millis(when) - F.unix_millis(as_of)).cast("double")).cast("long")
+    return F.coalesce(header.try_cast("double") * 1000, F.when(when.isNotNull(), F.greatest(F.lit(0), F.unix_millis(when) - F.unix_millis(as_of))).cast("double")).cast("long")
 
 
 def stable_code(message: Column) -> Column:

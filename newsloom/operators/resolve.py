@@ -61,7 +61,8 @@ def leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     e = e.join(nodes.select(F.col("id").alias("early"), "place"), "early")
     best = e.groupBy("late").agg(F.min(F.struct("kind", (-F.col("score")).alias("minus"), "place", "early")).alias("b"))
     best = best.select(F.col("late").alias("id"), F.col("b.early").alias("leader_id"), F.col("b.kind").alias("kind"), (-F.col("b.minus")).alias("score"))
-    return nodes.select("id").join(best, "id", "left").withColumn("leader_id", F.coalesce("leader_id", "id"))
+    out = nodes.select("id").join(best, "id", "left")
+    return out.select("id", F.coalesce("leader_id", "id").alias("leader_id"), "kind", "score")
 
 
 KINDS = ["SOURCE_EXTERNAL_ID", "CANONICAL_URL", "EXACT_CONTENT_HASH", "NORMALIZED_FINGERPRINT", "NEAR_EXACT"]
@@ -106,7 +107,9 @@ def resolve_duplicates(contents: DataFrame, form: bool = True) -> DataFrame:
     c = written(c)
     edges = written(duplicate_edges(c))
     out = leaders(c.select("id", "place"), edges)
-    return out.select("id", F.when(F.col("leader_id") != F.col("id"), F.col("leader_id")).alias("duplicate_of_id"), F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1).alias("duplicate_kind"), F.col("score").alias("duplicate_score"))
+    follows = F.col("leader_id") != F.col("id")
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
+    return out.select("id", F.when(follows, F.col("leader_id")).alias("duplicate_of_id"), F.when(follows, kind).alias("duplicate_kind"), F.when(follows, F.col("score")).alias("duplicate_score"))
 
 
 def cluster_features(contents: DataFrame, form: bool = True) -> DataFrame:
