@@ -1,0 +1,335 @@
+"""The numbered operators against brute force, with nulls, empties, ties, repeats, clashing columns."""
+
+import itertools
+import re
+import zlib
+
+import numpy as np
+import pytest
+from newsloom.llm import decontaminate, entry, language_id, license_scan, mixing, near_embeddings, secret_scan, setsketch, shared, token_counts, url_filter, warc_archive
+from oracle import same
+from pyspark.sql import functions as F
+
+FOLDER = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.mark.parametrize("name", sorted(entry.ORACLE_SQL))
+def test_query_equals_sql(spark, name):
+    same(spark, entry.QUERIES[name], entry.ORACLE_SQL[name], FOLDER)
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+
+
+def groups(links, ids):
+    par = {i: i for i in ids}
+
+    def find(x):
+        while par[x] != x:
+            x = par[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        par[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(30, 31), (31, 32), (5, 5)], "a long, b long")
+    got = {r.id: r.component for r in shared.components(edges, shared.Scratch(spark, "t")).collect()}
+    assert got == {**{k: 0 for k in range(21)}, 30: 30, 31: 30, 32: 30}
+
+
+# --- 1
+
+
+def embedding_rows(seed=3, dim=16):
+    g = np.random.default_rng(seed)
+    base = g.standard_normal((60, dim))
+    rows = [*base]
+    for k in range(12):
+        rows += [base[k] + g.standard_normal(dim) * s for s in (0.02, 0.1, 0.25)]
+    hot = g.standard_normal(dim)
+    rows += [hot + g.standard_normal(dim) * 0.03 for _ in range(120)]
+    rows += [base[0], base[0] * 2]
+    return [[float(np.float32(x)) for x in r] for r in rows]
+
+
+def test_embeddings_equal_brute_force(spark):
+    rows = embedding_rows()
+    n = len(rows)
+    odd = [None, [0.0] * 16, [float("nan")] + [1.0] * 15, [None] + [1.0] * 15, [1.0, 2.0], [float("inf")] + [1.0] * 15, []]
+    data = [(i, r, 1) for i, r in enumerate(rows + odd)] + [(None, rows[0], 1), (3, rows[3], 2)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, n_links int")
+    report = {}
+    got = {r.vec_id: r for r in near_embeddings.near_embeddings(df, report=report).collect()}
+    x = np.array(rows, np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    s = x @ x.T >= 0.9
+    np.fill_diagonal(s, False)
+    comp = groups(zip(*np.nonzero(s), strict=True), range(n))
+    assert report["recall"] >= 0.9 and len(got) == n + len(odd)
+    for i in range(n + len(odd)):
+        want = (int(s[i].sum()), comp[i]) if i < n else (0, i)
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (*want, want[1] == i)
+
+
+def test_embeddings_of_an_empty_table(spark):
+    assert near_embeddings.near_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+# --- 2
+
+
+def test_licenses_equal_brute_force(spark):
+    rows = [(1, "Under the MIT license; UNDER THE mit-license"), (2, None), (3, ""), (4, "CC BY NC " * 3), (5, "apache license, version 2.0"), (6, license_scan.TEMPLATES[0][1] + " x"), (7, "clean prose of the day " * 2000), (1, "cc by nc")]
+    rows += [(1000 + r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
+    got = license_scan.scan_licenses(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for i, t in rows:
+        t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        ws = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t)
+        at = [(k, label) for p, label in license_scan.PHRASES for k in range(len(ws)) if ws[k : k + len(p.split())] == p.split()]
+        by.setdefault(i, []).append((len(ws), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None), ",".join(sorted({x for _, x in at}))))
+    mine = {}
+    for r in got:
+        mine.setdefault(r.doc_id, []).append((r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels))
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+    assert {k: sorted(map(str, v)) for k, v in mine.items()} == {k: sorted(map(str, v)) for k, v in by.items()}
+    labels = {r.doc_id: r.labels for r in got}
+    assert labels[6] == "mit" and labels[7] == "" and labels[2] == ""
+
+
+def test_suffix_automaton_matching_statistics():
+    texts = [[1, 2, 3, 1, 2], [3, 1, 2, 2]]
+    a = license_scan.SuffixAutomaton(texts)
+    subs = {tuple(t[i:j]) for t in texts for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+    for q in itertools.product([1, 2, 3], repeat=6):
+        got = {(end, n) for end, n, _ in a.matches(list(q), 1)}
+        longest = [max(n for n in range(e + 1) if n == 0 or tuple(q[e - n : e]) in subs) for e in range(1, 7)]
+        want = {(e, n) for e, n in enumerate(longest, 1) if n and (e == 6 or longest[e] != n + 1)}
+        assert got == want
+
+
+# --- 3
+
+
+def test_language_held_out_accuracy(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language_id.identify(d).where("held_out").select("lang", "lang_pred").collect()
+    assert len(got) > 100 and np.mean([r.lang == r.lang_pred for r in got]) > 0.95
+
+
+def test_language_defined_cases(spark):
+    rows = [(k, t, lang, None, 0) for k, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("the dog", None), (None, "en"), ("", "de"), ("12 34 !!", "en"), ("the cat " * 20000, "en"), ("the cat and the dog", "en")])]
+    df = spark.createDataFrame(rows, DOCS).withColumn("score", F.lit("x"))
+    got = {r.doc_id: r for r in language_id.identify(df).collect()}
+    assert [got[k].lang_pred for k in (3, 4, 5)] == ["und"] * 3 and got[2].lang_pred == "en"
+    assert all(got[k].held_out == (zlib.crc32(str(k).encode()) % 4 == 2) for k in got)
+    assert language_id.identify(df.limit(0)).count() == 0
+
+
+# --- 4
+
+
+def test_secrets_found_and_prose_left(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = secret_scan.fit_forest(secret_scan.labelled_findings(d))
+    rows = {r.doc_id: r.text for r in d.collect()}
+    shape = re.compile(r'AKIA[0-9A-Z]{16}|password=([0-9a-f]{12,})|token = "([0-9a-f]{40})"')
+    want = {(i, m.start(m.lastindex or 0)) for i, t in rows.items() for m in shape.finditer(t)}
+    got = {(r.doc_id, r.start) for r in secret_scan.scan_secrets(d, model).where("is_secret").collect()}
+    assert len(want) > 10 and len(want & got) >= 0.9 * len(want) and len(got - want) <= 0.1 * len(want)
+    odd = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "plain words only", "x"), (4, 'a token = "' + "0f1e2d3c4b" * 4 + '" b', "x"), (None, "card 4041894974608795", None)], "doc_id long, text string, findings string")
+    out = {r.doc_id: r.text for r in secret_scan.redact(odd, model).collect()}
+    assert out[1] is None and out[2] == "" and out[3] == "plain words only" and out[4] == 'a token = "[SECRET]" b' and out[None] == "card 4041894974608795"
+    assert secret_scan.scan_secrets(odd.limit(0), model).count() == 0
+
+
+# --- 5
+
+
+def test_token_counts_equal_full_recounts(spark):
+    enc = token_counts.Encoder(token_counts.read_vocabulary()).encoding
+    d = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "x " * 30000)], "doc_id long, text string"))
+    d = d.withColumn("edits", token_counts.derived_edits(F.col("text")))
+    for r in token_counts.count_edited(d).join(d, "doc_id").collect():
+        t = r.text or ""
+        assert r.n_tokens == len(enc.encode_ordinary(t))
+        for e in r.edits:
+            t = t[: e.pos] + e.inserted + t[e.pos + e.deleted :]
+        assert r.n_tokens_after == len(enc.encode_ordinary(t))
+    assert r.n_encoded_after < 400
+
+
+def test_random_edits_equal_full_recounts():
+    enc = token_counts.Encoder(token_counts.read_vocabulary())
+    g = np.random.default_rng(1)
+    draw = lambda n: "".join(g.choice(list("ab  \n\n'st1,.é "), n))
+    for _ in range(150):
+        t = draw(int(g.integers(0, 900)))
+        tree = token_counts.Tree(enc, t)
+        for _ in range(5):
+            p, n, i = int(g.integers(-1, len(t) + 4)), int(g.integers(0, 12)), draw(int(g.integers(0, 9)))
+            tree.edit(p, n, i)
+            p = max(0, min(p, len(t)))
+            t = t[:p] + i + t[p + n :]
+            assert tree.text() == t and tree.total == len(enc.encoding.encode_ordinary(t))
+
+
+def test_edits_are_attached_in_order(spark):
+    d = spark.createDataFrame([(1, "ab"), (2, None)], "doc_id long, text string")
+    e = spark.createDataFrame([(1, 2, 0, 1, "x"), (1, 1, 0, 0, "y")], "doc_id long, seq int, pos int, deleted int, inserted string")
+    got = {r.doc_id: r.edits for r in token_counts.attach_edits(d, e).collect()}
+    assert [x.inserted for x in got[1]] == ["y", "x"] and got[2] is None
+
+
+# --- 6
+
+
+def brute_near(rows):
+    sets = {}
+    for i, t in rows:
+        ws = [w for w in re.split("[ \t-\r]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) if w]
+        sets[i] = {tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))} if ws else set()
+    links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    return sets, groups(links, sets)
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    g = np.random.default_rng(5)
+    word = lambda: "w" + str(g.integers(0, 5000))
+    base = [word() for _ in range(150)]
+    rows = [(0, " ".join(base)), (1, " ".join(base)), (2, None), (3, ""), (4, " \n "), (5, "A b"), (6, "a B"), (7, "a b c d e"), (8, " ".join(base * 40))]
+    for k in range(60):  # a large group of copies with few or many changes
+        c = list(base)
+        for _ in range(int(g.integers(0, 7))):
+            c[int(g.integers(0, 150))] = word()
+        rows.append((10 + k, " ".join(c)))
+    rows += [(100 + r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
+    sets, comp = brute_near(rows)
+    got = setsketch.near_duplicates(docs(spark, [*rows, (None, "a b")]).withColumn("kept", F.lit(1))).collect()
+    assert len(got) == len(rows) + 1
+    for r in got:
+        if r.doc_id is None:
+            assert r.component_id is None and r.kept
+        else:
+            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), comp[r.doc_id], comp[r.doc_id] == r.doc_id)
+
+
+def test_near_duplicates_of_an_empty_table(spark):
+    assert setsketch.near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_sketch_estimates_similarity():
+    g = np.random.default_rng(2)
+    x = g.integers(0, 2**63, 3000).astype(np.uint64)
+    for j in (0.5, 0.85, 0.95):
+        n = int(2000 * 2 * j / (1 + j))
+        a, b = np.unique(x[:2000]), np.unique(np.concatenate([x[:n], x[2000 : 4000 - n]]))
+        true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        got = setsketch.estimate(setsketch.registers(a)[None], setsketch.registers(b)[None], np.array([len(a)]), np.array([len(b)]))[0]
+        assert abs(got - true) < 5 * np.sqrt(true * (1 - true) / setsketch.REGISTERS)
+    assert (np.maximum(setsketch.registers(x[:900]), setsketch.registers(x[900:])) == setsketch.registers(x)).all()
+
+
+# --- 7
+
+
+def test_contamination_equals_brute_force(spark):
+    bench = [(1, " ".join(f"b{k}" for k in range(40))), (2, " ".join(f"c{k % 7}" for k in range(30))), (3, "too few words"), (4, None), (5, "")]
+    item = bench[0][1].split()
+    rows = [(1, "x y " + bench[0][1].upper() + " z"), (2, " ".join(item[:36])), (3, " ".join(item[:20])), (4, None), (5, ""), (6, "clean text of no item at all"), (7, "q " * 9000 + bench[1][1]), (8, " ".join([*item[:15], "zz", *item[16:]])), (1, bench[1][1]), (None, bench[0][1])]
+    real = [(100 + r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(400).collect()]
+    items = [(10 + r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
+    d, b = docs(spark, rows + real).withColumn("item_id", F.lit(1)), spark.createDataFrame(bench + items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b).collect()}
+    want = set()
+    shingle = lambda ws: [tuple(ws[k : k + 5]) for k in range(len(ws) - 4)]
+    index = {}
+    for i, t in bench + items:
+        for j, s in enumerate(shingle((t or "").lower().split())):
+            index.setdefault(s, []).append((i, j))
+    lengths = {i: (t or "").lower().split() for i, t in bench + items}
+    for i, t in rows + real:
+        ws = (t or "").lower().split()
+        for k, s in enumerate(shingle(ws)):
+            for item_id, j in index.get(s, ()):
+                w = lengths[item_id]
+                win = shingle(ws[max(0, k - j) : k - j + len(w)])
+                a, c = shingle(w), win
+                both = sum(min(a.count(x), c.count(x)) for x in set(a) & set(c))
+                if i is not None and both >= 0.8 * (len(a) + len(c) - both):
+                    want.add((i, item_id))
+    assert got == want and {(1, 1), (1, 2), (7, 2), (2, 1)} <= got and not {3, 6} & {i for i, _ in got}
+    assert decontaminate.contaminated(d.limit(0), b).count() == 0 and decontaminate.contaminated(d, b.limit(0)).count() == 0
+
+
+def test_block_index_holds_every_fingerprint_within_radius():
+    g = np.random.default_rng(0)
+    masks = set(decontaminate._MASKS)
+    for _ in range(300):
+        flips = g.choice(64, decontaminate.RADIUS, replace=False)
+        assert any(sum(1 << int(b % 16) for b in flips if b // 16 == k) in masks for k in range(4))
+
+
+# --- 8
+
+
+def test_mix_defined_cases(spark):
+    rows = [(1, "a b c", "en", "x", 0), (2, None, "en", "x", 0), (3, "", "en", None, 0), (4, "a " * 5000, "en", None, 0), (5, "q", "en", "z", 0), (5, "q", "en", "z", 0), (None, "w w", "en", "y", 0)]
+    out = mixing.mix(spark.createDataFrame(rows, DOCS).withColumn("size", F.lit("old"))).collect()
+    assert len(out) == len(rows)
+    by = {}
+    for r in out:
+        assert 0 <= r.taken <= 2 * r.size
+        by.setdefault(r.source, [0, r.target])[0] += r.taken
+    assert all(abs(t - target) <= 0.5 for t, target in by.values())
+    assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_newton_finds_the_rates(spark):
+    t = spark.createDataFrame([("a", 100, 150.0), ("b", 1000, 1.0), ("c", 10, 20.0), ("d", 0, 0.0)], "source string, source_size long, target double")
+    assert all(abs(r.rate * r.source_size - r.target) < 1e-6 for r in mixing.balance(t).collect())
+
+
+# --- 9
+
+
+def test_url_rules(spark):
+    cases = {
+        "http://a.example.net/en/1": ("example.net/en/", "allow"), "http://EXAMPLE.NET/fr/": ("net/", "block"), "https://x.net": (None, "allow"), "https://x.org/fr/a?b=/c": ("org/fr/", "allow"),
+        "http://notexample.com/de/1": (None, "allow"), "http://m.example.com/de/": ("example.com/de/", "block"), None: (None, "allow"), "": (None, "allow"), "no scheme.net/": (None, "allow"), "http://net/": ("net/", "block"),
+        "http://x.net/" + "a/" * 20000: ("net/", "block"), "a://b://c.net/": (None, "allow"),
+    }
+    df = spark.createDataFrame([(k, u, "old") for k, u in enumerate([*cases, *cases])], "page_id long, url string, verdict string")
+    got = url_filter.judge_urls(df, url_filter.rule_table(spark)).collect()
+    assert len(got) == 2 * len(cases) and all((r.rule, r.verdict) == cases[r.url] for r in got)
+    assert url_filter.judge_urls(df.limit(0), url_filter.rule_table(spark)).count() == 0
+    with pytest.raises(ValueError):
+        url_filter.rule_table(spark, [("block", "a", "no-slash")])
+
+
+# --- 10
+
+
+def test_archive_round_trip(spark, tmp_path):
+    long = "é" * 600
+    rows = [(1, "u1", long), (2, "u2", long), (3, "u\r\nWARC-Type: x", None), (4, None, ""), (5, "u5", "small"), (6, "u6", "small"), (7, "u7", long), (None, "u8", long), (8, "u9", "a\r\n\r\nb" * 400)]
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, payload int")
+    warc_archive.write_archive(pages, str(tmp_path / "w"))
+    back = warc_archive.read_archive(spark, str(tmp_path / "w")).collect()
+    got = {r.page_id: r for r in back}
+    assert all(r.verified for r in back) and len(back) == len(rows)
+    assert all(bytes(got[i].payload) == (h or "").encode() for i, _, h in rows)
+    assert [got[i].record_type for i in (1, 2, 7, None, 5, 6)] == ["revisit", "revisit", "response", "response", "response", "response"] and got[1].refers_to == 7
+    head, _, body = bytes(got[8].record).partition(b"\r\n\r\n")
+    assert head.startswith(b"WARC/1.1\r\n") and body == ("a\r\n\r\nb" * 400).encode() + b"\r\n\r\n"
+    assert spark.read.parquet(str(tmp_path / "w/payloads")).count() == 4
+    empty = str(tmp_path / "e")
+    warc_archive.write_archive(pages.limit(0), empty)
+    assert warc_archive.read_archive(spark, empty).count() == 0
