@@ -89,4 +89,64 @@ def work_list(contents: DataFrame, locales: DataFrame, done: DataFrame) -> DataF
     """Eligible contents without a finished localization of their identity: verified, no duplicate."""
     e = contents.where((F.col("provenance_status") == "VERIFIED") & F.col("duplicate_of_id").isNull())
     keys = ["id", "content_hash", "locale"]
-    return e.select("id", "content_hash").join(F.broadcast(locales.select("locale").limit(10)), F.lit(True)).join(done.where("title is not null and summary is not null").select(*keys), keys, "left_anti")
+    return e.select("id", "content_hash").join(locales.select("locale"), F.lit(True)).join(done.where("title is not null and summary is not null").select(*keys), keys, "left_anti")
+
+
+#: A contract output: its type, and its exact keys.
+CONTRACT = "struct<title:string,summary:string,claims:array<struct<text:string,evidence:array<string>>>,preservedValues:array<string>,preservedTerms:array<string>,sourceLanguage:string,targetLocale:string>"
+CONTRACT_KEYS = ["claims", "preservedTerms", "preservedValues", "sourceLanguage", "summary", "targetLocale", "title"]
+LOCALES = ["vi", "en", "zh-Hans"]
+OVERREACH = r"(?iu)(?<![\p{L}\p{N}_])(mua|bán|đầu tư ngay|buy|sell|diagnose|take medication)(?![\p{L}\p{N}_])"
+
+
+def _blank(c: Column) -> Column:
+    return F.coalesce(t.js_trim(c) == "", F.lit(True))
+
+
+def contract_error(output: Column, source: Column, values: Column, terms: Column, language: Column, locale: Column) -> Column:
+    """Code of the first check that a JSON output fails, or null."""
+    x = F.from_json(output, CONTRACT)
+    keys = lambda c: F.sort_array(F.json_object_keys(c))
+    wrong = lambda c, k: F.coalesce(keys(c) != F.array(*[F.lit(v) for v in k]), F.lit(True))
+    raw = F.from_json(F.get_json_object(output, "$.claims"), "array<string>")
+    empty = lambda a: a.isNull() | F.exists(a, _blank)
+    schema = (
+        x.isNull() | wrong(output, CONTRACT_KEYS) | _blank(x.title) | _blank(x.summary) | x.claims.isNull() | (F.size(x.claims) == 0) | F.exists(x.claims, lambda c: _blank(c.text) | c.evidence.isNull() | F.exists(c.evidence, _blank))
+        | F.exists(F.coalesce(raw, F.array().cast("array<string>")), lambda c: wrong(c, ["evidence", "text"])) | empty(x.preservedValues) | empty(x.preservedTerms)
+        | ~F.coalesce(x.sourceLanguage.isin(LOCALES) & x.targetLocale.isin(LOCALES), F.lit(False))
+    )
+    same = lambda a, b: F.sort_array(F.array_distinct(a)) == F.sort_array(F.array_distinct(b))
+    return (
+        F.when(F.coalesce(schema, F.lit(True)), "LOCALIZATION_SCHEMA_INVALID").when((x.sourceLanguage != language) | (x.targetLocale != locale), "LOCALIZATION_LOCALE_MISMATCH")
+        .when(F.exists(x.claims, lambda c: F.size(c.evidence) == 0), "LOCALIZATION_EVIDENCE_REQUIRED").when(F.exists(F.flatten(x.claims.evidence), lambda e: ~F.contains(source, e)), "LOCALIZATION_EVIDENCE_NOT_IN_SOURCE")
+        .when(~same(x.preservedValues, values), "LOCALIZATION_VALUES_NOT_PRESERVED").when(~same(x.preservedTerms, terms), "LOCALIZATION_TERMS_NOT_PRESERVED")
+    )
+
+
+def offline_pairs(pairs: DataFrame) -> DataFrame:
+    """Offline check of ``pairs(source struct, localization struct, generation struct, preserved_values, preserved_terms,
+    attribution_required)``: all error codes, warnings, score and validity."""
+    s, l, g = F.col("source"), F.col("localization"), F.col("generation")
+    corpus = F.concat_ws("\n", s.title, s.content)
+    out = F.concat_ws("\n", l.title, l.summary, l.relevanceReason, l.suggestedAction)
+    low = lambda c: t.js_trim(F.regexp_replace(F.lower(c), f"{t.JS_S}+", " "))
+    need = lambda st, prefix, names: [F.when(_blank(st[n]), f"{prefix}_{n.upper()}_REQUIRED") for n in names]
+    host = F.try_parse_url(s.canonicalUrl, F.lit("HOST"))
+    fixed = F.array_compact(F.array(
+        *need(s, "SOURCE", ["language", "publisher", "canonicalUrl", "publishedAt", "contentHash", "title", "content"]),
+        F.when(host.isNull(), "SOURCE_URL_INVALID"), F.when(host.isNotNull() & ~F.startswith(F.lower(s.canonicalUrl), F.lit("https:")), "SOURCE_URL_NOT_HTTPS"), F.when(host.isin("example.com", "localhost", "127.0.0.1"), "SOURCE_URL_PLACEHOLDER"),
+        F.when(F.try_to_timestamp(s.publishedAt).isNull(), "SOURCE_PUBLISHED_AT_INVALID"), F.when(~F.coalesce(l.locale.isin("vi", "en"), F.lit(False)), "LOCALIZATION_LOCALE_UNSUPPORTED"),
+        *need(l, "LOCALIZATION", ["title", "summary", "relevanceReason", "suggestedAction"]), *need(g, "GENERATION", ["provider", "model", "promptVersion", "generatedAt"]),
+        F.when(F.coalesce(F.size(l.claims), F.lit(0)) < 1, "CLAIMS_REQUIRED"), F.when(F.col("attribution_required") & ~F.contains(low(out), low(s.publisher)), "REQUIRED_ATTRIBUTION_MISSING"),
+        F.when(F.rlike(l.suggestedAction, F.lit(OVERREACH)), "ACTION_OVERREACH")))
+    name = lambda i, rest: F.concat(F.lit("CLAIM_"), i.cast("string"), F.lit(rest))
+    claims = F.coalesce(l.claims, F.array().cast("array<struct<text:string,evidence:array<string>>>"))
+    spans = lambda c, i: F.transform(F.coalesce(c.evidence, F.array().cast("array<string>")), lambda e, k: F.when(_blank(e) | ~F.contains(corpus, e), F.concat(name(i, "_EVIDENCE_"), k.cast("string"), F.lit("_NOT_IN_SOURCE"))))
+    each = F.flatten(F.transform(claims, lambda c, i: F.concat(F.array(F.when(_blank(c.text), name(i, "_TEXT_REQUIRED")), F.when(F.coalesce(F.size(c.evidence), F.lit(0)) < 1, name(i, "_EVIDENCE_REQUIRED"))), spans(c, i))))
+    missing = lambda text, v, code: F.when(~F.coalesce(F.contains(low(text), low(v)), F.lit(False)), F.concat(F.lit(f"{code}:"), F.coalesce(v, F.lit(""))))
+    values = F.flatten(F.transform(F.coalesce("preserved_values", F.array().cast("array<string>")), lambda v: F.array(missing(corpus, v, "PRESERVED_VALUE_NOT_IN_SOURCE"), missing(out, v, "PRESERVED_VALUE_NOT_IN_OUTPUT"))))
+    terms = F.flatten(F.transform(F.coalesce("preserved_terms", F.array().cast("array<struct<source:string,target:string>>")), lambda v: F.array(missing(corpus, v.source, "PRESERVED_TERM_NOT_IN_SOURCE"), missing(out, v.target, "PRESERVED_TERM_NOT_IN_OUTPUT"))))
+    warn = F.array_compact(F.array(F.when(F.length(l.summary).between(1, 39), "SUMMARY_TOO_SHORT_FOR_REVIEW"), F.when(F.length(l.summary) > 1200, "SUMMARY_TOO_LONG")))
+    p = pairs.withColumns({"errors": F.concat(fixed, F.array_compact(F.concat(each, values, terms))), "warnings": warn})
+    p = p.withColumn("quality_score", F.greatest(F.lit(0.0), F.round(1 - F.size("errors") * 0.2 - F.size("warnings") * 0.05, 2)))
+    return p.withColumn("valid", (F.size("errors") == 0) & (F.col("quality_score") >= 0.9))

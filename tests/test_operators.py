@@ -127,9 +127,8 @@ def test_provenance_status(spark):
 LOG = "subscription_id long, ts timestamp, seq long, kind string, error_code string, rejected boolean"
 
 
-def _log(rows):
-    base = pd.Timestamp("2026-08-14")
-    return pd.DataFrame([(1, base + pd.Timedelta(minutes=m), i, k, c, r) for i, (m, k, c, r) in enumerate(rows)], columns=["subscription_id", "ts", "seq", "kind", "error_code", "rejected"], dtype=object)
+def _log(rows, subscription=1):
+    return [(subscription, dt.datetime(2026, 8, 14) + dt.timedelta(minutes=m), i, k, c, r) for i, (m, k, c, r) in enumerate(rows)]
 
 
 def test_circuit_opens_probes_and_closes(spark):
@@ -145,7 +144,7 @@ def test_circuit_opens_probes_and_closes(spark):
 
 
 def test_circuit_stream_equals_batch(spark, tmp_path):
-    log = spark.createDataFrame(pd.concat([_log([(i, "failure" if i % 4 else "success", "HTTP_429", None) for i in range(20)]).assign(subscription_id=s) for s in (1, 2, 3)]), LOG)
+    log = spark.createDataFrame([x for s in (1, 2, 3) for x in _log([(i, "failure" if i % 4 else "success", "HTTP_429", None) for i in range(20)], s)], LOG)
     log.write.parquet(str(tmp_path / "in"))
     q = circuit.circuit_stream(spark.readStream.schema(log.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("circuit").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
     q.processAllAvailable()
@@ -200,3 +199,28 @@ def test_land_and_retain(spark, tmp_path):
 def test_retry_after(spark):
     f = lambda x: one(spark, x, lambda c: metrics.retry_after_ms(c, F.lit("2026-08-14 06:00:00").cast("timestamp")))
     assert f("120") == 120_000 and f("Fri, 14 Aug 2026 06:01:00 GMT") == 60_000 and f("soon") is None
+
+
+def test_contract_names_the_first_error(spark):
+    import json
+
+    good = {"title": "t", "summary": "s", "claims": [{"text": "c", "evidence": ["src"]}], "preservedValues": ["1"], "preservedTerms": [], "sourceLanguage": "en", "targetLocale": "vi"}
+    cases = [good, good | {"extra": 1}, good | {"claims": []}, good | {"targetLocale": "en"}, good | {"claims": [{"text": "c", "evidence": []}]}, good | {"claims": [{"text": "c", "evidence": ["other"]}]}, good | {"preservedValues": ["2"]}, good | {"preservedTerms": ["x"]}]
+    df = spark.createDataFrame([(i, json.dumps(c)) for i, c in enumerate(cases)] + [(8, "no json")], "i int, o string")
+    e = quality.contract_error(F.col("o"), F.lit("a src b"), F.array(F.lit("1")), F.array().cast("array<string>"), F.lit("en"), F.lit("vi"))
+    got = [r.e for r in df.select("i", e.alias("e")).orderBy("i").collect()]
+    assert got == [None, "LOCALIZATION_SCHEMA_INVALID", "LOCALIZATION_SCHEMA_INVALID", "LOCALIZATION_LOCALE_MISMATCH", "LOCALIZATION_EVIDENCE_REQUIRED", "LOCALIZATION_EVIDENCE_NOT_IN_SOURCE", "LOCALIZATION_VALUES_NOT_PRESERVED", "LOCALIZATION_TERMS_NOT_PRESERVED", "LOCALIZATION_SCHEMA_INVALID"]
+
+
+def test_insights(spark):
+    from newsloom.operators import insights
+
+    base = spark.createDataFrame([(1, "NEW", None, None, None, None), (2, "NEW", None, None, None, dt.datetime(2026, 1, 1))], "id int, status string, useful boolean, saved boolean, read_at timestamp, seen_at timestamp")
+    fb = spark.createDataFrame([(1, dt.datetime(2026, 1, 2), "READ", None, None), (1, dt.datetime(2026, 1, 3), None, True, None), (2, dt.datetime(2026, 1, 4), "READ", None, True)], "id int, ts timestamp, status string, useful boolean, saved boolean")
+    got = {r.id: r for r in insights.fold_feedback(base, fb).collect()}
+    assert got[1].status == "READ" and got[1].useful and got[1].seen_at == dt.datetime(2026, 1, 2) and got[2].seen_at == dt.datetime(2026, 1, 1) and got[2].saved
+    rows = spark.createDataFrame([(1, 10, "ALERT", 0.9, "t", "c", "en", dt.datetime(2026, 1, 1), "a_code", "AI"), (2, 11, "NOTE", 0.7, "t", "c", None, dt.datetime(2026, 1, 4), "It is so.", None)], "id int, insight_id int, type string, importance double, title string, content string, language string, published_at timestamp, reason string, interest_name string")
+    loc = spark.createDataFrame([(10, "vi", "T", "C", None)], "insight_id int, locale string, title string, content string, reason string")
+    out = {r.id: r for r in insights.project(rows, loc, "vi", "2026-01-05").collect()}
+    assert out[1].title == "T" and not out[1].fallback and out[1].bucket == "actionRequired" and out[1].freshness.fallback_window == "7d"
+    assert out[2].served_locale == "unknown" and out[2].fallback and out[2].relevance_reason == "It is so."
