@@ -21,7 +21,7 @@ def _budgets(spark, d):
 
 def _observations(spark, d):
     i = load(spark, d, "lineitem")
-    return i.groupBy(F.concat("l_returnflag", "l_linestatus").alias("key"), F.date_trunc("month", "l_shipdate").alias("observed_at")).agg(F.round(F.avg("l_extendedprice"), 2).cast("decimal(20,4)").alias("value"))
+    return i.groupBy(F.concat("l_returnflag", "l_linestatus").alias("key"), F.date_trunc("month", "l_shipdate").alias("observed_at")).agg(F.round(F.sum(F.col("l_extendedprice").cast("decimal(15,2)")).cast("double") / F.count("l_extendedprice") + 1e-7, 2).cast("decimal(20,4)").alias("value"))
 
 
 def _tasks(spark, d):
@@ -98,7 +98,7 @@ def tasks_lunar(spark, d):
 
 
 LEDGER = "ledger AS (SELECT o_custkey AS user_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderpriority AS category, CASE WHEN o_orderstatus = 'P' THEN 'INCOME' ELSE 'EXPENSE' END AS type, CAST(o_totalprice AS DECIMAL(19,2)) AS amount FROM orders)"
-OBS = "obs AS (SELECT l_returnflag || l_linestatus AS key, date_trunc('month', l_shipdate) AS observed_at, CAST(round(avg(l_extendedprice), 2) AS DECIMAL(20,4)) AS value FROM lineitem GROUP BY ALL)"
+OBS = "obs AS (SELECT l_returnflag || l_linestatus AS key, date_trunc('month', l_shipdate) AS observed_at, CAST(round(CAST(sum(CAST(l_extendedprice AS DECIMAL(15,2))) AS DOUBLE) / count(l_extendedprice) + 1e-7::DOUBLE, 2) AS DECIMAL(20,4)) AS value FROM lineitem GROUP BY ALL)"
 TASKS = """tasks AS (SELECT o_custkey AS user_id, o_orderkey AS task_id, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'URGENT' WHEN '2' THEN 'HIGH' WHEN '3' THEN 'MEDIUM' ELSE 'LOW' END AS priority,
   CASE o_orderstatus WHEN 'F' THEN 'DONE' WHEN 'P' THEN 'IN_PROGRESS' ELSE 'TODO' END AS status, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate END AS due_at, o_orderdate AS created_at,
   ['NONE', 'DAILY', 'WEEKLY'][o_orderkey % 3 + 1] AS rtype, CAST(o_orderkey % 4 + 1 AS INT) AS rint, CAST(o_orderkey % 7 + 1 AS INT) AS wd, o_orderdate + INTERVAL 5 DAY AS until FROM orders)"""
