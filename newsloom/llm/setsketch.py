@@ -23,12 +23,12 @@ SHINGLE = 5
 THRESHOLD = 85  # per cent
 REGISTERS, BANDS, ROWS = 127, 25, 5  # at similarity 0.85 a pair misses all bands once in 2 million
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
-#: Pairs whose estimate is six standard errors under the threshold aren't looked up in full.
-MARGIN = 6.0
+#: Pairs whose estimate is so many standard errors under the threshold aren't looked up in full.
+MARGIN = 4.5
 #: A worker's word cache is emptied at this many words.
 CACHE_WORDS = 200_000
 #: Leaders of a bucket, from one round to the next.
-GROWTH = 8
+GROWTH = 32
 #: Id lists of up to this many rows are broadcast (8 bytes each); longer ones are shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -152,18 +152,34 @@ def _only(df: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 
+def _floor(threshold: float) -> float:
+    return float(threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / REGISTERS))
+
+
+def _wide(reps: DataFrame) -> DataFrame:
+    """doc_id with its set size, its bands and its registers as an array."""
+
+    def run(batches):
+        for b in batches:
+            regs = [np.frombuffer(r.as_py(), np.uint16).astype(np.int32) for r in b.column(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(regs, pa.list_(pa.int32()))], names=["doc_id", "n", "bands", "regs"])
+
+    return reps.select("doc_id", "n_shingles", "bands", "regs").mapInArrow(run, "doc_id long, n long, bands array<long>, regs array<int>")
+
+
 def _likely(pairs: DataFrame, threshold: float) -> DataFrame:
     """Of pairs (a, b, na, nb, ra, rb), those that the estimate doesn't rule out."""
-    least = threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / REGISTERS)
+    least = _floor(threshold)
 
-    def run(frames):
-        for f in frames:
-            if len(f):
-                a, b = (np.frombuffer(b"".join(f[c]), np.uint16).reshape(len(f), -1) for c in ("ra", "rb"))
-                f = f[estimate(a, b, f["na"].to_numpy(float), f["nb"].to_numpy(float)) >= least]
-            yield f[["a", "b"]]
+    def run(batches):
+        for t in batches:
+            if t.num_rows:
+                x, y = (t.column(k).flatten().to_numpy().reshape(t.num_rows, -1) for k in (4, 5))
+                na, nb = (t.column(k).to_numpy().astype(float) for k in (2, 3))
+                keep = pa.array(estimate(x, y, na, nb) >= least)
+                yield t.select(["a", "b"]).filter(keep)
 
-    return pairs.mapInPandas(run, "a long, b long")
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, scratch: Scratch | None = None) -> DataFrame:
@@ -178,7 +194,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, scratch: Scratc
     expanded into pairs: in each round every bucket whose members lie in several components compares
     its leaders with its other members only, the leaders being those whose buckets hold most
     documents (a group's hub); confirmed links join components, and leaders leave the bucket, having
-    been compared with all of it. Leaders grow eightfold every round, so every pair of a bucket is in one
+    been compared with all of it. Leaders grow manifold every round, so every pair of a bucket is in one
     component or has been compared when a bucket closes: no link found by a band is lost, and dense
     groups close after a round or two.
     """
@@ -194,53 +210,45 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, scratch: Scratc
     reps = scratch.save(reps.where("n_shingles > 0").dropDuplicates(["doc_id"]))
     keyed = reps.select("doc_id", F.explode("bands").alias("bucket"))
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    members = keyed.join(sizes, "bucket")
-    buckets = scratch.save(members)
+    buckets = scratch.save(keyed.join(sizes, "bucket"))
     fame = scratch.save(buckets.groupBy("doc_id").agg(F.sum("members").alias("fame")))
-    in_buckets = fame.count()
-    parts = []
     label = None
-    if in_buckets:
-        known = scratch.save(_only(reps.select("doc_id", "n_shingles", "regs"), fame.select("doc_id"), in_buckets))
-        facts = fame.join(known.select("doc_id", F.col("n_shingles").alias("n")), "doc_id").withColumn("own", F.lit(0).cast("long"))
-        current = scratch.save(buckets.select("bucket", "doc_id").join(facts, "doc_id"))
-        scratch.drop(buckets)
-        leaders_each, edges, checked = 1, None, None
+    if not fame.isEmpty():
+        facts = fame.join(_wide(reps), "doc_id").withColumn("own", F.lit(0).cast("long"))
+        state = buckets.select("bucket", "doc_id").join(facts, "doc_id").withColumn("component", F.col("doc_id"))
+        leaders_each, edges = 1, None
         while True:
-            state = current if label is None else current.join(label, "doc_id", "left")
-            state = state.withColumn("component", F.coalesce("component", "doc_id") if label is not None else F.col("doc_id"))
             open_ = state.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-            state = scratch.save(state.join(open_, "bucket", "left_semi"))
+            state = scratch.save(state.join(open_, "bucket", "left_semi") if edges is not None else state)
             if state.isEmpty():
                 break
             if leaders_each == GROWTH:
                 state = scratch.save(_with_own(state, docs, threshold, scratch))
             salt = F.pmod(F.xxhash64("doc_id", F.lit(leaders_each)), F.lit(leaders_each))
-            best = F.max(F.struct("fame", (-F.col("doc_id")).alias("minus"), F.col("component").alias("c"), "n", "own"))
-            lead = scratch.save(
-                state.groupBy("bucket", salt.alias("salt")).agg(best.alias("top"))
-                .select("bucket", (-F.col("top.minus")).alias("leader"), F.col("top.c").alias("leader_component"), F.col("top.n").alias("ln"), F.col("top.own").alias("lown"))
-            )
+            best = F.max(F.struct("fame", (-F.col("doc_id")).alias("minus"), F.col("component").alias("c"), "n", "own", "bands", "regs"))
+            names = {"leader": -F.col("top.minus"), "lc": F.col("top.c"), "ln": F.col("top.n"), "lown": F.col("top.own"), "lbands": F.col("top.bands"), "lregs": F.col("top.regs")}
+            lead = state.groupBy("bucket", salt.alias("salt")).agg(best.alias("top")).select("bucket", *[c.alias(k) for k, c in names.items()])
+            lead = scratch.save(lead)
+            # a pair meets once, in the first band that it shares, if neither its sizes nor its registers rule it out
             common = F.least(F.col("n") - F.col("own"), F.col("ln") - F.col("lown"))
-            can = (F.col("component") != F.col("leader_component")) & ((100 + threshold) * common >= threshold * (F.col("n") + F.col("ln")))
-            met = state.join(lead, "bucket").where(can)
-            pairs = met.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
-            if checked is not None:
-                pairs = pairs.join(checked, ["a", "b"], "left_anti")
-            side = lambda x, n, r: known.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(n), F.col("regs").alias(r))
-            likely = scratch.save(_likely(pairs.join(side("a", "na", "ra"), "a").join(side("b", "nb", "rb"), "b").select("a", "b", "na", "nb", "ra", "rb"), threshold / 100))
-            checked = likely if checked is None else checked.unionByName(likely)
-            new = scratch.save(_verified(likely, docs, threshold, scratch))
-            if label is None or not new.isEmpty():
+            can = (F.col("component") != F.col("lc")) & ((100 + threshold) * common >= threshold * (F.col("n") + F.col("ln")))
+            first = F.array_position(F.zip_with("bands", "lbands", lambda x, y: x == y), True)
+            equal = F.aggregate(F.zip_with("regs", "lregs", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+            seen = (F.get("bands", (first - 1).cast("int")) == F.col("bucket")) & (equal >= REGISTERS * _floor(threshold / 100))
+            # two leaders of a bucket meet once
+            flagged = state.join(lead.select("bucket", F.col("leader").alias("doc_id"), F.lit(True).alias("leads")), ["bucket", "doc_id"], "left")
+            can = can & (F.col("leads").isNull() | (F.col("leader") < F.col("doc_id"))) & seen
+            met = flagged.join(lead, "bucket").where(can).select(F.col("doc_id").alias("a"), F.col("leader").alias("b"), F.col("n").alias("na"), F.col("ln").alias("nb"), F.col("regs").alias("ra"), F.col("lregs").alias("rb"))
+            new = scratch.save(_verified(scratch.save(_likely(met, threshold / 100)), docs, threshold, scratch))
+            rest = flagged.where("leads is null").drop("leads")
+            if edges is None or not new.isEmpty():
                 edges = new if edges is None else edges.unionByName(new)
-                found = components(edges, scratch)
-                label = scratch.save(found.select(F.col("id").alias("doc_id"), "component"))
-            rest = state.join(lead.select("bucket", F.col("leader").alias("doc_id")), ["bucket", "doc_id"], "left_anti")
-            current = scratch.save(rest.select("bucket", "doc_id", "fame", "n", "own"))
+                label = scratch.save(components(edges, scratch).select(F.col("id").alias("doc_id"), "component"))
+                rest = rest.drop("component").join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+            state = rest
             leaders_each *= GROWTH
-        parts = [label] if label is not None else []
     rows = all_docs.select("doc_id", "n_shingles", "digest").join(classes, ["digest", "n_shingles"], "left")
-    if parts:
+    if label is not None:
         rows = rows.join(label.withColumnRenamed("doc_id", "rep"), "rep", "left")
         rows = rows.withColumn("component_id", F.coalesce("component", "rep", "doc_id"))
     else:

@@ -76,11 +76,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = scratch.save(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = scratch.save(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        low2 = scratch.save(large.groupBy("a").agg(F.min("b").alias("m")))
-        j = large.join(low2, "a")
+        j = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")  # hubs have no rows of their own here
         small = j.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         new = scratch.save(small.select("e.a", "e.b").where("a <> b").distinct())
-        scratch.drop(cur, low, large, low2)
+        scratch.drop(cur, low, large)
         cur = new
         row = cur.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (row.n, row.h) == mark:
