@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm.shared import first_by_hash
+
 #: Length of a profile, and of a text's own ranking.
 PROFILE = 300
 #: n-grams of 1 to this many characters; a word is framed by blanks.
@@ -58,7 +60,7 @@ def fit_profiles(docs: DataFrame, rows: int = FIT_ROWS, size: int = PROFILE) ->
     (the bounded sample of a classifier), first in the order of a hash of doc_id.
     """
     sample = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sample = sample.select("lang", "text", F.xxhash64("doc_id").alias("_h"), "doc_id").orderBy("_h", "doc_id", "text").limit(rows)
+    sample = first_by_hash(sample.select("doc_id", "lang", "text"), rows, "doc_id", "text")
 
     def count(batches):
         for batch in batches:

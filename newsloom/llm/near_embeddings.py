@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType
 
-from newsloom.llm.shared import Scratch, components
+from newsloom.llm.shared import Scratch, components, first_by_hash
 
 COSINE = 0.9
 #: Largest angle, in degrees, between a ball's centre and a member: twice it stays under the link angle.
@@ -223,7 +223,7 @@ def _audit(points: DataFrame, least: float, n: int) -> DataFrame:
     """True edges of a hashed sample of AUDIT_QUERIES points (so many vectors are sent to the workers,
     whatever the table's size), by brute force against all points in blocks."""
     spark = points.sparkSession
-    queries = points.orderBy(F.xxhash64("id", F.lit(17))).limit(AUDIT_QUERIES).collect()
+    queries = first_by_hash(points.select("id", "v"), AUDIT_QUERIES, "id", seed=17).collect()
     sent = spark.sparkContext.broadcast((np.array([q.id for q in queries], np.int64), b"".join(bytes(q.v) for q in queries)))
 
     def run(batches):

@@ -12,7 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.shared import let
+from newsloom.llm.shared import first_by_hash, let
 
 #: Runs of token characters, 12 or more, with a digit among them, base64 padding included.
 CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{12,}+={0,2}"
@@ -61,7 +61,7 @@ def labelled_findings(docs: DataFrame, rows: int = FIT_DOCS) -> DataFrame:
     most ``rows`` documents and digests of their ids: keys, tokens and passwords in the ways that they
     are assigned (label 1); card and phone numbers, identifiers, paths, dates, versions, and digests that are
     named as such or stand bare (label 0)."""
-    base = docs.where("text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows)
+    base = first_by_hash(docs.where("text is not null").select("doc_id", "text"), rows, "doc_id", "text")
     ws = F.split(F.lower(F.substring("text", 1, 2000)), r"[^a-z]+")
     pick = lambda k: F.coalesce(F.nullif(F.get(ws, k), F.lit("")), F.lit("page"))
     seed = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
