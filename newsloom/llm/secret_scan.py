@@ -89,8 +89,10 @@ def labelled_findings(docs: DataFrame, rows: int = FIT_DOCS) -> DataFrame:
 
 
 def fit_forest(findings: DataFrame):
-    """A fitted forest. The findings are few by their documented bound; they are ordered, so that reruns
-    grow the same trees."""
+    """A fitted forest, None without findings. The findings are few by their documented bound; they are ordered, so
+    that reruns grow the same trees."""
+    if findings.isEmpty():
+        return None
     x = findings.where("candidate is not null").select("label", "candidate", features(*[F.col(c) for c in ("candidate", "before", "after", "path")]).alias("f"))
     x = x.select("label", "candidate", "f.*").coalesce(1).sortWithinPartitions("candidate", "label")
     x = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(x)
@@ -98,7 +100,10 @@ def fit_forest(findings: DataFrame):
 
 
 def forest_expression(model, f: Column) -> Column:
-    """Share of the forest's trees that vote for a secret, over the struct of features f."""
+    """Share of the forest's trees that vote for a secret, over the struct of features f; 0 without a forest
+    (texts without a word to make findings from hold no candidate)."""
+    if model is None:
+        return F.lit(0.0)
 
     def grow(node) -> Column:
         if node.getClass().getSimpleName() == "LeafNode":

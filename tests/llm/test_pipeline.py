@@ -11,7 +11,7 @@ def folder(spark, tmp_path):
     prose = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) between 400 and 3000 and lang = 'en'").orderBy("doc_id").limit(12).collect()]
     bench = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
     rows = [(k, t, "en", f"s{k % 3}", len(t)) for k, t in enumerate(prose)]
-    rows += [(50, prose[0] + " Tail.", "en", "s1", 0), (51, None, "en", "s1", 0), (52, "12 34 !!", "en", None, 0), (53, prose[1] + " " + bench, "en", "s1", 0), (54, prose[2][:300] + f' token = "{SECRET}" ' + prose[3], "en", None, 0)]
+    rows += [(50, prose[0] + " Tail.", "en", "s1", 0), (51, None, "en", "s1", 0), (52, "12 34 !!", "en", None, 0), (53, prose[1][:200] + " " + bench, "en", "s1", 0), (54, prose[2][:300] + f' token = "{SECRET}" ' + prose[3], "en", None, 0)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     return str(tmp_path)
