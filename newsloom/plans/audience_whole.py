@@ -1,0 +1,107 @@
+"""Matching, ranking, feeds and briefs over whole tables: the queries of ``audience`` without its window of fixed
+dates. Items are published over SPAN_DAYS, whatever the table's size, and are seen from the last of them; only briefs
+have a window, BRIEF_DAYS of those."""
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from newsloom.operators import matching as m
+from newsloom.plans import audience as a
+from newsloom.plans.views import AS_OF, contents, users
+
+SPAN_DAYS, BRIEF_DAYS = 28, 7
+SPAN = SPAN_DAYS * 86400
+FIRST = 1704067200
+
+
+def _spread(spark, d):
+    """Contents with published_at spread over the span, and the last of them."""
+    c = contents(spark, d)
+    last = c.agg(F.max("content_id")).first()[0]
+    if last is None:
+        return c, AS_OF
+    at = FIRST + last * SPAN // (last + 1)
+    c = c.withColumn("published_at", F.timestamp_seconds(F.expr(f"{FIRST} + content_id * {SPAN} div {last + 1}")))
+    return c, dt.datetime.fromtimestamp(at, dt.UTC).strftime("%Y-%m-%d %H:%M:%S")
+
+
+def _brief(spark, d):
+    c, now = _spread(spark, d)
+    return c.where(F.col("published_at") >= F.lit(now).cast("timestamp") - F.expr(f"interval {BRIEF_DAYS} days")), now
+
+
+def match_candidates_whole(spark, d):
+    return m.candidates(users(spark, d), _spread(spark, d)[0])
+
+
+def _ranked(spark, d, c, now):
+    u = users(spark, d)
+    r = m.rank(m.candidates_by_topic(u, c), u, c, now)
+    return r.withColumn("topic", F.get("topics", F.lit(0)))
+
+
+def match_rank_whole(spark, d):
+    """One row a user of what it scored."""
+    r = _ranked(spark, d, *_spread(spark, d))
+    return r.groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.col("score").cast("decimal(18,6)")).cast("double").alias("total"), F.max("score").alias("best"))
+
+
+def rank_breakdown_whole(spark, d):
+    return _ranked(spark, d, *_spread(spark, d)).select("user_id", "content_id", "relevance", F.round("breakdown.freshness", 6).alias("freshness"), "breakdown.home_market", "breakdown.followed_market", "breakdown.stale", "score")
+
+
+def _feed(spark, d, c, now):
+    return m.diversify(_ranked(spark, d, c, now), 20, 4, 8, 200)
+
+
+def feed_v2_whole(spark, d):
+    c, now = _spread(spark, d)
+    return m.feed_items(_feed(spark, d, c, now), c, users(spark, d), now)
+
+
+def feed_second_page_whole(spark, d):
+    feed = _feed(spark, d, *_spread(spark, d))
+    cursors = feed.where("position = 4").select("user_id", F.col("content_id").alias("cursor_id"), F.col("score").alias("cursor_score"))
+    return m.page_after(feed, cursors, 5)
+
+
+def brief_v2_whole(spark, d):
+    b = m.diversify(_ranked(spark, d, *_brief(spark, d)), 10, 2, 3, 200)
+    return b.withColumn("section", F.when(F.col("position") < 3, "important").otherwise("more"))
+
+
+def brief_versions_whole(spark, d):
+    c, now = _brief(spark, d)
+    b = m.diversify(_ranked(spark, d, c, now), 10, 2, 3, 200)
+    return m.brief_version(b.join(c.select("content_id", F.col("published_at").alias("updated_at")), "content_id"))
+
+
+def brief_round_robin_whole(spark, d):
+    c, now = _brief(spark, d)
+    left = users(spark, d).select("user_id", F.explode("interests").alias("interest"))
+    right = c.select("content_id", "published_at", F.get("topics", F.lit(0)).alias("interest"))
+    return m.round_robin(left.join(right, "interest"), now)
+
+
+def rollout_matches_whole(spark, d):
+    """Every publishable item for each user of one home market, relevance its authority."""
+    c, now = _spread(spark, d)
+    u = users(spark, d).where("home_market = 'VN'")
+    pairs = u.select("user_id").join(c.where("tier = 1").select("content_id", F.col("authority").alias("relevance")), F.lit(True))
+    return m.rank(pairs, u, c, now).select("user_id", "content_id", "relevance", "score")
+
+
+NOW = "(SELECT max(published_at) FROM spread)"
+SPREAD = f"spread AS (SELECT * REPLACE (TIMESTAMP '2024-01-01 00:00:00' + to_seconds(content_id * {SPAN} // (SELECT max(content_id) + 1 FROM contents)) AS published_at) FROM contents)"
+WEEK = f"{SPREAD}, recent AS (SELECT * FROM spread WHERE published_at >= {NOW} - INTERVAL {BRIEF_DAYS} DAY)"
+ALL = f"{SPREAD}, recent AS (SELECT * FROM spread)"
+
+
+def _whole(sql: str, recent: str = ALL) -> str:
+    """The SQL of ``audience`` over the spread contents."""
+    return sql.replace(a.RECENT, recent).replace(a.DAY, recent).replace("JOIN contents c USING", "JOIN spread c USING").replace(a.NOW, NOW)
+
+
+ORACLE_SQL = {f"{k}_whole": _whole(a.ORACLE_SQL[k], WEEK if k.startswith("brief") else ALL) for k in ("match_candidates", "match_rank", "rank_breakdown", "rollout_matches", "brief_round_robin", "brief_v2", "feed_v2", "feed_second_page")}
+QUERIES = {f.__name__: f for f in (match_candidates_whole, match_rank_whole, rank_breakdown_whole, feed_v2_whole, brief_v2_whole, brief_versions_whole, feed_second_page_whole, brief_round_robin_whole, rollout_matches_whole)}
