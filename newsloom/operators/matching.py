@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.functions.text import unicode_form
+
 #: Weights of the ranking policy and of relevance (fixed values).
 RANKING = {
     "interest_relevance": 0.22, "entity_relevance": 0.12, "source_authority": 0.13, "importance": 0.14, "freshness": 0.11, "home_market": 0.09,
@@ -59,6 +61,61 @@ def candidates_by_topic(users: DataFrame, contents: DataFrame) -> DataFrame:
     return pair.select("user_id", "content_id", "topic_hits", market_hits.alias("market_hits"), important.alias("globally_important"), F.round(relevance, 6).alias("relevance"))
 
 
+def _normal(c: Column) -> Column:
+    return F.trim(F.lower(unicode_form(c, "NFKC")))
+
+
+def entity_hits(users: DataFrame, contents: DataFrame) -> DataFrame:
+    """(user_id, content_id, entity_matches): the content's entities that are among the user's, names and aliases,
+    in normal form."""
+    a = users.select("user_id", F.explode("entities").alias("e")).where("e is not null").select("user_id", _normal(F.col("e")).alias("token")).distinct()
+    b = contents.select("content_id", F.explode(F.array_distinct("entities")).alias("e")).where("e is not null").select("content_id", "e", _normal(F.col("e")).alias("token"))
+    return a.join(b, "token").groupBy("user_id", "content_id").agg(F.count("*").alias("entity_matches"))
+
+
+def keyword_hits(users: DataFrame, contents: DataFrame) -> DataFrame:
+    """(user_id, content_id, keyword_hits): the user's watched keywords that the content's title or text contains, in
+    normal form. A text is searched once for each distinct keyword, not for each user."""
+    a = users.select("user_id", F.explode(F.array_distinct("keywords")).alias("k")).where("trim(k) <> ''").select("user_id", "k", _normal(F.col("k")).alias("token"))
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit("")))
+    b = contents.select("content_id", _normal(text).alias("text"))
+    found = F.broadcast(a.select("token").distinct()).join(b, F.contains(F.col("text"), F.col("token"))).select("token", "content_id")
+    return a.join(found, "token").groupBy("user_id", "content_id").agg(F.count("*").alias("keyword_hits"))
+
+
+def candidates_any(users: DataFrame, contents: DataFrame) -> DataFrame:
+    """Content that any one reason gives a user: a shared topic, entity, keyword or market, or importance to all.
+    Columns as ``candidates``, with ``entity_matches`` and ``keyword_hits``. A pair is formed once, by the first of its
+    topics, else of its markets, else by importance, so nothing is summed over pairs; entities and keywords are read where
+    both tables have them (``entities``; ``keywords`` and the content's ``title`` and ``content``)."""
+    full = lambda c: F.array_compact(F.coalesce(c, F.array().cast("array<string>")))
+    u = users.select("user_id", full(F.col("interests")).alias("_i"), full(F.array_distinct(F.concat(F.array("home_market"), F.coalesce("followed_markets", F.array().cast("array<string>"))))).alias("_w"))
+    c = contents.select("content_id", full(F.col("topics")).alias("_t"), full(F.col("markets")).alias("_m"), F.coalesce(F.col("importance") >= GLOBAL_IMPORTANCE, F.lit(False)).alias("globally_important"))
+    topics, places = F.array_intersect("_i", "_t"), F.array_intersect("_w", "_m")
+    meet = lambda x, y: u.withColumn("_k", F.explode(F.array_distinct(x))).join(c.withColumn("_k", F.explode(F.array_distinct(y))), "_k")
+    by_topic = meet("_i", "_t").where(F.col("_k") == F.get(topics, F.lit(0)))
+    by_place = meet("_w", "_m").where((F.size(topics) == 0) & (F.col("_k") == F.get(places, F.lit(0))))
+    by_importance = u.join(c.where("globally_important"), F.lit(True)).where((F.size(topics) == 0) & (F.size(places) == 0))
+    cols = ["user_id", "content_id", F.size(topics).cast("long").alias("topic_hits"), F.size(places).cast("long").alias("market_hits"), "globally_important"]
+    pairs = by_topic.select(*cols).unionByName(by_place.select(*cols)).unionByName(by_importance.select(*cols))
+    zero = F.lit(0).cast("long")
+    more = None
+    if "entities" in users.columns and "entities" in contents.columns:
+        more = entity_hits(users, contents).withColumn("keyword_hits", zero)
+    if "keywords" in users.columns and {"title", "content"} <= set(contents.columns):
+        k = keyword_hits(users, contents).withColumn("entity_matches", zero)
+        more = k if more is None else more.unionByName(k)
+    if more is None:
+        pairs = pairs.withColumn("entity_matches", zero).withColumn("keyword_hits", zero)
+    else:
+        more = more.groupBy("user_id", "content_id").agg(F.sum("entity_matches").alias("entity_matches"), F.sum("keyword_hits").alias("keyword_hits"))
+        # pairs that only an entity or a keyword makes have no topic, market or importance
+        pairs = pairs.join(more, ["user_id", "content_id"], "full").na.fill(0, ["topic_hits", "market_hits", "entity_matches", "keyword_hits"]).na.fill(False, ["globally_important"])
+    w = RELEVANCE
+    score = w["topics"] * F.col("topic_hits") + w["entities"] * F.col("entity_matches") + w["keywords"] * F.col("keyword_hits") + w["markets"] * F.col("market_hits") + w["important"] * F.col("globally_important").cast("int")
+    return pairs.select("user_id", "content_id", "topic_hits", "market_hits", "globally_important", "entity_matches", "keyword_hits", F.round(F.least(F.lit(1.0), score), 6).alias("relevance"))
+
+
 def ranking_score(relevance: Column, entity_matches: Column, authority: Column, importance: Column, published_at: Column, as_of: Column, markets: Column, home: Column, followed: Column, duplicate: Column, seen: Column) -> Column:
     """Eleven weighted components and the score, as one struct. The score has six places; what is halfway but for
     the error of doubles rounds up."""
@@ -120,14 +177,16 @@ def relevance_sentence(first_entity: Column, first_topic: Column, locale: Column
     return F.when(locale == "vi", vi).otherwise(en)
 
 
-def feed_items(feed: DataFrame, contents: DataFrame, users: DataFrame, as_of: str) -> DataFrame:
-    """Feed rows with what a client shows: category, type, age, staleness, sentence."""
+def feed_items(feed: DataFrame, contents: DataFrame, users: DataFrame, as_of: str, shared: bool = False) -> DataFrame:
+    """Feed rows with what a client shows: category, type, age, staleness, sentence. With ``shared`` the sentence
+    names the item's first topic that the user follows, if any, and not its first topic."""
     age = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros("published_at")) / 3.6e9
-    out = feed.join(contents.select("content_id", "title", "topics", "importance", "published_at"), "content_id").join(users.select("user_id", "locale"), "user_id")
+    out = feed.join(contents.select("content_id", "title", "topics", "importance", "published_at"), "content_id").join(users.select("user_id", "locale", *["interests"] * shared), "user_id")
+    said = F.get(F.array_intersect("topics", "interests") if shared else F.col("topics"), F.lit(0))
     return out.select(
         "user_id", "position", "content_id", "score", "publisher", F.coalesce(F.get("topics", F.lit(0)), F.lit("")).alias("topic_name"), app_category(F.col("topics")).alias("category"),
         F.when(F.col("importance") >= GLOBAL_IMPORTANCE, "important").otherwise("informational").alias("type"), "title",
-        F.round(F.greatest(F.lit(0.0), age), 1).alias("age_hours"), (age > 168).alias("stale"), relevance_sentence(F.lit(None).cast("string"), F.get("topics", F.lit(0)), F.col("locale")).alias("reason"),
+        F.round(F.greatest(F.lit(0.0), age), 1).alias("age_hours"), (age > 168).alias("stale"), relevance_sentence(F.lit(None).cast("string"), said, F.col("locale")).alias("reason"),
     )
 
 

@@ -37,7 +37,7 @@ def match_candidates_whole(spark, d):
 
 def _ranked(spark, d, c, now):
     u = users(spark, d)
-    r = m.rank(m.candidates_by_topic(u, c), u, c, now)
+    r = m.rank(m.candidates_any(u, c), u, c, now)
     return r.withColumn("topic", F.get("topics", F.lit(0)))
 
 
@@ -57,7 +57,7 @@ def _feed(spark, d, c, now):
 
 def feed_v2_whole(spark, d):
     c, now = _spread(spark, d)
-    return m.feed_items(_feed(spark, d, c, now), c, users(spark, d), now)
+    return m.feed_items(_feed(spark, d, c, now), c, users(spark, d), now, shared=True)
 
 
 def feed_second_page_whole(spark, d):
@@ -97,10 +97,17 @@ SPREAD = f"spread AS (SELECT * REPLACE (TIMESTAMP '2024-01-01 00:00:00' + to_sec
 WEEK = f"{SPREAD}, recent AS (SELECT * FROM spread WHERE published_at >= {NOW} - INTERVAL {BRIEF_DAYS} DAY)"
 ALL = f"{SPREAD}, recent AS (SELECT * FROM spread)"
 
+#: Any one reason suffices.
+HITS = f"hits AS (SELECT user_id, content_id, len(list_intersect(interests, topics)) AS topic_hits FROM users, recent WHERE list_has_any(interests, topics) OR list_has_any(markets, {a.WANTED}) OR importance >= 0.8)"
+
+REASON = "CASE WHEN u.locale = 'vi' THEN 'Phù hợp vì anh theo dõi ' ELSE 'Relevant because you follow ' END || topics[1] || '.'"
+SHARED = "list_filter(topics, lambda x: list_contains(interests, x))[1]"
+
 
 def _whole(sql: str, recent: str = ALL) -> str:
     """The SQL of ``audience`` over the spread contents."""
-    return sql.replace(a.RECENT, recent).replace(a.DAY, recent).replace("JOIN contents c USING", "JOIN spread c USING").replace(a.NOW, NOW)
+    reason = f"coalesce({REASON.replace('topics[1]', SHARED)}, CASE WHEN u.locale = 'vi' THEN 'Nội dung quan trọng toàn cầu.' ELSE 'Globally important content.' END)"
+    return sql.replace(REASON, reason).replace(a.HITS, HITS).replace(a.RECENT, recent).replace(a.DAY, recent).replace("JOIN contents c USING", "JOIN spread c USING").replace(a.NOW, NOW)
 
 
 ORACLE_SQL = {f"{k}_whole": _whole(a.ORACLE_SQL[k], WEEK if k.startswith("brief") else ALL) for k in ("match_candidates", "match_rank", "rank_breakdown", "rollout_matches", "brief_round_robin", "brief_v2", "feed_v2", "feed_second_page")}

@@ -1,6 +1,7 @@
 """The audience queries over whole tables."""
 
 import pytest
+from newsloom.operators import matching
 from newsloom.plans import registry
 
 SMALL = "/root/testdata/sf0.01"
@@ -11,3 +12,23 @@ def test_every_document_is_matched(spark, name):
     want = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id is not null").select("doc_id").distinct().count()
     got = registry.QUERIES[name](spark, SMALL).where("user_id <= 40").select("content_id").distinct().count()
     assert want == got > 823
+
+
+def test_any_one_reason_ranks(spark):
+    """One content for each reason alone, one for none."""
+    u = spark.createDataFrame([(1, "VN", ["US"], ["health"], ["ACME Corp"], ["Lãi Suất", " "])], "user_id long, home_market string, followed_markets array<string>, interests array<string>, entities array<string>, keywords array<string>")
+    rows = [
+        (1, ["health", "sports"], ["CN"], 0.1, [], "t", "x"), (2, ["sports"], ["US", "CN"], 0.1, [], "t", "x"), (3, ["sports"], ["CN"], 0.8, [], "t", "x"),
+        (4, ["sports"], ["CN"], 0.1, ["acme corp", "Ａcme Corp "], "t", "x"), (5, ["sports"], ["CN"], 0.1, [], "Tin", "về LÃI SUẤT mới"), (6, ["sports"], ["CN"], 0.1, [], "t", "x"), (7, None, None, None, None, None, None),
+        (8, ["health"], ["VN", "US"], 0.9, [], "t", "lãi suất"),
+    ]
+    c = spark.createDataFrame([(*r, "p", 0.5) for r in rows], "content_id long, topics array<string>, markets array<string>, importance double, entities array<string>, title string, content string, publisher string, authority double")
+    c = c.selectExpr("*", "timestamp'2024-01-04' as published_at")
+    got = {r.content_id: r for r in matching.rank(matching.candidates_any(u, c), u, c, "2024-01-05 00:00:00").collect()}
+    assert {k: r.relevance for k, r in got.items()} == {1: 0.25, 2: 0.2, 3: 0.4, 4: 0.6, 5: 0.35, 8: 1.0}
+    assert got[4].breakdown.entity_relevance == 1.0
+
+
+def test_feed_and_rank_have_pairs_without_a_shared_topic(spark):
+    n = registry.QUERIES["match_candidates_whole"](spark, "/root/testdata/sf0.001").count()
+    assert registry.QUERIES["rank_breakdown_whole"](spark, "/root/testdata/sf0.001").count() == n
