@@ -3,8 +3,9 @@
 Tight groups first shrink to balls: a ball's members lie within ``BALL`` degrees of its centre, so all of
 them are linked to each other and need no pairs. NN-descent then runs on the centres: neighbour lists,
 seeded by sorted random-hyperplane signatures, are refined by comparing neighbours of neighbours; a list
-that is full of edges over the threshold grows with them; a brute-force audit of sampled centres
-measures recall, and more seeds and longer lists follow if it falls short. Kept edges between
+that is full of edges over the threshold grows with them; a brute-force audit of sampled centres, enlarged until
+it meets enough edges, measures recall; more seeds and longer lists follow if it falls short, and at last a
+comparison of all centres in blocks. Kept edges between
 centres decide by the triangle inequality of angles whether all, none or some members are linked, and
 the last are compared in double precision.
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType
 
-from newsloom.llm.shared import Scratch, components, first_by_hash
+from newsloom.llm.shared import Scratch, components
 
 COSINE = 0.9
 #: Largest angle, in degrees, between a ball's centre and a member: twice it stays under the link angle.
@@ -34,6 +35,9 @@ TABLES, AHEAD = 10, 5
 ROUNDS, AUDITS = 4, 3
 #: Centres compared with all others to measure recall, and the recall asked for.
 AUDIT_QUERIES, RECALL = 512, 0.99
+#: True edges that the audit must meet, else more centres are compared; most centres that one pass compares with all;
+#: values of the hash by which they are taken.
+AUDIT_EDGES, BLOCK, PLACES = 200, 4096, 1 << 31
 SLACK = 1e-9
 
 
@@ -186,7 +190,13 @@ def neighbour_edges(points: DataFrame, least: float, dim: int, scratch: Scratch,
     n = points.count()
     bits = max(3, min(30, int(np.ceil(np.log2(max(n, 2) / 8)))))
     small = scratch.save(points.select("id", _narrow("v").alias("x")))
-    audit, k, lists, recall = _audit(points, least, n), NEIGHBOURS, None, None
+    exact, place = _audit(points, least, n, scratch)
+    truth = exact.where(F.col("sim") >= least + 2e-5).select("src", "dst")
+    if place >= PLACES and n > AUDIT_QUERIES:  # so few edges that all centres were compared
+        if report is not None:
+            report |= {"recall": 1.0, "audited_edges": truth.count(), "list_length": 0, "points": n, "exact": True}
+        return exact
+    k, lists, recall = NEIGHBOURS, None, 0.0
     for attempt in range(AUDITS):
         seeds = _seeds(points, dim, bits, 1 + attempt).withColumn("fresh", F.lit(True))
         if lists is not None:
@@ -201,13 +211,19 @@ def neighbour_edges(points: DataFrame, least: float, dim: int, scratch: Scratch,
             lists = new
             if lists.where(F.col("sim") >= least).count() == before:
                 break
-        truth = audit.join(lists.select("src", "dst", F.lit(1).alias("hit")), ["src", "dst"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("hits")).first()
-        recall = truth.hits / truth.n if truth.n else 1.0
+        met = truth.join(lists.select("src", "dst", F.lit(1).alias("hit")), ["src", "dst"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("hits")).first()
+        recall = met.hits / met.n if met.n else 1.0  # without an edge all centres have been compared
         if recall >= RECALL:
             break
         k *= 2
+    short = recall < RECALL
     if report is not None:
-        report |= {"recall": recall, "audited_edges": truth.n, "list_length": k, "points": n}
+        report |= {"recall": 1.0 if short else recall, "audited_edges": met.n, "list_length": k, "points": n, "exact": short}
+    if short:
+        while place < PLACES:
+            block, place = _block(points, least, n, place, BLOCK)
+            exact = exact.unionByName(scratch.save(block))
+        return exact
     return lists.where(F.col("sim") >= least).select("src", "dst", "sim")
 
 
@@ -219,11 +235,14 @@ def _narrow(col: str):
     return f(col)
 
 
-def _audit(points: DataFrame, least: float, n: int) -> DataFrame:
-    """True edges of a hashed sample of AUDIT_QUERIES points (so many vectors are sent to the workers,
-    whatever the table's size), by brute force against all points in blocks."""
+def _block(points: DataFrame, least: float, n: int, place: int, rows: int) -> tuple[DataFrame, int]:
+    """Edges ``(src, dst, sim)`` of ``least`` or more from about ``rows`` points, those whose hash is at ``place`` or after,
+    to all points, by brute force in double precision; and the place of the next block. So many vectors are
+    sent to the workers, whatever the table's size."""
     spark = points.sparkSession
-    queries = first_by_hash(points.select("id", "v"), AUDIT_QUERIES, "id", seed=17).collect()
+    end = min(PLACES, place + -(-PLACES * rows // max(n, 1)))
+    at = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(PLACES))
+    queries = points.where((at >= F.lit(place)) & (at < F.lit(end))).select("id", "v").collect()
     sent = spark.sparkContext.broadcast((np.array([q.id for q in queries], np.int64), b"".join(bytes(q.v) for q in queries)))
 
     def run(batches):
@@ -232,10 +251,25 @@ def _audit(points: DataFrame, least: float, n: int) -> DataFrame:
             if not b.num_rows or not len(ids):
                 continue
             q, x, own = np.frombuffer(blob).reshape(len(ids), -1), _matrix(b.column(1).to_pylist()), b.column(0).to_numpy()
-            i, j = np.nonzero((q @ x.T >= least + 2e-5) & (ids[:, None] != own[None, :]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[j])], names=["src", "dst"])
+            for k in range(0, len(own), 1024):
+                s = q @ x[k : k + 1024].T
+                i, j = np.nonzero((s >= least) & (ids[:, None] != own[None, k : k + 1024]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[k + j]), pa.array(s[i, j])], names=["src", "dst", "sim"])
 
-    return points.select("id", "v").mapInArrow(run, "src long, dst long")
+    return points.select("id", "v").mapInArrow(run, "src long, dst long, sim double"), end
+
+
+def _audit(points: DataFrame, least: float, n: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """Edges of a hashed sample of points, by brute force, and the place where the sample ends: AUDIT_QUERIES points,
+    and more until they have AUDIT_EDGES edges or all points are in."""
+    out, place, rows = None, 0, AUDIT_QUERIES
+    while True:
+        block, place = _block(points, least, n, place, rows)
+        block = scratch.save(block)
+        out = block if out is None else out.unionByName(block)
+        if place >= PLACES or out.where(F.col("sim") >= least + 2e-5).count() >= AUDIT_EDGES:
+            return out, place
+        rows = min(2 * rows, BLOCK)
 
 
 def balls(points: DataFrame, dim: int, scratch: Scratch, degrees: float = BALL) -> DataFrame:
@@ -283,7 +317,7 @@ def near_embeddings(vectors: DataFrame, threshold: float = COSINE, scratch: Scra
     least ``threshold``. Vectors that are null, zero, of another length than most, or hold null or
     non-finite components link with nothing. Of rows that repeat a vec_id the smallest embedding
     counts; rows without vec_id are left out; an empty table gives an empty result. Other columns
-    aren't read. Equal vectors form one class before all else. ``report`` receives the audit's recall.
+    aren't read. Equal vectors form one class before all else. ``report`` receives the audit's recall, and whether all centres were compared.
     """
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark, "embeddings")

@@ -81,6 +81,28 @@ def test_embeddings_of_an_empty_table(spark):
     assert near_embeddings.near_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def pairs_apart(spark, pairs, alone, dim=48):
+    """Vectors of which 2k and 2k + 1 have cosine 0.93 and all others less than 0.9."""
+    g = np.random.default_rng(3)
+    a, b = g.standard_normal((2, pairs, dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    x = np.concatenate([np.stack([a, 0.93 * a + np.sqrt(1 - 0.93**2) * b], 1).reshape(-1, dim), g.standard_normal((alone, dim))])
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+
+@pytest.mark.parametrize("pairs", [150, 2])
+def test_links_that_the_descent_misses(spark, monkeypatch, pairs):
+    """Neither a failing audit nor one that meets no edge is taken for an answer."""
+    seeds = near_embeddings._seeds
+    monkeypatch.setattr(near_embeddings, "_seeds", lambda *a: seeds(*a).limit(0))
+    report = {}
+    got = near_embeddings.near_embeddings(pairs_apart(spark, pairs, 600), report=report).collect()
+    assert {r.vec_id for r in got if r.n_links == 1} == set(range(2 * pairs)) and max(r.n_links for r in got) == 1
+    assert report["exact"] and report["recall"] == 1.0
+
+
 # --- 2
 
 
