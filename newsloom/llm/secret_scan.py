@@ -14,8 +14,15 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.shared import first_by_hash, let
 
-#: Runs of token characters, 12 or more, with a digit among them, base64 padding included.
-CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{12,}+={0,2}"
+KEYWORD = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)"
+#: Candidates: what a keyword is assigned, 6 characters or more of any kind up to the quote or to a blank; keys with a
+#: known prefix; runs of token characters, 12 or more, with a digit among them, base64 padding included.
+CANDIDATE = (
+    rf"(?<=[:=\"' \t])(?<=[:=][ \t]{{0,4}}[\"']?)(?<=(?i:{KEYWORD})[A-Za-z_]{{0,12}}[\"']?[ \t]{{0,4}}[:=]{{1,2}}[ \t]{{0,4}}[\"']?)"
+    r"(?:(?<=\")[^\"\r\n]{6,}+(?=\")|(?<=')[^'\r\n]{6,}+(?=')|(?![\"':=])[^\s\"']{6,})"
+    r"|(?<![A-Za-z0-9+/_\-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9+/_\-])|(?:gh[pousr]_|sk-|xox[abp]-|AIza|eyJ)[A-Za-z0-9+/_\-]{12,}+={0,2}"
+    r"|(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{12,}+={0,2})"
+)
 #: Characters of context on either side.
 BEFORE, AFTER = 40, 12
 #: Documents whose words the default labelled findings are made from, at most: the first by a hash of doc_id.
@@ -31,10 +38,12 @@ DICTIONARY = [
     "page", "index", "image", "http", "www", "com", "org", "net", "html", "json", "text", "version", "release",
     "update", "list", "item", "order", "number", "date", "time", "example", "sample", "config", "value", "type",
 ]
-KEYWORDS = r"(?i)(pass(word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)[\"']?\s*[:=]\s*[\"']?$"
+KEYWORDS = rf"(?i){KEYWORD}[A-Za-z_]{{0,12}}[\"']?\s*[:=]{{1,2}}\s*[\"']?$"
 ASSIGNED = r"[:=]\s*[\"']?$"
 HARMLESS = r"(?i)(commit|revision|sha-?1|sha-?256|md5|checksum|digest|uuid|guid|isbn|order|invoice|phone|tel|card|version|build|id)[\s:=#\"']*$"
 KNOWN = r"^(AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-|AIza|eyJ)"
+#: Paths on which labelled findings of any kind occur, samples among them.
+PATHS = ["", "web", "src/client.py", "deploy/app.env", "config/site.yml", "docs/setup.md"]
 SAMPLE_PATH = r"(?i)test|example|sample|docs?/"
 
 FEATURES = ["length", "digits", "upper", "symbols", "hexadecimal", "transitions", "vowels", "distinct", "dictionary", "keyword", "assigned", "harmless", "known", "quoted", "slashes", "sample_path"]
@@ -60,7 +69,7 @@ def labelled_findings(docs: DataFrame, rows: int = FIT_DOCS) -> DataFrame:
     """``(candidate, before, after, path, label)``: findings of known kinds, made by Spark from the words of at
     most ``rows`` documents and digests of their ids: keys, tokens and passwords in the ways that they
     are assigned (label 1); card and phone numbers, identifiers, paths, dates, versions, and digests that are
-    named as such or stand bare (label 0)."""
+    named as such or stand bare, words and placeholders after a keyword, and made-up values in samples (label 0)."""
     base = first_by_hash(docs.where("text is not null").select("doc_id", "text"), rows, "doc_id", "text")
     ws = F.split(F.lower(F.substring("text", 1, 2000)), r"[^a-z]+")
     pick = lambda k: F.coalesce(F.nullif(F.get(ws, k), F.lit("")), F.lit("page"))
@@ -68,6 +77,7 @@ def labelled_findings(docs: DataFrame, rows: int = FIT_DOCS) -> DataFrame:
     rnd = lambda k: F.sha2(F.concat(seed, F.lit(f"/{k}")), 256)
     b64 = lambda k: F.regexp_replace(F.base64(F.unhex(rnd(k))), r"[\r\n=]", "")
     upper = lambda k: F.translate(F.upper(rnd(k)), "0189", "GKQZ")
+    letters = lambda k: F.translate(rnd(k), "0123456789", "kmrtwxyzhp")
     digits = lambda k: F.regexp_replace(F.concat(F.conv(F.substring(rnd(k), 1, 12), 16, 10), F.conv(F.substring(rnd(k), 20, 12), 16, 10)), "[^0-9]", "")
     prose = F.concat(pick(3), F.lit(" "), pick(4), F.lit(" "))
     q = F.lit('"')
@@ -83,8 +93,18 @@ def labelled_findings(docs: DataFrame, rows: int = FIT_DOCS) -> DataFrame:
         (F.concat(pick(1), F.lit("-"), pick(2), F.lit("-"), pick(5), F.lit("-"), F.substring(digits(11), 1, 3)), say("see "), F.lit(" "), 0), (F.concat(pick(1), F.lit("_"), pick(2), F.lit("_"), F.substring(digits(19), 1, 2)), say("name = "), F.lit("\n"), 0),
         (F.substring(rnd(12), 1, 40), say("commit "), F.lit(" "), 0), (F.substring(rnd(13), 1, 32), say("md5: "), F.lit("\n"), 0), (rnd(14), say("sha256:"), F.lit("\n"), 0), (F.substring(rnd(15), 1, 40), prose, F.lit(" "), 0),
         (F.concat(F.lit("2024-01-15T10-"), F.substring(digits(16), 1, 2)), prose, F.lit(" "), 0),
+        # letters alone, short ones and those with other characters; and what else follows a keyword
+        (F.substr(letters(20), F.lit(1), some(8, 20)), say("password="), F.lit(" "), 1), (F.substr(letters(21), F.lit(1), some(12, 21)), say('secret: "'), q, 1), (F.concat(F.lit("AKIA"), F.upper(F.substring(letters(22), 1, 16))), prose, F.lit(" "), 1),
+        (F.concat_ws(" ", pick(1), pick(2), pick(5), pick(6)), say('passphrase = "'), q, 1), (F.concat(F.initcap(F.substring(letters(23), 1, 4)), F.lit("!"), F.substring(rnd(23), 1, 3), F.lit("@$")), say("password: "), F.lit("\n"), 1), (F.substring(rnd(24), 1, 8), say("pwd="), F.lit(" "), 1),
+        (F.concat(pick(1), pick(2)), say("token: "), F.lit(" "), 0), (F.rpad(pick(5), 6, "s"), say("secret: "), F.lit(" "), 0), (F.lit("required"), say("password: "), F.lit("\n"), 0), (F.concat(pick(2), F.lit("ing,")), say("password: "), F.lit(" "), 0),
+        (F.concat(F.lit("get_"), pick(1), F.lit("(")), say("token = "), F.lit(")"), 0), (F.lit("${API_KEY}"), say('api_key = "'), q, 0),
     ]
-    rows_ = F.array(*[F.struct(c.alias("candidate"), b.alias("before"), a.alias("after"), F.lit("").alias("path"), F.lit(float(y)).alias("label")) for c, b, a, y in kinds])
+    # most kinds occur on any path; made-up values that samples are assigned occur on a sample's path alone
+    some_path = F.element_at(F.array(*[F.lit(x) for x in PATHS]), F.pmod(F.xxhash64(seed, F.lit(25)), F.lit(len(PATHS))).cast("int") + 1)
+    sample_path = F.concat(F.lit("tests/"), pick(1), F.lit(".py"))
+    kinds = [(*k[:3], some_path, k[3]) for k in kinds]
+    kinds += [(F.substr(letters(26), F.lit(1), some(8, 26)), say('password = "'), q, sample_path, 0), (F.concat_ws(" ", pick(2), pick(3), pick(6)), say('secret = "'), q, sample_path, 0)]
+    rows_ = F.array(*[F.struct(c.alias("candidate"), b.alias("before"), a.alias("after"), p.alias("path"), F.lit(float(y)).alias("label")) for c, b, a, p, y in kinds])
     return base.select(F.explode(rows_).alias("r")).select("r.*")
 
 
