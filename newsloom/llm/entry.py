@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from newsloom.llm import decontaminate, language_id, license_scan, mixing, near_embeddings, secret_scan, setsketch, token_counts, url_filter, warc_archive
 from newsloom.llm.shared import Scratch, table
 
@@ -31,7 +33,8 @@ def op5_token_counts(spark, sf_dir):
 
 
 def op6_setsketch_dedup(spark, sf_dir):
-    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+    out = setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op7_decontamination(spark, sf_dir):
@@ -52,8 +55,8 @@ def op9_url_filter(spark, sf_dir):
 def op10_warc_archive(spark, sf_dir):
     folder = Scratch(spark, "warc").root
     warc_archive.write_archive(table(spark, sf_dir, "pages"), folder)
-    back = warc_archive.read_archive(spark, folder).where("verified")
-    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    back = warc_archive.verified_records(spark, folder)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.sha1("record").alias("record_digest"), F.octet_length("record").cast("long").alias("record_bytes"))
 
 
 QUERIES = {f.__name__: f for f in (op1_near_embeddings, op2_license_scan, op3_language_id, op4_secret_scan, op5_token_counts, op6_setsketch_dedup, op7_decontamination, op8_source_mixing, op9_url_filter, op10_warc_archive)}

@@ -13,14 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.shared import first_by_hash
+from newsloom.llm.shared import first_by_hash, partitions
 
 #: Length of a profile, and of a text's own ranking.
 PROFILE = 300
 #: n-grams of 1 to this many characters; a word is framed by blanks.
 LONGEST = 3
-#: Labelled rows that profiles are fitted on, at most: those first in the order of a hash of their id.
-FIT_ROWS = 8_000
+#: Labelled texts that a language's profile is fitted on, at most: those first in the order of a hash of id and text.
+FIT_ROWS = 2_000
 UNKNOWN = "und"
 
 _NO_LETTER = re.compile(r"[\W\d_]+")
@@ -30,7 +30,7 @@ def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Codes (21 bits a character) and counts of the n-grams of a whole text, lower-cased, runs of
     other characters than letters taken as one blank. Both are empty if there is no letter."""
     plain = _NO_LETTER.sub(" ", text.lower()).strip() if text else ""
-    if not plain:
+    if not any(map(str.isalpha, plain)):  # a letter is of one of Unicode's categories L; ½ and Ⅷ are none
         return np.empty(0, np.int64), np.empty(0, np.int64)
     c = np.frombuffer(f" {plain} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     blank = c == 32
@@ -56,11 +56,12 @@ def held_out(doc_id):
 def fit_profiles(docs: DataFrame, rows: int = FIT_ROWS, size: int = PROFILE) -> DataFrame:
     """``(lang, code, place)``: each language's n-grams by falling count, ties by code.
 
-    Learns from text and lang of labelled documents that aren't held out, ``rows`` of them at most
-    (the bounded sample of a classifier), first in the order of a hash of doc_id.
+    Learns from text and lang of labelled documents that aren't held out, ``rows`` of each language at most
+    (the bounded sample of a classifier), first in the order of a hash of doc_id and text. A rare language so has
+    its profile in any corpus; rows that repeat one count once; null doc_ids are learned from as well.
     """
     sample = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sample = first_by_hash(sample.select("doc_id", "lang", "text"), rows, "doc_id", "text")
+    sample = first_by_hash(sample.select("doc_id", "lang", "text"), rows, "doc_id", "text", by="lang")
 
     def count(batches):
         for batch in batches:
@@ -75,7 +76,7 @@ def fit_profiles(docs: DataFrame, rows: int = FIT_ROWS, size: int = PROFILE) ->
 
     from pyspark.sql import Window
 
-    grams = sample.select("lang", "text").repartition(8).mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    grams = sample.select("lang", "text").repartition(partitions(docs)).mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "code"))
     return grams.withColumn("place", place).where(F.col("place") <= size).select("lang", "code", "place")
 

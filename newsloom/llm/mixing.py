@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.llm.shared import Scratch, broadcast_if_small
+
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -52,44 +54,69 @@ def balance(targets: DataFrame, steps: int = NEWTON_STEPS) -> DataFrame:
     return targets.withColumn("rate", F.when(F.col("target") > 0, F.exp(solved)).otherwise(F.lit(0.0)))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+def _plan(sized: DataFrame, weights, share: float, cap: float, scratch: Scratch) -> DataFrame:
+    """One row a source: its size, target and rate, and the hash range in which the fractional copies end, with
+    the words of the ranges before it. Made from sums over 4,096 ranges a source, gathered once over all documents."""
+    ranges = scratch.save(sized.groupBy("source", "_range").agg(F.sum("size").alias("_words")))
+    totals = ranges.groupBy("source").agg(F.sum("_words").alias("source_size"))
+    # copies of rates that are whole numbers but for rounding have no fraction to place
+    whole = F.floor(F.col("rate") + 1e-9)
+    rates = balance(source_targets(totals, weights, share, cap), NEWTON_STEPS).withColumn("_whole", whole)
+    rates = rates.withColumn("_quota", F.round("target").cast("long") - F.col("_whole") * F.col("source_size"))
+    before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_words").over(before), F.lit(0)))
+    ends = ranges.join(rates.select(F.col("source").alias("_s"), "_quota"), F.col("source").eqNullSafe(F.col("_s"))).where("_before + _words >= _quota")
+    ends = ends.groupBy("source").agg(F.min(F.struct("_range", "_before")).alias("_end"))
+    rates = rates.withColumnRenamed("source", "_t")
+    out = rates.join(ends, F.col("source").eqNullSafe(F.col("_t")), "left").select("_t", "source_size", "target", "rate", "_whole", "_quota", "_end._range", "_end._before")
+    return scratch.save(out.withColumnsRenamed({"_range": "_last", "_before": "_spent"}))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, scratch: Scratch | None = None) -> DataFrame:
     """Every row of ``docs`` with size, source_size, target, rate, copies and taken.
 
     ``taken`` is the number of words that the mix takes. Each document gets floor(rate) whole
     copies; the rest of the source's target goes, as one more copy each, to the documents that come
-    first in the order of md5(doc_id), and the document where it ends gives only its first words, so
+    first in the order of a hash of doc_id and text, and the document where it ends gives only its first words, so
     a source's taken words equal its target, rounded, if the target is at most ``cap`` times its size
-    (``cap`` a whole number). ``copies`` is taken over size. Ranks come from sums over 4,096 hash
-    ranges a source, then a window inside a range: no source is sorted in one task.
+    (``cap`` a whole number). ``copies`` is taken over size. Sums over 4,096 hash ranges a source tell in which
+    range the copies end; only that range's documents are ordered, in a window of some 1/4,096 of a source. All others
+    are answered where they lie: no text is shuffled but that range's, and no source is sorted in one task.
 
     Null and empty texts have size 0 and take 0; a null source is a source of its own; repeated rows
-    are documents of their own, and rows alike in doc_id are ordered by size, then text. Columns
-    of ``docs`` with the names of results are replaced. An empty table gives an empty result.
+    are documents of their own; rows alike in doc_id and text are alike in all that counts. Columns
+    of ``docs`` with the names of results are replaced. An empty table gives an empty result. The table of sources (one
+    row each) is broadcast up to a million of them.
     """
+    scratch = scratch or Scratch(docs.sparkSession, "mix")
     names = ["size", "source_size", "target", "rate", "copies", "taken"]
     docs = docs.drop(*names)
-    sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long"))
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = sized.withColumn("_order", order).withColumn("_range", F.substring("_order", 1, 3))
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # copies of rates that are whole numbers but for rounding have no fraction to place
-    whole = F.floor(F.col("rate") + 1e-9)
-    rates = balance(source_targets(totals, weights, share, cap), NEWTON_STEPS).withColumn("_whole", whole)
-    rates = rates.withColumn("_quota", F.round("target").cast("long") - F.col("_whole") * F.col("source_size"))
-    ranges = sized.groupBy("source", "_range").agg(F.sum("size").alias("_words"))
-    before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("source", "_range").orderBy("_order", "doc_id", "size", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(ranges, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
-    rates = rates.withColumnRenamed("source", "_t")
-    out = placed.join(rates, F.col("source").eqNullSafe(F.col("_t")))
-    extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_quota") - F.col("_before") - F.col("_inside")))
-    out = out.withColumn("taken", (F.col("_whole") * F.col("size") + extra).cast("long"))
+    order = F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))))
+    keyed = docs.withColumn("_order", order).withColumn("_range", F.substring("_order", 1, 3))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
+    plan = _plan(keyed.select("source", "_range", size.alias("size")), weights, share, cap, scratch)
+    met = keyed.join(broadcast_if_small(plan), F.col("source").eqNullSafe(F.col("_t")))
+    at_end = F.coalesce(F.col("_range") == F.col("_last"), F.lit(False))
+    inside = Window.partitionBy("source").orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    last = met.where(at_end).withColumn("size", size).withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    last = last.withColumn("_more", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_quota") - F.col("_spent") - F.col("_inside"))))
+    rest = met.where(~at_end).withColumn("size", size).withColumn("_inside", F.lit(0).cast("long"))
+    rest = rest.withColumn("_more", F.when(F.col("_last").isNull() | (F.col("_range") < F.col("_last")), F.col("size")).otherwise(F.lit(0)))
+    out = rest.unionByName(last).withColumn("taken", (F.col("_whole") * F.col("size") + F.col("_more")).cast("long"))
     out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0.0)))
     return out.select(*docs.columns, *names)
 
 
+def mixed_rows(mixed: DataFrame) -> DataFrame:
+    """The corpus that a mix makes: each row of ``mix``'s result as often as it is taken, ``copy`` from 0, the last one cut
+    to its first words, a blank between them, if it isn't taken whole; rows that aren't taken go. n_chars, if there, follows the text."""
+    rows = mixed.where("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("taken") / F.col("size")) - 1).cast("int"))))
+    words = F.col("taken") - F.col("copy") * F.col("size")
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)), F.lit(1), words.cast("int")), " ")
+    rows = rows.withColumn("text", F.when(words >= F.col("size"), F.col("text")).otherwise(head))
+    return rows.withColumn("n_chars", F.length("text").cast(rows.schema["n_chars"].dataType)) if "n_chars" in rows.columns else rows
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -101,7 +128,7 @@ z AS (SELECT *, (SELECT min_by(level, ratio) FROM y WHERE ratio >= level) AS lv
 g AS (SELECT source, source_size, CASE WHEN ratio < level THEN most ELSE least(weight * lv, most) END AS target FROM z),
 r AS (SELECT *, CASE WHEN target > 0 THEN floor(target / source_size + 1e-9) ELSE 0 END AS whole FROM g),
 e AS (SELECT d.*, r.source_size, r.target, CAST(r.whole AS BIGINT) AS whole, CAST(round(r.target) AS BIGINT) - CAST(r.whole AS BIGINT) * r.source_size AS quota,
-  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '') || '/' || md5(coalesce(d.text, ''))), d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, quota - before)) AS BIGINT) AS taken FROM e
 """

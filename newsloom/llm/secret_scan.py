@@ -25,11 +25,13 @@ CANDIDATE = (
 )
 #: Characters of context on either side.
 BEFORE, AFTER = 40, 12
-#: Documents whose words the default labelled findings are made from, at most: the first by a hash of doc_id.
+#: Documents whose words the default labelled findings are made from, at most: the first by a hash of doc_id and text.
 FIT_DOCS = 1_000
 TREES, DEPTH, SEED = 20, 6, 7
 CUT = 0.5
 MARK = "[SECRET]"
+#: Candidates of a text that one fold goes over.
+CHUNK = 256
 #: Frequent words and pieces of identifiers, at least three letters each (fixed values).
 DICTIONARY = [
     "the", "and", "that", "for", "with", "this", "from", "have", "not", "are", "was", "but", "you", "all", "one",
@@ -71,7 +73,7 @@ def labelled_findings(docs: DataFrame, rows: int = FIT_DOCS) -> DataFrame:
     are assigned (label 1); card and phone numbers, identifiers, paths, dates, versions, and digests that are
     named as such or stand bare, words and placeholders after a keyword, and made-up values in samples (label 0)."""
     base = first_by_hash(docs.where("text is not null").select("doc_id", "text"), rows, "doc_id", "text")
-    ws = F.split(F.lower(F.substring("text", 1, 2000)), r"[^a-z]+")
+    ws = F.split(F.lower("text"), r"[^a-z]+")
     pick = lambda k: F.coalesce(F.nullif(F.get(ws, k), F.lit("")), F.lit("page"))
     seed = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rnd = lambda k: F.sha2(F.concat(seed, F.lit(f"/{k}")), 256)
@@ -138,35 +140,57 @@ def forest_expression(model, f: Column) -> Column:
     return total / len(votes)
 
 
-def _findings(text: Column, path: Column, model) -> Column:
-    """Array of (start, candidate, score) in the order of the text."""
+def _candidates(text: Column) -> Column:
+    """Array of (start, c, b, a) in the order of the text: place, candidate and what stands before and after it.
+
+    Places are running sums of lengths. A fold copies what it has at each step, so it goes over CHUNK candidates at a
+    time, and over the chunks' sums before: many candidates cost little more than so many copies each."""
     split = F.struct(F.split(text, CANDIDATE, -1).alias("parts"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("found"))
     cut = let(split, lambda s: F.transform(s.found, lambda c, i: F.struct(c.alias("c"), F.get(s.parts, i).alias("b"), F.get(s.parts, i + 1).alias("a"))))
-    # a running sum gives each candidate's place
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,c:string,b:string,a:string>>").alias("out"))
-    placed = F.aggregate(
-        cut, start,
-        lambda s, x: F.struct((s.at + F.length(x.b) + F.length(x.c)).cast("long").alias("at"), F.array_append(s.out, F.struct((s.at + F.length(x.b)).cast("long").alias("start"), x.c.alias("c"), F.right(x.b, F.lit(BEFORE)).alias("b"), F.left(x.a, F.lit(AFTER)).alias("a"))).alias("out")),
-        lambda s: s.out,
-    )
-    featured = F.transform(placed, lambda x: F.struct(x.start.alias("start"), x.c.alias("candidate"), features(x.c, x.b, x.a, path).alias("f")))
+    width = lambda x: (F.length(x.b) + F.length(x.c)).cast("long")
+    none = F.array().cast("array<struct<start:bigint,c:string,b:string,a:string>>")
+
+    def step(s, x):
+        one = F.struct((s.at + F.length(x.b)).cast("long").alias("start"), x.c.alias("c"), F.right(x.b, F.lit(BEFORE)).alias("b"), F.left(x.a, F.lit(AFTER)).alias("a"))
+        return F.struct((s.at + width(x)).cast("long").alias("at"), F.array_append(s.out, one).alias("out"))
+
+    def place(cut):
+        chunk = lambda k: F.slice(cut, k * CHUNK + 1, F.lit(CHUNK))
+        all_chunks = F.sequence(F.lit(0), F.floor((F.size(cut) - 1) / CHUNK).cast("int"))
+        sums = F.transform(all_chunks, lambda k: F.aggregate(chunk(k), F.lit(0).cast("long"), lambda n, x: n + width(x)))
+        starts = F.aggregate(sums, F.array(F.lit(0).cast("long")), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+        inside = lambda at, k: F.aggregate(chunk(k), F.struct(at.alias("at"), none.alias("out")), step, lambda s: s.out)
+        return let(starts, lambda at: F.flatten(F.transform(all_chunks, lambda k: inside(F.get(at, k), k))))
+
+    return let(cut, lambda c: F.when(F.size(c) > 0, place(c)).otherwise(none))
+
+
+def _findings(text: Column, path: Column, model) -> Column:
+    """Array of (start, candidate, score) in the order of the text."""
+    featured = F.transform(_candidates(text), lambda x: F.struct(x.start.alias("start"), x.c.alias("candidate"), features(x.c, x.b, x.a, path).alias("f")))
     return F.transform(featured, lambda x: F.struct(x.start.alias("start"), x.candidate.alias("candidate"), forest_expression(model, x.f).alias("score")))
 
 
+def _path(docs: DataFrame, path_col: str) -> Column:
+    return F.coalesce(F.col(path_col), F.lit("")) if path_col in docs.columns else F.lit("")
+
+
 def with_findings(docs: DataFrame, model, path_col: str = "source") -> DataFrame:
     """``docs`` with ``findings``, an array of (start, candidate, score) over the whole text; empty for null and
     for texts without a candidate. A column of that name is replaced; a missing path column counts as empty."""
-    path = F.coalesce(F.col(path_col), F.lit("")) if path_col in docs.columns else F.lit("")
-    docs = docs.drop("findings")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("findings", _findings(text, path, model))
+    path = _path(docs, path_col)
+    return docs.drop("findings").withColumn("findings", _findings(F.coalesce(F.col("text"), F.lit("")), path, model))
 
 
-def scan_secrets(docs: DataFrame, model) -> DataFrame:
+def scan_secrets(docs: DataFrame, model, path_col: str = "source") -> DataFrame:
     """One row a candidate: doc_id, start (characters from 0), length, digest (SHA-256, so that results don't
-    carry secrets), score, is_secret."""
-    each = with_findings(docs, model).select("doc_id", F.explode("findings").alias("f"))
-    return each.select("doc_id", F.col("f.start").alias("start"), F.length("f.candidate").cast("long").alias("length"), F.sha2("f.candidate", 256).alias("digest"), F.col("f.score").alias("score"), (F.col("f.score") >= CUT).alias("is_secret"))
+    carry secrets), score, is_secret. Null and empty texts, and an empty table, give no row; repeated rows and null
+    doc_ids are scanned like others; texts are read whole; a null path counts as empty; other columns aren't read."""
+    # an outer explode: Spark would put a filter on the size of the array, computing it twice, under an inner one
+    each = docs.select("doc_id", _path(docs, path_col).alias("path"), F.explode_outer(_candidates(F.coalesce(F.col("text"), F.lit("")))).alias("x")).where("x is not null")
+    each = each.select("doc_id", "x.start", "x.c", features(F.col("x.c"), F.col("x.b"), F.col("x.a"), F.col("path")).alias("f"))
+    each = each.select("doc_id", "start", "c", forest_expression(model, F.col("f")).alias("score"))
+    return each.select("doc_id", "start", F.length("c").cast("long").alias("length"), F.sha2("c", 256).alias("digest"), "score", (F.col("score") >= CUT).alias("is_secret"))
 
 
 def redact(docs: DataFrame, model, mark: str = MARK) -> DataFrame:

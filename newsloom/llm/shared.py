@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -56,15 +58,57 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def first_by_hash(df: DataFrame, rows: int, *key: str, seed: int = 0) -> DataFrame:
-    """The ``rows`` rows of ``df`` that are first by a hash of ``key``, ties by the key's values: a sample of
-    bounded size that is the same in any partitioning. A count sets a bound on the hash under which half as many again
-    are expected, so that no more than those reach the sort."""
-    place = F.pmod(F.xxhash64(*key[:1], F.lit(seed)), F.lit(1 << 31))
-    n = df.count()
-    if n > 2 * rows:
-        df = df.where(place < F.lit(int((1 << 31) * 1.5 * rows / n)))
-    return df.orderBy(place, *key).limit(rows)
+#: Lists of ids or keys up to this many rows are broadcast (some 16 MB); longer ones are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``keys`` (a written table of one or two narrow columns) marked for broadcast if it has at most ``rows`` rows."""
+    return F.broadcast(keys) if keys.count() <= rows else keys
+
+
+def partitions(df: DataFrame) -> int:
+    return max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def by_key(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """Groups of rows that are alike in the first ``n`` columns, from batches sorted by them: (key, rows)."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = list(zip(*[b.column(k).to_pylist() for k in range(n)], strict=True))
+        start = 0
+        for i, key in enumerate(keys):
+            if key != last:
+                if i > start:
+                    held.append(b.slice(start, i - start))
+                if held:
+                    yield last, pa.Table.from_batches(held)
+                held, start, last = [], i, key
+        held.append(b.slice(start))
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
+def first_by_hash(df: DataFrame, rows: int, *key: str, by: str | None = None, seed: int = 0) -> DataFrame:
+    """Of the distinct ``key`` values of ``df`` (rows that repeat one count once) the ``rows`` that are first by a hash of
+    all of them, with ``by`` as many for each of its values: a sample of bounded size that is the same in any
+    partitioning. Counts set a bound on the hash, under which half as many again are expected, so that few rows
+    reach the sort; where that leaves too few, all rows are sorted, so the bound never changes the sample."""
+    df = df.select(*key, (F.col(by) if by else F.lit(0)).alias("_by"), F.xxhash64(*key, F.lit(seed)).alias("_h"))
+    counts = df.groupBy("_by").agg(F.approx_count_distinct("_h").alias("_n")).withColumnRenamed("_by", "_c")
+    span = float(1 << 64)
+    under = F.col("_h").cast("double") + span / 2 < F.lit(span * 1.5 * rows) / F.greatest(F.col("_n"), F.lit(1))
+    sample = df.join(counts, F.col("_by").eqNullSafe(F.col("_c"))).where(under | (F.col("_n") <= 2 * rows)).drop("_n", "_c")
+    got = sample.groupBy("_by").agg(F.countDistinct("_h").alias("_got"))
+    both = counts.join(got, F.col("_by").eqNullSafe(F.col("_c")), "left")
+    if not both.where(F.coalesce("_got", F.lit(0)) < F.least(F.lit(float(rows)), F.col("_n") * 0.9)).isEmpty():
+        sample = df
+    order = F.row_number().over(Window.partitionBy("_by").orderBy("_h", *key))
+    first = sample.dropDuplicates(["_h", "_by"]).withColumn("_r", order).where(F.col("_r") <= rows)
+    return first.select(*key, *([F.col("_by").alias(by)] if by else []))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,26 +116,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Connected components of ``edges(a, b)``: one row ``(id, component)`` for each node with an
+    """Connected components of ``edges(a, b)``, of any ordered type: one row ``(id, component)`` for each node with an
     edge, ``component`` being the smallest id that it reaches.
 
     Alternating large-star and small-star contraction; each half is a minimum per node (combined
     on the map side) and an equi-join whose hot hubs AQE can split. Rounds grow with the logarithm
-    of the longest path. Only counts reach the driver.
+    of the longest path; each is one job, written. Only counts reach the driver.
     """
-    cur = scratch.save(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    )
-    mark = None
+    cur = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    mark, written = None, None
     while True:
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = scratch.save(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
-        large = scratch.save(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         j = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")  # hubs have no rows of their own here
         small = j.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         new = scratch.save(small.select("e.a", "e.b").where("a <> b").distinct())
-        scratch.drop(cur, low, large)
-        cur = new
+        if written is not None:
+            scratch.drop(written)
+        cur = written = new
         row = cur.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (row.n, row.h) == mark:
             break

@@ -17,6 +17,10 @@ RULES = [
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 ]
+#: Rules up to this many (some 200 bytes each) are broadcast; more are shuffled.
+BROADCAST_RULES = 200_000
+#: Rows that no rule can fit are spread over so many values of the join's key.
+SPREAD = 4096
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,7 +40,10 @@ def rule_table(spark, rules=RULES) -> DataFrame:
     for _, host, path in rules:
         if not (host and path.startswith("/") and path.endswith("/")):
             raise ValueError(f"not a rule: {host}{path}")
-    return spark.createDataFrame([(a, h, p) for a, h, p in rules], "action string, rule_host string, rule_path string")
+    names = ("action", "rule_host", "rule_path")
+    none = F.array().cast("array<struct<action:string,rule_host:string,rule_path:string>>")
+    rows = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r, strict=True)]) for r in rules]) if rules else none
+    return spark.range(1).select(F.inline(rows))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url_col: str = "url") -> DataFrame:
@@ -47,13 +54,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url_c
     fits get ``default``. Expansion goes as deep as the deepest rule: a longer suffix or prefix
     can't equal any rule, so long URLs cost no more. Null, empty and repeated rows keep one row
     each; columns of ``pages`` called host, path, rule or verdict are replaced; an empty table
-    gives an empty result.
+    gives an empty result, and without rules every row gets ``default``.
     """
     host, path = host_and_path(F.col(url_col))
     pages = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
     deep = rules.agg(
         F.max(F.size(F.split("rule_host", r"\."))).alias("labels"),
         F.max(F.size(F.split("rule_path", "/")) - 1).alias("slashes"),
+        F.count("*").alias("n"),
     ).first()
     labels, slashes = deep["labels"] or 0, deep["slashes"] or 0
     keys = rules.select(
@@ -71,12 +79,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url_c
         .select("host", "path", F.explode(F.transform(prefixes, lambda p: F.concat(F.col("suffix"), p))).alias("expression"))
         .select("host", "path", F.sha2("expression", 256).alias("full"))
     )
+    keys = F.broadcast(keys) if deep["n"] <= BROADCAST_RULES else keys
     hits = expanded.join(keys, F.substring(expanded.full, 1, 8) == keys.key).where("full = digest")
     best = hits.groupBy("host", "path").agg(
         F.max(F.struct(F.length("rule").alias("n"), "host_len", "action", "rule")).alias("best")
     )
-    judged = pages.join(best, ["host", "path"], "left")
-    return judged.withColumn("rule", F.col("best.rule")).withColumn("verdict", F.coalesce("best.action", F.lit(default))).drop("best")
+    # URLs without host or path, often null ones, meet nothing; as one key they would all go to one task
+    spread = F.when((F.col("host") == "") | (F.col("path") == ""), F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)) + 1).otherwise(F.lit(0))
+    judged = pages.withColumn("_spread", spread).join(best.withColumn("_spread", F.lit(0).cast("long")), ["host", "path", "_spread"], "left")
+    return judged.select(*pages.columns, F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
 
 
 ORACLE = r"""

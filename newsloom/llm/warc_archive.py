@@ -73,7 +73,8 @@ def write_archive(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_BY
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     """The archive's records: header fields parsed, ``record`` the rebuilt bytes, ``payload`` the full
-    payload (a revisit's too), ``verified`` whether length and SHA-1 are those that the header names."""
+    payload (a revisit's too), ``verified`` whether length and SHA-1 are those that the header names. Every record has its
+    row, whether its payload verifies or not, or is lost (record null then)."""
     records = spark.read.parquet(f"{folder}/records")
     payloads = spark.read.parquet(f"{folder}/payloads")
     rows = records.join(payloads, "payload_sha256", "left")
@@ -90,10 +91,30 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("verified", F.coalesce(good, F.lit(False)))
 
 
+def verified_records(spark: SparkSession, folder: str) -> DataFrame:
+    """``read_archive``, but a record that doesn't verify ends the job with its id."""
+    rows = read_archive(spark, folder)
+    error = F.raise_error(F.concat(F.lit("the payload of record "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(" doesn't verify"))).cast("boolean")
+    return rows.where(F.when(F.col("verified"), F.lit(True)).otherwise(error))
+
+
+def export_warc(spark: SparkSession, archive: str, folder: str) -> None:
+    """Writes the archive's records to WARC files (gzip) under ``folder``, one a partition, byte for byte as rebuilt.
+    A record ends with two CRLF, which here is the line separator of Spark's text writer."""
+    body = F.expr("substring(record, 1, octet_length(record) - 4)")
+    records = verified_records(spark, archive).select(body.cast("string").alias("value"))
+    records.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(folder)
+
+
 ORACLE = """
 WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
-m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM p)
-SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to FROM m
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM p),
+n AS (SELECT *, CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to, chr(13) || chr(10) AS e FROM m),
+r AS (SELECT n.*, 'WARC/1.1' || e || 'WARC-Type: ' || record_type || e || 'WARC-Record-ID: <urn:page:' || page_id || '>' || e || 'WARC-Date: 2024-01-01T00:00:00Z' || e
+  || 'WARC-Target-URI: ' || coalesce(replace(replace(url, chr(13), '%0D'), chr(10), '%0A'), 'urn:page:' || page_id) || e || 'WARC-Payload-Digest: sha1:' || payload_digest || e
+  || CASE WHEN record_type = 'revisit' THEN 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' || e || 'WARC-Refers-To: <urn:page:' || refers_to || '>' || e ELSE '' END
+  || 'Content-Type: application/octet-stream' || e || 'WARC-Payload-Length: ' || payload_bytes || e || 'Content-Length: ' || CASE WHEN record_type = 'revisit' THEN 0 ELSE payload_bytes END || e || e
+  || CASE WHEN record_type = 'revisit' THEN '' ELSE coalesce(html, '') END || e || e AS record FROM n JOIN pages USING (page_id))
+SELECT page_id, payload_bytes, payload_digest, record_type, refers_to, sha1(record) AS record_digest, CAST(octet_length(encode(record)) AS BIGINT) AS record_bytes FROM r
 """

@@ -1,7 +1,10 @@
 """The numbered operators against brute force, with nulls, empties, ties, repeats, clashing columns."""
 
+import gzip
 import itertools
+import pathlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -155,6 +158,27 @@ def test_language_defined_cases(spark):
     assert language_id.identify(df.limit(0)).count() == 0
 
 
+def test_language_of_marks_that_are_no_letters(spark):
+    rows = [(1, "the cat and the dog", "en"), (2, "½ ² Ⅷ", None), (3, "² ³", None), (4, "½ a", None)]
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {1: "en", 2: "und", 3: "und", 4: "en"}
+
+
+def test_samples_of_repeated_null_and_rare_rows(spark):
+    """Many rows of one id, null ids and a language of two rows all have their part in a bounded sample."""
+    i, j, k = [n for n in range(99) if zlib.crc32(str(n).encode()) % 4 != 2][:3]
+    rows = [(i, f"the cat number {n} and a dog", "en") for n in range(9000)] + [(i, "the same row", "en")] * 3000
+    rows += [(None, f"der hund {n} und die katze", "de") for n in range(6000)] + [(j, "le chat et le chien", "fr"), (k, "le chien et le chat", "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one = [sorted(map(str, shared.first_by_hash(x, 500, "doc_id", "text", by="lang").collect())) for x in (df, df.repartition(7))]
+    assert one[0] == one[1] and len(one[0]) == 1002 and sum("fr" in r for r in one[0]) == 2
+    assert len(set(one[0])) == len(one[0])
+    few = shared.first_by_hash(spark.createDataFrame([(5, "x", "en")] * 30000 + [(6, "y", "en"), (None, "z", "en")], df.schema), 800, "doc_id", "text")
+    assert few.count() == 3
+    got = {r.text[:3]: r.lang_pred for r in language_id.identify(df).collect()}
+    assert got == {"the": "en", "der": "de", "le ": "fr"}
+
+
 # --- 4
 
 
@@ -185,6 +209,14 @@ def test_secrets_of_letters_short_and_with_other_characters(spark):
         assert ("[SECRET]" in got[i]) == (i < len(secrets)) and (i < len(secrets) or got[i] == x), got[i]
 
 
+def test_many_candidates_in_one_text(spark):
+    text = " ".join(f'x{k} token = "{k:06d}{"0f1e2d3c4b" * 3}"' for k in range(20000))
+    df = spark.createDataFrame([(1, text), (None, text[:100]), (2, None)], "doc_id long, text string")
+    began = time.time()
+    got = secret_scan.scan_secrets(df, None).where("doc_id = 1").select("start", "length").collect()
+    assert time.time() - began < 60 and [(r.start, r.length) for r in got] == [(m.start(1), 36) for m in re.finditer(r'token = "([0-9a-f]+)"', text)]
+
+
 # --- 5
 
 
@@ -247,15 +279,47 @@ def test_near_duplicates_equal_brute_force(spark):
         rows.append((10 + k, " ".join(c)))
     rows += [(100 + r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
     sets, comp = brute_near(rows)
-    got = setsketch.near_duplicates(docs(spark, [*rows, (None, "a b")]).withColumn("kept", F.lit(1))).collect()
-    assert len(got) == len(rows) + 1
+    got = setsketch.near_duplicates(docs(spark, [*rows, (None, "a b"), (None, "of no other")]).withColumn("kept", F.lit(1))).collect()
+    assert len(got) == len(rows) + 2
+    assert {(r.component_id, r.kept) for r in got if r.doc_id is None} == {(5, False), (None, True)}
     for r in got:
-        if r.doc_id is None:
-            assert r.component_id is None and r.kept
-        else:
+        if r.doc_id is not None:
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), comp[r.doc_id], comp[r.doc_id] == r.doc_id)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows that share a doc_id are documents of their own, in any order."""
+    g = np.random.default_rng(8)
+    a, b = (" ".join(f"w{x}" for x in g.integers(0, 9000, 120)) for _ in range(2))
+    rows = [(1, a), (1, b), (2, b + " tail"), (3, None), (3, a), (1, a)]
+    for order in (rows, rows[::-1]):
+        got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in setsketch.near_duplicates(docs(spark, order)).collect()}
+        assert got == {(1, 116, 1, True), (2, 117, 1, False), (3, 0, 3, True), (3, 116, 1, False)}
+
+
+@pytest.mark.parametrize("threshold", [80, 85])
+def test_near_duplicates_of_a_large_group_that_stays_apart(spark, monkeypatch, threshold):
+    """Copies with so many edits that most pairs lie just under the threshold, over several blocks of a bucket."""
+    monkeypatch.setattr(setsketch, "SKETCH_BLOCK", 100)
+    monkeypatch.setattr(setsketch, "SET_BLOCK", 60)
+    g = np.random.default_rng(6)
+    base = [f"w{x}" for x in g.integers(0, 9000, 150)]
+    rows = []
+    for k in range(500):
+        c = list(base)
+        for at in g.choice(150, int(g.integers(1, 6)), replace=False):
+            c[at] = f"e{k}-{at}"
+        rows.append((k, " ".join(c)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    links = []
+    for a, b in itertools.combinations(sets, 2):
+        n = len(sets[a] & sets[b])
+        if 100 * n >= threshold * (len(sets[a]) + len(sets[b]) - n):
+            links.append((a, b))
+    want = groups(links, sets)
+    assert {r.doc_id: r.component_id for r in setsketch.near_duplicates(docs(spark, rows), threshold).collect()} == want
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert setsketch.near_duplicates(docs(spark, [])).count() == 0
 
@@ -325,6 +389,15 @@ def test_mix_defined_cases(spark):
         by.setdefault(r.source, [0, r.target])[0] += r.taken
     assert all(abs(t - target) <= 0.5 for t, target in by.values())
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
+    made = mixing.mixed_rows(mixing.mix(spark.createDataFrame(rows, DOCS))).collect()
+    assert sum(len(r.text.split()) for r in made) == sum(t for t, _ in by.values())
+
+
+def test_mix_of_many_rows_without_id(spark):
+    rows = [(None, f"w{k} x", "en", "hot", 0) for k in range(3000)] + [(k, "a b c", "en", "z", 0) for k in range(50)]
+    one, two = ({(r.text, r.doc_id, r.taken) for r in mixing.mix(spark.createDataFrame(x, DOCS)).collect()} for x in (rows, rows[::-1]))
+    taken = sum(t for _, _, t in one if t)
+    assert one == two and taken > 0
 
 
 def test_newton_finds_the_rates(spark):
@@ -345,6 +418,9 @@ def test_url_rules(spark):
     got = url_filter.judge_urls(df, url_filter.rule_table(spark)).collect()
     assert len(got) == 2 * len(cases) and all((r.rule, r.verdict) == cases[r.url] for r in got)
     assert url_filter.judge_urls(df.limit(0), url_filter.rule_table(spark)).count() == 0
+    assert {r.verdict for r in url_filter.judge_urls(df, url_filter.rule_table(spark, [])).collect()} == {"allow"}
+    both = url_filter.rule_table(spark, [("allow", "x.net", "/a/"), ("block", "x.net", "/a/")])
+    assert url_filter.judge_urls(spark.createDataFrame([(1, "http://x.net/a/")], "page_id long, url string"), both).first().verdict == "block"
     with pytest.raises(ValueError):
         url_filter.rule_table(spark, [("block", "a", "no-slash")])
 
@@ -365,6 +441,33 @@ def test_archive_round_trip(spark, tmp_path):
     head, _, body = bytes(got[8].record).partition(b"\r\n\r\n")
     assert head.startswith(b"WARC/1.1\r\n") and body == ("a\r\n\r\nb" * 400).encode() + b"\r\n\r\n"
     assert spark.read.parquet(str(tmp_path / "w/payloads")).count() == 4
+    warc_archive.export_warc(spark, str(tmp_path / "w"), str(tmp_path / "x"))
+    files = b"".join(gzip.decompress(p.read_bytes()) for p in pathlib.Path(tmp_path / "x").glob("part-*"))
+    seen = []
+    while files:  # a reader by Content-Length
+        head, _, rest = files.partition(b"\r\n\r\n")
+        n = int(re.search(rb"\r\nContent-Length: (\d+)", head)[1])
+        assert rest[n : n + 4] == b"\r\n\r\n"
+        seen.append(head + b"\r\n\r\n" + rest[: n + 4])
+        files = rest[n + 4 :]
+    assert sorted(seen) == sorted(bytes(r.record) for r in back)
     empty = str(tmp_path / "e")
     warc_archive.write_archive(pages.limit(0), empty)
     assert warc_archive.read_archive(spark, empty).count() == 0
+
+
+def test_a_payload_that_does_not_verify_stops_the_job(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "one"), (2, "u", "two")], "page_id long, url string, html string")
+    warc_archive.write_archive(pages, str(tmp_path / "w"))
+    held = spark.read.parquet(str(tmp_path / "w/payloads")).withColumn("payload", F.lit(b"one"))
+    held.write.parquet(str(tmp_path / "other/payloads"))
+    spark.read.parquet(str(tmp_path / "w/records")).write.parquet(str(tmp_path / "other/records"))
+    assert sorted(r.verified for r in warc_archive.read_archive(spark, str(tmp_path / "other")).collect()) == [False, True]
+    with pytest.raises(Exception, match="doesn't verify"):
+        warc_archive.verified_records(spark, str(tmp_path / "other")).collect()
+
+
+@pytest.mark.parametrize("name", ["op4_secret_scan", "op7_decontamination", "op8_source_mixing", "op9_url_filter", "op10_warc_archive"])
+def test_native_plans_hold_no_python(spark, name):
+    plan = entry.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas|ExistingRDD", plan)

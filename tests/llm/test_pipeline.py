@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 import pytest
+from newsloom.llm import mixing
 
 SECRET = "0f1e2d3c4b" * 4
 
@@ -34,9 +35,24 @@ def test_stages_take_effect(spark, folder):
     assert seen["near duplicates"] - seen["decontamination"] == {53}
     text = spark.read.parquet(f"{folder}/secret scan").where("doc_id = 54").first()
     assert SECRET not in text.text and "[SECRET]" in text.text and text.n_chars == len(text.text)
-    assert seen["source mixing"] == seen["decontamination"]
-    got = {(r.doc_id, r.taken) for r in corpus_pipeline.run(spark, folder).collect()}
-    assert got == {(r.doc_id, r.taken) for r in docs.collect()}
+    kept = spark.read.parquet(f"{folder}/secret scan")
+    mixed = {(r.doc_id, r.copy): r for r in docs.collect()}
+    taken = {r.doc_id: r.taken for r in mixing.mix(kept).collect()}
+    words = {i: sum(len(r.text.split()) for (k, _), r in mixed.items() if k == i) for i in taken}
+    assert words == taken and seen["source mixing"] == {i for i, n in taken.items() if n}
+    assert {(r.doc_id, r.copy, r.text) for r in corpus_pipeline.run(spark, folder).collect()} == {(*k, r.text) for k, r in mixed.items()}
+
+
+def test_rows_that_share_an_id_or_have_none(spark, folder):
+    a, b, c = ("".join(f"{w}{k} " for k in range(60)) for w in "abc")
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    rows = [(1, a), (1, b), (1, a), (2, b), (None, c), (None, c), (3, a), (4, item), (4, "x " + c[:100]), (None, item), (None, "d e f g h i j")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for x in (df, df.repartition(5)):
+        got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, x, folder).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, [(1, a), (1, b), (None, c), (4, item), (4, "x " + c[:100]), (None, "d e f g h i j")]))
+    left = {(r.doc_id, r.text) for r in corpus_pipeline.decontamination(spark, df, folder).collect()}
+    assert left == set(rows) - {(4, item), (None, item)}
 
 
 def test_empty_corpus(spark, tmp_path):
