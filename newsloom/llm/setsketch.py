@@ -17,20 +17,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.shared import Scratch, components
+from newsloom.llm.shared import Scratch, broadcast_if_small, by_key, components, partitions
 
 SHINGLE = 5
 THRESHOLD = 85  # per cent
-REGISTERS, BANDS, ROWS = 127, 25, 5  # at similarity 0.85 a pair misses all bands once in 2 million
+#: At similarity 0.85 a pair misses all bands with probability 4e-7, at 0.8 with 5e-5.
+REGISTERS, BANDS, ROWS = 127, 25, 5
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
-#: Pairs whose estimate is so many standard errors under the threshold aren't looked up in full.
-MARGIN = 4.5
+#: Pairs whose estimate is so many standard errors under the threshold aren't looked up in full: by the binomial
+#: distribution of equal registers, 3e-7 of the pairs right at the threshold.
+MARGIN = 5.5
 #: A worker's word cache is emptied at this many words.
 CACHE_WORDS = 200_000
-#: Leaders of a bucket, from one round to the next.
-GROWTH = 32
-#: Id lists of up to this many rows are broadcast (8 bytes each); longer ones are shuffled.
-BROADCAST_IDS = 1_000_000
+#: Members of a bucket that one task compares with as many others: sketches alone, and with full sets.
+SKETCH_BLOCK, SET_BLOCK = 2048, 512
 
 _U = np.uint64
 
@@ -115,167 +115,234 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, steps
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest (of the whole set; null if empty), regs, bands for each row."""
+    """The rows of ``docs``, text replaced by n_shingles, digest (of the whole set; null if empty) and regs."""
+    kept = [f for f in docs.schema.fields if f.name != "text"]
+    at = docs.columns.index("text")
 
     def run(batches):
         words = _Words()
         for batch in batches:
-            rows = {"doc_id": batch.column(0), "n_shingles": [], "digest": [], "regs": [], "bands": []}
-            for text in batch.column(1):
+            n, digest, regs = [], [], []
+            for text in batch.column(at):
                 s = shingle_set(text.as_py(), words)
-                rows["n_shingles"].append(len(s))
-                r = registers(s) if len(s) else None
-                rows["digest"].append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                rows["regs"].append(None if r is None else r.tobytes())
-                rows["bands"].append(None if r is None else band_keys(r))
-            types = [("n_shingles", pa.int64()), ("digest", pa.binary()), ("regs", pa.binary()), ("bands", pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([rows["doc_id"], *[pa.array(rows[c], t) for c, t in types]], names=list(rows))
+                n.append(len(s))
+                digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                regs.append(registers(s).tobytes() if len(s) else None)
+            new = [pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], *new], names=[*[f.name for f in kept], "n_shingles", "digest", "regs"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, regs binary, bands array<long>")
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in kept)
+    return docs.mapInArrow(run, f"{schema}n_shingles long, digest binary, regs binary")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and its sorted distinct shingle hashes."""
+    """node (digest of the set) and the sorted distinct shingle hashes of each row's text."""
 
     def run(batches):
         words = _Words()
         for batch in batches:
-            sets = [shingle_set(t.as_py(), words).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "items"])
+            sets = [shingle_set(t.as_py(), words) for t in batch.column(0)]
+            node = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "items"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, items array<long>")
+    return docs.select("text").mapInArrow(run, "node binary, items array<long>")
 
 
-def _only(df: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """Rows of df whose doc_id is among n distinct ids."""
-    return df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+def _matrix(column, kind=np.uint16) -> np.ndarray:
+    blobs = column.to_pylist()
+    return np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), -1)
 
 
-def _floor(threshold: float) -> float:
-    return float(threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / REGISTERS))
-
-
-def _wide(reps: DataFrame) -> DataFrame:
-    """doc_id with its set size, its bands and its registers as an array."""
+def _keyed(classes: DataFrame) -> DataFrame:
+    """(bucket, band, node): 25 rows a sketch."""
 
     def run(batches):
         for b in batches:
-            regs = [np.frombuffer(r.as_py(), np.uint16).astype(np.int32) for r in b.column(3)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(regs, pa.list_(pa.int32()))], names=["doc_id", "n", "bands", "regs"])
+            if b.num_rows:
+                keys = np.stack([band_keys(r) for r in _matrix(b.column(1))])
+                take = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows)), b.column(0).take(take)], names=["bucket", "band", "node"])
+
+    return classes.select("node", "regs").mapInArrow(run, "bucket long, band int, node binary")
+
+
+def _floor(share: float) -> float:
+    return float(share - MARGIN * np.sqrt(share * (1 - share) / REGISTERS))
 
-    return reps.select("doc_id", "n_shingles", "bands", "regs").mapInArrow(run, "doc_id long, n long, bands array<long>, regs array<int>")
 
+def _likely(same: np.ndarray, x, y, nx, ny, band, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mask of pairs (rows of x and y, whose equal registers are ``same``) that neither sizes nor registers rule out and
+    whose first common band is ``band``; and the estimates of these. A pair so meets once, in one of its buckets."""
+    least = _floor(share)
+    ok = (same.sum(1) >= REGISTERS * least - 4) & ((1 + share) * np.minimum(nx, ny) >= share * (nx + ny) - 1e-6)
+    at = np.flatnonzero(ok)
+    first = same[at, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(2).argmax(1)
+    at = at[first == np.broadcast_to(band, ok.shape)[at]]
+    est = estimate(x[at], y[at], nx[at].astype(float), ny[at].astype(float)) if len(at) else np.empty(0)
+    return at[est >= least], est[est >= least]
 
-def _likely(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (a, b, na, nb, ra, rb), those that the estimate doesn't rule out."""
-    least = _floor(threshold)
+
+def _star(rows: DataFrame, threshold: int) -> DataFrame:
+    """Of rows (band, node, n, regs, leader, ln, lregs) the likely pairs (a, b)."""
 
     def run(batches):
         for t in batches:
             if t.num_rows:
-                x, y = (t.column(k).flatten().to_numpy().reshape(t.num_rows, -1) for k in (4, 5))
-                na, nb = (t.column(k).to_numpy().astype(float) for k in (2, 3))
-                keep = pa.array(estimate(x, y, na, nb) >= least)
-                yield t.select(["a", "b"]).filter(keep)
+                x, y = _matrix(t.column(3)), _matrix(t.column(6))
+                nx, ny, band = (t.column(k).to_numpy() for k in (2, 5, 0))
+                at, _ = _likely(x == y, x, y, nx, ny, band, threshold / 100)
+                yield pa.RecordBatch.from_arrays([t.column(1).take(pa.array(at)), t.column(4).take(pa.array(at))], names=["a", "b"])
+
+    return rows.select("band", "node", "n", "regs", "leader", "ln", "lregs").mapInArrow(run, "a binary, b binary")
+
+
+def _block_pairs(regs, n, band: int, label, side, share: float, tile: int = 64):
+    """(i, j, estimate) of the likely pairs with different labels: all of one block, or across two sides."""
+    left = np.flatnonzero(side == side.min())
+    right = np.flatnonzero(side == side.max())
+    whole = side.min() == side.max()
+    for k in range(0, len(left), tile):
+        i = left[k : k + tile]
+        same = regs[i][:, None, :] == regs[right][None, :, :]
+        open_ = label[i][:, None] != label[right][None, :]
+        if whole:
+            open_ &= i[:, None] < right[None, :]
+        p, q = np.nonzero(open_ & (same.sum(2) >= REGISTERS * _floor(share) - 4))
+        at, est = _likely(same[p, q], regs[i[p]], regs[right[q]], n[i[p]], n[right[q]], band, share)
+        if len(at):
+            yield i[p[at]], right[q[at]], est
+
+
+def _blocks(members: DataFrame, size: int) -> DataFrame:
+    """Deals members(bucket, ...) out to tasks so that any two of a bucket meet in one: a bucket is cut into blocks of
+    about ``size`` rows, and each pair of blocks is a group (bucket, lo, hi) of its own; side is the row's block."""
+    count = members.groupBy("bucket").agg(F.ceil(F.count("*") / size).cast("int").alias("_n"))
+    rows = members.join(count, "bucket").withColumn("side", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    rows = rows.withColumns({"lo": F.least("side", "_o"), "hi": F.greatest("side", "_o")}).drop("_n", "_o")
+    return rows.repartition(partitions(rows), "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+
+
+def _with_likely_partner(rows: DataFrame, threshold: int) -> DataFrame:
+    """(bucket, band, node) of the members that some other member of the bucket may link with."""
+
+    def run(batches):
+        for keys, t in by_key(batches, 3):
+            regs, n, side = _matrix(t.column("regs")), t.column("n").to_numpy(), t.column("side").to_numpy()
+            label, band, hit = np.array(t.column("label").to_pylist(), object), t.column("band")[0].as_py(), np.zeros(t.num_rows, bool)
+            for i, j, _ in _block_pairs(regs, n, band, label, side, threshold / 100):
+                hit[i] = hit[j] = True
+            if hit.any():
+                node = t.column("node").filter(pa.array(hit)).combine_chunks()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), keys[0])), pa.array(np.full(len(node), band, np.int32)), node], names=["bucket", "band", "node"])
+
+    return rows.select("bucket", "lo", "hi", "side", "band", "node", "label", "n", "regs").mapInArrow(run, "bucket long, band int, node binary")
 
-    return pairs.mapInArrow(run, "a long, b long")
+
+def _linked(rows: DataFrame, threshold: int) -> DataFrame:
+    """Edges (a, b) between members whose full sets reach the threshold, as few as join what they join."""
+
+    def run(batches):
+        for _, t in by_key(batches, 3):
+            regs, n, side = _matrix(t.column("regs")), t.column("n").to_numpy(), t.column("side").to_numpy()
+            names, label, band = t.column("node").to_pylist(), np.array(t.column("label").to_pylist(), object), t.column("band")[0].as_py()
+            sets = [np.asarray(x.values) for x in t.column("items")]
+            pairs = [(e, i, j) for p, q, est in _block_pairs(regs, n, band, label, side, threshold / 100) for e, i, j in zip(est, p, q, strict=True)]
+            up = {x: x for x in label}
+
+            def root(x, up=up):
+                while up[x] != x:
+                    up[x] = up[up[x]]
+                    x = up[x]
+                return x
+
+            edges = []
+            for _, i, j in sorted(pairs, key=lambda p: -p[0]):
+                a, b = root(label[i]), root(label[j])
+                if a != b:
+                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * common >= threshold * (len(sets[i]) + len(sets[j]) - common):
+                        up[a] = b
+                        edges.append((names[i], names[j]))
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    return rows.select("bucket", "lo", "hi", "side", "band", "node", "label", "n", "regs", "items").mapInArrow(run, "a binary, b binary")
+
+
+def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """The shingle sets of ``nodes``, one row each, cut again from one text of each class; sets are never kept for the
+    whole corpus."""
+    wanted = scratch.save(classes.join(nodes.select("node").distinct(), "node", "left_semi").select("node", "row_key"))
+    keys = broadcast_if_small(wanted.select("row_key"))
+    sets = shingle_sets(docs.join(keys, "row_key", "left_semi"))
+    return scratch.save(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+
+
+def links(docs: DataFrame, classes: DataFrame, threshold: int, scratch: Scratch) -> DataFrame | None:
+    """Edges (a, b) that join the classes as all links over the threshold do; None without any candidate."""
+    keyed = _keyed(classes)
+    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    buckets = scratch.save(keyed.join(sizes, "bucket"))
+    if buckets.isEmpty():
+        return None
+    fame = buckets.groupBy("node").agg(F.sum("members").alias("fame"))
+    state = scratch.save(buckets.drop("members").join(classes.select("node", "n", "regs"), "node").join(fame, "node"))
+    scratch.drop(buckets)
+    lead = state.groupBy("bucket").agg(F.max(F.struct("fame", "node", "n", "regs")).alias("l"))
+    met = state.join(lead, "bucket").where("node <> l.node").select("band", "node", "n", "regs", F.col("l.node").alias("leader"), F.col("l.n").alias("ln"), F.col("l.regs").alias("lregs"))
+    pairs = scratch.save(_star(met, threshold))
+    sets = _sets(docs, classes, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), scratch)
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b")
+    both = both.select("a", "b", F.size("ia").alias("na"), F.size("ib").alias("nb"), F.size(F.array_intersect("ia", "ib")).alias("common"))
+    edges = scratch.save(both.where(100 * F.col("common") >= threshold * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"))
+    scratch.drop(pairs, sets)
+    # what a class is joined with so far: the smallest of its partners, then that one's own
+    ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = scratch.save(ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+    label = near.join(near.select(F.col("a").alias("m"), F.col("m").alias("m2")), "m", "left").select(F.col("a").alias("node"), F.coalesce("m2", "m").alias("label"))
+    marked = state.drop("fame").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_ = marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    members = scratch.save(marked.join(open_, "bucket", "left_semi"))
+    left = scratch.save(_with_likely_partner(_blocks(members, SKETCH_BLOCK), threshold).distinct())
+    scratch.drop(state, near)
+    if not left.isEmpty():
+        full = left.join(members.select("bucket", "node", "label", "n", "regs"), ["bucket", "node"]).join(_sets(docs, classes, left, scratch), "node")
+        edges = edges.unionByName(scratch.save(_linked(_blocks(full, SET_BLOCK), threshold)))
+    scratch.drop(members, left)
+    return edges
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, scratch: Scratch | None = None) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept.
+    """Per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept; and row_key, a hash of doc_id and text,
+    and group, the same for all rows of a component (null for rows without shingles).
 
     Documents are linked if 100 * intersection >= threshold * union of their shingle sets. A text of
     fewer than five words is one shingle; null, empty and blank texts have none and link with nothing
-    (component_id = doc_id, kept). Of rows that repeat a doc_id one text stands for
-    all in comparisons; a row without doc_id links with nothing (component_id null, kept).
+    (component_id = doc_id, kept). Rows that repeat a doc_id are documents of their own, whatever their texts. A row
+    without doc_id is compared like any other; component_id is the smallest doc_id that it reaches, null if there is
+    none, and it is kept in that case. Other columns aren't read; an empty table gives an empty result.
 
     Equal sets become one class first, so exact copies cost nothing further. A band's bucket isn't
-    expanded into pairs: in each round every bucket whose members lie in several components compares
-    its leaders with its other members only, the leaders being those whose buckets hold most
-    documents (a group's hub); confirmed links join components, and leaders leave the bucket, having
-    been compared with all of it. Leaders grow manifold every round, so every pair of a bucket is in one
-    component or has been compared when a bucket closes: no link found by a band is lost, and dense
-    groups close after a round or two.
+    expanded into pairs: each member first meets the bucket's leader, the member whose buckets hold most
+    documents (a group's hub). What that leaves in several components is compared in blocks, sketches first; members
+    without a likely partner go, the others bring their full sets. No link found by a band is lost. A bucket of m members
+    that stay apart costs m * m / 2 comparisons of sketches, spread over tasks of bounded size.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "setsketch")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    unnamed = sketch(docs.where("doc_id is null")).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    docs = docs.where("doc_id is not null")
-    all_docs = scratch.save(sketch(docs))
-    classes = all_docs.where("n_shingles > 0").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    classes = scratch.save(classes)
-    reps = all_docs.join(classes.select(F.col("rep").alias("doc_id"), F.col("digest").alias("_d")).distinct(), "doc_id", "left_semi")
-    reps = scratch.save(reps.where("n_shingles > 0").dropDuplicates(["doc_id"]))
-    keyed = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    buckets = scratch.save(keyed.join(sizes, "bucket"))
-    fame = scratch.save(buckets.groupBy("doc_id").agg(F.sum("members").alias("fame")))
-    label = None
-    if not fame.isEmpty():
-        facts = fame.join(_wide(reps), "doc_id").withColumn("own", F.lit(0).cast("long"))
-        state = buckets.select("bucket", "doc_id").join(facts, "doc_id").withColumn("component", F.col("doc_id"))
-        leaders_each, edges = 1, None
-        while True:
-            open_ = state.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-            state = scratch.save(state.join(open_, "bucket", "left_semi") if edges is not None else state)
-            if state.isEmpty():
-                break
-            if leaders_each == GROWTH:
-                state = scratch.save(_with_own(state, docs, threshold, scratch))
-            salt = F.pmod(F.xxhash64("doc_id", F.lit(leaders_each)), F.lit(leaders_each))
-            best = F.max(F.struct("fame", (-F.col("doc_id")).alias("minus"), F.col("component").alias("c"), "n", "own", "bands", "regs"))
-            names = {"leader": -F.col("top.minus"), "lc": F.col("top.c"), "ln": F.col("top.n"), "lown": F.col("top.own"), "lbands": F.col("top.bands"), "lregs": F.col("top.regs")}
-            lead = state.groupBy("bucket", salt.alias("salt")).agg(best.alias("top")).select("bucket", *[c.alias(k) for k, c in names.items()])
-            lead = scratch.save(lead)
-            # a pair meets once, in the first band that it shares, if neither its sizes nor its registers rule it out
-            common = F.least(F.col("n") - F.col("own"), F.col("ln") - F.col("lown"))
-            can = (F.col("component") != F.col("lc")) & ((100 + threshold) * common >= threshold * (F.col("n") + F.col("ln")))
-            first = F.array_position(F.zip_with("bands", "lbands", lambda x, y: x == y), True)
-            equal = F.aggregate(F.zip_with("regs", "lregs", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-            seen = (F.get("bands", (first - 1).cast("int")) == F.col("bucket")) & (equal >= REGISTERS * _floor(threshold / 100))
-            # two leaders of a bucket meet once
-            flagged = state.join(lead.select("bucket", F.col("leader").alias("doc_id"), F.lit(True).alias("leads")), ["bucket", "doc_id"], "left")
-            can = can & (F.col("leads").isNull() | (F.col("leader") < F.col("doc_id"))) & seen
-            met = flagged.join(lead, "bucket").where(can).select(F.col("doc_id").alias("a"), F.col("leader").alias("b"), F.col("n").alias("na"), F.col("ln").alias("nb"), F.col("regs").alias("ra"), F.col("lregs").alias("rb"))
-            new = scratch.save(_verified(scratch.save(_likely(met, threshold / 100)), docs, threshold, scratch))
-            rest = flagged.where("leads is null").drop("leads")
-            if edges is None or not new.isEmpty():
-                edges = new if edges is None else edges.unionByName(new)
-                label = scratch.save(components(edges, scratch).select(F.col("id").alias("doc_id"), "component"))
-                rest = rest.drop("component").join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-            state = rest
-            leaders_each *= GROWTH
-    rows = all_docs.select("doc_id", "n_shingles", "digest").join(classes, ["digest", "n_shingles"], "left")
-    if label is not None:
-        rows = rows.join(label.withColumnRenamed("doc_id", "rep"), "rep", "left")
-        rows = rows.withColumn("component_id", F.coalesce("component", "rep", "doc_id"))
-    else:
-        rows = rows.withColumn("component_id", F.coalesce("rep", "doc_id"))
-    return rows.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept")).unionByName(unnamed)
-
-
-def _with_own(state: DataFrame, docs: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
-    """The members of open buckets that can still link, with ``own``, the number of their shingles that
-    no other open member has. A pair shares at most what isn't own in either, which rules out most pairs of
-    a large group's widely edited copies before they are formed; a member with too many links with none.
-    """
-    ids = scratch.save(state.select("doc_id").distinct())
-    sets = shingle_sets(_only(docs, ids, ids.count()).dropDuplicates(["doc_id"]))
-    single = sets.select("doc_id", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("k"), F.min("doc_id").alias("doc_id")).where("k = 1")
-    own = single.groupBy("doc_id").agg(F.count("*").alias("own"))
-    out = state.drop("own").join(own, "doc_id", "left").withColumn("own", F.coalesce("own", F.lit(0)).cast("long"))
-    return out.where((100 - threshold) * F.col("n") >= 100 * F.col("own")).select(*state.columns)
-
-
-def _verified(likely: DataFrame, docs: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets reach the threshold. Only the texts of documents in
-    pairs are cut into shingles again; sets are never kept for the whole corpus."""
-    ids = scratch.save(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct())
-    sets = scratch.save(shingle_sets(_only(docs, ids, ids.count()).dropDuplicates(["doc_id"])))
-    both = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("ib")), "b")
-
-    n = both.select("a", "b", F.size("ia").alias("na"), F.size("ib").alias("nb"), F.size(F.array_intersect("ia", "ib")).alias("common"))
-    out = n.where(100 * F.col("common") >= threshold * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
-    return out
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row_key", F.xxhash64("doc_id", "text"))
+    every = scratch.save(sketch(docs))
+    one = every.where("n_shingles > 0").groupBy(F.col("digest").alias("node"))
+    classes = scratch.save(one.agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("regs").alias("regs"), F.min("row_key").alias("row_key")))
+    edges = links(docs, classes, threshold, scratch)
+    group = classes.select("node", "rep").withColumn("group", F.col("node"))
+    if edges is not None and not edges.isEmpty():
+        part = scratch.save(components(edges, scratch).select(F.col("id").alias("node"), "component"))
+        low = part.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("low"))
+        part = part.join(low, "component")
+        group = group.drop("group").join(part, "node", "left").select("node", F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("low")).alias("rep"), F.coalesce("component", "node").alias("group"))
+    rows = every.select("doc_id", "n_shingles", "row_key", "digest").join(group.withColumnRenamed("node", "digest"), "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("rep"))
+    rows = rows.withColumn("component_id", component)
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row_key", "group")
