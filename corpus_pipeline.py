@@ -1,21 +1,31 @@
-"""From raw documents to a mixed training corpus: five stages, each on all that the one before kept."""
+"""From raw documents to a mixed training corpus: five stages, each on all that the one before kept.
+
+Rows whose doc_id is null or repeats are judged by doc_id and text together; texts are read whole; null and empty texts
+go with the first stage; columns that aren't needed pass through, whatever their names; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from newsloom.llm import decontaminate, language_id, mixing, secret_scan, setsketch
-from newsloom.llm.shared import Scratch, table
+from newsloom.llm.shared import Scratch, broadcast_if_small, table
 
 #: Language scores below this (no profile is any nearer than chance) count as no language.
 LANGUAGE_SCORE = 0.02
-BROADCAST_IDS = 1_000_000
+#: Near duplicates share so many per cent of their five-word shingles.
+NEAR = 80
+
+
+def _keyed(docs):
+    """``docs`` with a hash of doc_id and text, by which a row is known: doc_ids can repeat or be null."""
+    return docs.withColumn("row_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
 
 
-def _without(docs, ids):
-    """``docs`` without those whose doc_id is in ``ids``; up to BROADCAST_IDS ids are broadcast, more are shuffled."""
-    ids = Scratch(docs.sparkSession, "ids").save(ids.select("doc_id").distinct())
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
+def _only(docs, rows, how):
+    """Rows of ``docs`` (with row_key) whose doc_id and text are those of a row of ``rows``, or not."""
+    rows = broadcast_if_small(rows.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")))
+    return docs.join(rows, (F.col("row_key") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), how)
 
 
 def language(spark, docs, sf_dir):
@@ -25,13 +35,31 @@ def language(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """The document with the smallest doc_id of each near-duplicate group stays."""
-    return _without(docs, setsketch.near_duplicates(docs).where("not kept"))
+    """One document of each near-duplicate group stays: that with the smallest doc_id (null last), then the smallest
+    hash of its text; of rows that repeat it one. Texts without a word are in no group and stay."""
+    scratch = Scratch(spark, "unique")
+    judged = scratch.save(setsketch.near_duplicates(docs, NEAR).where("group is not null"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
+    best = judged.groupBy("group").agg(first.alias("f"), F.count("*").alias("n")).where("n > 1").select("f.doc_id", "f.row_key")
+    best = scratch.save(best.withColumn("best", F.lit(True)))
+    groups = judged.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
+    several = judged.join(groups, "group", "left_semi").groupBy("doc_id", "row_key").agg(F.count("*").alias("n"))
+    several = several.join(best.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "best"), (F.col("row_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    several = scratch.save(several.select("doc_id", "row_key", "n", F.coalesce("best", F.lit(False)).alias("best")))
+    keyed = _keyed(docs)
+    kept = _only(keyed, several.where("not best or n > 1"), "left_anti")
+    repeated = scratch.save(several.where("best and n > 1"))
+    if not repeated.isEmpty():  # one of the rows that are alike in doc_id and text
+        kept = kept.unionByName(_only(keyed, repeated, "left_semi").dropDuplicates(["row_key", "doc_id"]))
+    return kept.select(docs.columns)
 
 
 def decontamination(spark, docs, sf_dir):
-    """Documents that hold a benchmark item go."""
-    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    """Documents that hold a benchmark item go, those without doc_id too; others that share a doc_id with one stay."""
+    keyed = _keyed(docs)
+    found = decontaminate.contaminated(keyed.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), "row_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    found = Scratch(spark, "ids").save(found.select("doc_id.doc_id", "doc_id.row_key").distinct())
+    return _only(keyed, found, "left_anti").select(docs.columns)
 
 
 def secrets(spark, docs, sf_dir):
@@ -42,8 +70,8 @@ def secrets(spark, docs, sf_dir):
 
 
 def mixing_stage(spark, docs, sf_dir):
-    """Every document with the words that the mix takes from it."""
-    return mixing.mix(docs)
+    """The mixed corpus: documents as often as the mix takes them, the last copy cut where a target ends."""
+    return mixing.mixed_rows(mixing.mix(docs))
 
 
 STAGES = [
