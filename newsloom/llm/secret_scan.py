@@ -73,8 +73,8 @@ def labelled_findings(docs: DataFrame, rows: int = FIT_DOCS) -> DataFrame:
     are assigned (label 1); card and phone numbers, identifiers, paths, dates, versions, and digests that are
     named as such or stand bare, words and placeholders after a keyword, and made-up values in samples (label 0)."""
     base = first_by_hash(docs.where("text is not null").select("doc_id", "text"), rows, "doc_id", "text")
-    ws = F.split(F.lower("text"), r"[^a-z]+")
-    pick = lambda k: F.coalesce(F.nullif(F.get(ws, k), F.lit("")), F.lit("page"))
+    base = base.select("doc_id", F.slice(F.split(F.lower("text"), r"[^a-z]+"), 1, 7).alias("ws"))
+    pick = lambda k: F.coalesce(F.nullif(F.get("ws", F.lit(k)), F.lit("")), F.lit("page"))
     seed = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rnd = lambda k: F.sha2(F.concat(seed, F.lit(f"/{k}")), 256)
     b64 = lambda k: F.regexp_replace(F.base64(F.unhex(rnd(k))), r"[\r\n=]", "")
