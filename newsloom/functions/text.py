@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 #: JavaScript's word boundary and white space, spelled out: Java's know Unicode differently (fixed values).
 JS_B = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 JS_S = r"[\s   -     　﻿]"
-#: Kinds of facts in the order in which they are looked for; a later match never overlaps an earlier one.
+#: Kinds of facts in the order in which they are looked for; a later match never overlaps an earlier one (fixed values).
 FACTS = [
     ("DATE_TIME", JS_B + r"(?:\d{4}-\d{2}-\d{2}|\d{1,2}[/-]\d{1,2}[/-]\d{4})(?:[ T]\d{1,2}:\d{2}(?::\d{2})?(?:Z|[+-]\d{2}:?\d{2})?)?" + JS_B),
     ("CURRENCY", r"(?iu)(?:[$€£]\s?\d[\d.,]*(?:\s?(?:million|billion|triệu|tỷ))?|" + JS_B + r"(?:USD|EUR|GBP|VND)\s?\d[\d.,]*(?:\s?(?:million|billion|triệu|tỷ))?|" + JS_B + r"\d[\d.,]*\s?(?:triệu|tỷ)\s?(?:đồng|VND)" + JS_B + ")"),
@@ -20,6 +20,7 @@ FACTS = [
     ("PRODUCT_VERSION", r"(?iu)" + JS_B + r"(?:GPT-?\d+(?:\.\d+)?|iPhone\s+\d+(?:\s+(?:Pro|Max|Plus))?|iOS\s+\d+(?:\.\d+)*|Android\s+\d+(?:\.\d+)*|v(?:ersion\s*)?\d+(?:\.\d+){1,3})" + JS_B),
     ("NUMBER", JS_B + r"\d+(?:[.,]\d+)?" + JS_B),
 ]
+#: Words and patterns of claims (fixed values).
 LEAD_WORDS = ["according", "the", "a", "an", "in", "on", "after", "before", "theo", "cập"]
 DIRECTIONS = r"(?iu)(?<!\p{L})(?:tăng|giảm|giữ nguyên|rise|rises|rose|increase|increased|fall|falls|fell|decrease|decreased|unchanged)(?!\p{L})"
 CERTAINTY = r"(?iu)(?<!\p{L})(may|might|could|likely|unlikely|confirmed|dự kiến|có thể|nhiều khả năng|xác nhận)(?!\p{L})"
@@ -27,6 +28,13 @@ ATTRIBUTION = r"(?iu)(?:according to|theo)\s+([^,.;:]{2,120})"
 VIETNAMESE = "ăâđêôơưáàảãạắằẳẵặấầẩẫậéèẻẽẹếềểễệíìỉĩịóòỏõọốồổỗộớờởỡợúùủũụứừửữựýỳỷỹỵ"
 
 
+#: Ranges of characters that NFC or NFKC leave as they are (fixed values): none of them composes with another.
+STABLE = {
+    "NFC": r"\x00-\u02FF\u1EA0-\u1EF9\u2010-\u2027\u2030-\u205E\u20AC\u3400-\u4DBF\u4E00-\u9FFF",
+    "NFKC": r"\x00-\x9F\xA1-\xA7\xA9\xAB-\xAE\xB0\xB1\xB6\xB7\xBB\xBF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u01A0\u01A1\u01AF\u01B0\u1EA0-\u1EF9\u2013\u2014\u2018-\u201A\u201C-\u201E\u20AC\u4E00-\u9FFF",
+}
+
+
 def _unicode(form: str):
     @F.pandas_udf(StringType())
     def normal(s: pd.Series) -> pd.Series:
@@ -36,8 +44,10 @@ def _unicode(form: str):
 
 
 def unicode_form(text: Column, form: str = "NFC") -> Column:
-    """Unicode normal form; texts in ASCII, which no form changes, skip the Python worker's result."""
-    return F.when(F.rlike(text, F.lit(r"^\p{ASCII}*$")), text).otherwise(_unicode(form)(text))
+    """Unicode normal form. Texts of characters that the form leaves as they are, alone and next to each other, stay in the
+    JVM: the Python worker gets a null in their place."""
+    same = F.rlike(text, F.lit(f"^[{STABLE['NFKC' if form in ('NFKC', 'NFKD') else 'NFC']}]*+$")) if form in ("NFC", "NFKC") else F.rlike(text, F.lit(r"^\p{ASCII}*+$"))
+    return F.when(same, text).otherwise(_unicode(form)(F.when(~same, text)))
 
 
 def js_trim(text: Column) -> Column:
@@ -146,7 +156,7 @@ def claim_rows(docs, id_col: str = "content_id", text_col: str = "content"):
     t = F.col("text")
     return s.select(
         id_col, "position", "text", "start", "end", F.when(F.size(directions(t)) > 0, "DIRECTIONAL_STATEMENT").otherwise("FACTUAL_STATEMENT").alias("type"),
-        F.sha2(js_trim(t), 256).alias("claim_hash"), facts(t).alias("facts"), entities(t).alias("entities"), directions(t).alias("directions"), attribution(t).alias("attribution"), certainty(t).alias("certainty"),
+        F.sha2(js_trim(t), 256).alias("claim_hash"), facts(t).alias("facts"), F.array_distinct(F.concat(entities(t), F.array_compact(F.array(attribution(t))))).alias("entities"), directions(t).alias("directions"), attribution(t).alias("attribution"), certainty(t).alias("certainty"),
     )
 
 
@@ -183,7 +193,7 @@ def summary(text: Column) -> Column:
 
 def fold_accents(text: Column) -> Column:
     """NFD without combining marks, lower-cased; đ stays."""
-    return F.lower(F.regexp_replace(_unicode("NFD")(text), "[̀-ͯ]", ""))
+    return F.lower(F.regexp_replace(unicode_form(text, "NFD"), "[̀-ͯ]", ""))
 
 
 def locale(raw: Column, hans: bool = False) -> Column:

@@ -28,49 +28,16 @@ def token_hits(left: DataFrame, left_key: str, left_tokens: str, right: DataFram
     return a.join(b, "token").groupBy(left_key, right_key).agg(F.count("*").alias(name))
 
 
-def candidates(users: DataFrame, contents: DataFrame) -> DataFrame:
-    """(user_id, content_id, topic_hits, market_hits, globally_important, relevance): content of a
-    followed topic or market, or important to all. Pairs come from joins on topics and markets and a
-    join with important content; no pair is formed only to be tested."""
-    markets = users.withColumn("all_markets", F.array_distinct(F.concat(F.array("home_market"), "followed_markets")))
-    topics = token_hits(users, "user_id", "interests", contents, "content_id", "topics", "topic_hits")
-    places = token_hits(markets, "user_id", "all_markets", contents, "content_id", "markets", "market_hits")
-    important = users.select("user_id").join(contents.where(F.col("importance") >= GLOBAL_IMPORTANCE).select("content_id"), F.lit(True))
-    zero = F.lit(0).cast("long")
-    every = (
-        topics.select("user_id", "content_id", "topic_hits", zero.alias("market_hits"), zero.alias("gi"))
-        .unionByName(places.select("user_id", "content_id", zero.alias("topic_hits"), "market_hits", zero.alias("gi")))
-        .unionByName(important.select("user_id", "content_id", zero.alias("topic_hits"), zero.alias("market_hits"), F.lit(1).cast("long").alias("gi")))
-    )
-    one = every.groupBy("user_id", "content_id").agg(F.sum("topic_hits").alias("topic_hits"), F.sum("market_hits").alias("market_hits"), F.max("gi").alias("gi"))
-    w = RELEVANCE
-    relevance = F.least(F.lit(1.0), w["topics"] * F.col("topic_hits") + w["markets"] * F.col("market_hits") + w["important"] * F.col("gi"))
-    return one.select("user_id", "content_id", "topic_hits", "market_hits", (F.col("gi") == 1).alias("globally_important"), F.round(relevance, 6).alias("relevance"))
-
-
-def candidates_by_topic(users: DataFrame, contents: DataFrame) -> DataFrame:
-    """As ``candidates``, of content that shares a topic with the user; market hits and importance
-    come as columns of the joined pair, without a join of their own."""
-    hits = token_hits(users, "user_id", "interests", contents, "content_id", "topics", "topic_hits")
-    pair = hits.join(users.select("user_id", "home_market", "followed_markets"), "user_id").join(contents.select("content_id", "markets", "importance"), "content_id")
-    wanted = F.array_distinct(F.concat(F.array("home_market"), "followed_markets"))
-    market_hits = F.size(F.array_intersect("markets", wanted)).cast("long")
-    important = F.col("importance") >= GLOBAL_IMPORTANCE
-    w = RELEVANCE
-    relevance = F.least(F.lit(1.0), w["topics"] * F.col("topic_hits") + w["markets"] * market_hits + w["important"] * important.cast("int"))
-    return pair.select("user_id", "content_id", "topic_hits", market_hits.alias("market_hits"), important.alias("globally_important"), F.round(relevance, 6).alias("relevance"))
-
-
 def _normal(c: Column) -> Column:
     return F.trim(F.lower(unicode_form(c, "NFKC")))
 
 
 def entity_hits(users: DataFrame, contents: DataFrame) -> DataFrame:
-    """(user_id, content_id, entity_matches): the content's entities that are among the user's, names and aliases,
-    in normal form."""
+    """(user_id, content_id, entity_matches, first_entity): the content's entities that are among the user's, names and
+    aliases, in normal form, and the first of them in the content's order."""
     a = users.select("user_id", F.explode("entities").alias("e")).where("e is not null").select("user_id", _normal(F.col("e")).alias("token")).distinct()
-    b = contents.select("content_id", F.explode(F.array_distinct("entities")).alias("e")).where("e is not null").select("content_id", "e", _normal(F.col("e")).alias("token"))
-    return a.join(b, "token").groupBy("user_id", "content_id").agg(F.count("*").alias("entity_matches"))
+    b = contents.select("content_id", F.posexplode(F.array_distinct("entities")).alias("at", "e")).where("e is not null").select("content_id", "at", "e", _normal(F.col("e")).alias("token"))
+    return a.join(b, "token").groupBy("user_id", "content_id").agg(F.count("*").alias("entity_matches"), F.min_by("e", "at").alias("first_entity"))
 
 
 def keyword_hits(users: DataFrame, contents: DataFrame) -> DataFrame:
@@ -85,7 +52,7 @@ def keyword_hits(users: DataFrame, contents: DataFrame) -> DataFrame:
 
 def candidates_any(users: DataFrame, contents: DataFrame) -> DataFrame:
     """Content that any one reason gives a user: a shared topic, entity, keyword or market, or importance to all.
-    Columns as ``candidates``, with ``entity_matches`` and ``keyword_hits``. A pair is formed once, by the first of its
+    (user_id, content_id, hits of each kind, relevance, first_entity). A pair is formed once, by the first of its
     topics, else of its markets, else by importance, so nothing is summed over pairs; entities and keywords are read where
     both tables have them (``entities``; ``keywords`` and the content's ``title`` and ``content``)."""
     full = lambda c: F.array_compact(F.coalesce(c, F.array().cast("array<string>")))
@@ -103,19 +70,73 @@ def candidates_any(users: DataFrame, contents: DataFrame) -> DataFrame:
     if "entities" in users.columns and "entities" in contents.columns:
         more = entity_hits(users, contents).withColumn("keyword_hits", zero)
     if "keywords" in users.columns and {"title", "content"} <= set(contents.columns):
-        k = keyword_hits(users, contents).withColumn("entity_matches", zero)
+        k = keyword_hits(users, contents).withColumn("entity_matches", zero).withColumn("first_entity", F.lit(None).cast("string"))
         more = k if more is None else more.unionByName(k)
     if more is None:
-        pairs = pairs.withColumn("entity_matches", zero).withColumn("keyword_hits", zero)
+        pairs = pairs.withColumn("entity_matches", zero).withColumn("keyword_hits", zero).withColumn("first_entity", F.lit(None).cast("string"))
     else:
-        more = more.groupBy("user_id", "content_id").agg(F.sum("entity_matches").alias("entity_matches"), F.sum("keyword_hits").alias("keyword_hits"))
+        more = more.groupBy("user_id", "content_id").agg(F.sum("entity_matches").alias("entity_matches"), F.sum("keyword_hits").alias("keyword_hits"), F.max("first_entity").alias("first_entity"))
         # pairs that only an entity or a keyword makes have no topic, market or importance
         pairs = pairs.join(more, ["user_id", "content_id"], "full").na.fill(0, ["topic_hits", "market_hits", "entity_matches", "keyword_hits"]).na.fill(False, ["globally_important"])
     w = RELEVANCE
     score = w["topics"] * F.col("topic_hits") + w["entities"] * F.col("entity_matches") + w["keywords"] * F.col("keyword_hits") + w["markets"] * F.col("market_hits") + w["important"] * F.col("globally_important").cast("int")
-    return pairs.select("user_id", "content_id", "topic_hits", "market_hits", "globally_important", "entity_matches", "keyword_hits", F.round(F.least(F.lit(1.0), score), 6).alias("relevance"))
+    return pairs.select("user_id", "content_id", "topic_hits", "market_hits", "globally_important", "entity_matches", "keyword_hits", F.round(F.least(F.lit(1.0), score), 6).alias("relevance"), "first_entity")
+
+
+#: What a user's candidates and scores depend on.
+PROFILE = ["locale", "interests", "home_market", "followed_markets", "entities", "keywords"]
+
+
+def profiles(users: DataFrame) -> DataFrame:
+    """The distinct profiles of users, with a hash of the profile as user_id. Users of one profile match and rank alike,
+    so that matching and ranking are done once a profile, and users joined to the result."""
+    cols = [c for c in PROFILE if c in users.columns]
+    return users.select(*cols).distinct().withColumn("user_id", F.xxhash64(*cols))
+
+
+def to_users(result: DataFrame, users: DataFrame) -> DataFrame:
+    """Rows of ``result(user_id of a profile, ...)`` for each user of the profile."""
+    cols = [c for c in PROFILE if c in users.columns]
+    return result.withColumnRenamed("user_id", "_p").join(users.select("user_id", F.xxhash64(*cols).alias("_p")), "_p").drop("_p")
+
+
+def latest_localization(localizations: DataFrame) -> DataFrame:
+    """The verified localization of each content and locale that was verified last (without a time first), ties by id."""
+    order = Window.partitionBy("content_id", "locale").orderBy(F.col("verified_at").desc_nulls_first(), "localization_id")
+    return localizations.where("status = 'VERIFIED'").withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
+def publishable(contents: DataFrame) -> DataFrame:
+    """Verified contents that are no duplicates."""
+    return contents.where((F.col("provenance_status") == "VERIFIED") & F.col("duplicate_of_id").isNull())
+
+
+def first_of_cluster(ranked: DataFrame) -> DataFrame:
+    """Each user's best item of a cluster; an item without cluster stands for itself."""
+    key = F.coalesce("cluster_id", F.concat(F.lit("content:"), F.col("content_id").cast("string")))
+    order = Window.partitionBy("user_id", key).orderBy(F.col("score").desc(), "content_id")
+    return ranked.withColumn("_c", F.row_number().over(order)).where("_c = 1").drop("_c")
+
+
+def best(ranked: DataFrame, depth: int) -> DataFrame:
+    """Each user's ``depth`` best items by score, then content_id."""
+    order = Window.partitionBy("user_id").orderBy(F.col("score").desc(), "content_id")
+    return ranked.withColumn("_b", F.row_number().over(order)).where(F.col("_b") <= depth).drop("_b")
+
+
+def selected(ranked: DataFrame, contents: DataFrame, localizations: DataFrame, users: DataFrame, depth: int) -> DataFrame:
+    """Of ranked (user, content) pairs those that can be shown: publishable, with a localization in the user's locale;
+    the ``depth`` best of a user, then one a cluster. With localization_id, cluster_id."""
+    good = publishable(contents).select("content_id", "cluster_id")
+    loc = latest_localization(localizations).select("content_id", "locale", "localization_id")
+    r = ranked.join(good, "content_id").join(users.select("user_id", "locale"), "user_id").join(loc, ["content_id", "locale"])
+    return first_of_cluster(best(r, depth))
+
+
+def cluster_sizes(contents: DataFrame) -> DataFrame:
+    """(cluster_id, cluster_size)."""
+    return contents.where("cluster_id is not null").groupBy("cluster_id").agg(F.count("*").alias("cluster_size"))
+
 def ranking_score(relevance: Column, entity_matches: Column, authority: Column, importance: Column, published_at: Column, as_of: Column, markets: Column, home: Column, followed: Column, duplicate: Column, seen: Column) -> Column:
     """Eleven weighted components and the score, as one struct. The score has six places; what is halfway but for
     the error of doubles rounds up."""
@@ -143,16 +164,16 @@ def rank(matches: DataFrame, users: DataFrame, contents: DataFrame, as_of: str)
 
 def diversify(ranked: DataFrame, limit: int, per_publisher: int, per_topic: int, depth: int, user: str = "user_id") -> DataFrame:
     """Greedy top-k of each user: by score, then content_id; an item is skipped if its publisher or
-    topic has its number already. The ``depth`` best of a user are looked at, so arrays stay bounded; a
+    topic (``other`` without one) has its number already. The ``depth`` best of a user are looked at, so arrays stay bounded; a
     fold keeps what was selected."""
     order = Window.partitionBy(user).orderBy(F.col("score").desc(), "content_id")
     top = ranked.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= depth)
-    item = F.struct("_place", "content_id", "score", "publisher", "topic")
+    item = F.struct("_place", "content_id", "score", "publisher", F.coalesce("topic", F.lit("other")).alias("topic"))
     lists = top.groupBy(user).agg(F.sort_array(F.collect_list(item)).alias("items"))
     kind = "array<struct<_place:int,content_id:bigint,score:double,publisher:string,topic:string>>"
 
     def step(taken, x):
-        same = lambda f: F.size(F.filter(taken, lambda t: t[f] == x[f]))
+        same = lambda f: F.size(F.filter(taken, lambda t: t[f].eqNullSafe(x[f])))
         fits = (F.size(taken) < limit) & (same("publisher") < per_publisher) & (same("topic") < per_topic)
         return F.when(fits, F.array_append(taken, x)).otherwise(taken)
 
@@ -177,16 +198,18 @@ def relevance_sentence(first_entity: Column, first_topic: Column, locale: Column
     return F.when(locale == "vi", vi).otherwise(en)
 
 
-def feed_items(feed: DataFrame, contents: DataFrame, users: DataFrame, as_of: str, shared: bool = False) -> DataFrame:
-    """Feed rows with what a client shows: category, type, age, staleness, sentence. With ``shared`` the sentence
-    names the item's first topic that the user follows, if any, and not its first topic."""
+def feed_items(feed: DataFrame, contents: DataFrame, users: DataFrame, localizations: DataFrame, as_of: str) -> DataFrame:
+    """Feed rows ``(user_id, position, content_id, score, publisher, first_entity, localization_id)`` with what a client
+    shows: localized title, category, type, age, staleness, cluster size, and why: the first entity that matched, else the
+    item's first topic that the user follows, if any."""
     age = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros("published_at")) / 3.6e9
-    out = feed.join(contents.select("content_id", "title", "topics", "importance", "published_at"), "content_id").join(users.select("user_id", "locale", *["interests"] * shared), "user_id")
-    said = F.get(F.array_intersect("topics", "interests") if shared else F.col("topics"), F.lit(0))
+    out = feed.join(contents.select("content_id", "topics", "importance", "published_at", "cluster_id"), "content_id").join(users.select("user_id", "locale", "interests"), "user_id")
+    out = out.join(localizations.select("localization_id", "title"), "localization_id").join(cluster_sizes(contents), "cluster_id", "left")
+    said = F.get(F.array_intersect("topics", "interests"), F.lit(0))
     return out.select(
         "user_id", "position", "content_id", "score", "publisher", F.coalesce(F.get("topics", F.lit(0)), F.lit("")).alias("topic_name"), app_category(F.col("topics")).alias("category"),
-        F.when(F.col("importance") >= GLOBAL_IMPORTANCE, "important").otherwise("informational").alias("type"), "title",
-        F.round(F.greatest(F.lit(0.0), age), 1).alias("age_hours"), (age > 168).alias("stale"), relevance_sentence(F.lit(None).cast("string"), said, F.col("locale")).alias("reason"),
+        F.when(F.col("importance") >= GLOBAL_IMPORTANCE, "important").otherwise("informational").alias("type"), "title", F.coalesce("cluster_size", F.lit(1)).cast("long").alias("sources"),
+        F.round(F.greatest(F.lit(0.0), age), 1).alias("age_hours"), (age > 168).alias("stale"), relevance_sentence(F.col("first_entity"), said, F.col("locale")).alias("reason"),
     )
 
 
@@ -209,6 +232,20 @@ def page_after(feed: DataFrame, cursors: DataFrame, size: int) -> DataFrame:
     )
 
 
+def decode_cursor(cursor: Column) -> Column:
+    """(cursor_id, cursor_score) of a cursor; nulls for what isn't one."""
+    text = F.decode(F.unbase64(F.translate(cursor, "-_", "+/")), "UTF-8")
+    x = F.from_json(text, "struct<id:string,score:double>")
+    return F.struct(x.id.try_cast("bigint").alias("id"), x.score.alias("score"))
+
+
+def rebuilt_briefs(items: DataFrame, built: DataFrame, versions: DataFrame) -> DataFrame:
+    """Items of the briefs whose input version isn't that of ``built(user_id, input_version)``: these replace the older ones
+    whole, the others stay as they are. ``versions`` is ``brief_version`` of the items."""
+    new = versions.select("user_id", "input_version").join(built.select("user_id", "input_version"), ["user_id", "input_version"], "left_anti")
+    return items.join(new, "user_id")
+
+
 def brief_version(items: DataFrame, user: str = "user_id") -> DataFrame:
     """SHA-256 over a user's sorted ``id:score:updated`` texts, so that an unchanged brief isn't rebuilt."""
     text = F.concat_ws(":", F.col("content_id").cast("string"), F.call_function("format_number", F.col("score"), F.lit("0.######")), F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss"))

@@ -95,7 +95,8 @@ def extract_articles(pages: DataFrame, html: str = "html", fallback: str = "fall
     distinct = F.filter("_p", lambda x, i: (F.array_position("_k", F.get("_k", i)) == i + 1) & ~F.rlike(x, F.lit(BOILERPLATE)))
     p = p.withColumn("_a", F.array_join(distinct, "\n"))
     meta = t.clean_html(_attribute(h, r"(?i)<meta\b[^>]*(?:name|property)=[\"'](?:description|og:description)[\"'][^>]*>", "content"))
-    ld = F.when(F.contains(h, F.lit("ld+json")), t.clean_html(_json_ld_body(h))) if json_ld else F.lit(None).cast("string")
+    has_ld = F.contains(h, F.lit("ld+json"))
+    ld = F.when(has_ld, t.clean_html(_json_ld_body(F.when(has_ld, h)))) if json_ld else F.lit(None).cast("string")
     p = p.withColumns({"_ld": F.coalesce(ld, F.lit("")), "_m": meta, "canonical_link": _attribute(h, r"(?i)<link\b[^>]*rel=[\"']canonical[\"'][^>]*>", "href")})
     use = lambda a, b, c, d: F.when(F.length("_ld") >= 120, a).when(F.length("_a") >= 120, b).when(F.length("_m") >= 40, c).otherwise(d)
     content = use(F.substring("_ld", 1, MAX_ARTICLE), F.substring("_a", 1, MAX_ARTICLE), F.col("_m"), F.col(fallback) if fallback in pages.columns else F.lit(None).cast("string"))
@@ -197,9 +198,13 @@ def _resolve(url: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([one(u, b) for u, b in zip(url, base, strict=True)], dtype=object)
 
 
+def _absolute(url: Column) -> Column:
+    return F.rlike(url, F.lit("^(?i)https?://"))
+
+
 def resolve_url(url: Column, base: Column) -> Column:
     """Absolute URLs stay as they are; only relative ones go through Python."""
-    return F.when(F.rlike(url, F.lit("^(?i)https?://")), url).otherwise(_resolve(url, base))
+    return F.when(_absolute(url), url).otherwise(_resolve(F.when(~_absolute(url), url), base))
 
 
 def parse_feeds(payloads: DataFrame, v1: bool = False) -> DataFrame:
