@@ -22,6 +22,10 @@ FACTS = [
 ]
 #: Words and patterns of claims (fixed values).
 LEAD_WORDS = ["according", "the", "a", "an", "in", "on", "after", "before", "theo", "cập"]
+PRODUCT_IDS = JS_B + r"(?:[A-Z]{2,}(?:-[A-Z0-9]+)*|GPT-?\d+(?:\.\d+)?|iPhone\s+\d+(?:\s+(?:Pro|Max|Plus))?|iOS\s+\d+)" + JS_B
+NAMES = JS_B + r"\p{Lu}[\p{L}\d&.-]{2,}(?:[ \t]+\p{Lu}[\p{L}\d&.-]{1,}){0,4}"
+PRODUCT = r"(?:GPT-?\d+(?:\.\d+)?|iPhone\s+\d+|iOS\s+\d+)"
+NUMBERS, CAPITALISED = r"(?:\d{1,4}[.,:/-]?)+%?", JS_B + r"\p{Lu}[\p{L}\d]{2,}(?:\s+\p{Lu}[\p{L}\d]*)*"
 DIRECTIONS = r"(?iu)(?<!\p{L})(?:tăng|giảm|giữ nguyên|rise|rises|rose|increase|increased|fall|falls|fell|decrease|decreased|unchanged)(?!\p{L})"
 CERTAINTY = r"(?iu)(?<!\p{L})(may|might|could|likely|unlikely|confirmed|dự kiến|có thể|nhiều khả năng|xác nhận)(?!\p{L})"
 ATTRIBUTION = r"(?iu)(?:according to|theo)\s+([^,.;:]{2,120})"
@@ -80,8 +84,8 @@ def tokens(text: Column, least: int = 2, form: bool = True) -> Column:
 
 def invariants(text: Column) -> Column:
     """Sorted distinct number-like tokens and capitalised phrases."""
-    numbers = F.regexp_extract_all(text, F.lit(r"(?:\d{1,4}[.,:/-]?)+%?"), F.lit(0))
-    names = F.regexp_extract_all(text, F.lit(JS_B + r"\p{Lu}[\p{L}\d]{2,}(?:\s+\p{Lu}[\p{L}\d]*)*"), F.lit(0))
+    numbers = F.regexp_extract_all(text, F.lit(NUMBERS), F.lit(0))
+    names = F.regexp_extract_all(text, F.lit(CAPITALISED), F.lit(0))
     return F.sort_array(F.array_distinct(F.concat(numbers, names)))
 
 
@@ -97,28 +101,70 @@ def normal_date(raw: Column) -> Column:
     return F.when(d(3) != "", bare).otherwise(F.coalesce(iso, raw))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Elements that one fold goes over: a fold copies what it has at every step.
+CHUNK = 256
+
+
+def places(widths: Column) -> Column:
+    """The sum of all widths before each element: where pieces of such widths start, one after the other."""
+    def run(w):
+        chunk = lambda k: F.slice(w, k * CHUNK + 1, F.lit(CHUNK))
+        total = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + x)
+        running = lambda xs, first: F.aggregate(xs, F.array(first), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
+        chunks = F.sequence(F.lit(0), F.floor((F.size(w) - 1) / CHUNK).cast("int"))
+        firsts = running(F.transform(chunks, lambda k: total(chunk(k))), F.lit(0))
+        inside = lambda first: lambda k: let(running(chunk(k), F.get(first, k)), lambda xs: F.slice(xs, F.lit(1), F.size(xs) - 1))
+        return let(firsts, lambda first: F.flatten(F.transform(chunks, inside(first))))
+
+    return let(widths, lambda w: F.when(F.size(w) > 0, run(w)).otherwise(F.array().cast("array<int>")))
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """Array of (raw, start, end) of a pattern's matches, in characters."""
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("parts"))
+
+    def run(s):
+        starts = places(F.transform(s.found, lambda x, i: F.length(F.get(s.parts, i)) + F.length(x)))
+        at = lambda st, i: (F.get(st, i) + F.length(F.get(s.parts, i))).cast("int")
+        return let(starts, lambda st: F.transform(s.found, lambda x, i: F.struct(x.alias("raw"), at(st, i).alias("start"), (at(st, i) + F.length(x)).cast("int").alias("end"))))
+
+    return let(both, run)
+
+
 def facts(text: Column) -> Column:
-    """Array of (kind, raw, normalized): each kind is looked for in what earlier kinds have left, their
-    matches being masked by characters that no pattern takes."""
-    def rows(kind, norm):
-        return lambda raw: F.struct(F.lit(kind).alias("kind"), raw.alias("raw"), norm(raw).alias("normalized"))
+    """Array of (kind, raw, normalized, start, end) in the order of the text: each kind is looked for in turn, and a match
+    that overlaps one of an earlier kind is skipped."""
+    def rows(kind, found):
+        norm = normal_date if kind == "DATE_TIME" else compact
+        return F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), m.raw.alias("raw"), norm(m.raw).alias("normalized"), m.start.alias("start"), m.end.alias("end")))
 
-    out, rest = [], text
-    for kind, pattern in FACTS:
-        found = F.regexp_extract_all(rest, F.lit(pattern), F.lit(0))
-        out.append(F.transform(found, rows(kind, normal_date if kind == "DATE_TIME" else compact)))
-        rest = F.regexp_replace(rest, pattern, "\u0001")
-    return F.concat(*out)
+    def clear_of(before):
+        return lambda m: ~F.exists(before, lambda o: (m.start < o.end) & (o.start < m.end))
+
+    def in_turn(s):
+        taken = []
+        for kind, _ in FACTS:
+            free = s[kind]
+            for before in taken:
+                free = F.filter(free, clear_of(before))
+            taken.append(free)
+        return F.array_sort(F.concat(*[rows(k, f) for (k, _), f in zip(FACTS, taken, strict=True)]), lambda x, y: x.start - y.start)
+
+    return let(F.struct(*[matches(text, pattern).alias(kind) for kind, pattern in FACTS]), in_turn)
 
 
 def entities(text: Column) -> Column:
     """Acronyms, product ids and capitalised phrases of up to five words, distinct; phrases led by a stop
     word go, and so do phrases that mix a product id with other words."""
-    ids = F.regexp_extract_all(text, F.lit(JS_B + r"(?:[A-Z]{2,}(?:-[A-Z0-9]+)*|GPT-?\d+(?:\.\d+)?|iPhone\s+\d+(?:\s+(?:Pro|Max|Plus))?|iOS\s+\d+)" + JS_B), F.lit(0))
-    names = F.regexp_extract_all(text, F.lit(JS_B + r"\p{Lu}[\p{L}\d&.-]{2,}(?:[ \t]+\p{Lu}[\p{L}\d&.-]{1,}){0,4}"), F.lit(0))
+    ids = F.regexp_extract_all(text, F.lit(PRODUCT_IDS), F.lit(0))
+    names = F.regexp_extract_all(text, F.lit(NAMES), F.lit(0))
     lead = "^(?:" + "|".join(LEAD_WORDS) + ")(?: |$)"
-    product = r"(?:GPT-?\d+(?:\.\d+)?|iPhone\s+\d+|iOS\s+\d+)"
-    mixed = rf"(?iu){JS_B}{product}{JS_B}.*\s|\s.*{JS_B}{product}{JS_B}"
+    mixed = rf"(?iu){JS_B}{PRODUCT}{JS_B}.*\s|\s.*{JS_B}{PRODUCT}{JS_B}"
     keep = lambda e: ~F.rlike(F.lower(e), F.lit(lead)) & ~F.rlike(e, F.lit(mixed))
     return F.array_distinct(F.filter(F.transform(F.concat(ids, names), js_trim), keep))
 
@@ -139,15 +185,13 @@ def sentences(text: Column) -> Column:
     """Array of (text, start, end) in characters, cut after . ! ? … and at line ends. An approximation of the
     ICU rules: abbreviations aren't known."""
     parts = F.split(text, r"(?<=[.!?…])(?=\s)|(?<=\n)")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out"))
-
-    def step(s, p):
+    def one(p, at):
         lead = F.length(p) - F.length(F.regexp_replace(p, f"^{JS_S}+", ""))
         body = js_trim(p)
-        one = F.struct(body.alias("text"), (s.at + lead).cast("int").alias("start"), (s.at + lead + F.length(body)).cast("int").alias("end"))
-        return F.struct((s.at + F.length(p)).cast("int").alias("at"), F.array_append(s.out, one).alias("out"))
+        return F.struct(body.alias("text"), (at + lead).cast("int").alias("start"), (at + lead + F.length(body)).cast("int").alias("end"))
 
-    return F.filter(F.aggregate(parts, start, step, lambda s: s.out), lambda x: x.text != "")
+    each = let(parts, lambda ps: let(places(F.transform(ps, F.length)), lambda at: F.transform(ps, lambda p, i: one(p, F.get(at, i)))))
+    return F.filter(each, lambda x: x.text != "")
 
 
 def claim_rows(docs, id_col: str = "content_id", text_col: str = "content"):

@@ -1,4 +1,7 @@
-"""Duplicate resolution and event clusters."""
+"""Duplicate resolution and event clusters.
+
+Both are greedy: rows in the order of (published, created, id) lead unless an earlier leader matches them. Rows that match
+by an equal key, and rows of two alike texts, are never paired: a row looks at its key's earlier rows through window frames."""
 
 from __future__ import annotations
 
@@ -36,31 +39,55 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _settled(rows: DataFrame, span: int, value, both: bool):
+    """``value``, an aggregate of a row's partners: rows of its key that are earlier by no more than ``span``
+    microseconds; with ``both`` of the other side only. Linear in a key's rows: frames, no pairs."""
+    before = Window.partitionBy("key").orderBy("at").rangeBetween(-span, -1)
+    tied = Window.partitionBy("key", "at").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    if not both:
+        return value(F.lit(True), before), value(F.lit(True), tied)
+    of = lambda w: F.when(F.col("side") == 0, value(F.col("side") == 1, w)).otherwise(value(F.col("side") == 0, w))
+    return of(before), of(tied)
+
+
+def leaders(nodes: DataFrame, same: DataFrame, alike: DataFrame | None = None) -> DataFrame:
     """Greedy leader assignment: ``nodes(id, place)`` in the order of place; a node leads unless an earlier leader
-    matches it, else it follows its best. ``edges(early, late, kind, score)`` go from the earlier node to the
-    later; the best has the smallest kind, then the largest score, then the earliest place. Returns
-    (id, leader_id, kind, score); leaders have nulls for the last two.
+    matches it, else it follows its best. Nodes of one key of ``same(key, kind, score, id, at, place)`` match within DAYS; of
+    ``alike(key, side, kind, score, id, at, place)`` those of different sides match within a day. The best leader has the smallest
+    kind, then the largest score, then the earliest place. Returns (id, leader_id, kind, score); leaders have nulls for the last two.
 
-    Rounds: an undecided node without an undecided or leading earlier neighbour leads, one with a
-    leading earlier neighbour follows. Each round is an aggregation over the edges and a join; state is
-    written between rounds.
+    No pair is formed: a row looks at its key's earlier rows through window frames. Rounds: an undecided node
+    without an undecided or leading earlier partner leads, one with a leading partner follows. A node is decided once its
+    earlier partners are, so rounds grow with the longest chain of partners; state is written between them.
     """
-    involved = written(edges.select(F.col("late").alias("id")).distinct())
-    state = written(edges.select(F.explode(F.array("early", "late")).alias("id")).distinct().join(involved.withColumn("_late", F.lit(True)), "id", "left").select("id", F.when(F.col("_late"), 0).otherwise(1).alias("state")))
+    day = 86_400_000_000
+    parts = [(written(same.withColumn("side", F.lit(0))), DAYS * day, False)] + ([(written(alike), day, True)] if alike is not None else [])
+    parts = [(r.select("key", "side", "kind", "score", "id", "at", "place"), span, both) for r, span, both in parts]
+    ids = parts[0][0].select("id")
+    for r, _, _ in parts[1:]:
+        ids = ids.unionByName(r.select("id"))
+    state = written(ids.distinct().withColumn("state", F.lit(0)))
+    flag = lambda v: lambda cond, w: F.max(F.when(cond & (F.col("state") == v), 1).otherwise(0)).over(w)
     while True:
-        e = edges.join(state.select(F.col("id").alias("early"), F.col("state").alias("se")), "early")
-        seen = e.groupBy("late").agg(F.max((F.col("se") == 1).cast("int")).alias("led"), F.max((F.col("se") == 0).cast("int")).alias("wait"))
-        new = state.join(seen.withColumnRenamed("late", "id"), "id", "left")
-        nxt = F.when(F.col("state") != 0, F.col("state")).when(F.col("led") == 1, 2).when(F.coalesce("wait", F.lit(0)) == 0, 1).otherwise(0)
-        state = written(new.select("id", nxt.alias("state")))
+        seen = []
+        for r, span, both in parts:
+            x = r.join(state, "id")
+            led, wait = _settled(x, span, flag(1), both), _settled(x, span, flag(0), both)
+            seen.append(x.where("state is not null").select("id", F.greatest(*[F.coalesce(c, F.lit(0)) for c in led]).alias("led"), F.greatest(*[F.coalesce(c, F.lit(0)) for c in wait]).alias("wait")))
+        every = seen[0] if len(seen) == 1 else seen[0].unionByName(seen[1])
+        every = every.groupBy("id").agg(F.max("led").alias("led"), F.max("wait").alias("wait"))
+        nxt = F.when(F.col("state") != 0, F.col("state")).when(F.col("led") == 1, 2).when(F.col("wait") == 0, 1).otherwise(0)
+        state = written(state.join(every, "id").select("id", nxt.alias("state")))
         if state.where("state = 0").isEmpty():
             break
-    lead = state.where("state = 1").select(F.col("id").alias("early"))
-    e = edges.join(lead, "early").join(state.where("state = 2").select(F.col("id").alias("late")), "late")
-    e = e.join(nodes.select(F.col("id").alias("early"), "place"), "early")
-    best = e.groupBy("late").agg(F.min(F.struct("kind", (-F.col("score")).alias("minus"), "place", "early")).alias("b"))
-    best = best.select(F.col("late").alias("id"), F.col("b.early").alias("leader_id"), F.col("b.kind").alias("kind"), (-F.col("b.minus")).alias("score"))
+    best = None
+    first = lambda cond, w: F.min(F.when(cond & (F.col("state") == 1), F.struct("place", "id"))).over(w)
+    for r, span, both in parts:
+        x = r.join(state, "id")
+        early = F.least(*_settled(x, span, first, both))
+        y = x.withColumn("_e", early).where("state = 2 and _e is not null").select("id", F.struct("kind", (-F.col("score")).alias("minus"), F.col("_e.place").alias("place"), F.col("_e.id").alias("leader")).alias("b"))
+        best = y if best is None else best.unionByName(y)
+    best = best.groupBy("id").agg(F.min("b").alias("b")).select("id", F.col("b.leader").alias("leader_id"), F.col("b.kind").alias("kind"), (-F.col("b.minus")).alias("score"))
     out = nodes.select("id").join(best, "id", "left")
     return out.select("id", F.coalesce("leader_id", "id").alias("leader_id"), "kind", "score")
 
@@ -68,29 +95,48 @@ def leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 KINDS = ["SOURCE_EXTERNAL_ID", "CANONICAL_URL", "EXACT_CONTENT_HASH", "NORMALIZED_FINGERPRINT", "NEAR_EXACT"]
 
 
-def duplicate_edges(c: DataFrame) -> DataFrame:
-    """Match edges of ``c(id, place, source_id, external_id, url, content_hash, fp, token_set, inv_key, published_at)``:
-    the first of five kinds that two rows within three days share; all are equi-joins, the last two on equal
-    invariants, so no row meets one that can't match."""
-    a, b = c.alias("a"), c.alias("b")
-    near = (F.abs(F.unix_micros("a.published_at") - F.unix_micros("b.published_at")) <= DAYS * 86_400_000_000) & (F.col("a.place") < F.col("b.place"))
-    pick = lambda j, kind, score: j.select(F.col("a.id").alias("early"), F.col("b.id").alias("late"), F.lit(kind).alias("kind"), score.alias("score"))
-    one = F.lit(1.0)
-    eq = lambda *cs: [F.col(f"a.{x}") == F.col(f"b.{x}") for x in cs]
-    def join(*cs):
-        on = near
-        for x in eq(*cs):
-            on = on & x
-        return a.join(b, on)
-
-    edges = (
-        pick(join("source_id", "external_id"), 0, one).unionByName(pick(join("url"), 1, one)).unionByName(pick(join("content_hash"), 2, one))
-        .unionByName(pick(join("inv_key", "fp"), 3, one))
-    )
-    day = F.abs(F.unix_micros("a.published_at") - F.unix_micros("b.published_at")) <= 86_400_000_000
-    close = a.join(b, (F.col("a.inv_key") == F.col("b.inv_key")) & near & day).withColumn("j", jaccard(F.col("a.token_set"), F.col("b.token_set"))).where(F.col("j") >= NEAR)
-    edges = edges.unionByName(pick(close, 4, F.col("j")))
-    return edges.groupBy("early", "late").agg(F.min(F.struct("kind", (-F.col("score")).alias("m"))).alias("k")).select("early", "late", F.col("k.kind").alias("kind"), (-F.col("k.m")).alias("score"))
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows whose key another row has too."""
+    return rows.join(rows.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"), "key", "left_semi")
+
+
+def same_keys(c: DataFrame) -> DataFrame:
+    """(key, kind, score, id, at, place): what two rows must share to match with score 1: source and external id, URL, content
+    hash, or invariants and fingerprint."""
+    keys = [("source_id", "external_id"), ("url",), ("content_hash",), ("inv_key", "fp")]
+    one = lambda k, cols: F.when(F.concat(*[F.col(x).isNull().cast("string") for x in cols]).contains("true"), None).otherwise(F.struct(F.md5(F.concat_ws("\u0001", F.lit(k), *cols)).alias("key"), F.lit(k).alias("kind")))
+    rows = c.select("id", "place", F.unix_micros("published_at").alias("at"), F.explode(F.array_compact(F.array(*[one(k, cols) for k, cols in enumerate(keys)]))).alias("k"))
+    return _shared(rows.select("k.key", "k.kind", F.lit(1.0).alias("score"), "id", "at", "place"))
+
+
+def near_texts(c: DataFrame) -> DataFrame:
+    """(a, b, score): fingerprints with equal invariants whose token sets have a Jaccard similarity of NEAR or more, among
+    those that have rows within a day of each other. Equal fingerprints are one text here, whatever their number. Only texts
+    that share a token of their prefixes meet: of n tokens, in a fixed order with long (rare) ones first, the first
+    n - ceil(NEAR * n) + 1."""
+    t_ = written(c.where(F.size("token_set") > 0).select(F.md5(F.concat_ws("\u0001", "inv_key", "fp")).alias("text"), "inv_key", "token_set", F.to_date("published_at").alias("day")))
+    texts = t_.groupBy("text").agg(F.first("token_set").alias("token_set"), F.first("inv_key").alias("inv_key"))
+    n = F.size("token_set")
+    order = F.transform(F.array_sort(F.transform("token_set", lambda x: F.struct((-F.length(x)).alias("l"), x.alias("x")))), lambda s: s.x)
+    prefix = texts.select("text", "inv_key", n.alias("n"), F.explode(F.slice(order, F.lit(1), (n - F.ceil(n * NEAR - 1e-9) + 1).cast("int"))).alias("token"))
+    days = t_.select("text", F.explode(F.array("day", F.date_add("day", 1))).alias("day")).distinct()
+    keyed = prefix.join(days, "text")
+    a, b = keyed.alias("a"), keyed.alias("b")
+    on = (F.col("a.inv_key") == F.col("b.inv_key")) & (F.col("a.day") == F.col("b.day")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.text") < F.col("b.text"))
+    fits = (F.col("a.n") >= NEAR * F.col("b.n") - 1e-9) & (F.col("b.n") >= NEAR * F.col("a.n") - 1e-9)
+    pairs = a.join(b, on & fits).select(F.col("a.text").alias("a"), F.col("b.text").alias("b")).distinct()
+    sets = texts.select("text", "token_set")
+    both = pairs.join(sets.select(F.col("text").alias("a"), F.col("token_set").alias("sa")), "a").join(sets.select(F.col("text").alias("b"), F.col("token_set").alias("sb")), "b")
+    return both.withColumn("score", jaccard(F.col("sa"), F.col("sb"))).where(F.col("score") >= NEAR).select("a", "b", "score")
+
+
+def near_keys(c: DataFrame) -> DataFrame:
+    """(key, side, kind, score, id, at, place): the rows of two alike texts, on either side."""
+    near = written(near_texts(c))
+    key = F.md5(F.concat("a", "b"))
+    sides = near.select(key.alias("key"), F.lit(0).alias("side"), F.col("a").alias("text"), "score").unionByName(near.select(key.alias("key"), F.lit(1).alias("side"), F.col("b").alias("text"), "score"))
+    rows = c.select("id", "place", F.unix_micros("published_at").alias("at"), F.md5(F.concat_ws("\u0001", "inv_key", "fp")).alias("text"))
+    return sides.join(rows, "text").select("key", "side", F.lit(4).alias("kind"), "score", "id", "at", "place")
 
 
 def resolve_duplicates(contents: DataFrame, form: bool = True) -> DataFrame:
@@ -105,8 +151,7 @@ def resolve_duplicates(contents: DataFrame, form: bool = True) -> DataFrame:
         t.fingerprint(both, form).alias("fp"), t.tokens(both, 2, form).alias("token_set"), F.sha2(F.array_join(t.invariants(both), "\u0001"), 256).alias("inv_key"),
     )
     c = written(c)
-    edges = written(duplicate_edges(c))
-    out = leaders(c.select("id", "place"), edges)
+    out = leaders(c.select("id", "place"), same_keys(c), near_keys(c))
     follows = F.col("leader_id") != F.col("id")
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
     return out.select("id", F.when(follows, F.col("leader_id")).alias("duplicate_of_id"), F.when(follows, kind).alias("duplicate_kind"), F.when(follows, F.col("score")).alias("duplicate_score"))
@@ -121,26 +166,60 @@ def cluster_features(contents: DataFrame, form: bool = True) -> DataFrame:
     )
 
 
-def cluster_edges(f: DataFrame) -> DataFrame:
-    """Scored edges of 0.65 or more. Items of a day meet on a shared entity, or on topic and title tokens alike:
-    without a shared entity the score needs entities empty on both sides, or it stays at .55."""
-    marks = F.when(F.size("entities") == 0, F.array(F.lit("\u0001none"))).otherwise(F.col("entities"))
-    k = f.withColumn("block", F.explode(marks))
+def cluster_texts(f: DataFrame) -> DataFrame:
+    """(a, b, score): pairs of feature sets of a day with a score of CLUSTER or more. Items with equal features are one set
+    here, whatever their number. Without a shared entity the score needs entities empty on both sides, or it stays at .55;
+    of two sets without entities topics and title must make .2 of .55, so that one topic or title token is shared, or
+    both have none."""
+    sets = f.select("features", "day", "entities", "topics", "vals", "title_tokens").dropDuplicates(["features"])
+    none = F.array(F.lit("\u0001none"))
+    bare = F.concat(F.when(F.size("topics") == 0, none).otherwise(F.transform("topics", lambda x: F.concat(F.lit("t:"), x))), F.when(F.size("title_tokens") == 0, none).otherwise(F.transform("title_tokens", lambda x: F.concat(F.lit("w:"), x))))
+    k = sets.withColumn("block", F.explode(F.array_distinct(F.when(F.size("entities") == 0, bare).otherwise(F.transform("entities", lambda x: F.concat(F.lit("e:"), x))))))
     a, b = k.alias("a"), k.alias("b")
-    j = a.join(b, (F.col("a.day") == F.col("b.day")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.place") < F.col("b.place")))
+    j = a.join(b, (F.col("a.day") == F.col("b.day")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.features") < F.col("b.features")))
     differ = (F.size("a.vals") > 0) & (F.size("b.vals") > 0) & (F.col("a.vals") != F.col("b.vals"))
     score = 0.45 * jaccard(F.col("a.entities"), F.col("b.entities")) + 0.2 * jaccard(F.col("a.topics"), F.col("b.topics")) + 0.35 * jaccard(F.col("a.title_tokens"), F.col("b.title_tokens"))
     j = j.where(~differ).withColumn("score", F.round(score, 9)).where(F.col("score") >= CLUSTER)
-    return j.select(F.col("a.id").alias("early"), F.col("b.id").alias("late"), F.lit(0).alias("kind"), "score").dropDuplicates(["early", "late"])
+    return j.select(F.col("a.features").alias("a"), F.col("b.features").alias("b"), "score").dropDuplicates(["a", "b"])
 
 
 def clusters(contents: DataFrame, form: bool = True) -> DataFrame:
     """(id, cluster_id, score): the cluster id is its first member's id, whose features stay the cluster's."""
-    f = written(cluster_features(contents, form))
-    out = leaders(f.select("id", "place"), written(cluster_edges(f)))
+    f = cluster_features(contents, form)
+    features = F.md5(F.to_json(F.struct("day", "entities", F.sort_array("topics").alias("topics"), "vals", "title_tokens")))
+    f = written(f.withColumn("features", features).withColumn("at", F.unix_micros("place.published_at")))
+    same = f.select(F.col("features").alias("key"), F.lit(0).alias("kind"), F.lit(1.0).alias("score"), "id", "at", "place")
+    near = written(cluster_texts(f))
+    key = F.md5(F.concat("a", "b"))
+    sides = near.select(key.alias("key"), F.lit(0).alias("side"), F.col("a").alias("features"), "score").unionByName(near.select(key.alias("key"), F.lit(1).alias("side"), F.col("b").alias("features"), "score"))
+    alike = sides.join(f.select("features", "id", "at", "place"), "features").select("key", "side", F.lit(0).alias("kind"), "score", "id", "at", "place")
+    out = leaders(f.select("id", "place"), _shared(same), alike)
     return out.select("id", F.col("leader_id").alias("cluster_id"), "score")
 
 
+#: What clusters are stored under: the policy's version is part of a cluster's key.
+POLICY = "event-cluster-v1"
+
+
+def cluster_rows(contents: DataFrame, members: DataFrame, policy: str = POLICY) -> DataFrame:
+    """One row a member: cluster_id, cluster_key (SHA-256 of the policy and the first member's features as JSON), size, and
+    the reason of membership, leader or score."""
+    f = cluster_features(contents)
+    text = F.to_json(F.struct(F.lit(policy).alias("policy"), "day", "entities", "topics", "vals", "title_tokens"))
+    keys = f.select(F.col("id").alias("cluster_id"), F.sha2(text, 256).alias("cluster_key"))
+    size = members.groupBy("cluster_id").agg(F.count("*").alias("size"))
+    reason = F.when(F.col("id") == F.col("cluster_id"), "FIRST_MEMBER").otherwise("EVENT_SIMILARITY")
+    return members.join(keys, "cluster_id").join(size, "cluster_id").select("cluster_id", "id", "cluster_key", "size", reason.alias("reason"), "score")
+
+
+def rebuild_clusters(stored: DataFrame, contents: DataFrame, policy: str = POLICY) -> tuple[DataFrame, DataFrame]:
+    """For a new policy: ``stored(cluster_id, policy, status)`` with clusters of other policies archived, and the new
+    memberships of all verified contents that are no duplicates."""
+    kept = stored.withColumn("status", F.when(F.col("policy") != policy, "ARCHIVED").otherwise(F.col("status")))
+    good = contents.where((F.col("provenance_status") == "VERIFIED") & F.col("duplicate_of_id").isNull())
+    return kept, clusters(good)
+
+
 def primary(members: DataFrame, as_of: str) -> DataFrame:
     """Members of ``members(cluster_id, id, tier, authority, all_items, published_at, length, verified)`` with the primary's
     score and mark; ties by id."""

@@ -1,7 +1,9 @@
 """Cases with known results: the inputs and expected values of FIXTURES.md in table form."""
 
 import datetime as dt
+from types import SimpleNamespace
 
+import numpy as np
 import pandas as pd
 from newsloom.functions import text as t
 from newsloom.operators import ledger, matching, metrics, quality, resolve
@@ -26,7 +28,7 @@ def test_word_boundaries_are_ascii(spark):
 
 def test_facts_keep_kinds_apart(spark):
     got = one(spark, "On 14/08/2026 GPT-5 cost $5 million, up 25% from 12", t.facts)
-    assert [(f.kind, f.raw) for f in got] == [("DATE_TIME", "14/08/2026"), ("CURRENCY", "$5 million"), ("PERCENTAGE", "25%"), ("PRODUCT_VERSION", "GPT-5"), ("NUMBER", "12")]
+    assert [(f.kind, f.raw) for f in got] == [("DATE_TIME", "14/08/2026"), ("PRODUCT_VERSION", "GPT-5"), ("CURRENCY", "$5 million"), ("PERCENTAGE", "25%"), ("NUMBER", "12")]
     assert got[0].normalized == "2026-08-14T00:00:00.000Z"
 
 
@@ -73,13 +75,79 @@ def test_duplicates_follow_the_earliest(spark):
     assert got[5] == (4, "NEAR_EXACT") and got[6][0] is None and got[7][0] is None
 
 
+def _brute_duplicates(rows, hashes):
+    """The rule, one row after the other."""
+    order = sorted(rows, key=lambda r: (r["published_at"], r["created_at"], r["id"]))
+    leads, out = [], {}
+    for r in order:
+        best = None
+        for o in leads:
+            apart = r["published_at"] - o["published_at"]
+            if apart > dt.timedelta(days=3):
+                continue
+            a, b = hashes[r["id"]], hashes[o["id"]]
+            near = len(a.tok & b.tok) / max(1, len(a.tok | b.tok)) if a.tok or b.tok else 1.0
+            kinds = [(r["source_id"], r["external_id"]) == (o["source_id"], o["external_id"]), r["url"] == o["url"], a.h == b.h, a.inv == b.inv and a.fp == b.fp, a.inv == b.inv and apart <= dt.timedelta(days=1) and near >= 0.9]
+            hit = [k for k, ok in enumerate(kinds) if ok]
+            if hit:
+                m = (hit[0], -(near if hit[0] == 4 else 1.0), (o["published_at"], o["created_at"], o["id"]))
+                best = m if best is None else min(best, m)
+        if best is None:
+            leads.append(r)
+        out[r["id"]] = best and (best[2][2], resolve.KINDS[best[0]])
+    return out
+
+
+def test_duplicates_equal_brute_force(spark):
+    """Chains over several days, ties of time, equal keys of each kind, texts alike and texts without words."""
+    g = np.random.default_rng(4)
+    words = [f"word{chr(97 + k)}{chr(97 + j)}" for k in range(6) for j in range(5)]
+    rows = []
+    for k in range(160):
+        w = list(words)
+        for at in g.choice(30, int(g.integers(0, 3)), replace=False):
+            w[at] = f"other{chr(97 + int(g.integers(0, 4)))}"
+        body = ["", "same body", " ".join(w), " ".join(w).upper().lower() + ".", f"plain {k}"][int(g.choice(5, p=[0.05, 0.2, 0.45, 0.2, 0.1]))]
+        when = dt.datetime(2026, 8, 1) + dt.timedelta(hours=int(g.integers(0, 200)))
+        rows.append(_item(k, when, body, title="", external_id=str(int(g.integers(0, 120))), url=f"u{int(g.integers(0, 120))}"))
+    df = spark.createDataFrame(pd.DataFrame(rows))
+    c = df.select("id", t.semantic_hash(F.col("title"), F.col("content")).alias("h"), t.fingerprint(F.concat("title", F.lit("\n"), "content")).alias("fp"), t.tokens(F.concat("title", F.lit("\n"), "content")).alias("tok"), t.invariants(F.concat("title", F.lit("\n"), "content")).alias("inv"))
+    hashes = {r.id: SimpleNamespace(h=r.h, fp=r.fp, tok=set(r.tok), inv=r.inv) for r in c.collect()}
+    want = _brute_duplicates(rows, hashes)
+    got = {r.id: r.duplicate_of_id is not None and (r.duplicate_of_id, r.duplicate_kind) or None for r in resolve.resolve_duplicates(df).collect()}
+    assert got == want and len({k for v in want.values() if v for k in v[1:]}) >= 4
+
+
 def test_leaders_are_no_components(spark):
+    rows = [("k", 0, 1, 1), ("k", 1, 2, 2), ("l", 0, 2, 2), ("l", 1, 3, 3)]
+    alike = spark.createDataFrame([(k, s, 0, 0.9, i, p * 10, p) for k, s, i, p in rows], "key string, side int, kind int, score double, id long, at long, place int")
     nodes = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "id long, place int")
-    edges = spark.createDataFrame([(1, 2, 0, 0.9), (2, 3, 0, 0.9)], "early long, late long, kind int, score double")
-    got = {r.id: r.leader_id for r in resolve.leaders(nodes, edges).collect()}
+    got = {r.id: r.leader_id for r in resolve.leaders(nodes, alike.drop("side").limit(0), alike).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
 
 
+def test_facts_stand_in_the_order_of_the_text(spark):
+    df = spark.createDataFrame([("On 2026-08-14 GPT-5 rose 25% to $3.5 million, 12 of 7; according to Reuters, it may fall.",), ("n 1, " * 3000,), (None,)], "content string").withColumn("content_id", F.lit(1))
+    got = [[(f.kind, f.raw, f.start, f.end) for f in r[0]] for r in df.where("content is not null").select(t.facts(F.col("content"))).collect()]
+    line = df.first().content
+    assert [k for k, *_ in got[0]] == ["DATE_TIME", "PRODUCT_VERSION", "PERCENTAGE", "CURRENCY", "NUMBER", "NUMBER"]
+    assert all(line[a:b] == raw for _, raw, a, b in got[0]) and [x[2] for x in got[1]] == list(range(2, 15000, 5))
+    claims = t.claim_rows(df.limit(1)).collect()
+    assert "Reuters" in claims[0].entities and claims[0].attribution == "Reuters"
+
+
+def test_cluster_rows_and_rebuild(spark):
+    day = dt.datetime(2026, 8, 14, 6)
+    rows = [_item(k, day + dt.timedelta(hours=k), "OpenAI grew 25% today", title="OpenAI revenue grows", topics=["technology"], provenance_status="VERIFIED" if k < 4 else "REJECTED", duplicate_of_id=None) for k in (1, 2, 3, 4)]
+    schema = "id long, source_id string, external_id string, url string, title string, content string, published_at timestamp, created_at timestamp, topics array<string>, provenance_status string, duplicate_of_id long"
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], schema)
+    stored = spark.createDataFrame([(9, "older", "ACTIVE"), (8, resolve.POLICY, "ACTIVE")], "cluster_id long, policy string, status string")
+    kept, members = resolve.rebuild_clusters(stored, df)
+    assert {r.cluster_id: r.status for r in kept.collect()} == {9: "ARCHIVED", 8: "ACTIVE"}
+    got = {r.id: r for r in resolve.cluster_rows(df, members).collect()}
+    assert set(got) == {1, 2, 3} and got[3].size == 3 and len(got[1].cluster_key) == 64 and [got[k].reason for k in (1, 2)] == ["FIRST_MEMBER", "EVENT_SIMILARITY"]
+
+
 def test_clusters_need_equal_values_and_day(spark):
     day = dt.datetime(2026, 8, 14, 6)
     base = {"topics": ["technology"], "content": "OpenAI grew 25% today"}
