@@ -271,4 +271,4 @@ def keywords(conditions: Column) -> Column:
     many = F.from_json(F.get_json_object(conditions, "$.keywords"), "array<string>")
     one = F.coalesce(F.get_json_object(conditions, "$.keywords"), F.get_json_object(conditions, "$.keyword"))
     raw = F.coalesce(F.when(F.get(many, F.lit(0)).isNotNull(), many), F.when(one.isNotNull() & ~one.startswith("["), F.array(one)), F.array().cast("array<string>"))
-    return F.filter(F.transform(raw, F.trim), lambda k: k != "")
+    return F.filter(F.transform(raw, lambda k: F.trim(k)), lambda k: k != "")

@@ -88,3 +88,21 @@ def prepared_relevance(topic_hits: Column, refinements: Column, market_hits: Col
 def latest_ready_brief(briefs: DataFrame) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy(F.col("brief_date").desc_nulls_last(), "brief_id")
     return briefs.where("status = 'READY'").withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
+def insight_users(user_insights: DataFrame) -> DataFrame:
+    """Each user of an insight once: those whose briefs a new localization touches."""
+    return user_insights.select("insight_id", "user_id").dropDuplicates()
+
+
+def shadow_feeds(legacy: DataFrame, contents: DataFrame, localizations: DataFrame, newest: tuple[int, int] = (500, 1000)) -> DataFrame:
+    """Both feeds for their comparison: v1 from the newest of ``legacy(id, content_id, url, publisher, published_at, created_at,
+    relevance, localized, content_hash)``; v2 from the newest publishable contents that v1 has too and that have a verified
+    localization of ``localizations(content_id, status, failure_codes)``; one that isn't verified without saying why blocks."""
+    old = legacy.orderBy(F.col("created_at").desc(), "id").limit(newest[0])
+    v1 = old.select(F.lit("v1").alias("feed"), F.col("id").cast("string").alias("id"), "url", "publisher", "published_at", "relevance", "localized", F.lit(False).alias("blocking_error"), F.col("content_hash").alias("duplicate_key"))
+    new = contents.orderBy(F.col("published_at").desc(), "content_id").limit(newest[1]).join(old.select("content_id").distinct(), "content_id", "left_semi")
+    bad = (F.col("status") != "VERIFIED") & (F.coalesce(F.size("failure_codes"), F.lit(0)) <= 0)
+    loc = localizations.groupBy("content_id").agg(F.max(F.col("status") == "VERIFIED").alias("localized"), F.max(bad).alias("blocking_error"))
+    v2 = new.join(loc.where("localized"), "content_id")
+    return v1.unionByName(v2.select(F.lit("v2").alias("feed"), F.col("content_id").cast("string").alias("id"), "url", "publisher", "published_at", F.col("authority").alias("relevance"), "localized", "blocking_error", F.col("content_hash").alias("duplicate_key")))

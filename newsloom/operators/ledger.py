@@ -110,6 +110,13 @@ def next_occurrence(type_: Column, interval: Column, weekdays: Column, timezone:
     return F.when(got <= until, got)
 
 
+def first_due(type_: Column, interval: Column, weekdays: Column, timezone: Column, until: Column, preferred: Column, as_of: Column) -> Column:
+    """Due time of a new task: the preferred one, but for a WEEKLY rule the first that fits from ``as_of`` on; null
+    without a preferred time."""
+    weekly = next_occurrence(type_, interval, weekdays, timezone, until, as_of - F.expr("interval 1 millisecond"), preferred)
+    return F.when(preferred.isNull(), None).when(type_ == "WEEKLY", weekly).otherwise(preferred)
+
+
 def lunar_calendar(spark, start: str, days: int, timezone: str) -> DataFrame:
     """``(date, zone, lunar_day)`` of ``days`` days, from the Chinese calendar of the ICU library that comes with Spark;
     a registry of fixed size, made once on the driver."""

@@ -3,7 +3,10 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from newsloom.functions import text as t
+from newsloom.operators import insights
 from newsloom.operators import resolve as r
+from newsloom.plans import texts
 from newsloom.plans.views import AS_OF, CONTENTS, TOPICS, USERS, contents, load, users
 from newsloom.sources import canonical as k
 
@@ -74,7 +77,7 @@ def status_audit(spark, d):
 
 def glossary_chosen(spark, d):
     """Words of the benchmark as terms of a glossary, with their conflicts."""
-    b = load(spark, d, "benchmark").select("item_id", F.explode(F.slice(F.split("text", " "), 1, 12)).alias("source_term"))
+    b = load(spark, d, "benchmark").select("item_id", F.explode(F.split("text", " ")).alias("source_term"))
     e = b.select(F.lit("en").alias("source_language"), F.lit("vi").alias("target_locale"), "source_term", F.concat(F.lit("t"), F.lpad(F.col("item_id").cast("string"), 6, "0")).alias("preferred_term"), F.lit(None).cast("string").alias("short_term"), (F.col("item_id") % 3 == 0).alias("protected"), F.lit("default").alias("domain"), F.lit("v1").alias("version"))
     return k.glossary_winners(e)[0].select("term", "preferred_term", "protected")
 
@@ -89,12 +92,25 @@ def importance_by_age(spark, d):
     """Importance and bucket of items by age."""
     c = contents(spark, d)
     age = (F.unix_micros(F.lit(AS_OF).cast("timestamp")) - F.unix_micros("published_at")) / 3.6e9
-    imp = F.when(age <= 6, 0.82).when(age <= 24, 0.72).otherwise(0.58)
-    return c.select("content_id", imp.alias("importance"), F.when(imp >= 0.75, "ALERT").otherwise("INSIGHT").alias("type"), F.when((imp >= 0.8), "actionRequired").when(imp >= 0.65, "important").otherwise("informational").alias("bucket"))
+    imp = insights.importance_by_age(age)
+    kind = F.when(imp >= 0.75, "ALERT").otherwise("INSIGHT")
+    return c.select("content_id", imp.alias("importance"), kind.alias("type"), insights.bucket(kind, imp).alias("bucket"))
 
 
 VERSIONS = """v AS (SELECT 's' || (o_custkey % 5) AS source_id, CAST(o_custkey AS VARCHAR) AS external_id, o_orderstatus AS h, o_orderdate AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate + to_seconds(o_orderkey % 86400), o_orderkey) AS r, o_orderdate + to_seconds(o_orderkey % 86400) AS f FROM orders)"""
+_SEMANTIC = f"sha256({texts.SEM('title')} || chr(10) || {texts.SEM('content')})"
 ORACLE_SQL = {
+    "duplicates_resolved": f"""WITH RECURSIVE {CONTENTS}, b AS (SELECT content_id AS id, row_number() OVER (ORDER BY published_at, content_id) AS n, published_at AS at, {_SEMANTIC} AS h, {texts.FP("title || chr(10) || content")} AS fp,
+  list_sort(list_distinct(list_concat(regexp_extract_all(title || chr(10) || content, '{texts.RE2(t.NUMBERS)}'), regexp_extract_all(title || chr(10) || content, '{texts.RE2(t.CAPITALISED)}')))) AS inv FROM contents),
+k AS (SELECT *, list_distinct(list_filter(string_split(fp, ' '), lambda x: length(x) >= 2)) AS tok FROM b),
+p AS (SELECT x.n AS early, y.n AS late, 2 AS kind, 1.0::DOUBLE AS score FROM k x JOIN k y ON x.h = y.h AND x.n < y.n AND y.at - x.at <= INTERVAL 3 DAY
+  UNION ALL SELECT x.n, y.n, CASE WHEN x.fp = y.fp THEN 3 ELSE 4 END, CASE WHEN x.fp = y.fp THEN 1.0::DOUBLE ELSE len(list_intersect(x.tok, y.tok))::DOUBLE / len(list_distinct(list_concat(x.tok, y.tok))) END FROM k x JOIN k y ON x.inv = y.inv AND x.n < y.n AND y.at - x.at <= INTERVAL 3 DAY
+  WHERE x.fp = y.fp OR (y.at - x.at <= INTERVAL 1 DAY AND len(x.tok) >= 0.9 * len(y.tok) AND len(y.tok) >= 0.9 * len(x.tok) AND 10 * len(list_intersect(x.tok, y.tok)) >= 9 * len(list_distinct(list_concat(x.tok, y.tok))))),
+w AS (SELECT late, list(early) AS es FROM p GROUP BY late),
+g AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS led UNION ALL SELECT g.n + 1, CASE WHEN list_has_any(coalesce(es, CAST([] AS BIGINT[])), led) THEN led ELSE list_append(led, g.n + 1) END FROM g LEFT JOIN w ON late = g.n + 1 WHERE g.n < (SELECT count(*) FROM b)),
+l AS (SELECT unnest(led) AS n FROM g WHERE n = (SELECT count(*) FROM b)),
+best AS (SELECT late, min_by(struct_pack(early := early, kind := kind, score := score), (kind, -score, early)) AS m FROM p WHERE early IN (SELECT n FROM l) AND late NOT IN (SELECT n FROM l) GROUP BY late)
+SELECT y.id, x.id AS duplicate_of_id, {r.KINDS}[m.kind + 1] AS duplicate_kind, m.score AS duplicate_score FROM b y LEFT JOIN best ON late = y.n LEFT JOIN b x ON x.n = m.early""",
     "clusters_primary": f"""WITH {CONTENTS}, s AS (SELECT publisher || '/' || CAST(CAST(published_at AS DATE) AS VARCHAR) AS cluster_id, content_id AS id, round(0.25::DOUBLE * (4 - tier) / 3 + 0.25::DOUBLE * authority + 0.15::DOUBLE * CASE WHEN tier = 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END
   + 0.15::DOUBLE * greatest(0.0::DOUBLE, 1 - (epoch_us(TIMESTAMP '2024-01-10') - epoch_us(published_at)) / 3.6e9::DOUBLE / 72) + 0.2::DOUBLE * least(1.0::DOUBLE, length(content) / 1500.0::DOUBLE) - CASE WHEN content_id % 10 <> 0 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END, 6) AS primary_score FROM contents)
 SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY primary_score DESC, id) = 1""",
@@ -111,7 +127,7 @@ SELECT * FROM j WHERE change IS NOT NULL""",
     "topic_interest_counts": f"WITH {USERS}, u AS (SELECT unnest(interests) AS topic FROM users) SELECT topic, count(*) AS n FROM u GROUP BY topic UNION ALL SELECT 'all', count(*) FROM u",
     "importance_by_age": f"""WITH {CONTENTS}, a AS (SELECT content_id, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(published_at)) / 3.6e9::DOUBLE AS age FROM contents)
 SELECT content_id, CASE WHEN age <= 6 THEN 0.82::DOUBLE WHEN age <= 24 THEN 0.72::DOUBLE ELSE 0.58::DOUBLE END AS importance, CASE WHEN age <= 6 THEN 'ALERT' ELSE 'INSIGHT' END AS type, CASE WHEN age <= 6 THEN 'actionRequired' WHEN age <= 24 THEN 'important' ELSE 'informational' END AS bucket FROM a""",
-    "glossary_chosen": """WITH b AS (SELECT item_id, unnest(string_split(text, ' ')[1:12]) AS w FROM benchmark), e AS (SELECT trim(lower(w)) AS term, 't' || lpad(CAST(item_id AS VARCHAR), 6, '0') AS preferred_term, item_id % 3 = 0 AS protected FROM b)
+    "glossary_chosen": """WITH b AS (SELECT item_id, unnest(string_split(text, ' ')) AS w FROM benchmark), e AS (SELECT trim(lower(w)) AS term, 't' || lpad(CAST(item_id AS VARCHAR), 6, '0') AS preferred_term, item_id % 3 = 0 AS protected FROM b)
 SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY term ORDER BY protected DESC, preferred_term) = 1""",
 }
 QUERIES = {f.__name__: f for f in (duplicates_resolved, clusters_built, clusters_primary, canonical_persisted, upserted, selection_changes, account_purge, status_audit, glossary_chosen, topic_interest_counts, importance_by_age)}

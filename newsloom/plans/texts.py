@@ -39,7 +39,7 @@ def text_facts(spark, d):
 
 def text_entities(spark, d):
     c = contents(spark, d).select("content_id", t.entities(F.col("content")).alias("e"))
-    return c.select("content_id", F.size("e").alias("n"), F.array_join(F.slice("e", 1, 5), "|").alias("first"))
+    return c.select("content_id", F.size("e").alias("n"), F.md5(F.array_join(F.sort_array("e"), "|")).alias("entities"))
 
 
 def text_claims(spark, d):
@@ -107,7 +107,7 @@ def _feeds(spark, d):
     clean = lambda x: F.regexp_replace(esc(x), r"[^\x20-\x7EÀ-ỹ]", " ")
     item = F.concat(
         F.lit("<item><title>"), clean(F.col("title")), F.lit("</title><link>/n/"), F.col("content_id").cast("string"), F.lit("</link><guid>"), F.col("content_id").cast("string"), F.lit("</guid><pubDate>Mon, "),
-        F.date_format("published_at", "dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate><description>"), clean(F.substring("content", 1, 800)), F.lit("</description></item>"),
+        F.date_format("published_at", "dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate><description>"), clean(F.col("content")), F.lit("</description></item>"),
     )
     g = c.groupBy("publisher", F.to_date("published_at").alias("day")).agg(F.array_join(F.sort_array(F.collect_list(item)), "").alias("items"))
     body = F.concat(F.lit("<rss><channel><title>"), F.col("publisher"), F.lit("</title>"), F.col("items"), F.lit("</channel></rss>"))
@@ -116,7 +116,7 @@ def _feeds(spark, d):
 
 def feeds_parsed(spark, d):
     p = a.parse_feeds(_feeds(spark, d))
-    return p.select(F.col("external_id").cast("long").alias("content_id"), "url", "publisher", "published_at")
+    return p.select(F.col("external_id").cast("long").alias("content_id"), "url", "publisher", "published_at", F.md5("content").alias("content"))
 
 
 def gate_pairs(spark, d):
@@ -136,6 +136,7 @@ S = "[\\s\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205
 CLEAN = f"""regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '{S}+', ' ', 'g'), '^{S}+|{S}+$', '', 'g')"""
 SEM = lambda x: f"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize({x}), '\\r\\n?', chr(10), 'g'), '[\\t\\f\\x0B \\x{{00A0}}]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^{S}+|{S}+$', '', 'g')"""
 FP = lambda x: f"regexp_replace(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}%]+', ' ', 'g'), '^ | $', '', 'g')"
+RE2 = lambda p: p.replace(t.JS_B, "\\b").replace("(?iu)", "(?i)")
 ORACLE_SQL = {
     "text_language": f"""WITH {CONTENTS}, n AS (SELECT content_id, lang, len(regexp_extract_all(content, '\\p{{L}}')) AS letters, len(regexp_extract_all(lower(content), '{MARKS}')) AS marks FROM contents)
 SELECT content_id, CASE WHEN marks >= 3 THEN 'vi' ELSE 'en' END AS language, round(least(letters / 80.0::DOUBLE, CASE WHEN marks >= 3 THEN least(1.0::DOUBLE, 0.65::DOUBLE + marks / 20.0::DOUBLE) ELSE 0.9 END)
@@ -151,6 +152,14 @@ SELECT content_id, CASE WHEN marks >= 3 THEN 'vi' ELSE 'en' END AS language, rou
 SELECT page_id, array_to_string(list_filter([CASE WHEN proto <> 'https' THEN 'URL_NOT_HTTPS' END, CASE WHEN path = '/' OR length(path) < 2 THEN 'NOT_DETAIL_URL' END, CASE WHEN page_id % 9 = 0 THEN 'PUBLISHER_UNKNOWN' END,
   CASE WHEN page_id % 11 = 0 THEN 'PUBLISHED_AT_INVALID' END], lambda x: x IS NOT NULL), ',') AS errors FROM p""",
     "pages_domains": "WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '^www\\.', '') AS h FROM pages) SELECT page_id, h = 'example.org' OR h LIKE '%.example.org' OR 'example.org' LIKE '%.' || h AS same FROM h",
-    "feeds_parsed": f"WITH {CONTENTS} SELECT content_id, 'https://feeds.example.org/n/' || content_id AS url, publisher, published_at FROM contents",
+    "feeds_parsed": f"WITH {CONTENTS}, x AS (SELECT *, regexp_replace(content, '[^\\x{{20}}-\\x{{7E}}À-ỹ]', ' ', 'g') AS html FROM contents) SELECT content_id, 'https://feeds.example.org/n/' || content_id AS url, publisher, published_at, md5({CLEAN}) AS content FROM x",
+    "text_excerpts": f"""WITH {CONTENTS}, h AS (SELECT content_id, content, substr(content, 1, 500) AS head, regexp_extract(substr(content, 1, 500), '(?s)^(.*[.!?])(?:\\s|$)', 1) AS cut FROM contents)
+SELECT content_id, md5(CASE WHEN length(content) > 500 THEN substr(content, 1, 497) || '...' ELSE content END) AS excerpt, CAST(length(CASE WHEN length(content) <= 500 THEN content WHEN length(cut) >= 160 THEN cut ELSE regexp_replace(head, '^{S}+|{S}+$', '', 'g') END) AS INT) AS summary_chars FROM h""",
+    "text_entities": f"""WITH {CONTENTS}, e AS (SELECT content_id, list_distinct(list_filter(list_transform(list_concat(regexp_extract_all(content, '{RE2(t.PRODUCT_IDS)}'), regexp_extract_all(content, '{RE2(t.NAMES)}')), lambda x: regexp_replace(x, '^{S}+|{S}+$', '', 'g')),
+  lambda x: NOT regexp_matches(lower(x), '^(?:{"|".join(t.LEAD_WORDS)})(?: |$)') AND NOT regexp_matches(x, '(?i)\\b{t.PRODUCT}\\b.*\\s|\\s.*\\b{t.PRODUCT}\\b'))) AS e FROM contents)
+SELECT content_id, CAST(len(e) AS INT) AS n, md5(array_to_string(list_sort(e), '|')) AS entities FROM e""",
+    "text_facts": f"WITH {CONTENTS}, r0 AS (SELECT content_id, content AS c FROM contents), "
+    + ", ".join(f"r{k + 1} AS (SELECT content_id, regexp_replace(c, '{RE2(p)}', chr(1), 'g') AS c, len(regexp_extract_all(c, '{RE2(p)}')) AS n FROM r{k})" for k, (_, p) in enumerate(t.FACTS))
+    + " " + " UNION ALL ".join(f"SELECT content_id, '{kind}' AS kind, CAST(n AS BIGINT) AS n FROM r{k + 1} WHERE n > 0" for k, (kind, _) in enumerate(t.FACTS)),
 }
 QUERIES = {f.__name__: f for f in (text_language, text_hashes, text_tokens, text_excerpts, text_folded, text_facts, text_entities, text_claims, text_percentages, locales_parsed, markets_parsed, pages_articles, pages_clean, pages_errors, pages_domains, pages_provenance, feeds_parsed, gate_pairs)}

@@ -17,6 +17,7 @@ HEADERS = ["content-type", "etag", "last-modified", "cache-control", "content-le
 MAX_ARTICLE, MAX_DETAIL = 20_000, 1024 * 1024
 BOILERPLATE = r"(?iu)^(advertisement|đăng ký|subscribe|read more|xem thêm)"
 PLACEHOLDERS = ["example.com", "localhost", "127.0.0.1"]
+LEAST_CONTENT, LEAST_WORDS = 80, 15
 
 
 def land_payloads(spark: SparkSession, path: str) -> DataFrame:
@@ -124,6 +125,60 @@ def candidate_errors(url: Column, publisher: Column, title: Column, content: Col
         F.when(empty(title) | empty(content), "CONTENT_REQUIRED"), F.when(published.isNull(), "PUBLISHED_AT_INVALID")))
 
 
+def canonical_url(url: Column) -> Column:
+    """The URL's normal form: scheme and host in lower case, no default port, ``/`` for an empty path, blanks encoded; null
+    for what is no absolute URL."""
+    u = F.trim(url)
+    part = lambda k: F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#\s]+)([^?#]*)(.*)$", k)
+    scheme = F.lower(part(1))
+    host = F.regexp_replace(F.lower(part(2)), F.when(scheme == "https", ":443$").when(scheme == "http", ":80$").otherwise("$^"), F.lit(""))
+    path = F.when(part(3) == "", "/").otherwise(part(3))
+    return F.when(part(2) != "", F.concat(scheme, F.lit("://"), host, F.replace(F.concat(path, part(4)), F.lit(" "), F.lit("%20"))))
+
+
+def article_errors(url: Column, title: Column, content: Column, status: Column, final_url: Column, extracted: Column) -> Column:
+    """The older check of a feed item: codes of its address and text, and only where none fails those of the fetched
+    page, whose ``extracted`` text must have 80 characters and 15 words. A missing status is a failed fetch."""
+    host, path = url_part(url, "HOST"), F.coalesce(url_part(url, "PATH"), F.lit(""))
+    empty = lambda c: F.coalesce(c == "", F.lit(True))
+    early = F.array_compact(F.array(
+        F.when(F.lower(url_part(url, "PROTOCOL")) != "https", "URL_NOT_HTTPS"), F.when(F.lower(host).isin(PLACEHOLDERS), "PLACEHOLDER_HOST"),
+        F.when((path == "/") | (F.length(path) < 5), "NOT_ARTICLE_PATH"), F.when(empty(title) | empty(content), "CONTENT_REQUIRED")))
+    ok = status.between(200, 299)
+    late = F.array_compact(F.array(
+        F.when(~ok, F.concat(F.lit("HTTP_"), status.cast("string"))), F.when(F.lower(url_part(final_url, "HOST")) != F.lower(host), "UNEXPECTED_FINAL_DOMAIN"),
+        F.when(ok & (F.length(extracted) < LEAST_CONTENT), "CONTENT_TOO_SHORT"), F.when(ok & (F.regexp_count(extracted, F.lit(r"[\p{L}\p{N}]+")) < LEAST_WORDS), "CONTENT_LOW_INFORMATION")))
+    one = lambda code: F.array(F.lit(code))
+    return F.when(host.isNull(), one("URL_INVALID")).when(F.size(early) > 0, early).when(status.isNull(), one("FETCH_FAILED")).otherwise(late)
+
+
+def url_audit(candidates: DataFrame, as_of: str, days: int = 7) -> DataFrame:
+    """``candidates(url, expected_domain, status, final_url, content_type, published_at)`` with ``errors``, all that apply; the age
+    counts where a time is given."""
+    url, host, path = F.col("url"), url_part(F.col("url"), "HOST"), F.coalesce(url_part(F.col("url"), "PATH"), F.lit(""))
+    final, domain = url_part(F.col("final_url"), "HOST"), F.col("expected_domain")
+    kind = F.coalesce("content_type", F.lit(""))
+    fetched = F.col("status").isNotNull() & host.isNotNull()
+    late = F.col("published_at") < F.lit(as_of).cast("timestamp") - F.make_interval(days=F.lit(days))
+    errors = F.array_compact(F.array(
+        F.when(host.isNull(), "URL_INVALID"), F.when(F.lower(url_part(url, "PROTOCOL")) != "https", "URL_NOT_HTTPS"), F.when(F.lower(host).isin([*PLACEHOLDERS, "www.example.com"]), "PLACEHOLDER_HOST"),
+        F.when(host.isNotNull() & ((path == "/") | (F.length(path) < 5)), "NOT_ARTICLE_PATH"), F.when(F.col("status").isNull(), "FETCH_FAILED"), F.when(fetched & ~F.col("status").between(200, 299), F.concat(F.lit("HTTP_"), F.col("status").cast("string"))),
+        F.when(fetched & (final != domain) & ~F.endswith(final, F.concat(F.lit("."), domain)), "UNEXPECTED_FINAL_DOMAIN"),
+        F.when(fetched & ~F.contains(kind, F.lit("text/html")) & ~F.contains(kind, F.lit("application/json")), "UNEXPECTED_CONTENT_TYPE"), F.when(late, "OUTSIDE_FRESHNESS_WINDOW")))
+    return candidates.withColumn("errors", errors)
+
+
+def publication_audit(contents: DataFrame, as_of: str) -> DataFrame:
+    """One row: how many of ``contents(id, url, status, provenance_status, published_at, content_hash)`` break each rule of
+    the final audit, and how many there are."""
+    now = F.lit(as_of).cast("timestamp")
+    bad = {
+        "placeholder_host": F.lower(url_part(F.col("url"), "HOST")).isin([*PLACEHOLDERS, "www.example.com"]), "no_provenance": F.col("provenance_status").isNull() | (F.col("provenance_status") != "VERIFIED"),
+        "not_2xx": ~F.coalesce(F.col("status").between(200, 299), F.lit(False)), "dated_later": F.col("published_at") > now,
+    }
+    return contents.agg(F.count("*").alias("items"), *[F.count_if(F.coalesce(v, F.lit(False))).alias(k) for k, v in bad.items()], (F.count("content_hash") - F.count_distinct("content_hash")).alias("repeated"))
+
+
 def _searchable(html: Column) -> Column:
     x = F.regexp_replace(html, r"(?is)<script.*?</script>|<style.*?</style>", " ")
     return F.regexp_replace(F.lower(F.regexp_replace(x, "<[^>]+>", " ")), r"[^\p{L}\p{N}%]+", " ")

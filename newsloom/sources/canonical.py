@@ -55,6 +55,30 @@ def backfill(events: DataFrame, canonical: DataFrame, localizations: DataFrame,
     return e, loc
 
 
+def persist_events(batch: DataFrame) -> DataFrame:
+    """The older store: the events of ``batch(source_id, url, title, content, published_at, fetched_at)``, one a source and
+    external id (SHA-256 of the URL), as they stand after all versions in the order of fetching. A version whose content
+    hash is another adds the one before to ``revisions``, oldest first."""
+    v = batch.withColumns({"external_id": F.sha2("url", 256), "content_hash": F.sha2(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))), 256)})
+    w = Window.partitionBy("source_id", "external_id").orderBy("fetched_at", "content_hash")
+    v = v.withColumn("_next", F.lead("content_hash").over(w)).withColumn("_at", F.lead("fetched_at").over(w))
+    last = F.struct("fetched_at", "content_hash", "title", "content", "published_at", "url")
+    old = F.when(F.col("_next") != F.col("content_hash"), F.struct(F.col("_at").alias("corrected_at"), "url", "content_hash"))
+    e = v.groupBy("source_id", "external_id").agg(F.max(last).alias("l"), F.sort_array(F.collect_list(old)).alias("revisions"))
+    return e.select("source_id", "external_id", "l.url", "l.title", "l.content", "l.content_hash", "l.published_at", F.lit("PROCESSED").alias("status"), F.lit(None).cast("string").alias("reason"), "revisions")
+
+
+def reject_events(events: DataFrame, rejects: DataFrame, as_of: str) -> DataFrame:
+    """``events`` where those of ``rejects(source_id, url, errors)`` that aren't rejected yet are: with the reason, and a
+    revision of what stood."""
+    r = rejects.groupBy("source_id", "url").agg(F.min(F.array_join("errors", ",")).alias("_why"))
+    j = events.join(r, ["source_id", "url"], "left")
+    hit = F.col("_why").isNotNull() & (F.col("status") != "REJECTED")
+    was = F.array(F.struct(F.lit(as_of).cast("timestamp").alias("corrected_at"), F.col("url"), F.col("content_hash")))
+    new = {"status": F.when(hit, "REJECTED").otherwise(F.col("status")), "reason": F.when(hit, F.col("_why")).otherwise(F.col("reason")), "revisions": F.when(hit, F.concat("revisions", was)).otherwise(F.col("revisions"))}
+    return j.select(*[new[c].alias(c) if c in new else F.col(c) for c in events.columns])
+
+
 def set_status(contents: DataFrame, ids: DataFrame, status: str, reason: str) -> tuple[DataFrame, DataFrame]:
     """Contents with the status of the listed ids changed, and an audit row for each change."""
     hit = contents.join(ids.select("id").distinct().withColumn("_hit", F.lit(True)), "id", "left")

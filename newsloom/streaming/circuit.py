@@ -119,4 +119,5 @@ def run_telemetry(starts: DataFrame, ends: DataFrame, within: str = "1 hour") ->
     on = (F.col("run_id") == F.col("_run")) & (F.col("ended_at") >= F.col("started_at")) & (F.col("ended_at") <= F.col("started_at") + F.expr(f"interval {within}"))
     j = s.join(e, on, "left").drop("_run")
     status = F.when(F.col("ok"), "SUCCESS").when(~F.col("ok"), "FAILED").otherwise("RUNNING")
-    return j.withColumn("status", status).withColumn("duration_ms", F.unix_millis("ended_at") - F.unix_millis("started_at")).drop("ok")
+    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    return j.withColumn("status", status).withColumn("duration_ms", ms("ended_at") - ms("started_at")).drop("ok")
