@@ -13,8 +13,15 @@ MARKETS = ["VN", "GLOBAL", "US", "CN"]
 AS_OF = "2024-01-05 00:00:00"
 
 
+#: Tables of texts, and the size up to which one is dealt out anew: a small file can be a single row group, which
+#: only one task reads, while work on its texts is worth many.
+TEXTS, SMALL_BYTES = ("documents", "pages"), 256 << 20
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() if name in TEXTS else 0
+    return df.repartition(spark.sparkContext.defaultParallelism) if 1 << 20 < size < SMALL_BYTES else df
 
 
 def pick(values: list, index):
