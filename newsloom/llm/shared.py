@@ -98,7 +98,8 @@ def first_by_hash(df: DataFrame, rows: int, *key: str, by: str | None = None, se
     partitioning. Counts set a bound on the hash, under which half as many again are expected, so that few rows
     reach the sort; where that leaves too few, all rows are sorted, so the bound never changes the sample."""
     df = df.select(*key, (F.col(by) if by else F.lit(0)).alias("_by"), F.xxhash64(*key, F.lit(seed)).alias("_h"))
-    counts = df.groupBy("_by").agg(F.approx_count_distinct("_h").alias("_n")).withColumnRenamed("_by", "_c")
+    scratch = Scratch(df.sparkSession, "sample")
+    counts = broadcast_if_small(scratch.save(df.groupBy("_by").agg(F.approx_count_distinct("_h").alias("_n")).withColumnRenamed("_by", "_c")))
     span = float(1 << 64)
     under = F.col("_h").cast("double") + span / 2 < F.lit(span * 1.5 * rows) / F.greatest(F.col("_n"), F.lit(1))
     sample = df.join(counts, F.col("_by").eqNullSafe(F.col("_c"))).where(under | (F.col("_n") <= 2 * rows)).drop("_n", "_c")
