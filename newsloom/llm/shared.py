@@ -109,7 +109,7 @@ def first_by_hash(df: DataFrame, rows: int, *key: str, by: str | None = None, se
         sample = df
     order = F.row_number().over(Window.partitionBy("_by").orderBy("_h", *key))
     first = sample.dropDuplicates(["_h", "_by"]).withColumn("_r", order).where(F.col("_r") <= rows)
-    return first.select(*key, *([F.col("_by").alias(by)] if by else []))
+    return scratch.save(first.select(*key, *([F.col("_by").alias(by)] if by else [])))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
