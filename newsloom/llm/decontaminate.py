@@ -6,9 +6,9 @@ one then differs in three bits at most, and the index holds all block values tha
 verified exactly by the similarity of their weighted five-word shingles, the weights being how often each
 occurs.
 
-A window that shares no shingle with any item has similarity 0 and gets no fingerprint: fingerprints
-are made where a shingle of the document is one of the benchmark's, one window for each way to lay the
-item over it.
+All windows of an item's length count, at every word and cut at the document's ends. No fingerprint is made
+of a window in which so few shingles occur in any benchmark item of its length that it can't reach the asked similarity: which
+shingles do is a test of membership, while which item a window may hold is found by the index alone.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ RADIUS = 15
 BLOCKS, BLOCK_BITS = 4, 16
 #: Values within this many bits of a block's value are indexed: a distance of RADIUS leaves one block so near.
 BLOCK_RADIUS = RADIUS // BLOCKS
-#: Benchmark shingles (8-byte hash, id, two ints) up to this many are broadcast, more are shuffled.
+#: Benchmark shingles with the length of an item (8-byte hash, int) up to this many are broadcast, more are shuffled.
 BROADCAST_SHINGLES = 500_000
 #: (doc_id, hash) pairs of documents with such a shingle: the same.
 BROADCAST_DOCUMENTS = 1_000_000
@@ -68,14 +68,34 @@ def weighted_similarity(a: Column, b: Column) -> Column:
     return let(F.struct(a.alias("a"), b.alias("b")), ratio)
 
 
+def window_starts(similarity: float) -> Column:
+    """Starts of the windows of ``w`` words, in a text of ``n``, that can be so similar to an item of ``w`` words; those
+    before word 0 are cut there. ``places`` are the text's shingles that are in such items, in order.
+
+    Two collections of a and b shingles of which c are common have similarity c / (a + b - c), so a window needs
+    similarity * (a + b) / (1 + similarity) of its places, and that is at least similarity * b. A window is found with its
+    first place, number k: it starts after the place before, and the last one that it needs lies in it.
+    """
+    size = F.col("w") - (SHINGLE - 1)
+    enough = lambda shared: F.ceil(shared - F.lit(1e-6)).cast("int")
+    nth = lambda k, needed: F.get("places", k + needed - 1)
+    least = enough(size * similarity)
+    cut = lambda s: F.least(s + size, F.col("n") - (SHINGLE - 1)) - F.greatest(s, F.lit(0))
+    reaches = lambda k: lambda s: nth(k, enough((cut(s) + size) * (similarity / (1 + similarity)))) < s + size
+    low = lambda k: F.greatest(nth(k, least) - size + 1, F.get("places", k - 1) + 1)
+    near = lambda p, k: nth(k, least).isNotNull() & (low(k) <= p)
+    spans = lambda p, k: F.when(near(p, k), F.filter(F.sequence(low(k), p), reaches(k))).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform("places", spans))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, scratch: Scratch | None = None) -> DataFrame:
     """One row for each document and item that it holds: doc_id, item_id, start_word, n_words, distance,
     similarity (of the best window; ties by the earliest).
 
-    A document holds an item if a window of the item's length, laid so that a shared shingle falls on its
-    own place in the item and cut at the document's ends, has a fingerprint within ``radius`` and a weighted
-    shingle similarity of ``similarity`` or more. Whole texts are read. Null and empty texts or items, and items
-    of fewer than five words, match nothing; repeated rows and doc_ids give one row, rows without doc_id none; other columns aren't read.
+    A document holds an item if a window of the item's length, at any of its words and cut at the document's ends, has
+    a fingerprint within ``radius`` and a weighted shingle similarity of ``similarity`` or more. Whole texts are read. Null
+    and empty texts or items, and items of fewer than five words, match nothing; repeated rows and doc_ids give one row, rows
+    without doc_id none; other columns aren't read.
 
     Windows are compared by their content, once each, so a passage that fills many documents is
     fingerprinted once. Documents are never grouped by item or passage.
@@ -85,13 +105,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     scratch = scratch or Scratch(docs.sparkSession, "decontaminate")
     items = benchmark.select("item_id", words(F.col("text")).alias("ws")).where(F.size("ws") >= SHINGLE)
     items = items.select("item_id", F.size("ws").alias("w"), shingles(F.col("ws")).alias("item_shingles"), fingerprint(F.col("ws")).alias("item_fp"))
-    places = items.select("w", F.posexplode("item_shingles").alias("j", "h")).select("h", "j", "w").distinct()
+    places = items.select("w", F.explode("item_shingles").alias("h")).distinct()
     if places.count() <= BROADCAST_SHINGLES:
         places = F.broadcast(places)
     # only hashes are exploded; texts are cut again where one of them is the benchmark's
     docs = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    each = docs.select("doc_id", "text_key", F.posexplode(shingles(words(F.col("text")))).alias("i", "h"))
-    starts = scratch.save(each.join(places, "h").select("doc_id", "text_key", (F.col("i") - F.col("j")).alias("at"), "w").distinct())
+    each = docs.select("doc_id", "text_key", words(F.col("text")).alias("ws")).select("doc_id", "text_key", F.size("ws").alias("n"), F.posexplode(shingles(F.col("ws"))).alias("i", "h"))
+    places_held = each.join(places, "h").groupBy("doc_id", "text_key", "n", "w").agg(F.sort_array(F.collect_set("i")).alias("places"))
+    starts = scratch.save(places_held.select("doc_id", "text_key", "w", F.explode(window_starts(similarity)).alias("at")))
     held = starts.select("doc_id", "text_key").distinct()
     if held.count() <= BROADCAST_DOCUMENTS:
         held = F.broadcast(held)

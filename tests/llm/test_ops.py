@@ -6,9 +6,11 @@ import pathlib
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from newsloom.llm import decontaminate, entry, language_id, license_scan, mixing, near_embeddings, secret_scan, setsketch, shared, token_counts, url_filter, warc_archive
 from oracle import same
 from pyspark.sql import functions as F
@@ -368,6 +370,39 @@ def test_contamination_equals_brute_force(spark):
     assert decontaminate.contaminated(d.limit(0), b).count() == 0 and decontaminate.contaminated(d, b.limit(0)).count() == 0
 
 
+def _simhash(ws):
+    hashes = [xxhash.xxh64_intdigest(w, 42) for w in ws]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_every_window_of_edited_items_is_judged(spark):
+    g = np.random.default_rng(7)
+    bench = [(i, [f"w{k}" for k in g.integers(0, 60, n)]) for i, n in enumerate((9, 15, 15, 24, 40))]
+    rows = []
+    for d in range(150):
+        ws = list(bench[d % 5][1])
+        for _ in range(d % 4):  # words put in, taken out, changed
+            at = int(g.integers(0, len(ws)))
+            ws[at : at + int(g.integers(0, 2))] = [f"x{d}"] * int(g.integers(0, 2))
+        before, after = ([f"y{k}" for k in g.integers(0, 60, g.integers(0, 30))] for _ in range(2))
+        rows.append((d, before * (d % 3 > 0) + ws * (1 + d % 7 // 6) + after * (d % 2)))
+    shingle = lambda ws: Counter(tuple(ws[k : k + 5]) for k in range(len(ws) - 4))
+    want = {}
+    for d, ws in rows:
+        for i, item in bench:
+            a = shingle(item)
+            for s in range(5 - len(item), len(ws) - 4):
+                win = ws[max(s, 0) : s + len(item)]
+                both = (a & (c := shingle(win))).total()
+                if both >= 0.8 * (a.total() + c.total() - both) and (far := (_simhash(win) ^ _simhash(item)).bit_count()) <= decontaminate.RADIUS:
+                    best = (both / (a.total() + c.total() - both), -max(s, 0), len(win), far)
+                    want[d, i] = max(want.get((d, i), best), best)
+    d = spark.createDataFrame([(i, " ".join(ws)) for i, ws in rows + rows[:9]], "doc_id long, text string")  # nine rows twice
+    got = decontaminate.contaminated(d, spark.createDataFrame([(i, " ".join(ws)) for i, ws in bench], "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): (r.similarity, -r.start_word, r.n_words, r.distance) for r in got}
+    assert got == want and 50 < len(got) < 150
+
+
 def test_block_index_holds_every_fingerprint_within_radius():
     g = np.random.default_rng(0)
     masks = set(decontaminate._MASKS)
