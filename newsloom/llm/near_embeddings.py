@@ -3,7 +3,7 @@
 Tight groups first shrink to balls: a ball's members lie within ``BALL`` degrees of its centre, so all of
 them are linked to each other and need no pairs. NN-descent then runs on the centres: neighbour lists,
 seeded by sorted random-hyperplane signatures, are refined by comparing neighbours of neighbours; a list
-that is full of edges over the threshold grows with them; a brute-force audit of sampled centres, enlarged until
+that is full of edges over the threshold (each pair's own, by the radii of its balls) grows with them; a brute-force audit of sampled centres, enlarged until
 it meets enough edges, measures recall; more seeds and longer lists follow if it falls short, and at last a
 comparison of all centres in blocks. Kept edges between
 centres decide by the triangle inequality of angles whether all, none or some members are linked, and
@@ -39,6 +39,31 @@ AUDIT_QUERIES, RECALL = 512, 0.99
 #: values of the hash by which they are taken.
 AUDIT_EDGES, BLOCK, PLACES = 200, 4096, 1 << 31
 SLACK = 1e-9
+#: Rows of a pivot's neighbours that are compared with all of them at a time; edges that a worker gathers before it sends them.
+ROWS, SENT = 1024, 200_000
+
+
+def _reach(limit: float, r1, r2):
+    """Least cosine of two centres whose balls, of the radii ``r1`` and ``r2``, can hold members within the angle
+    ``limit``; a hair less, for what single precision loses."""
+    return np.cos(np.minimum(np.pi, limit + r1 + r2)) - 1e-5
+
+
+def _over(s: np.ndarray, limit: float, r1: np.ndarray, r2: np.ndarray, more: np.ndarray | None = None):
+    """Places of the cosines ``s`` that reach far enough for their pair's radii, or are over ``more`` of their row; and
+    which of them reach. Only what would reach the widest ball is looked at by pairs."""
+    near = s >= _reach(limit, r1, r2.max())[:, None]
+    i, j = np.nonzero(near if more is None else near | (s > more[:, None]))
+    hit = s[i, j] >= _reach(limit, r1[i], r2[j])
+    keep = hit if more is None else hit | (s[i, j] > more[i])
+    return i[keep], j[keep], hit[keep]
+
+
+def _edge_batch(parts: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["src", "dst", "sim", "hit"])
+
+
+EDGES = "src long, dst long, sim double, hit boolean"
 
 
 def _unit(vectors: list, dim: int) -> list[np.ndarray | None]:
@@ -89,127 +114,133 @@ def _signatures(dim: int, bits: int, seed: int, tables: int = TABLES):
             sign = ((y[:, :, :bits] > 0) << np.arange(bits)[::-1]).sum(2)
             small = [r.tobytes() for r in x.astype(np.float32)]
             for t in range(tables):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), t, np.int32)), pa.array(sign[t]), pa.array(y[t, :, bits]), pa.array(ids), pa.array(small, pa.binary())], names=["t", "sign", "rest", "id", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), t, np.int32)), pa.array(sign[t]), pa.array(y[t, :, bits]), pa.array(ids), pa.array(small, pa.binary()), b.column(2)], names=["t", "sign", "rest", "id", "x", "r"])
 
-    return run, "t int, sign long, rest double, id long, x binary"
+    return run, "t int, sign long, rest double, id long, x binary, r double"
 
 
-def _sorted_neighbours(ahead: int):
+def _sorted_neighbours(ahead: int, limit: float):
     """Edges between rows that are near in the sorted order; a partition's rows come in batches."""
 
     def run(batches):
-        keep_t, keep_i, keep_x = np.empty(0, np.int32), np.empty(0, np.int64), None
+        keep_t, keep_i, keep_r, keep_x = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0), None
         for b in batches:
             if not b.num_rows:
                 continue
-            t, ids, x = b.column(0).to_numpy(), b.column(3).to_numpy(), _matrix(b.column(4).to_pylist(), np.float32)
+            t, ids, r, x = b.column(0).to_numpy(), b.column(3).to_numpy(), b.column(5).to_numpy(), _matrix(b.column(4).to_pylist(), np.float32)
             if keep_x is not None:
-                t, ids, x = np.concatenate([keep_t, t]), np.concatenate([keep_i, ids]), np.concatenate([keep_x, x])
+                t, ids, r, x = np.concatenate([keep_t, t]), np.concatenate([keep_i, ids]), np.concatenate([keep_r, r]), np.concatenate([keep_x, x])
             for k in range(1, min(ahead, len(ids) - 1) + 1):
                 same = (t[k:] == t[:-k]) & (ids[k:] != ids[:-k])
                 s = np.einsum("ij,ij->i", x[k:], x[:-k]).astype(np.float64)
-                a, c, s = ids[:-k][same], ids[k:][same], s[same]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, c])), pa.array(np.concatenate([c, a])), pa.array(np.concatenate([s, s]))], names=["src", "dst", "sim"])
-            keep_t, keep_i, keep_x = t[-ahead:], ids[-ahead:], x[-ahead:]
+                a, c, s, hit = ids[:-k][same], ids[k:][same], s[same], s[same] >= _reach(limit, r[:-k], r[k:])[same]
+                yield _edge_batch([(a, c, s, hit), (c, a, s, hit)])
+            keep_t, keep_i, keep_r, keep_x = t[-ahead:], ids[-ahead:], r[-ahead:], x[-ahead:]
 
     return run
 
 
-def _seeds(points: DataFrame, dim: int, bits: int, seed: int) -> DataFrame:
+def _seeds(points: DataFrame, dim: int, bits: int, seed: int, limit: float) -> DataFrame:
     run, schema = _signatures(dim, bits, seed)
-    rows = points.select("id", "v").mapInArrow(run, schema)
+    rows = points.select("id", "v", "r").mapInArrow(run, schema)
     n = max(4, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartitionByRange(n, "t", "sign", "rest").sortWithinPartitions("t", "sign", "rest", "id")
-    return rows.mapInArrow(_sorted_neighbours(AHEAD), "src long, dst long, sim double")
+    return rows.mapInArrow(_sorted_neighbours(AHEAD, limit), EDGES)
 
 
-def _lists(edges: DataFrame, k: int, least: float) -> DataFrame:
-    """The k nearest of each source, and beyond them every edge of at least ``least``: a list that such
+def _lists(edges: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each source, and beyond them every threshold edge (``hit``): a list that such
     edges saturate is enlarged to hold them all."""
-    one = edges.groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
+    one = edges.groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.max("hit").alias("hit"), F.min("fresh").alias("fresh"))
     place = F.row_number().over(Window.partitionBy("src").orderBy(F.col("sim").desc(), "dst"))
-    return one.withColumn("place", place).where((F.col("place") <= k) | (F.col("sim") >= least))
+    return one.withColumn("place", place).where((F.col("place") <= k) | F.col("hit"))
 
 
-def _local_join(least: float):
+def _local_join(limit: float):
     """At every pivot: compares its neighbours with each other where one of the two is new, and
-    proposes edges that are over the threshold or would enter a list. Rows come sorted by pivot."""
+    proposes edges that reach the threshold or would enter a list. Rows come sorted by pivot; a pivot's are
+    compared ROWS at a time."""
 
-    def flush(ids, x, fresh, kth, out):
-        if len(ids) < 2:
-            return
-        s = (x @ x.T).astype(np.float64)
-        new = (fresh[:, None] | fresh[None, :]) & (ids[:, None] != ids[None, :])
-        i, j = np.nonzero(new & ((s > kth[:, None]) | (s >= least)))
-        out.append((ids[i], ids[j], s[i, j]))
+    def compare(ids, fresh, kth, r, x):
+        for k in range(0, len(ids) if len(ids) > 1 else 0, ROWS):
+            z = slice(k, k + ROWS)
+            s = (x[z] @ x.T).astype(np.float64)
+            s[~((fresh[z, None] | fresh[None, :]) & (ids[z, None] != ids[None, :]))] = -3.0
+            i, j, hit = _over(s, limit, r[z], r, kth[z])
+            yield ids[z][i], ids[j], s[i, j], hit
 
     def run(batches):
-        held = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3, 4)] + [_matrix(b.column(2).to_pylist(), np.float32)]
+        held, out, n = None, [], 0
+
+        def pivots():
+            nonlocal held
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                cols = [b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3, 4, 5)] + [_matrix(b.column(2).to_pylist(), np.float32)]
+                if held is not None:
+                    cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+                starts = np.concatenate([[0], np.flatnonzero(np.diff(cols[0])) + 1])
+                for a, z in zip(starts[:-1], starts[1:], strict=True):
+                    yield [c[a:z] for c in cols[1:]]
+                held = [c[starts[-1] :] for c in cols]
             if held is not None:
-                cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-            pivot, out = cols[0], []
-            cuts = np.flatnonzero(np.diff(pivot)) + 1
-            starts = np.concatenate([[0], cuts])
-            for a, z in zip(starts[:-1], starts[1:], strict=True):
-                flush(cols[1][a:z], cols[4][a:z], cols[2][a:z], cols[3][a:z], out)
-            held = [c[starts[-1] :] for c in cols]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], names=["src", "dst", "sim"])
-        out = []
-        if held is not None:
-            flush(held[1], held[4], held[2], held[3], out)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(out[0][k]) for k in range(3)], names=["src", "dst", "sim"])
+                yield held[1:]
+
+        for pivot in pivots():
+            for part in compare(*pivot):
+                out.append(part)
+                n += len(part[0])
+                if n >= SENT:
+                    yield _edge_batch(out)
+                    out, n = [], 0
+        if n:
+            yield _edge_batch(out)
 
     return run
 
 
-def _descend(lists: DataFrame, small: DataFrame, k: int, least: float) -> DataFrame:
+def _descend(lists: DataFrame, small: DataFrame, k: int, limit: float) -> DataFrame:
     """One round: candidate edges from neighbours of neighbours. A pivot is joined by its own list
     and by up to REVERSE of those that list it; threshold edges always join in."""
     back = F.row_number().over(Window.partitionBy("dst").orderBy(F.col("fresh").desc(), F.xxhash64("src", "dst")))
-    reverse = lists.withColumn("_r", back).where((F.col("_r") <= REVERSE) | (F.col("sim") >= least)).select(F.col("dst").alias("pivot"), F.col("src").alias("id"), "fresh")
+    reverse = lists.withColumn("_r", back).where((F.col("_r") <= REVERSE) | F.col("hit")).select(F.col("dst").alias("pivot"), F.col("src").alias("id"), "fresh")
     forward = lists.select(F.col("src").alias("pivot"), F.col("dst").alias("id"), "fresh")
     kth = lists.where(F.col("place") <= k).groupBy("src").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0)).alias("kth"))
-    sent = small.join(kth.withColumnRenamed("src", "id"), "id", "left").select("id", "x", F.coalesce("kth", F.lit(-2.0)).alias("kth"))
+    sent = small.join(kth.withColumnRenamed("src", "id"), "id", "left").select("id", "x", F.coalesce("kth", F.lit(-2.0)).alias("kth"), "r")
     both = forward.unionByName(reverse).groupBy("pivot", "id").agg(F.max("fresh").alias("fresh"))
-    rows = both.join(sent, "id").select("pivot", "id", "x", "fresh", "kth")
+    rows = both.join(sent, "id").select("pivot", "id", "x", "fresh", "kth", "r")
     n = max(4, int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartition(n, "pivot").sortWithinPartitions("pivot")
-    return rows.mapInArrow(_local_join(least), "src long, dst long, sim double")
+    return rows.mapInArrow(_local_join(limit), EDGES)
 
 
-def neighbour_edges(points: DataFrame, least: float, dim: int, scratch: Scratch, report: dict | None = None) -> DataFrame:
-    """Edges ``(src, dst, sim)``, both ways, of ``points(id, v)`` with cosine about ``least`` or more
-    (single precision; a hair under is kept too)."""
-    least -= 1e-5
+def neighbour_edges(points: DataFrame, limit: float, dim: int, scratch: Scratch, report: dict | None = None) -> DataFrame:
+    """Edges ``(src, dst, sim)``, both ways, of ``points(id, v, r)`` whose angle is ``limit`` and both their radii ``r`` or
+    less (single precision; a hair over is kept too)."""
     n = points.count()
     bits = max(3, min(30, int(np.ceil(np.log2(max(n, 2) / 8)))))
-    small = scratch.save(points.select("id", _narrow("v").alias("x")))
-    exact, place = _audit(points, least, n, scratch)
-    truth = exact.where(F.col("sim") >= least + 2e-5).select("src", "dst")
+    small = scratch.save(points.select("id", _narrow("v").alias("x"), "r"))
+    exact, place = _audit(points, limit, n, scratch)
+    truth = exact.where("hit").select("src", "dst")
     if place >= PLACES and n > AUDIT_QUERIES:  # so few edges that all centres were compared
         if report is not None:
-            report |= {"recall": 1.0, "audited_edges": truth.count(), "list_length": 0, "points": n, "exact": True}
-        return exact
+            report |= {"recall": 1.0, "audited_edges": truth.count(), "list_length": 0, "points": n, "exact": True, "edges": exact.count()}
+        return exact.select("src", "dst", "sim")
     k, lists, recall = NEIGHBOURS, None, 0.0
     for attempt in range(AUDITS):
-        seeds = _seeds(points, dim, bits, 1 + attempt).withColumn("fresh", F.lit(True))
+        seeds = _seeds(points, dim, bits, 1 + attempt, limit).withColumn("fresh", F.lit(True))
         if lists is not None:
-            seeds = seeds.unionByName(lists.select("src", "dst", "sim", F.lit(False).alias("fresh")))
-        lists = scratch.save(_lists(seeds, k, least))
+            seeds = seeds.unionByName(lists.select("src", "dst", "sim", "hit", F.lit(False).alias("fresh")))
+        lists = scratch.save(_lists(seeds, k))
         for _ in range(ROUNDS):
-            before = lists.where(F.col("sim") >= least).count()
-            found = _descend(lists, small, k, least).withColumn("fresh", F.lit(True))
-            old = lists.select("src", "dst", "sim", F.lit(False).alias("fresh"))
-            new = scratch.save(_lists(found.unionByName(old), k, least))
+            before = lists.where("hit").count()
+            found = _descend(lists, small, k, limit).withColumn("fresh", F.lit(True))
+            old = lists.select("src", "dst", "sim", "hit", F.lit(False).alias("fresh"))
+            new = scratch.save(_lists(found.unionByName(old), k))
             scratch.drop(lists)
             lists = new
-            if lists.where(F.col("sim") >= least).count() == before:
+            if lists.where("hit").count() == before:
                 break
         met = truth.join(lists.select("src", "dst", F.lit(1).alias("hit")), ["src", "dst"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("hits")).first()
         recall = met.hits / met.n if met.n else 1.0  # without an edge all centres have been compared
@@ -217,14 +248,14 @@ def neighbour_edges(points: DataFrame, least: float, dim: int, scratch: Scratch,
             break
         k *= 2
     short = recall < RECALL
-    if report is not None:
-        report |= {"recall": 1.0 if short else recall, "audited_edges": met.n, "list_length": k, "points": n, "exact": short}
     if short:
         while place < PLACES:
-            block, place = _block(points, least, n, place, BLOCK)
+            block, place = _block(points, limit, n, place, BLOCK)
             exact = exact.unionByName(scratch.save(block))
-        return exact
-    return lists.where(F.col("sim") >= least).select("src", "dst", "sim")
+    edges = exact if short else lists.where("hit")
+    if report is not None:
+        report |= {"recall": 1.0 if short else recall, "audited_edges": met.n, "list_length": k, "points": n, "exact": short, "edges": edges.count()}
+    return edges.select("src", "dst", "sim")
 
 
 def _narrow(col: str):
@@ -235,39 +266,40 @@ def _narrow(col: str):
     return f(col)
 
 
-def _block(points: DataFrame, least: float, n: int, place: int, rows: int) -> tuple[DataFrame, int]:
-    """Edges ``(src, dst, sim)`` of ``least`` or more from about ``rows`` points, those whose hash is at ``place`` or after,
+def _block(points: DataFrame, limit: float, n: int, place: int, rows: int) -> tuple[DataFrame, int]:
+    """Edges ``(src, dst, sim, hit)`` that reach the threshold, ``hit`` where single precision can't miss that, from about ``rows`` points, those whose hash is at ``place`` or after,
     to all points, by brute force in double precision; and the place of the next block. So many vectors are
     sent to the workers, whatever the table's size."""
     spark = points.sparkSession
     end = min(PLACES, place + -(-PLACES * rows // max(n, 1)))
     at = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(PLACES))
-    queries = points.where((at >= F.lit(place)) & (at < F.lit(end))).select("id", "v").collect()
-    sent = spark.sparkContext.broadcast((np.array([q.id for q in queries], np.int64), b"".join(bytes(q.v) for q in queries)))
+    queries = points.where((at >= F.lit(place)) & (at < F.lit(end))).select("id", "v", "r").collect()
+    sent = spark.sparkContext.broadcast((np.array([q.id for q in queries], np.int64), np.array([q.r for q in queries]), b"".join(bytes(q.v) for q in queries)))
 
     def run(batches):
-        ids, blob = sent.value
+        ids, radii, blob = sent.value
         for b in batches:
             if not b.num_rows or not len(ids):
                 continue
-            q, x, own = np.frombuffer(blob).reshape(len(ids), -1), _matrix(b.column(1).to_pylist()), b.column(0).to_numpy()
-            for k in range(0, len(own), 1024):
-                s = q @ x[k : k + 1024].T
-                i, j = np.nonzero((s >= least) & (ids[:, None] != own[None, k : k + 1024]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[k + j]), pa.array(s[i, j])], names=["src", "dst", "sim"])
+            q, x, own, r = np.frombuffer(blob).reshape(len(ids), -1), _matrix(b.column(1).to_pylist()), b.column(0).to_numpy(), b.column(2).to_numpy()
+            for k in range(0, len(own), ROWS):
+                s = q @ x[k : k + ROWS].T
+                s[ids[:, None] == own[None, k : k + ROWS]] = -3.0
+                i, j, _ = _over(s, limit, radii, r[k : k + ROWS])
+                yield _edge_batch([(ids[i], own[k + j], s[i, j], s[i, j] >= _reach(limit, radii[i], r[k + j]) + 2e-5)])
 
-    return points.select("id", "v").mapInArrow(run, "src long, dst long, sim double"), end
+    return points.select("id", "v", "r").mapInArrow(run, EDGES), end
 
 
-def _audit(points: DataFrame, least: float, n: int, scratch: Scratch) -> tuple[DataFrame, int]:
+def _audit(points: DataFrame, limit: float, n: int, scratch: Scratch) -> tuple[DataFrame, int]:
     """Edges of a hashed sample of points, by brute force, and the place where the sample ends: AUDIT_QUERIES points,
     and more until they have AUDIT_EDGES edges or all points are in."""
     out, place, rows = None, 0, AUDIT_QUERIES
     while True:
-        block, place = _block(points, least, n, place, rows)
+        block, place = _block(points, limit, n, place, rows)
         block = scratch.save(block)
         out = block if out is None else out.unionByName(block)
-        if place >= PLACES or out.where(F.col("sim") >= least + 2e-5).count() >= AUDIT_EDGES:
+        if place >= PLACES or out.where("hit").count() >= AUDIT_EDGES:
             return out, place
         rows = min(2 * rows, BLOCK)
 
@@ -282,7 +314,7 @@ def balls(points: DataFrame, dim: int, scratch: Scratch, degrees: float = BALL)
     bits = max(3, min(30, int(np.ceil(np.log2(max(n, 2) / 8)))))
     run, schema = _signatures(dim, bits, 0, 4)
     rank = lambda c: F.xxhash64(c, F.lit(5))
-    rows = points.select("id", "v").mapInArrow(run, schema)
+    rows = points.select("id", "v", F.lit(0.0).alias("r")).mapInArrow(run, schema)
     lead = rows.groupBy("t", "sign").agg(F.min(F.struct(rank("id").alias("h"), "id")).alias("m")).select("t", "sign", F.col("m.id").alias("to"))
     pairs = rows.select("t", "sign", "id").join(lead, ["t", "sign"]).where("id <> to").select("id", "to").distinct()
     v = points.select("id", "v")
@@ -317,7 +349,8 @@ def near_embeddings(vectors: DataFrame, threshold: float = COSINE, scratch: Scra
     least ``threshold``. Vectors that are null, zero, of another length than most, or hold null or
     non-finite components link with nothing. Of rows that repeat a vec_id the smallest embedding
     counts; rows without vec_id are left out; an empty table gives an empty result. Other columns
-    aren't read. Equal vectors form one class before all else. ``report`` receives the audit's recall, and whether all centres were compared.
+    aren't read. Equal vectors form one class before all else. ``report`` receives the audit's recall,
+    the number of edges between centres, and whether all centres were compared.
     """
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark, "embeddings")
@@ -337,10 +370,9 @@ def near_embeddings(vectors: DataFrame, threshold: float = COSINE, scratch: Scra
     size = members.groupBy("centre").agg(F.sum("m").alias("ball_m"), F.min("cos").alias("r"))
     angle = lambda c: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
     size = scratch.save(size.select("centre", "ball_m", angle(F.col("r")).alias("radius")))
-    centres = scratch.save(points.join(size.select(F.col("centre").alias("id")), "id", "left_semi").select("id", "v"))
+    centres = scratch.save(points.join(size.select(F.col("centre").alias("id"), F.col("radius").alias("r")), "id").select("id", "v", "r"))
     limit = float(np.arccos(threshold))
-    widest = size.agg(F.max("radius")).first()[0] or 0.0
-    edges = neighbour_edges(centres, float(np.cos(min(np.pi, limit + 2 * widest))), dim, scratch, report)
+    edges = neighbour_edges(centres, limit, dim, scratch, report)
     radius = size.select(F.col("centre").alias("src"), F.col("radius").alias("r1")), size.select(F.col("centre").alias("dst"), F.col("radius").alias("r2"), F.col("ball_m").alias("m2"))
     edges = edges.join(radius[0], "src").join(radius[1], "dst")
     edges = scratch.save(edges.where(angle(F.col("sim")) <= limit + F.col("r1") + F.col("r2") + 1e-3).select("src", "dst", "r2", "m2"))

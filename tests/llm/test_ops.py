@@ -111,6 +111,29 @@ def test_links_that_the_descent_misses(spark, monkeypatch, pairs):
 # --- 2
 
 
+def test_a_wide_ball_widens_no_other_centres_threshold(spark):
+    g = np.random.default_rng(9)
+    u = np.zeros(32)
+    u[0] = 1.0
+    noise = g.standard_normal((700, 32))
+    noise[:, 0] = 0
+    rows = [np.sqrt(0.75) * u + 0.5 * x / np.linalg.norm(x) for x in noise]  # mean cosine 0.75
+    centre = -u
+    side = g.standard_normal((40, 32))
+    side[:, 0] = 0
+    rows += [np.cos(np.radians(8)) * centre + np.sin(np.radians(8)) * x / np.linalg.norm(x) for x in side] + [centre] * 2
+    x = np.array([[float(np.float32(v)) for v in r] for r in rows])
+    report = {}
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in near_embeddings.near_embeddings(df, report=report).collect()}
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    links = [(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j]
+    want = groups(links, range(len(x)))
+    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {i: (near[i].sum(), want[i]) for i in range(len(x))}
+    assert report["edges"] < 5 * near[:700, :700].sum() + 1000  # at the cosine that the wide ball needs there are some 400,000
+
+
 def test_licenses_equal_brute_force(spark):
     rows = [(1, "Under the MIT license; UNDER THE mit-license"), (2, None), (3, ""), (4, "CC BY NC " * 3), (5, "apache license, version 2.0"), (6, license_scan.TEMPLATES[0][1] + " x"), (7, "clean prose of the day " * 2000), (1, "cc by nc")]
     rows += [(1000 + r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
