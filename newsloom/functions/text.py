@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -272,3 +272,21 @@ def keywords(conditions: Column) -> Column:
     one = F.coalesce(F.get_json_object(conditions, "$.keywords"), F.get_json_object(conditions, "$.keyword"))
     raw = F.coalesce(F.when(F.get(many, F.lit(0)).isNotNull(), many), F.when(one.isNotNull() & ~one.startswith("["), F.array(one)), F.array().cast("array<string>"))
     return F.filter(F.transform(raw, lambda k: F.trim(k)), lambda k: k != "")
+
+
+#: Words up to this many are sent to all tasks and sought in each text; more meet the texts by their first characters.
+WORDS_SENT, GRAM = 2_000, 3
+
+
+def containing(words: DataFrame, texts: DataFrame, key: str, most: int = WORDS_SENT) -> DataFrame:
+    """(token, key) of the distinct ``words(token)`` that each of ``texts(key, text)`` contains anywhere, keys being unique. More than
+    ``most`` words aren't broadcast: a text that contains a word also contains its first GRAM characters, so both are
+    joined by these, and what meets is looked at."""
+    if words.count() <= most:
+        return F.broadcast(words).join(texts, F.contains(F.col("text"), F.col("token"))).select("token", key)
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text")))
+    of = lambda n: F.transform(starts, lambda i: F.substring(F.col("text"), i, F.lit(n)))
+    grams = F.flatten(F.array(*[of(n) for n in range(1, GRAM + 1)]))
+    held = texts.select(key, F.explode(F.array_distinct(grams)).alias("_gram"))
+    met = words.withColumn("_gram", F.left("token", F.lit(GRAM))).join(held, "_gram").select("token", key)
+    return met.join(texts, key).where(F.contains(F.col("text"), F.col("token"))).select("token", key)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import unicode_form
+from newsloom.functions.text import containing, unicode_form
 
 #: Weights of the ranking policy and of relevance (fixed values).
 RANKING = {
@@ -42,11 +42,11 @@ def entity_hits(users: DataFrame, contents: DataFrame) -> DataFrame:
 
 def keyword_hits(users: DataFrame, contents: DataFrame) -> DataFrame:
     """(user_id, content_id, keyword_hits): the user's watched keywords that the content's title or text contains, in
-    normal form. A text is searched once for each distinct keyword, not for each user."""
+    normal form. Texts meet distinct keywords, not users."""
     a = users.select("user_id", F.explode(F.array_distinct("keywords")).alias("k")).where("trim(k) <> ''").select("user_id", "k", _normal(F.col("k")).alias("token"))
     text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit("")))
     b = contents.select("content_id", _normal(text).alias("text"))
-    found = F.broadcast(a.select("token").distinct()).join(b, F.contains(F.col("text"), F.col("token"))).select("token", "content_id")
+    found = containing(a.select("token").distinct(), b, "content_id")
     return a.join(found, "token").groupBy("user_id", "content_id").agg(F.count("*").alias("keyword_hits"))
 
 

@@ -54,13 +54,13 @@ def _key(topic: str) -> Column:
 def for_topics(topics: DataFrame, sources: DataFrame, topic: str = "topic") -> DataFrame:
     """Rows of ``topics`` with each enabled source of their topic."""
     by = sources.where("enabled").withColumn("_t", F.explode("topics"))
-    return topics.join(F.broadcast(by), _key(topic) == F.col("_t")).drop("_t")
+    return topics.join(by, _key(topic) == F.col("_t")).drop("_t")
 
 
 def default_source(topics: DataFrame, sources: DataFrame, topic: str = "topic") -> DataFrame:
     """Rows of ``topics`` with the one source that stands for their topic, the fallback if none does."""
     known = F.create_map(*[F.lit(x) for kv in DEFAULT_SOURCE.items() for x in kv])
-    return topics.withColumn("slug", F.coalesce(F.try_element_at(known, _key(topic)), F.lit(FALLBACK))).join(F.broadcast(sources), "slug")
+    return topics.withColumn("slug", F.coalesce(F.try_element_at(known, _key(topic)), F.lit(FALLBACK))).join(sources, "slug")
 
 
 def catalog(spark: SparkSession, locale: str = "en") -> DataFrame:
@@ -101,12 +101,12 @@ def term_keywords(interests: DataFrame) -> DataFrame:
 
 def matching_items(items: DataFrame, interests: DataFrame) -> DataFrame:
     """(interest_id, item_id) of ``items(item_id, title, content, selection_policy)``: all of a source that gives all items, else
-    those whose text, accents folded, holds a keyword. A text is searched once for each distinct keyword."""
-    from newsloom.functions.text import fold_accents
+    those whose text, accents folded, holds a keyword."""
+    from newsloom.functions.text import containing, fold_accents
 
     k = term_keywords(interests)
     text = items.where("selection_policy <> 'ALL_ITEMS'").select("item_id", fold_accents(F.concat_ws(" ", "title", "content")).alias("text"))
-    found = F.broadcast(k.select("keyword").distinct()).join(text, F.contains(F.col("text"), F.col("keyword"))).select("keyword", "item_id")
-    some = k.join(found, "keyword").select("interest_id", "item_id").distinct()
+    found = containing(k.select(F.col("keyword").alias("token")).distinct(), text, "item_id")
+    some = k.join(found, F.col("keyword") == F.col("token")).select("interest_id", "item_id").distinct()
     every = interests.select("interest_id").join(items.where("selection_policy = 'ALL_ITEMS'").select("item_id"), F.lit(True))
     return some.unionByName(every)

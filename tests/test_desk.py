@@ -57,3 +57,14 @@ def test_feeds_are_canonicalized_as_they_arrive(spark, tmp_path):
     now = canonicalize.current(spark, str(tmp_path / "out"), 2).collect()
     assert [(r.title, r.revision, r.url) for r in now] == [("two", 2, "https://p.org/a/1")]
     assert [r.title for r in spark.read.parquet(str(tmp_path / "out/revisions/batch=2")).collect()] == ["one"]
+
+
+def test_words_in_texts_by_either_way(spark):
+    from newsloom.functions.text import containing
+
+    words = spark.createDataFrame([(w,) for w in ("a", "ab", "abc", "abcd", "xyz", "năm", "z z")], "token string")
+    rows = [(1, "xxabcdxx"), (2, "ab"), (3, "b a"), (4, ""), (5, None), (6, "một năm z z"), (7, "abcabcabd")]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    want = sorted((w.token, i) for w in words.collect() for i, x in rows if x and w.token in x)
+    for most in (100, 0):
+        assert sorted(map(tuple, containing(words, texts, "id", most).collect())) == want
