@@ -5,12 +5,11 @@ by an equal key, and rows of two alike texts, are never paired: a row looks at i
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as t
+from newsloom.functions.scratch import written
 
 DAYS, NEAR = 3, 0.9
 CLUSTER = 0.65
@@ -22,23 +21,6 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(u == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / u)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder of ``spark.checkpoint.dir``; only a local session without that setting
-    gets a temporary one."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="newsloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/newsloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _settled(rows: DataFrame, span: int, value, both: bool):
     """``value``, an aggregate of a row's partners: rows of its key that are earlier by no more than ``span``
     microseconds; with ``both`` of the other side only. Linear in a key's rows: frames, no pairs."""
