@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontaminate, language_id, license_scan, mixing, near_embeddings, secret_scan, setsketch, token_counts, url_filter, warc_archive
+from newsloom.llm import decontaminate, language_id, license_scan, mixing, near_embeddings, packing, periodic_runs, secret_scan, setsketch, spelling, token_counts, url_filter, warc_archive
 from newsloom.llm.shared import Scratch, table
 
 
@@ -59,5 +59,20 @@ def op10_warc_archive(spark, sf_dir):
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.sha1("record").alias("record_digest"), F.octet_length("record").cast("long").alias("record_bytes"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_embeddings, op2_license_scan, op3_language_id, op4_secret_scan, op5_token_counts, op6_setsketch_dedup, op7_decontamination, op8_source_mixing, op9_url_filter, op10_warc_archive)}
+def op11_periodic_runs(spark, sf_dir):
+    """Texts of which some have planted repeats."""
+    docs = periodic_runs.with_repeats(table(spark, sf_dir, "documents"))
+    return periodic_runs.digests(periodic_runs.periodic_runs(docs))
+
+
+def op12_spelling_groups(spark, sf_dir):
+    """Words of which some have lost a letter."""
+    return spelling.spelling_groups(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
+def op13_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_embeddings, op2_license_scan, op3_language_id, op4_secret_scan, op5_token_counts, op6_setsketch_dedup, op7_decontamination, op8_source_mixing, op9_url_filter, op10_warc_archive, op11_periodic_runs, op12_spelling_groups, op13_packing)}
 ORACLE_SQL = {"op8_source_mixing": mixing.ORACLE, "op9_url_filter": url_filter.ORACLE, "op10_warc_archive": warc_archive.ORACLE}

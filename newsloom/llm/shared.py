@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,20 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names.
-
-    Only a local session without that setting gets a temporary folder; on a cluster an unset
-    folder is an error, since executors don't see each other's disks.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="newsloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+from newsloom.functions.scratch import folder
 
 
 class Scratch:
@@ -31,7 +17,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/newsloom-{name}-{uuid.uuid4().hex[:12]}"
+        self.root = f"{folder(spark)}/newsloom-{name}-{uuid.uuid4().hex[:12]}"
         self.paths: dict[int, str] = {}
         self.n = 0
 
