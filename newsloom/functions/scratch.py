@@ -30,3 +30,29 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{folder(df.sparkSession)}/newsloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Written intermediate tables: they cut lineage and outlive lost executors."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = f"{folder(spark)}/newsloom-{name}-{uuid.uuid4().hex[:12]}"
+        self.paths: dict[int, str] = {}
+        self.n = 0
+
+    def save(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.root}/{self.n:03d}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        jvm = self.spark._jvm
+        for df in tables:
+            path = self.paths.pop(id(df), None)
+            if path:
+                p = jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as t
+from newsloom.functions.automaton import containing
 
 #: Domains that every text has besides its topics (fixed values).
 DOMAINS = ["general-news", "organization-product"]
@@ -14,11 +15,14 @@ DOMAINS = ["general-news", "organization-product"]
 def glossary_matches(contents: DataFrame, entries: DataFrame, locale: str, version: str) -> DataFrame:
     """(content_id, domain, source_term, preferred_term, protected): entries of ``entries(source_language, target_locale, version,
     domain, source_term, preferred_term, protected)`` for the content's language and a target locale and version, of one of its
-    topics or of DOMAINS, whose term occurs in title or content, in any case. Content and entries meet on language and domain."""
-    e = entries.where((F.col("target_locale") == locale) & (F.col("version") == version)).select("source_language", "domain", "source_term", "preferred_term", "protected")
-    text = F.lower(F.concat_ws("\n", "title", F.coalesce("content", F.lit(""))))
-    c = contents.select("content_id", F.col("language").alias("source_language"), text.alias("_text"), F.explode(F.array_distinct(F.concat("topics", F.array(*[F.lit(d) for d in DOMAINS])))).alias("domain"))
-    return c.join(e, ["source_language", "domain"]).where(F.contains(F.col("_text"), F.lower("source_term"))).drop("_text", "source_language")
+    topics or of DOMAINS, whose term occurs in title or content, in any case. Each text is read once for all terms; what is found
+    meets the entries of its language and domains by keys, without the text."""
+    e = entries.where((F.col("target_locale") == locale) & (F.col("version") == version)).select("source_language", "domain", "source_term", "preferred_term", "protected", F.lower("source_term").alias("token"))
+    c = contents.select("content_id", F.lower(F.concat_ws("\n", "title", F.coalesce("content", F.lit("")))).alias("text"))
+    found = containing(e.select("token"), c, "content_id")
+    places = contents.select("content_id", F.col("language").alias("source_language"), F.explode(F.array_distinct(F.concat("topics", F.array(*[F.lit(d) for d in DOMAINS])))).alias("domain"))
+    out = found.join(places, "content_id").join(e, ["source_language", "domain", "token"])
+    return out.select("content_id", "domain", "source_term", "preferred_term", "protected")
 
 
 def requests(contents: DataFrame, entries: DataFrame, locale: str, version: str, policy: str) -> DataFrame:

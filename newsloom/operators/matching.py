@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import containing, unicode_form
+from newsloom.functions.automaton import containing
+from newsloom.functions.text import unicode_form
 
 #: Weights of the ranking policy and of relevance (fixed values).
 RANKING = {

@@ -1,15 +1,20 @@
 """Duplicate resolution and event clusters.
 
 Both are greedy: rows in the order of (published, created, id) lead unless an earlier leader matches them. Rows that match
-by an equal key, and rows of two alike texts, are never paired: a row looks at its key's earlier rows through window frames."""
+by an equal key, and rows of two alike texts, are never paired: rows that share keys are read in their order, once, with the last
+leader of each key at hand."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as t
-from newsloom.functions.scratch import written
+from newsloom.functions.scratch import Scratch, written
+from newsloom.operators.graph import components
 
 DAYS, NEAR = 3, 0.9
 CLUSTER = 0.65
@@ -21,15 +26,89 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(u == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / u)
 
 
-def _settled(rows: DataFrame, span: int, value, both: bool):
-    """``value``, an aggregate of a row's partners: rows of its key that are earlier by no more than ``span``
-    microseconds; with ``both`` of the other side only. Linear in a key's rows: frames, no pairs."""
-    before = Window.partitionBy("key").orderBy("at").rangeBetween(-span, -1)
-    tied = Window.partitionBy("key", "at").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    if not both:
-        return value(F.lit(True), before), value(F.lit(True), tied)
-    of = lambda w: F.when(F.col("side") == 0, value(F.col("side") == 1, w)).otherwise(value(F.col("side") == 0, w))
-    return of(before), of(tied)
+DAY = 86_400_000_000
+#: A task forgets keys that no later row can match once it knows so many.
+KNOWN = 100_000
+
+
+def _parts(same: DataFrame, alike: DataFrame | None, spans: tuple[int, int]) -> DataFrame:
+    """(id, at, place, keys): the keys of each row, with side (of ``same`` keys -1), span, kind and score; and the component of keys that rows share."""
+    cols = ["key", "side", "span", "kind", "score", "id", "at", "place"]
+    rows = same.withColumn("side", F.lit(-1)).withColumn("span", F.lit(spans[0]).cast("long")).select(cols)
+    if alike is not None:
+        rows = rows.unionByName(alike.withColumn("span", F.lit(spans[1]).cast("long")).select(cols))
+    each = rows.groupBy("id").agg(F.first("at").alias("at"), F.first("place").alias("place"), F.collect_list(F.struct("key", F.col("side").cast("int").alias("side"), "span", F.col("kind").cast("int").alias("kind"), F.col("score").cast("double").alias("score"))).alias("keys"))
+    scratch = Scratch(same.sparkSession, "leaders")
+    each = scratch.save(each.withColumn("_first", F.array_min(F.transform("keys", lambda k: k.key))))
+    edges = each.select(F.col("_first").alias("a"), F.explode(F.array_distinct(F.transform("keys", lambda k: k.key))).alias("b")).where("a <> b").distinct()
+    part = components(edges, scratch)
+    return each.join(part, F.col("_first") == part.id, "left").select(each.id, "at", "place", "keys", F.coalesce("component", "_first").alias("part"))
+
+
+def _folded(rows: DataFrame, order: list, fold, columns: str) -> DataFrame:
+    """``rows`` sorted by part and ``order`` within partitions, each part read in that order by a ``fold()`` of its own: its
+    ``row(id, at, keys, stored)`` takes one row, ``rest()`` gives what is to be returned, and ``ready()`` what can be already."""
+    id_type = rows.schema["id"].dataType.simpleString()
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, state = None, None
+
+        def batch(done: list[tuple], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+            if done:
+                types = [kind, kind, pa.int32(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*done, strict=True), types, strict=True)], names=names)
+
+        kind = None
+        for b in batches:
+            kind = b.schema.field(0).type
+            done: list[tuple] = []
+            for i, at, keys, own, stored in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                if state is None or own != part:
+                    done += state.rest() if state is not None else []
+                    part, state = own, fold()
+                state.row(i, at, keys, stored)
+            done += state.ready() if state is not None else []
+            yield from batch(done, kind)
+        if state is not None:
+            yield from batch(state.rest(), kind)
+
+    by = rows.repartition("part").sortWithinPartitions("part", *order).select("id", "at", "keys", "part", "stored")
+    return by.mapInArrow(run, columns.format(id=id_type))
+
+
+class Leaders:
+    """Rows in the order of place. Rows of one key lead only where they are further apart than its span, so that of each key
+    (and side) the last leader is all that a later row can match."""
+
+    def __init__(self):
+        self.last: dict[tuple, tuple] = {}
+        self.n, self.done = 0, []
+
+    def row(self, i, at, keys, stored) -> None:
+        best = None
+        for k in keys:
+            x = self.last.get((k["key"], 1 - k["side"] if k["side"] >= 0 else -1))
+            if x is not None and at - x[0] <= k["span"]:
+                found = (k["kind"], -k["score"], x[1], x[2])
+                best = found if best is None or found < best else best
+        if best is None:
+            self.n += 1
+            for k in keys:
+                self.last[k["key"], k["side"]] = (at, self.n, i)
+            if len(self.last) > KNOWN and self.n % KNOWN == 0:
+                self.last = {k: x for k, x in self.last.items() if at - x[0] <= DAYS * DAY}
+        else:
+            self.done.append((i, best[3], best[0], -best[1]))
+
+    def ready(self) -> list[tuple]:
+        done, self.done = self.done, []
+        return done
+
+    rest = ready
+
+
+FOLLOWS = "id {id}, leader_id {id}, kind int, score double"
 
 
 def leaders(nodes: DataFrame, same: DataFrame, alike: DataFrame | None = None) -> DataFrame:
@@ -38,38 +117,11 @@ def leaders(nodes: DataFrame, same: DataFrame, alike: DataFrame | None = None) -
     ``alike(key, side, kind, score, id, at, place)`` those of different sides match within a day. The best leader has the smallest
     kind, then the largest score, then the earliest place. Returns (id, leader_id, kind, score); leaders have nulls for the last two.
 
-    No pair is formed: a row looks at its key's earlier rows through window frames. Rounds: an undecided node
-    without an undecided or leading earlier partner leads, one with a leading partner follows. A node is decided once its
-    earlier partners are, so rounds grow with the longest chain of partners; state is written between them.
-    """
-    day = 86_400_000_000
-    parts = [(written(same.withColumn("side", F.lit(0))), DAYS * day, False)] + ([(written(alike), day, True)] if alike is not None else [])
-    parts = [(r.select("key", "side", "kind", "score", "id", "at", "place"), span, both) for r, span, both in parts]
-    ids = parts[0][0].select("id")
-    for r, _, _ in parts[1:]:
-        ids = ids.unionByName(r.select("id"))
-    state = written(ids.distinct().withColumn("state", F.lit(0)))
-    flag = lambda v: lambda cond, w: F.max(F.when(cond & (F.col("state") == v), 1).otherwise(0)).over(w)
-    while True:
-        seen = []
-        for r, span, both in parts:
-            x = r.join(state, "id")
-            led, wait = _settled(x, span, flag(1), both), _settled(x, span, flag(0), both)
-            seen.append(x.where("state is not null").select("id", F.greatest(*[F.coalesce(c, F.lit(0)) for c in led]).alias("led"), F.greatest(*[F.coalesce(c, F.lit(0)) for c in wait]).alias("wait")))
-        every = seen[0] if len(seen) == 1 else seen[0].unionByName(seen[1])
-        every = every.groupBy("id").agg(F.max("led").alias("led"), F.max("wait").alias("wait"))
-        nxt = F.when(F.col("state") != 0, F.col("state")).when(F.col("led") == 1, 2).when(F.col("wait") == 0, 1).otherwise(0)
-        state = written(state.join(every, "id").select("id", nxt.alias("state")))
-        if state.where("state = 0").isEmpty():
-            break
-    best = None
-    first = lambda cond, w: F.min(F.when(cond & (F.col("state") == 1), F.struct("place", "id"))).over(w)
-    for r, span, both in parts:
-        x = r.join(state, "id")
-        early = F.least(*_settled(x, span, first, both))
-        y = x.withColumn("_e", early).where("state = 2 and _e is not null").select("id", F.struct("kind", (-F.col("score")).alias("minus"), F.col("_e.place").alias("place"), F.col("_e.id").alias("leader")).alias("b"))
-        best = y if best is None else best.unionByName(y)
-    best = best.groupBy("id").agg(F.min("b").alias("b")).select("id", F.col("b.leader").alias("leader_id"), F.col("b.kind").alias("kind"), (-F.col("b.minus")).alias("score"))
+    No pair is formed. Nodes that share keys, directly or through others, are one component; it is sorted by place within a
+    partition and read once, with the last leader of each key at hand. So the number of jobs doesn't depend on the time that a
+    text keeps returning, and a task's memory is that of the keys of DAYS days; a component of copies is one task's stream."""
+    rows = _parts(same, alike, (DAYS * DAY, DAY)).withColumn("stored", F.lit(None).cast("boolean"))
+    best = _folded(rows, ["place"], Leaders, FOLLOWS)
     out = nodes.select("id").join(best, "id", "left")
     return out.select("id", F.coalesce("leader_id", "id").alias("leader_id"), "kind", "score")
 
@@ -121,22 +173,107 @@ def near_keys(c: DataFrame) -> DataFrame:
     return sides.join(rows, "text").select("key", "side", F.lit(4).alias("kind"), "score", "id", "at", "place")
 
 
+def _features(contents: DataFrame, form: bool) -> DataFrame:
+    both = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit("")))
+    order = F.struct("published_at", "created_at", "id")
+    more = [c for c in ("arrival", "stored") if c in contents.columns]
+    return contents.select(
+        "id", order.alias("place"), "source_id", "external_id", "url", "published_at", t.semantic_hash(F.col("title"), F.col("content"), form).alias("content_hash"),
+        t.fingerprint(both, form).alias("fp"), t.tokens(both, 2, form).alias("token_set"), F.sha2(F.array_join(t.invariants(both), "\u0001"), 256).alias("inv_key"), *more,
+    )
+
+
+def _named(kind) -> Column:
+    return F.element_at(F.array(*[F.lit(k) for k in KINDS]), kind + 1)
+
+
 def resolve_duplicates(contents: DataFrame, form: bool = True) -> DataFrame:
     """(id, duplicate_of_id, duplicate_kind, duplicate_score): every row of
     ``contents(id, source_id, external_id, url, title, content, published_at, created_at)`` with its survivor, the
     earliest by (published, created, id); survivors have nulls. Rows are kept. The result is that of rows
     arriving in that order."""
-    both = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit("")))
-    order = F.struct("published_at", "created_at", "id")
-    c = contents.select(
-        "id", order.alias("place"), "source_id", "external_id", "url", "published_at", t.semantic_hash(F.col("title"), F.col("content"), form).alias("content_hash"),
-        t.fingerprint(both, form).alias("fp"), t.tokens(both, 2, form).alias("token_set"), F.sha2(F.array_join(t.invariants(both), "\u0001"), 256).alias("inv_key"),
-    )
-    c = written(c)
+    c = written(_features(contents, form))
     out = leaders(c.select("id", "place"), same_keys(c), near_keys(c))
     follows = F.col("leader_id") != F.col("id")
-    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
-    return out.select("id", F.when(follows, F.col("leader_id")).alias("duplicate_of_id"), F.when(follows, kind).alias("duplicate_kind"), F.when(follows, F.col("score")).alias("duplicate_score"))
+    return out.select("id", F.when(follows, F.col("leader_id")).alias("duplicate_of_id"), F.when(follows, _named(F.col("kind"))).alias("duplicate_kind"), F.when(follows, F.col("score")).alias("duplicate_score"))
+
+
+class Arrivals:
+    """Rows in the order of arrival, stored survivors first. An arrival is compared with all survivors of its keys, before and
+    after it: of it and its best match the earlier one survives, and the other one's followers become its own."""
+
+    def __init__(self):
+        self.survivors: dict[tuple, dict] = {}  # of each key and side by id: (at, place)
+        self.keys: dict = {}
+        self.now: dict = {}  # of those that don't survive: (survivor, kind, score)
+
+    def _lead(self, i, at, keys, place) -> None:
+        self.keys[i] = keys
+        for k in keys:
+            self.survivors.setdefault((k["key"], k["side"]), {})[i] = (at, place)
+
+    def _follow(self, i, leader, kind, score) -> None:
+        for k in self.keys.pop(i, ()):
+            self.survivors[k["key"], k["side"]].pop(i, None)
+        self.now[i] = (leader, kind, score)
+
+    def row(self, i, at, keys, stored) -> None:
+        place = tuple(stored["place"].values())
+        if stored["old"]:
+            self._lead(i, at, keys, place)
+            return
+        best = None
+        for k in keys:
+            for j, (there, other) in self.survivors.get((k["key"], 1 - k["side"] if k["side"] >= 0 else -1), {}).items():
+                if j != i and abs(at - there) <= k["span"]:
+                    found = (k["kind"], -k["score"], other, j)
+                    best = found if best is None or found[:3] < best[:3] else best
+        if best is None:
+            self._lead(i, at, keys, place)
+        elif best[2] <= place:
+            self._follow(i, best[3], best[0], -best[1])
+        else:
+            self._lead(i, at, keys, place)
+            self._follow(best[3], i, best[0], -best[1])
+
+    def ready(self) -> list[tuple]:
+        return []
+
+    def rest(self) -> list[tuple]:
+        def root(i):
+            while i in self.now:
+                i = self.now[i][0]
+            return i
+
+        return [(i, root(leader), kind, score) for i, (leader, kind, score) in self.now.items()]
+
+
+def resolve_arrivals(stored: DataFrame, batch: DataFrame, form: bool = True) -> DataFrame:
+    """(id, duplicate_of_id, duplicate_kind, duplicate_score) of all rows of ``stored(id, source_id, external_id, url, title, content,
+    published_at, created_at, duplicate_of_id, duplicate_kind, duplicate_score)`` and ``batch(the same but the last three, arrival)``, after
+    the batch's rows have come one after the other in the order of arrival, then id.
+
+    An arrival meets the survivors within DAYS of it on either side, earlier or later ones. Its best match has the smallest kind,
+    then the largest score, then the earliest place; of the two the one with the smaller (published, created, id) survives. A stored survivor that a
+    late arrival comes before follows it from then on, and its followers do too, with the kind and score that they had. In the order of
+    place the result is that of ``resolve_duplicates``. Only survivors near the batch in time are read, none of their followers."""
+    cols = ["id", "source_id", "external_id", "url", "title", "content", "published_at", "created_at"]
+    batch = written(batch)
+    ends = batch.agg(F.min("published_at").alias("lo"), F.max("published_at").alias("hi")).first()
+    near = stored.where("duplicate_of_id is null")
+    if ends.lo is not None:
+        near = near.where(F.col("published_at").between(F.lit(ends.lo) - F.expr(f"interval {DAYS} days"), F.lit(ends.hi) + F.expr(f"interval {DAYS} days")))
+    rows = near.select(*cols, F.lit(None).cast("long").alias("arrival"), F.lit(True).alias("stored")).unionByName(batch.select(*cols, F.col("arrival").cast("long").alias("arrival"), F.lit(False).alias("stored")))
+    c = written(_features(rows, form))
+    parts = _parts(same_keys(c), near_keys(c), (DAYS * DAY, DAY)).join(c.select("id", "arrival", F.col("stored").alias("old")), "id")
+    rank = F.struct(F.unix_micros("place.published_at").alias("p"), F.unix_micros("place.created_at").alias("c"), F.col("place.id").alias("i"))
+    parts = parts.withColumn("stored", F.struct("old", rank.alias("place")))
+    moved = written(_folded(parts, [F.col("arrival").asc_nulls_first(), "id"], Arrivals, FOLLOWS))
+    every = stored.select("id", "duplicate_of_id", "duplicate_kind", "duplicate_score").unionByName(batch.select("id", F.lit(None).cast(stored.schema["duplicate_of_id"].dataType).alias("duplicate_of_id"), F.lit(None).cast("string").alias("duplicate_kind"), F.lit(None).cast("double").alias("duplicate_score")))
+    own = moved.select("id", F.col("leader_id").alias("_l"), _named(F.col("kind")).alias("_k"), F.col("score").alias("_s"))
+    again = moved.select(F.col("id").alias("duplicate_of_id"), F.col("leader_id").alias("_again"))
+    j = every.join(own, "id", "left").join(again, "duplicate_of_id", "left")
+    return j.select("id", F.coalesce("_l", "_again", "duplicate_of_id").alias("duplicate_of_id"), F.coalesce("_k", "duplicate_kind").alias("duplicate_kind"), F.coalesce("_s", "duplicate_score").alias("duplicate_score"))
 
 
 def cluster_features(contents: DataFrame, form: bool = True) -> DataFrame:

@@ -23,6 +23,16 @@ def duplicates_resolved(spark, d):
     return r.resolve_duplicates(_items(spark, d))
 
 
+def duplicates_arriving(spark, d):
+    """The last third of the items arrives after the rest has been resolved; the state is that of all at once."""
+    c = _items(spark, d).drop("topics", "tier", "authority")
+    late = c.agg(F.percentile_approx("published_at", 2 / 3).alias("t"))
+    c = c.join(late, F.lit(True)).withColumn("_late", F.col("published_at") > F.col("t")).drop("t")
+    early = c.where("not _late").drop("_late")
+    stored = early.join(r.resolve_duplicates(early), "id")
+    return r.resolve_arrivals(stored, c.where("_late").drop("_late").withColumn("arrival", F.unix_micros("published_at")))
+
+
 def clusters_built(spark, d):
     return r.clusters(_items(spark, d))
 
@@ -35,17 +45,40 @@ def clusters_primary(spark, d):
 
 
 def _versions(spark, d):
-    """Orders as versions of a customer's item: current ones from early orders, the batch from later ones."""
+    """Orders as versions of a customer's item: its first order is what is current. Some come under another external id of
+    the same source and URL, some from another source, which may not have the URL."""
     o = load(spark, d, "orders").where("o_orderkey is not null")
-    return o.select(F.concat(F.lit("s"), (F.col("o_custkey") % 5).cast("string")).alias("source_id"), F.col("o_custkey").cast("string").alias("external_id"), F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("url"), F.col("o_orderstatus").alias("content_hash"), F.col("o_orderstatus").alias("title"), F.col("o_orderdate").cast("timestamp").alias("published_at"), (F.col("o_orderdate").cast("timestamp") + F.make_interval(secs=(F.col("o_orderkey") % 86400).cast("decimal(18,6)"))).alias("fetched_at"), "o_orderkey")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    v = o.select(
+        F.concat(F.lit("s"), (c % 5).cast("string")).alias("source_id"), c.cast("string").alias("external_id"), F.concat(F.lit("u"), c.cast("string")).alias("url"), F.col("o_orderstatus").alias("content_hash"), F.concat_ws(" ", "o_orderstatus", "o_orderpriority").alias("title"),
+        F.col("o_orderdate").cast("timestamp").alias("published_at"), (F.col("o_orderdate").cast("timestamp") + F.make_interval(secs=(k % 86400).cast("decimal(18,6)"))).alias("fetched_at"), "o_orderkey",
+    )
+    v = v.withColumn("_r", F.row_number().over(Window.partitionBy("url").orderBy("fetched_at", "o_orderkey")))
+    late = F.col("_r") > 1
+    return v.withColumns({
+        "external_id": F.when(late & (k % 11 == 0), F.concat("external_id", F.lit("b"))).otherwise(F.col("external_id")),
+        "source_id": F.when(late & (k % 13 == 0), F.lit("s9")).otherwise(F.col("source_id")),
+    })
 
 
-def canonical_persisted(spark, d):
+def _persisted(spark, d):
     v = _versions(spark, d)
-    first = v.withColumn("_r", F.row_number().over(Window.partitionBy("source_id", "external_id").orderBy("fetched_at", "o_orderkey")))
-    current = first.where("_r = 1").select("source_id", "external_id", "url", "content_hash", "title", "published_at", F.lit(1).alias("revision"))
-    batch = first.where("_r > 1").drop("_r", "o_orderkey")
-    return k.persist_canonical(current, batch)["current"].select("source_id", "external_id", "content_hash", "published_at", "revision")
+    current = v.where("_r = 1").select("source_id", "external_id", "url", "content_hash", "title", "published_at", F.lit(1).alias("revision"))
+    return k.persist_canonical(current, v.where("_r > 1").drop("_r", "o_orderkey"))
+
+
+def canonical_persisted(spark, d):
+    return _persisted(spark, d)["current"]
+
+
+def canonical_revisions(spark, d):
+    """What later versions replaced, whole."""
+    return _persisted(spark, d)["revisions"]
+
+
+def canonical_conflicts(spark, d):
+    """Versions whose URL another source owns."""
+    return _persisted(spark, d)["conflicts"].groupBy("source_id", "url", "error").agg(F.count("*").alias("n"), F.max("fetched_at").alias("last"))
 
 
 def upserted(spark, d):
@@ -97,7 +130,11 @@ def importance_by_age(spark, d):
     return c.select("content_id", imp.alias("importance"), kind.alias("type"), insights.bucket(kind, imp).alias("bucket"))
 
 
-VERSIONS = """v AS (SELECT 's' || (o_custkey % 5) AS source_id, CAST(o_custkey AS VARCHAR) AS external_id, o_orderstatus AS h, o_orderdate AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate + to_seconds(o_orderkey % 86400), o_orderkey) AS r, o_orderdate + to_seconds(o_orderkey % 86400) AS f FROM orders)"""
+VERSIONS = """n AS (SELECT *, o_orderdate + to_seconds(o_orderkey % 86400) AS fetched_at, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate + to_seconds(o_orderkey % 86400), o_orderkey) AS r FROM orders),
+v AS (SELECT CASE WHEN r > 1 AND o_orderkey % 13 = 0 THEN 's9' ELSE 's' || (o_custkey % 5) END AS source_id, CAST(o_custkey AS VARCHAR) || CASE WHEN r > 1 AND o_orderkey % 11 = 0 THEN 'b' ELSE '' END AS external_id, 'u' || o_custkey AS url, o_orderstatus AS content_hash,
+  o_orderstatus || ' ' || o_orderpriority AS title, CAST(o_orderdate AS TIMESTAMP) AS published_at, fetched_at, r FROM n),
+l AS (SELECT *, lag(content_hash) OVER w AS before, row_number() OVER w AS k FROM v WHERE source_id <> 's9' WINDOW w AS (PARTITION BY url ORDER BY CASE WHEN r = 1 THEN 0 ELSE 1 END, fetched_at, content_hash, external_id)),
+m AS (SELECT source_id, external_id, url, content_hash, title, CAST(row_number() OVER (PARTITION BY url ORDER BY k) AS INT) AS revision, min(published_at) FILTER (r = 1) OVER (PARTITION BY url) AS published_at FROM (SELECT *, coalesce(before <> content_hash, true) AS new, published_at AS p FROM l) WHERE new)"""
 _SEMANTIC = f"sha256({texts.SEM('title')} || chr(10) || {texts.SEM('content')})"
 ORACLE_SQL = {
     "duplicates_resolved": f"""WITH RECURSIVE {CONTENTS}, b AS (SELECT content_id AS id, row_number() OVER (ORDER BY published_at, content_id) AS n, published_at AS at, {_SEMANTIC} AS h, {texts.FP("title || chr(10) || content")} AS fp,
@@ -114,8 +151,9 @@ SELECT y.id, x.id AS duplicate_of_id, {r.KINDS}[m.kind + 1] AS duplicate_kind, m
     "clusters_primary": f"""WITH {CONTENTS}, s AS (SELECT publisher || '/' || CAST(CAST(published_at AS DATE) AS VARCHAR) AS cluster_id, content_id AS id, round(0.25::DOUBLE * (4 - tier) / 3 + 0.25::DOUBLE * authority + 0.15::DOUBLE * CASE WHEN tier = 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END
   + 0.15::DOUBLE * greatest(0.0::DOUBLE, 1 - (epoch_us(TIMESTAMP '2024-01-10') - epoch_us(published_at)) / 3.6e9::DOUBLE / 72) + 0.2::DOUBLE * least(1.0::DOUBLE, length(content) / 1500.0::DOUBLE) - CASE WHEN content_id % 10 <> 0 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END, 6) AS primary_score FROM contents)
 SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY primary_score DESC, id) = 1""",
-    "canonical_persisted": f"""WITH {VERSIONS}, w AS (SELECT *, lag(h) OVER (PARTITION BY external_id ORDER BY CASE WHEN r = 1 THEN 0 ELSE 1 END, f, h) AS b FROM v)
-SELECT source_id, external_id, arg_max(h, (CASE WHEN r = 1 THEN 0 ELSE 1 END, f, h)) AS content_hash, min(p) FILTER (r = 1) AS published_at, CAST(count(*) FILTER (b IS NULL OR b <> h) AS INT) AS revision FROM w GROUP BY ALL""",
+    "canonical_persisted": f"WITH {VERSIONS} SELECT * FROM m QUALIFY revision = max(revision) OVER (PARTITION BY url)",
+    "canonical_revisions": f"WITH {VERSIONS} SELECT * FROM m QUALIFY revision < max(revision) OVER (PARTITION BY url)",
+    "canonical_conflicts": f"WITH {VERSIONS} SELECT source_id, url, '{k.CONFLICT}' AS error, count(*) AS n, max(fetched_at) AS last FROM v WHERE source_id = 's9' GROUP BY ALL",
     "upserted": """WITH s AS (SELECT c_custkey, c_mktsegment, c_nationkey FROM customer WHERE c_custkey % 3 <> 0), b AS (SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 4 = 0 THEN c_nationkey + 1 ELSE c_nationkey END AS c_nationkey FROM customer WHERE c_custkey % 2 = 0)
 SELECT c_custkey, coalesce(b.c_mktsegment, s.c_mktsegment) AS c_mktsegment, coalesce(b.c_nationkey, s.c_nationkey) AS c_nationkey,
   CASE WHEN s.c_mktsegment IS NULL THEN 'created' WHEN b.c_mktsegment IS NULL THEN 'kept' WHEN s.c_nationkey = b.c_nationkey THEN 'unchanged' ELSE 'updated' END AS change FROM s FULL JOIN b USING (c_custkey)""",
@@ -130,4 +168,5 @@ SELECT content_id, CASE WHEN age <= 6 THEN 0.82::DOUBLE WHEN age <= 24 THEN 0.72
     "glossary_chosen": """WITH b AS (SELECT item_id, unnest(string_split(text, ' ')) AS w FROM benchmark), e AS (SELECT trim(lower(w)) AS term, 't' || lpad(CAST(item_id AS VARCHAR), 6, '0') AS preferred_term, item_id % 3 = 0 AS protected FROM b)
 SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY term ORDER BY protected DESC, preferred_term) = 1""",
 }
-QUERIES = {f.__name__: f for f in (duplicates_resolved, clusters_built, clusters_primary, canonical_persisted, upserted, selection_changes, account_purge, status_audit, glossary_chosen, topic_interest_counts, importance_by_age)}
+ORACLE_SQL["duplicates_arriving"] = ORACLE_SQL["duplicates_resolved"]
+QUERIES = {f.__name__: f for f in (duplicates_resolved, duplicates_arriving, clusters_built, clusters_primary, canonical_persisted, canonical_revisions, canonical_conflicts, upserted, selection_changes, account_purge, status_audit, glossary_chosen, topic_interest_counts, importance_by_age)}

@@ -94,6 +94,7 @@ def _log(spark, d):
 
 
 def circuit_batch(spark, d):
+    """Circuits after each attempt, and their releases by time."""
     return circuit.circuit_states(_log(spark, d))
 
 
@@ -103,7 +104,22 @@ def fetch_buckets(spark, d):
 
 ATT = f"""att AS (SELECT user_id AS subscription_id, ts, event_id AS seq, event_type <> 'error' AS success, CASE WHEN event_type = 'error' THEN ['{"', '".join(CODES)}'][event_id % 4 + 1] END AS error_code, value AS duration_ms, event_type, props FROM events)"""
 NOW = f"TIMESTAMP '{AS_OF}'"
+_OPENS = "(circuit_now = 'HALF_OPEN' OR failures + 1 >= 5 OR (attempts + 1 >= 4 AND greatest(e403 + is403, e429 + is429) >= 0.5 * (attempts + 1)))"
+_SPIKE = "(parses + 1 >= 10 AND rejects + rejected >= 0.4 * (parses + 1))"
+CIRCUIT = f"""WITH RECURSIVE {ATT}, log AS (SELECT subscription_id, ts, seq, CASE WHEN NOT success THEN 'failure' WHEN event_type = 'signup' THEN 'parse' ELSE 'success' END AS kind,
+  CAST(coalesce(error_code, '') = 'HTTP_403' AS INT) AS is403, CAST(coalesce(error_code, '') = 'HTTP_429' AS INT) AS is429, CAST(seq % 3 = 0 AS INT) AS rejected, row_number() OVER (PARTITION BY subscription_id ORDER BY ts, seq) AS k FROM att),
+g AS (SELECT DISTINCT subscription_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS BIGINT) AS seq, 'CLOSED' AS circuit, 0 AS failures, 0 AS attempts, 0 AS parses, 0 AS rejects, 0 AS e403, 0 AS e429, CAST(NULL AS TIMESTAMP) AS probe, CAST(NULL AS TIMESTAMP) AS released FROM log
+UNION ALL SELECT subscription_id, k, ts, seq, CASE WHEN kind = 'success' THEN 'CLOSED' WHEN kind = 'failure' AND {_OPENS} OR kind = 'parse' AND {_SPIKE} THEN 'OPEN' ELSE circuit_now END,
+  CASE kind WHEN 'success' THEN 0 WHEN 'failure' THEN failures + 1 ELSE failures END, attempts + CAST(kind <> 'parse' AS INT), parses + CAST(kind = 'parse' AS INT), rejects + CASE WHEN kind = 'parse' THEN rejected ELSE 0 END,
+  e403 + CASE WHEN kind = 'failure' THEN is403 ELSE 0 END, e429 + CASE WHEN kind = 'failure' THEN is429 ELSE 0 END,
+  CASE WHEN kind = 'success' THEN NULL WHEN kind = 'failure' AND {_OPENS} THEN ts + to_minutes(15 * CAST(least(8, pow(2, greatest(0, failures - 4))) AS INT)) WHEN kind = 'parse' AND {_SPIKE} THEN ts + INTERVAL 15 MINUTE ELSE probe END,
+  CASE WHEN circuit_now <> circuit THEN probe END
+  FROM (SELECT g.* EXCLUDE (k, ts, seq), l.* EXCLUDE (subscription_id), CASE WHEN g.circuit = 'OPEN' AND l.ts >= g.probe THEN 'HALF_OPEN' ELSE g.circuit END AS circuit_now FROM g JOIN log l ON l.subscription_id = g.subscription_id AND l.k = g.k + 1)),
+before AS (SELECT *, lag(failures) OVER (PARTITION BY subscription_id ORDER BY k) AS was FROM g)
+SELECT subscription_id, ts, seq, circuit, failures, probe AS next_probe FROM g WHERE k > 0
+UNION ALL SELECT subscription_id, released, NULL, 'HALF_OPEN', was, released FROM before WHERE released IS NOT NULL"""
 ORACLE_SQL = {
+    "circuit_batch": CIRCUIT,
     "health_runs": f"WITH {ATT} SELECT event_type AS pipeline, CASE WHEN success THEN 'SUCCESS' ELSE 'FAILED' END AS status, count(*) AS n, round(avg(duration_ms), 4) AS mean_ms FROM att WHERE ts > {NOW} - INTERVAL 24 HOUR AND ts <= {NOW} GROUP BY ALL",
     "health_sources": f"""WITH {ATT}, g AS (SELECT subscription_id, count(*) AS attempts, count(*) FILTER (success) AS successes, max(ts) FILTER (success) AS ls FROM att GROUP BY ALL)
 SELECT subscription_id, attempts, successes, round(successes::DOUBLE / attempts, 6) AS success_rate, ls IS NULL OR floor(epoch({NOW})) - floor(epoch(ls)) > 3 * 86400 AS stale FROM g""",

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
+from newsloom.functions.scratch import Scratch
+from newsloom.operators.graph import components
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def upsert(state: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
@@ -20,27 +24,124 @@ def upsert(state: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     return j.select(*keys, *[v[c].alias(c) for c in values], change.alias("change"))
 
 
+CONFLICT, TAKEN = "CANONICAL_URL_SOURCE_CONFLICT", "CANONICAL_URL_TAKEN"
+#: What a version with the hash of the one before refreshes, where it gives a value; all else stays until the text changes.
+REFRESHED = ("raw_payload_id", "verified_at", "provenance_status", "updated_from_source", "metadata")
+#: What a revision doesn't replace.
+FIRST = ("published_at",)
+
+
+class Store:
+    """The items of one component, by (source, external id) and by URL, as versions are taken in one after the other. Small."""
+
+    def __init__(self):
+        self.items: list[dict] = []
+        self.by_id: dict[tuple, dict] = {}
+        self.by_url: dict[str, dict] = {}
+
+    def _index(self, x: dict) -> None:
+        self.by_id[x["source_id"], x["external_id"]] = x
+        if x["url"] is not None:
+            self.by_url[x["url"]] = x
+
+    def hold(self, x: dict) -> None:
+        self.items.append(x)
+        self._index(x)
+
+    def take(self, v: dict) -> tuple[dict | None, str | None]:
+        """What a version replaces, as it was, or why it can't be taken in."""
+        mine, owner = self.by_id.get((v["source_id"], v["external_id"])), self.by_url.get(v["url"])
+        if owner is not None and owner["source_id"] != v["source_id"]:
+            return None, CONFLICT
+        x = mine or owner
+        if x is None:
+            self.hold(v | {"revision": 1})
+            return None, None
+        if x["content_hash"] == v["content_hash"]:
+            x |= {c: v[c] for c in REFRESHED if v.get(c) is not None}
+            return None, None
+        if owner is not None and owner is not x:
+            return None, TAKEN
+        old = dict(x)
+        self.by_id.pop((x["source_id"], x["external_id"]))
+        self.by_url.pop(x["url"], None)
+        kept = {c: x[c] for c in FIRST} | {c: x[c] for c in ("raw_payload_id", "verified_at", "provenance_status") if c in x and v.get(c) is None}
+        x |= v | kept | {"revision": x["revision"] + 1}
+        self._index(x)
+        return old, None
+
+
+def _keys() -> tuple[Column, Column]:
+    """An item's two keys as texts of their own; without a URL there is only the first."""
+    part = lambda c: F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c))
+    one = F.concat(F.lit("i"), F.coalesce(part("source_id"), F.lit("-")), F.coalesce(part("external_id"), F.lit("-")))
+    return one, F.coalesce(F.concat(F.lit("u"), F.col("url")), one)
+
+
+def touched(current: DataFrame, batch: DataFrame) -> DataFrame:
+    """``current`` with ``_hit``: whether an item has the source and external id, or the URL, of a version in ``batch``."""
+    one, two = _keys()
+    b = batch.select(F.explode(F.array_distinct(F.array(one, two))).alias("_k")).distinct()
+    c = current.withColumn("_row", F.struct(*current.columns)).withColumn("_k", F.explode(F.array_distinct(F.array(one, two))))
+    hits = c.join(b, "_k").select(one.alias("_i")).distinct().withColumn("_h", F.lit(True))
+    return current.withColumn("_i", one).join(hits, "_i", "left").withColumn("_hit", F.coalesce("_h", F.lit(False))).drop("_i", "_h")
+
+
 def persist_canonical(current: DataFrame, batch: DataFrame) -> dict[str, DataFrame]:
-    """Candidates against ``current(source_id, external_id, url, content_hash, title, published_at, revision)``: the next current
-    rows, revisions of replaced versions, and conflicts (a URL that another source owns). Several versions of a key in a batch
-    follow each other by fetched_at; a version with the hash of the one before only refreshes; published_at stays the first."""
-    key = ["source_id", "external_id"]
-    owner = current.select("url", F.col("source_id").alias("_owner"))
-    b = batch.join(owner, "url", "left")
-    conflicts = b.where(F.col("_owner") != F.col("source_id")).select(*batch.columns, F.lit("CANONICAL_URL_SOURCE_CONFLICT").alias("error"))
-    b = b.where(F.col("_owner").isNull() | (F.col("_owner") == F.col("source_id"))).drop("_owner")
-    cols = ["source_id", "external_id", "url", "content_hash", "title", "published_at"]
-    every = current.select(*cols, F.lit(None).cast("timestamp").alias("fetched_at"), "revision").unionByName(b.select(*cols, "fetched_at", F.lit(None).cast("int").alias("revision")))
-    w = Window.partitionBy(*key).orderBy(F.col("fetched_at").asc_nulls_first(), "content_hash")
-    every = every.withColumn("_before", F.lag("content_hash").over(w)).withColumn("_new", F.col("_before").isNull() | (F.col("_before") != F.col("content_hash")))
-    running = w.rowsBetween(Window.unboundedPreceding, 0)
-    every = every.withColumn("_n", F.sum(F.when(F.col("revision").isNotNull(), F.col("revision")).otherwise(F.col("_new").cast("int"))).over(running))
-    every = every.withColumn("_first", F.first("published_at", True).over(running))
-    last = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("fetched_at").desc_nulls_last(), F.col("content_hash").desc()))
-    now = every.withColumn("_l", last).where("_l = 1").select("source_id", "external_id", "url", "content_hash", "title", F.col("_first").alias("published_at"), F.col("_n").cast("int").alias("revision"))
-    older = every.groupBy(*key, F.col("_n").cast("int").alias("revision")).agg(F.max_by("content_hash", "fetched_at").alias("_h"), F.max_by("title", F.coalesce("fetched_at", F.lit(0).cast("timestamp"))).alias("title"), F.first("content_hash").alias("content_hash")).drop("_h")
-    revisions = older.join(now.select(*key, F.col("revision").alias("_now")), key).where("revision < _now").drop("_now")
-    return {"current": now, "revisions": revisions, "conflicts": conflicts}
+    """Versions of ``batch(source_id, external_id, url, content_hash, title, published_at, fetched_at, ...)`` against
+    ``current(the same but fetched_at, revision)``: the next ``current``, ``revisions`` (what versions replaced, whole, with its
+    number), and ``conflicts`` (versions with an error).
+
+    Versions follow each other by fetched_at (nulls first), then content_hash, external_id and url. One is the version of the item with its source and external
+    id, else of the item with its URL: a new hash replaces it, but for the first published_at; the same hash only refreshes
+    REFRESHED. A version whose URL another source's item has, in ``current`` or earlier in the batch, is a conflict
+    (CONFLICT), and so is one that would take the URL of another item of its source (TAKEN).
+
+    Items and versions that share a key, directly or through others, are one component; only those of ``current`` whose
+    keys the batch has are looked at, the rest passes. A component's versions are sorted within a partition and read one
+    after the other; a task holds a component's items, not its versions."""
+    spark = current.sparkSession
+    scratch = Scratch(spark, "canonical")
+    values = [c for c in current.columns if c != "revision"]
+    batch = scratch.save(batch)
+    marked = scratch.save(touched(current, batch))
+    one, two = _keys()
+    rows = marked.where("_hit").select(*values, F.lit(None).cast("timestamp").alias("fetched_at"), F.col("revision").cast("int").alias("revision")).unionByName(batch.select(*values, "fetched_at", F.lit(None).cast("int").alias("revision")))
+    keyed = rows.withColumn("_i", one).withColumn("_u", two)
+    part = scratch.save(components(keyed.select(F.col("_i").alias("a"), F.col("_u").alias("b")).distinct(), scratch))
+    keyed = keyed.join(part, F.col("_i") == part.id, "left").withColumn("_part", F.coalesce("component", "_i"))
+    order = ["_part", F.col("revision").isNull(), F.col("fetched_at").asc_nulls_first(), "content_hash", "external_id", "url"]
+    keyed = keyed.repartition("_part").sortWithinPartitions(*order).select(*values, "fetched_at", "revision", "_part")
+    out = T.StructType([*[f for f in keyed.schema.fields if f.name != "_part"], T.StructField("_kind", T.StringType())])
+
+    def run(batches):
+        part, store, first = None, Store(), True
+        names = [f.name for f in out.fields]
+        for b in batches:
+            done = []
+            schema = pa.schema([b.schema.field(c) for c in names[:-1]]).append(pa.field("_kind", pa.string()))
+            for r in b.to_pylist():
+                key, at, revision = r.pop("_part"), r.pop("fetched_at"), r.pop("revision")
+                if first or key != part:
+                    done += [x | {"fetched_at": None, "_kind": "current"} for x in store.items]
+                    first, part, store = False, key, Store()
+                if revision is not None:
+                    store.hold(r | {"revision": revision})
+                    continue
+                old, error = store.take(r)
+                if old is not None:
+                    done.append(old | {"fetched_at": None, "_kind": "revision"})
+                if error is not None:
+                    done.append(r | {"fetched_at": at, "revision": None, "_kind": error})
+            yield pa.RecordBatch.from_pylist(done, schema)
+        if not first:
+            yield pa.RecordBatch.from_pylist([x | {"fetched_at": None, "_kind": "current"} for x in store.items], schema)
+
+    made = scratch.save(keyed.mapInArrow(run, out))
+    of = lambda k: made.where(F.col("_kind") == k)
+    now = marked.where("not _hit").select(*current.columns).unionByName(of("current").select(*current.columns))
+    bad = made.where(~F.col("_kind").isin("current", "revision")).select(*values, "fetched_at", F.col("_kind").alias("error"))
+    return {"current": now, "revisions": of("revision").select(*values, "revision"), "conflicts": bad}
 
 
 def backfill(events: DataFrame, canonical: DataFrame, localizations: DataFrame, after: str | None = None, limit: int = 1000) -> tuple[DataFrame, DataFrame]:

@@ -102,7 +102,8 @@ def term_keywords(interests: DataFrame) -> DataFrame:
 def matching_items(items: DataFrame, interests: DataFrame) -> DataFrame:
     """(interest_id, item_id) of ``items(item_id, title, content, selection_policy)``: all of a source that gives all items, else
     those whose text, accents folded, holds a keyword."""
-    from newsloom.functions.text import containing, fold_accents
+    from newsloom.functions.automaton import containing
+    from newsloom.functions.text import fold_accents
 
     k = term_keywords(interests)
     text = items.where("selection_policy <> 'ALL_ITEMS'").select("item_id", fold_accents(F.concat_ws(" ", "title", "content")).alias("text"))

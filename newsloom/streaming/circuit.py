@@ -1,15 +1,19 @@
-"""Source circuit breaker over a log of fetch attempts, as a batch job and as a stream."""
+"""Source circuit breaker over a log of fetch attempts, as a batch job and as a stream with timers."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
-#: Failures in a row, shares of 403 and 429, parser rejects, minutes open.
+#: Failures in a row, shares of 403 and 429, parser rejects, microseconds open.
 FAILURES, RATE, RATE_ATTEMPTS = 5, 0.5, 4
 PARSES, REJECTS = 10, 0.4
-OPEN_MIN = 15
+OPEN_US = 15 * 60 * 1_000_000
 STATE = "subscription_id long, ts timestamp, seq long, circuit string, failures int, next_probe timestamp"
 
 
@@ -17,72 +21,142 @@ def fresh() -> dict:
     return {"circuit": "CLOSED", "failures": 0, "attempts": 0, "parses": 0, "rejects": 0, "e403": 0, "e429": 0, "probe": None}
 
 
-def step(s: dict, ts, kind: str, code: str | None, rejected: bool | None) -> dict:
-    """The state after one event: success, failure, parse, pause or resume. An open circuit whose probe time has
-    come is half open before the event."""
-    s = dict(s)
-    if s["circuit"] == "OPEN" and s["probe"] is not None and ts >= s["probe"]:
-        s["circuit"] = "HALF_OPEN"
+def released(s: dict, now: int) -> dict | None:
+    """The state after its probe's time has come by ``now`` (microseconds), if it has."""
+    return s | {"circuit": "HALF_OPEN"} if s["circuit"] == "OPEN" and s["probe"] is not None and now >= s["probe"] else None
+
+
+def step(s: dict, ts: int, kind: str, code: str | None, rejected: bool | None) -> dict:
+    """The state after one event: success, failure, parse, pause or resume; any other kind changes nothing."""
     if kind == "resume":
         return fresh()
-    if kind == "pause":
-        s["circuit"] = "MANUAL_PAUSED"
-    if s["circuit"] == "MANUAL_PAUSED":
-        return s
+    if kind == "pause" or s["circuit"] == "MANUAL_PAUSED":
+        return s | {"circuit": "MANUAL_PAUSED"}
     if kind == "success":
-        s |= {"circuit": "CLOSED", "failures": 0, "attempts": s["attempts"] + 1, "probe": None}
-    elif kind == "failure":
-        s |= {"attempts": s["attempts"] + 1, "failures": s["failures"] + 1, "e403": s["e403"] + (code == "HTTP_403"), "e429": s["e429"] + (code == "HTTP_429")}
+        return s | {"circuit": "CLOSED", "failures": 0, "attempts": s["attempts"] + 1, "probe": None}
+    if kind == "failure":
+        s = s | {"attempts": s["attempts"] + 1, "failures": s["failures"] + 1, "e403": s["e403"] + (code == "HTTP_403"), "e429": s["e429"] + (code == "HTTP_429")}
         often = s["attempts"] >= RATE_ATTEMPTS and max(s["e403"], s["e429"]) / s["attempts"] >= RATE
         if s["circuit"] == "HALF_OPEN" or s["failures"] >= FAILURES or often:
-            s |= {"circuit": "OPEN", "probe": ts + pd.Timedelta(minutes=OPEN_MIN * min(8, 2 ** max(0, s["failures"] - FAILURES)))}
+            return s | {"circuit": "OPEN", "probe": ts + OPEN_US * min(8, 2 ** max(0, s["failures"] - FAILURES))}
     elif kind == "parse":
-        s |= {"parses": s["parses"] + 1, "rejects": s["rejects"] + bool(rejected)}
+        s = s | {"parses": s["parses"] + 1, "rejects": s["rejects"] + bool(rejected)}
         if s["parses"] >= PARSES and s["rejects"] / s["parses"] >= REJECTS:
-            s |= {"circuit": "OPEN", "probe": ts + pd.Timedelta(minutes=OPEN_MIN)}
+            return s | {"circuit": "OPEN", "probe": ts + OPEN_US}
     return s
 
 
-def _fold(state: dict, pdf: pd.DataFrame) -> tuple[dict, list[tuple]]:
-    out = []
-    for r in pdf.sort_values(["ts", "seq"]).itertuples(index=False):
-        state = step(state, r.ts, r.kind, r.error_code, r.rejected)
-        out.append((r.subscription_id, r.ts, r.seq, state["circuit"], state["failures"], state["probe"]))
-    return state, out
-
-
-COLUMNS = ["subscription_id", "ts", "seq", "circuit", "failures", "next_probe"]
+def fold(s: dict, events: Iterable[tuple], out: list[tuple]) -> dict:
+    """The state after ``events`` (ts, seq, kind, code, rejected) in their order. ``out`` gets a row (ts, seq, circuit, failures, probe)
+    for each, and one without seq, at the probe's time, for each release before an event."""
+    for ts, seq, kind, code, rejected in events:
+        half = released(s, ts)
+        if half is not None:
+            s = half
+            out.append((s["probe"], None, s["circuit"], s["failures"], s["probe"]))
+        s = step(s, ts, kind, code, rejected)
+        out.append((ts, seq, s["circuit"], s["failures"], s["probe"]))
+    return s
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    f = pd.DataFrame(rows, columns=COLUMNS)
-    return f.assign(next_probe=pd.to_datetime(f["next_probe"]))
+EVENT = ["ts", "seq", "kind", "error_code", "rejected"]
 
 
 def circuit_states(log: DataFrame) -> DataFrame:
-    """State after every event of ``log(subscription_id, ts, seq, kind, error_code, rejected)``, each
-    subscription folded in the order of (ts, seq). A subscription's log is one task's work, as its state is
-    sequential; a log holds one row a fetch."""
-    return log.groupBy("subscription_id").applyInPandas(lambda pdf: _frame(_fold(fresh(), pdf)[1]), STATE)
-
-
-def circuit_stream(log: DataFrame) -> DataFrame:
-    """The same over a stream; events of one micro-batch are ordered, state is kept by subscription."""
-    fields = list(fresh())
-
-    def run(key, frames, state):
-        s = dict(zip(fields, state.get, strict=True)) if state.exists else fresh()
-        if s["probe"] is not None:
-            s["probe"] = pd.Timestamp(s["probe"], unit="us")
-        pdf = pd.concat(list(frames))
-        s, rows = _fold(s, pdf)
-        keep = dict(s)
-        keep["probe"] = None if s["probe"] is None else int(pd.Timestamp(s["probe"]).value // 1000)
-        state.update(tuple(keep[f] for f in fields))
-        yield _frame(rows)
-
-    kept = "circuit string, failures int, attempts int, parses int, rejects int, e403 int, e429 int, probe long"
-    return log.groupBy("subscription_id").applyInPandasWithState(run, STATE, kept, "append", "NoTimeout")
+    """State after every event of ``log(subscription_id, ts, seq, kind, error_code, rejected)``, in the order of (ts, seq), and
+    a row without seq for each open circuit that its probe's time released before the next event; rows without ts don't count.
+
+    Subscriptions are sorted within partitions, and a task carries one subscription's small state from batch to batch: a
+    log of any length needs the memory of a batch. A subscription's events are one task's work, since each state needs the one before."""
+    kind = log.schema["subscription_id"].dataType.simpleString()
+    rows = log.where("ts is not null").select("subscription_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.col("seq").cast("long").alias("seq"), "kind", "error_code", "rejected")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, key, s = True, None, fresh()
+        for b in batches:
+            keys, events = b.column(0).to_pylist(), list(zip(*[b.column(k).to_pylist() for k in range(1, 6)], strict=True))
+            own, out, lo = [], [], 0
+            while lo < len(keys):
+                hi = lo + 1
+                while hi < len(keys) and keys[hi] == keys[lo]:
+                    hi += 1
+                if first or keys[lo] != key:
+                    first, key, s = False, keys[lo], fresh()
+                before = len(out)
+                s = fold(s, events[lo:hi], out)
+                own += [key] * (len(out) - before)
+                lo = hi
+            if out:
+                ts, seq, circuit, failures, probe = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(own, b.schema.field(0).type), pa.array(ts, pa.int64()), pa.array(seq, pa.int64()), pa.array(circuit), pa.array(failures, pa.int32()), pa.array(probe, pa.int64())], names=["subscription_id", "ts", "seq", "circuit", "failures", "next_probe"])
+
+    done = rows.repartition("subscription_id").sortWithinPartitions("subscription_id", "ts", "seq").mapInArrow(run, f"subscription_id {kind}, ts long, seq long, circuit string, failures int, next_probe long")
+    return done.withColumns({"ts": F.timestamp_micros("ts"), "next_probe": F.timestamp_micros("next_probe")})
+
+
+def _micros(t) -> int | None:
+    return None if pd.isna(t) else int(pd.Timestamp(t).value // 1000)
+
+
+class Breaker(StatefulProcessor):
+    """A subscription's circuit: its state as one value, and a timer at the probe's time of an open one."""
+
+    FIELDS = list(fresh())
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("circuit", "circuit string, failures int, attempts int, parses int, rejects int, e403 int, e429 int, probe long")
+
+    def _frame(self, key, rows: list[tuple]) -> pd.DataFrame:
+        f = pd.DataFrame([(key[0], *r) for r in rows], columns=["subscription_id", "ts", "seq", "circuit", "failures", "next_probe"])
+        at = lambda c: pd.to_datetime(f[c], unit="us", utc=True)
+        return f.assign(ts=at("ts"), next_probe=at("next_probe"), seq=f["seq"].astype("Int64"))
+
+    def _get(self) -> dict:
+        return dict(zip(self.FIELDS, self.value.get(), strict=True)) if self.value.exists() else fresh()
+
+    def _put(self, s: dict, timer: int | None) -> None:
+        """Stores the state; the timer is the one of its probe, if it is open."""
+        wanted = -(-s["probe"] // 1000) if s["circuit"] == "OPEN" and s["probe"] is not None else None
+        if timer != wanted:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+        self.value.update(tuple(s[f] for f in self.FIELDS))
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+        f = pd.concat(list(rows)).dropna(subset=["ts"]).sort_values(["ts", "seq"])
+        s = self._get()
+        timer = -(-s["probe"] // 1000) if s["circuit"] == "OPEN" and s["probe"] is not None else None
+        events = zip(map(_micros, f["ts"]), f["seq"].astype("int64").tolist(), f["kind"], f["error_code"], f["rejected"], strict=True)
+        out: list[tuple] = []
+        s = fold(s, events, out)
+        self._put(s, timer)
+        if out:
+            yield self._frame(key, out)
+
+    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+        s = released(self._get(), expired.getExpiryTimeInMs() * 1000)
+        if s is not None:
+            self.value.update(tuple(s[f] for f in self.FIELDS))
+            yield self._frame(key, [(s["probe"], None, s["circuit"], s["failures"], s["probe"])])
+
+    def close(self) -> None:
+        pass
+
+
+#: The state store that timers need.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def circuit_stream(log: DataFrame, clock: str = "event", delay: str = "1 minute") -> DataFrame:
+    """The same over a stream: events of one micro-batch are ordered, state is kept by subscription, and a timer releases an
+    open circuit when its probe's time comes, without any event of the subscription: by the watermark of ts (``clock`` event; later
+    than ``delay`` is late) or by the time of day (processing). The session's state store must be STORE."""
+    if clock == "event":
+        log = log.withWatermark("ts", delay)
+    return log.select("subscription_id", *EVENT).groupBy("subscription_id").transformWithStateInPandas(Breaker(), STATE, "append", {"event": "EventTime", "processing": "ProcessingTime"}[clock])
 
 
 def release_due_probes(states: DataFrame, as_of: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from newsloom.operators import jobs, localize
 from newsloom.sources import articles, registry
 from newsloom.streaming import canonicalize
@@ -59,12 +60,25 @@ def test_feeds_are_canonicalized_as_they_arrive(spark, tmp_path):
     assert [r.title for r in spark.read.parquet(str(tmp_path / "out/revisions/batch=2")).collect()] == ["one"]
 
 
-def test_words_in_texts_by_either_way(spark):
-    from newsloom.functions.text import containing
+@pytest.mark.parametrize("most", [None, 100, 33])
+def test_words_in_texts_by_one_automaton_or_several(spark, most):
+    from newsloom.functions.automaton import containing
 
-    words = spark.createDataFrame([(w,) for w in ("a", "ab", "abc", "abcd", "xyz", "năm", "z z")], "token string")
-    rows = [(1, "xxabcdxx"), (2, "ab"), (3, "b a"), (4, ""), (5, None), (6, "một năm z z"), (7, "abcabcabd")]
-    texts = spark.createDataFrame(rows, "id long, text string")
-    want = sorted((w.token, i) for w in words.collect() for i, x in rows if x and w.token in x)
-    for most in (100, 0):
-        assert sorted(map(tuple, containing(words, texts, "id", most).collect())) == want
+    words = spark.createDataFrame([(w,) for w in ("a", "ab", "abc", "abcd", "xyz", "năm", "z z", "", None, "ab")], "token string")
+    rows = [(1, "xxabcdxx"), (2, "ab"), (3, "b a"), (4, ""), (5, None), (6, "một năm z z"), (7, "abcabcabd"), (None, "xyz")]
+    texts = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    want = sorted((w, i or 0) for w in {r.token for r in words.collect()} - {None} for i, x in rows if x is not None and w in x)
+    assert sorted((r.token, r.id or 0) for r in containing(words, texts, "id", most).collect()) == want
+    assert containing(words.limit(0), texts, "id", most).count() == containing(words, texts.limit(0), "id", most).count() == 0
+
+
+def test_time_of_many_words_is_that_of_the_texts(spark):
+    """20,000 words: as many pairs as Spark's own search finds, on a part of the texts."""
+    from newsloom.functions.automaton import containing
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    words = d.select(F.explode(F.split("text", " ")).alias("token")).distinct().where("length(token) > 2").orderBy("token").limit(20_000)
+    few = d.where("doc_id < 10")
+    want = F.broadcast(words).join(few, F.contains("text", "token")).select("token", "doc_id")
+    got = containing(words, few, "doc_id")
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()

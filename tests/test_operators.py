@@ -5,6 +5,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pytest
 from newsloom.functions import text as t
 from newsloom.operators import ledger, matching, metrics, quality, resolve
 from newsloom.sources import articles, canonical
@@ -98,26 +99,180 @@ def _brute_duplicates(rows, hashes):
     return out
 
 
-def test_duplicates_equal_brute_force(spark):
-    """Chains over several days, ties of time, equal keys of each kind, texts alike and texts without words."""
-    g = np.random.default_rng(4)
+def _random_items(seed=4, n=160, hours=200):
+    g = np.random.default_rng(seed)
     words = [f"word{chr(97 + k)}{chr(97 + j)}" for k in range(6) for j in range(5)]
     rows = []
-    for k in range(160):
+    for k in range(n):
         w = list(words)
         for at in g.choice(30, int(g.integers(0, 3)), replace=False):
             w[at] = f"other{chr(97 + int(g.integers(0, 4)))}"
         body = ["", "same body", " ".join(w), " ".join(w).upper().lower() + ".", f"plain {k}"][int(g.choice(5, p=[0.05, 0.2, 0.45, 0.2, 0.1]))]
-        when = dt.datetime(2026, 8, 1) + dt.timedelta(hours=int(g.integers(0, 200)))
+        when = dt.datetime(2026, 8, 1) + dt.timedelta(hours=int(g.integers(0, hours)))
         rows.append(_item(k, when, body, title="", external_id=str(int(g.integers(0, 120))), url=f"u{int(g.integers(0, 120))}"))
-    df = spark.createDataFrame(pd.DataFrame(rows))
+    return rows
+
+
+def _hashes(df):
     c = df.select("id", t.semantic_hash(F.col("title"), F.col("content")).alias("h"), t.fingerprint(F.concat("title", F.lit("\n"), "content")).alias("fp"), t.tokens(F.concat("title", F.lit("\n"), "content")).alias("tok"), t.invariants(F.concat("title", F.lit("\n"), "content")).alias("inv"))
-    hashes = {r.id: SimpleNamespace(h=r.h, fp=r.fp, tok=set(r.tok), inv=r.inv) for r in c.collect()}
-    want = _brute_duplicates(rows, hashes)
+    return {r.id: SimpleNamespace(h=r.h, fp=r.fp, tok=set(r.tok), inv=r.inv) for r in c.collect()}
+
+
+def test_duplicates_equal_brute_force(spark):
+    """Chains over several days, ties of time, equal keys of each kind, texts alike and texts without words."""
+    rows = _random_items()
+    df = spark.createDataFrame(pd.DataFrame(rows))
+    want = _brute_duplicates(rows, _hashes(df))
     got = {r.id: r.duplicate_of_id is not None and (r.duplicate_of_id, r.duplicate_kind) or None for r in resolve.resolve_duplicates(df).collect()}
     assert got == want and len({k for v in want.values() if v for k in v[1:]}) >= 4
 
 
+def _tables(spark, days):
+    """Tables that one text makes that comes back daily, with a variant of it."""
+    from newsloom.functions import scratch
+
+    words = " ".join(f"word{chr(97 + k)}" for k in range(26))
+    rows = [_item(k, dt.datetime(2026, 1, 1) + dt.timedelta(days=k // 2, hours=k % 2), words + (" more" if k % 2 else "")) for k in range(2 * days)]
+    made = []
+    save, write = scratch.Scratch.save, resolve.written
+    scratch.Scratch.save = lambda self, df: (made.append(1), save(self, df))[1]
+    resolve.written = lambda df: (made.append(1), write(df))[1]
+    try:
+        out = resolve.resolve_duplicates(spark.createDataFrame(pd.DataFrame(rows))).collect()
+    finally:
+        scratch.Scratch.save, resolve.written = save, write
+    leads = sorted(r.id for r in out if r.duplicate_of_id is None)
+    assert leads[:3] == [0, 7, 8][: len(leads)] or leads[0] == 0
+    return len(made)
+
+
+def test_jobs_dont_grow_with_the_days_that_a_text_returns(spark):
+    assert _tables(spark, 6) == _tables(spark, 120)
+
+
+ARRIVING = "id long, source_id string, external_id string, url string, title string, content string, published_at timestamp, created_at timestamp"
+RESOLVED = ARRIVING + ", duplicate_of_id long, duplicate_kind string, duplicate_score double"
+
+
+def _brute_arrivals(rows, hashes):
+    """Each arrival against all that survives, as it comes."""
+    place = lambda r: (r["published_at"], r["created_at"], r["id"])
+    seen, of = {}, {}
+    for r in rows:
+        best = None
+        for o in sorted((x for i, x in seen.items() if i not in of), key=place):
+            apart = abs(r["published_at"] - o["published_at"])
+            a, b = hashes[r["id"]], hashes[o["id"]]
+            near = len(a.tok & b.tok) / len(a.tok | b.tok) if a.tok or b.tok else 1.0
+            kinds = [(r["source_id"], r["external_id"]) == (o["source_id"], o["external_id"]), r["url"] == o["url"], a.h == b.h, a.inv == b.inv and a.fp == b.fp, a.inv == b.inv and apart <= dt.timedelta(days=1) and near >= 0.9]
+            hit = next((k for k, ok in enumerate(kinds) if ok), None)
+            if hit is not None and apart <= dt.timedelta(days=3) and (best is None or (hit, -(near if hit == 4 else 1.0)) < best[:2]):
+                best = (hit, -(near if hit == 4 else 1.0), o)
+        seen[r["id"]] = r
+        if best:
+            lost, won = (r, best[2]) if place(best[2]) < place(r) else (best[2], r)
+            of = {i: (won["id"] if x[0] == lost["id"] else x[0], x[1]) for i, x in of.items()}
+            of[lost["id"]] = (won["id"], resolve.KINDS[best[0]])
+    return of
+
+
+def test_late_arrivals_take_over_what_followed(spark):
+    """Arrivals of 07, 08 and 06 o'clock: the last one is the first by its time."""
+    body = "The same exact policy content with figures 2% and date 14/08/2026."
+    at = {i: dt.datetime(2026, 8, 14, h) for i, h in ((1, 7), (2, 8), (3, 6))}
+    state = spark.createDataFrame([], RESOLVED)
+    row = lambda i: (i, f"s{i}", f"policy-{i}", f"https://p{i}.test/a", "Shared policy", body, at[i], at[i])
+    seen = []
+    for i in (1, 2, 3):
+        batch = spark.createDataFrame([(*row(i), i)], ARRIVING + ", arrival long")
+        got = resolve.resolve_arrivals(state, batch).collect()
+        seen.append({r.id: r.duplicate_of_id for r in got})
+        state = spark.createDataFrame([(*row(r.id), r.duplicate_of_id, r.duplicate_kind, r.duplicate_score) for r in got], RESOLVED)
+    assert seen == [{1: None}, {1: None, 2: 1}, {1: 3, 2: 3, 3: None}]
+    assert {r.id: r.duplicate_kind for r in got} == {1: "EXACT_CONTENT_HASH", 2: "EXACT_CONTENT_HASH", 3: None}
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_arrivals_in_batches(spark, ordered):
+    """In the order of place, batch by batch, the result of the whole; in any order that of brute force."""
+    rows = _random_items(7, 90, 150)
+    rows.sort(key=lambda r: (r["published_at"], r["created_at"], r["id"]) if ordered else (r["id"] * 37) % 90)
+    frame = lambda rs: [tuple(r[c.split()[0]] for c in ARRIVING.split(", ")) for r in rs]
+    df = spark.createDataFrame(frame(rows), ARRIVING)
+    state = spark.createDataFrame([], RESOLVED)
+    by = {r["id"]: x for r, x in zip(rows, frame(rows), strict=True)}
+    for lo in range(0, 90, 30):
+        batch = spark.createDataFrame([(*x, k) for k, x in enumerate(frame(rows[lo : lo + 30]))], ARRIVING + ", arrival long")
+        got = resolve.resolve_arrivals(state, batch).collect()
+        state = spark.createDataFrame([(*by[r.id], r.duplicate_of_id, r.duplicate_kind, r.duplicate_score) for r in got], RESOLVED)
+    found = {r.id: (r.duplicate_of_id, r.duplicate_kind) for r in got if r.duplicate_of_id is not None}
+    assert found == _brute_arrivals(rows, _hashes(df)) and len(got) == 90 and len(found) > 20
+    if ordered:
+        assert found == {r.id: (r.duplicate_of_id, r.duplicate_kind) for r in resolve.resolve_duplicates(df).collect() if r.duplicate_of_id is not None}
+
+
+VERSION = "source_id string, external_id string, url string, content_hash string, title string, published_at timestamp, provenance_status string"
+
+
+def _brute_persist(current, batch):
+    """One version after the other."""
+    items, revisions, bad = [dict(x) for x in current], [], []
+    for v in sorted(batch, key=lambda v: (v["fetched_at"], v["content_hash"], v["external_id"], v["url"] is not None, v["url"])):
+        at, v = v["fetched_at"], {k: x for k, x in v.items() if k != "fetched_at"}
+        mine = next((x for x in items if (x["source_id"], x["external_id"]) == (v["source_id"], v["external_id"])), None)
+        owner = next((x for x in items if v["url"] is not None and x["url"] == v["url"]), None)
+        if owner and owner["source_id"] != v["source_id"]:
+            bad.append((v["source_id"], v["external_id"], v["url"], at, canonical.CONFLICT))
+        elif not (mine or owner):
+            items.append(v | {"revision": 1})
+        else:
+            x = mine or owner
+            if x["content_hash"] == v["content_hash"]:
+                x["provenance_status"] = v["provenance_status"] or x["provenance_status"]
+            elif owner and owner is not x:
+                bad.append((v["source_id"], v["external_id"], v["url"], at, canonical.TAKEN))
+            else:
+                revisions.append(dict(x))
+                x |= v | {"published_at": x["published_at"], "provenance_status": v["provenance_status"] or x["provenance_status"], "revision": x["revision"] + 1}
+    return items, revisions, bad
+
+
+def test_items_are_known_by_either_key(spark):
+    """An item's URL under another external id, an URL of another source in current and in the batch, a moved URL, a refresh."""
+    day = lambda n: dt.datetime(2026, 8, n)
+    current = spark.createDataFrame([("s1", "e1", "u1", "h1", "one", day(1), "PENDING", 1), ("s9", "e9", "u8", "h8", "far", day(1), "VERIFIED", 3)], VERSION + ", revision int")
+    rows = [("s1", "e2", "u1", "h2", "two", day(2), None, day(2)), ("s2", "x", "u9", "h3", "first", day(3), "VERIFIED", day(3)), ("s3", "y", "u9", "h3", "second", day(3), "VERIFIED", day(4)), ("s2", "x", "u9", "h3", "again", day(5), "REJECTED", day(5)), ("s1", "e2", "u7", "h4", "moved", day(6), None, day(6)), ("s4", "z", "u1", "h1", "free", day(7), None, day(7))]
+    out = canonical.persist_canonical(current, spark.createDataFrame(rows, VERSION + ", fetched_at timestamp"))
+    now = {(r.source_id, r.external_id): r for r in out["current"].collect()}
+    assert set(now) == {("s1", "e2"), ("s2", "x"), ("s4", "z"), ("s9", "e9")}
+    x = now["s1", "e2"]
+    assert (x.url, x.title, x.revision, x.published_at, x.provenance_status) == ("u7", "moved", 3, day(1), "PENDING") and now["s2", "x"].title == "first" and now["s2", "x"].provenance_status == "REJECTED"
+    old = sorted((r.revision, r.external_id, r.url, r.content_hash, r.title, r.published_at, r.provenance_status) for r in out["revisions"].collect())
+    assert old == [(1, "e1", "u1", "h1", "one", day(1), "PENDING"), (2, "e2", "u1", "h2", "two", day(1), "PENDING")]
+    assert [(r.source_id, r.url, r.error) for r in out["conflicts"].collect()] == [("s3", "u9", canonical.CONFLICT)]
+
+
+def test_versions_equal_brute_force(spark):
+    g = np.random.default_rng(11)
+    pick = lambda xs: xs[int(g.integers(len(xs)))]
+    names = [c.split()[0] for c in VERSION.split(", ")]
+
+    def version(k):
+        return dict(zip(names, (pick("ab"), f"e{g.integers(25)}", pick([None, *(f"u{j}" for j in range(40))]), f"h{g.integers(4)}", f"t{k}", dt.datetime(2026, 1, 1) + dt.timedelta(hours=k), pick([None, "VERIFIED", "PENDING"])), strict=True))
+
+    current = [version(k) | {"source_id": "ab"[k % 2], "external_id": f"e{k}", "url": f"u{k}", "revision": 1 + k % 3} for k in range(12)]
+    batch = [version(k) | {"fetched_at": dt.datetime(2026, 2, 1) + dt.timedelta(minutes=int(k))} for k in range(150)]
+    frame = lambda rows, schema: spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema)
+    out = canonical.persist_canonical(frame(current, VERSION + ", revision int"), frame(batch, VERSION + ", fetched_at timestamp").repartition(5))
+    items, revisions, bad = _brute_persist(current, batch)
+    rows = lambda xs: sorted(str(sorted(x.items(), key=str)) for x in xs)
+    assert rows(r.asDict() for r in out["current"].collect()) == rows(items)
+    assert rows(r.asDict() for r in out["revisions"].collect()) == rows(revisions) and revisions
+    assert sorted(map(str, ((r.source_id, r.external_id, r.url, r.fetched_at, r.error) for r in out["conflicts"].collect()))) == sorted(map(str, bad)) and {b[4] for b in bad} == {canonical.CONFLICT, canonical.TAKEN}
+    empty = canonical.persist_canonical(frame([], VERSION + ", revision int"), frame([], VERSION + ", fetched_at timestamp"))
+    assert all(x.count() == 0 for x in empty.values())
+
+
 def test_leaders_are_no_components(spark):
     rows = [("k", 0, 1, 1), ("k", 1, 2, 2), ("l", 0, 2, 2), ("l", 1, 3, 3)]
     alike = spark.createDataFrame([(k, s, 0, 0.9, i, p * 10, p) for k, s, i, p in rows], "key string, side int, kind int, score double, id long, at long, place int")
@@ -199,26 +354,81 @@ def _log(rows, subscription=1):
     return [(subscription, dt.datetime(2026, 8, 14) + dt.timedelta(minutes=m), i, k, c, r) for i, (m, k, c, r) in enumerate(rows)]
 
 
-def test_circuit_opens_probes_and_closes(spark):
-    rows = [(i, "failure", "NET", None) for i in range(5)] + [(30, "success", None, None)]
+def _circuits(spark, rows):
+    """States after events, and how often time released a circuit."""
     got = circuit.circuit_states(spark.createDataFrame(_log(rows), LOG)).orderBy("seq").collect()
-    assert [r.circuit for r in got] == ["CLOSED"] * 4 + ["OPEN", "CLOSED"]
-    assert got[4].next_probe == dt.datetime(2026, 8, 14, 0, 19)
-    rows = [(i, "failure", "HTTP_403", None) for i in range(4)] + [(5, "pause", None, None), (6, "success", None, None), (7, "resume", None, None)]
-    got = circuit.circuit_states(spark.createDataFrame(_log(rows), LOG)).orderBy("seq").collect()
-    assert [r.circuit for r in got] == ["CLOSED"] * 3 + ["OPEN", "MANUAL_PAUSED", "MANUAL_PAUSED", "CLOSED"]
-    rows = [(i, "parse", None, i >= 6) for i in range(10)]
-    assert circuit.circuit_states(spark.createDataFrame(_log(rows), LOG)).orderBy("seq").collect()[-1].circuit == "OPEN"
+    return [r for r in got if r.seq is not None], [r for r in got if r.seq is None]
 
 
-def test_circuit_stream_equals_batch(spark, tmp_path):
-    log = spark.createDataFrame([x for s in (1, 2, 3) for x in _log([(i, "failure" if i % 4 else "success", "HTTP_429", None) for i in range(20)], s)], LOG)
-    log.write.parquet(str(tmp_path / "in"))
-    q = circuit.circuit_stream(spark.readStream.schema(log.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("circuit").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
+def test_circuit_opens_probes_and_closes(spark):
+    got, timed = _circuits(spark, [(i, "failure", "NET", None) for i in range(5)] + [(30, "success", None, None)])
+    assert [r.circuit for r in got] == ["CLOSED"] * 4 + ["OPEN", "CLOSED"]
+    assert got[4].next_probe == dt.datetime(2026, 8, 14, 0, 19) and [(r.ts, r.circuit) for r in timed] == [(got[4].next_probe, "HALF_OPEN")]
+    got, timed = _circuits(spark, [(i, "failure", "HTTP_403", None) for i in range(4)] + [(5, "pause", None, None), (600, "success", None, None), (601, "resume", None, None), (602, "odd", None, None)])
+    assert [r.circuit for r in got] == ["CLOSED"] * 3 + ["OPEN", "MANUAL_PAUSED", "MANUAL_PAUSED", "CLOSED", "CLOSED"] and not timed
+    assert _circuits(spark, [(i, "parse", None, i >= 6) for i in range(10)])[0][-1].circuit == "OPEN"
+    got, timed = _circuits(spark, [(0, "failure", "NET", None)] * 5 + [(20, "failure", "NET", None), (49, "failure", "NET", None), (51, "failure", "NET", None)])
+    assert [(r.ts - dt.datetime(2026, 8, 14)).seconds // 60 for r in timed] == [15] and got[5].next_probe == dt.datetime(2026, 8, 14, 0, 50)
+    rows = _log([(0, "success", None, None)]) + [(None, dt.datetime(2026, 8, 14), 7, "failure", None, None), (2, None, 8, "failure", None, None)]
+    assert circuit.circuit_states(spark.createDataFrame(rows, LOG)).count() == 2 and circuit.circuit_states(spark.createDataFrame([], LOG)).count() == 0
+
+
+def test_circuit_state_is_carried_over_batches(spark):
+    """A subscription's log that spans many batches and one that begins within a batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        log = spark.createDataFrame([x for s in range(5) for x in _log([(i * 6, "failure" if i % 5 else "success", "NET", None) for i in range(60)], s)], LOG)
+        small = circuit.circuit_states(log).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(str, small)) == sorted(map(str, circuit.circuit_states(log).collect())) and len({r.subscription_id for r in small}) == 5
+
+
+@pytest.fixture
+def rocks(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", circuit.STORE)
+    yield
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def _streamed(spark, folder, log, name, **how):
+    return circuit.circuit_stream(spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), **how).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{folder}/c").outputMode("append").start()
+
+
+def test_circuit_stream_equals_batch(spark, tmp_path, rocks):
+    """In two files; releases before a later event of the subscription are those of the batch."""
+    log = spark.createDataFrame([x for s in (1, 2, 3) for x in _log([(i // 6 * 9 * s + (s * 7 if i % 6 == 5 else i % 6), "success" if i % 12 == 11 else "failure", "NET", None) for i in range(40)], s)], LOG)
+    log.where("ts < '2026-08-14 00:30:00'").coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = _streamed(spark, tmp_path, log, "circuit2", clock="event")
+    q.processAllAvailable()
+    log.where("ts >= '2026-08-14 00:30:00'").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q.processAllAvailable()
+    q.stop()
+    got, want = spark.table("circuit2").collect(), circuit.circuit_states(log).collect()
+    text = lambda rows: sorted(map(str, rows))
+    assert text(r for r in got if r.seq is not None) == text(r for r in want if r.seq is not None)
+    assert set(text(r for r in want if r.seq is None)) <= set(text(r for r in got if r.seq is None)) and any(r.seq is None for r in want)
+
+
+@pytest.mark.parametrize("clock", ["event", "processing"])
+def test_time_alone_opens_the_probe(spark, tmp_path, rocks, clock):
+    """No event of the subscription follows: the watermark, moved by another one's events, or the time of day releases it."""
+    log = spark.createDataFrame(_log([(0, "failure", "NET", None)] * 5, 1), LOG)
+    log.coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = _streamed(spark, tmp_path, log, f"timed_{clock}", clock=clock)
     q.processAllAvailable()
+    if clock == "event":
+        for minute in (60, 61):
+            spark.createDataFrame(_log([(minute, "success", None, None)], 2), LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            q.processAllAvailable()
+    import time
+
+    end = time.time() + 60
+    while time.time() < end and not spark.table(f"timed_{clock}").where("circuit = 'HALF_OPEN'").count():
+        time.sleep(1)
     q.stop()
-    key = lambda rows: sorted(map(str, rows))
-    assert key(spark.table("circuit").collect()) == key(circuit.circuit_states(log).collect())
+    (r,) = spark.table(f"timed_{clock}").where("circuit = 'HALF_OPEN'").collect()
+    assert (r.subscription_id, r.seq, r.ts) == (1, None, dt.datetime(2026, 8, 14, 0, 15))
 
 
 def test_deliveries_once_on_a_stream(spark, tmp_path):
