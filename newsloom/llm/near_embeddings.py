@@ -343,28 +343,37 @@ def balls(points: DataFrame, dim: int, scratch: Scratch, degrees: float = BALL)
 
 
 def near_embeddings(vectors: DataFrame, threshold: float = COSINE, scratch: Scratch | None = None, report: dict | None = None) -> DataFrame:
-    """One row for each vec_id of ``vectors(vec_id, embedding)``: vec_id, n_links, component_id, kept.
-
-    Vectors of different ids are linked if the cosine of their embeddings, in double precision, is at
-    least ``threshold``. Vectors that are null, zero, of another length than most, or hold null or
-    non-finite components link with nothing. Of rows that repeat a vec_id the smallest embedding
-    counts; rows without vec_id are left out; an empty table gives an empty result. Other columns
-    aren't read. Equal vectors form one class before all else. ``report`` receives the audit's recall,
-    the number of edges between centres, and whether all centres were compared.
+    """One row for each row of ``vectors(vec_id, embedding)``: vec_id, n_links, component_id, kept.
+
+    Vectors are linked if the cosine of their embeddings, in double precision, is at least ``threshold``; n_links counts
+    rows. Vectors that are null, empty, zero, or hold null or non-finite components link with nothing. Those of
+    different lengths have no cosine: each length is compared in itself, one after the other (a run for each length that
+    occurs). Rows that repeat a vec_id are vectors of their own, with equal embeddings or not; so are rows without vec_id:
+    their component_id is the smallest vec_id that they reach, null if there is none, in which case they are kept. An
+    empty table gives an empty result; other columns aren't read. Equal vectors form one class before all else. ``report``
+    receives the audit's recall, the number of edges between centres, and whether all centres were compared (of the last length).
     """
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark, "embeddings")
-    rows = vectors.where("vec_id is not null").groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("embedding").alias("embedding"))
-    sizes = rows.where("size(embedding) > 0").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    size = F.coalesce(F.size("embedding"), F.lit(0))
     alone = lambda df: df.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if sizes is None:
-        return alone(rows)
-    dim = sizes.d
-    units = scratch.save(_units(rows, dim))
-    valid = units.where("v is not null")
-    classes = valid.groupBy("digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"))
-    classes = scratch.save(classes)
-    points = scratch.save(classes.join(valid.select(F.col("vec_id").alias("id"), "v"), "id").select("id", "m", "v"))
+    out = alone(rows.where(size <= 0))
+    for r in rows.where(size > 0).select(size.alias("d")).distinct().orderBy("d").collect():
+        units = scratch.save(_units(rows.where(size == r.d), r.d))
+        valid = units.where("v is not null")
+        out = out.unionByName(alone(units.where("v is null")))
+        if not valid.isEmpty():
+            out = out.unionByName(_of_one_length(valid, r.d, threshold, scratch, report))
+    return out
+
+
+def _of_one_length(valid: DataFrame, dim: int, threshold: float, scratch: Scratch, report: dict | None) -> DataFrame:
+    """The answer for unit vectors ``valid(vec_id, v, digest)`` of ``dim`` components."""
+    classes = valid.groupBy("digest").agg(F.min("vec_id").alias("low"), F.count("*").alias("m"), F.first("v").alias("v"))
+    # a number for each class, which doesn't depend on vec_ids: these can repeat or be null
+    classes = scratch.save(classes.sortWithinPartitions("digest").withColumn("id", F.monotonically_increasing_id()))
+    points = classes.select("id", "m", "v")
     ball = balls(points, dim, scratch)
     members = scratch.save(ball.join(points, "id"))
     size = members.groupBy("centre").agg(F.sum("m").alias("ball_m"), F.min("cos").alias("r"))
@@ -389,7 +398,7 @@ def near_embeddings(vectors: DataFrame, threshold: float = COSINE, scratch: Scra
     parts = components(linked.select(F.col("src").alias("a"), F.col("dst").alias("b")), scratch).select(F.col("id").alias("centre"), F.col("component").alias("part"))
     per = members.select("id", "centre", "m").join(size.select("centre", "ball_m"), "centre").join(more, "id", "left").join(parts, "centre", "left")
     per = scratch.save(per.select("id", F.coalesce("part", "centre").alias("part"), (F.col("ball_m") - 1 + F.coalesce("more", F.lit(0))).cast("long").alias("n_links")))
-    lowest = per.groupBy("part").agg(F.min("id").alias("component_id"))
-    per = per.join(lowest, "part").join(classes.select("id", "digest"), "id").select("digest", "n_links", "component_id")
-    out = valid.select("vec_id", "digest").join(per, "digest").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    return out.unionByName(alone(units.where("v is null")))
+    per = per.join(classes.select("id", "digest", "low"), "id")
+    lowest = per.groupBy("part").agg(F.min("low").alias("component_id"))
+    per = per.join(lowest, "part").select("digest", "n_links", "component_id")
+    return valid.select("vec_id", "digest").join(per, "digest").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -195,9 +195,12 @@ def scan_secrets(docs: DataFrame, model, path_col: str = "source") -> DataFrame:
 
 def redact(docs: DataFrame, model, mark: str = MARK) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mark``; everything else stays, null texts too."""
-    found = with_findings(docs, model)
-    both = F.struct(F.split("text", CANDIDATE, -1).alias("parts"), F.col("findings").alias("found"))
+    name = "findings"
+    while name in docs.columns:  # a column of the documents stays as it is
+        name = f"_{name}"
+    found = docs.withColumn(name, _findings(F.coalesce(F.col("text"), F.lit("")), _path(docs, "source"), model))
+    both = F.struct(F.split("text", CANDIDATE, -1).alias("parts"), F.col(name).alias("found"))
     piece = lambda s: lambda x, i: F.concat(F.get(s.parts, i), F.when(x.score >= CUT, F.lit(mark)).otherwise(x.candidate))
     clean = let(both, lambda s: F.concat(F.array_join(F.transform(s.found, piece(s)), ""), F.element_at(s.parts, -1)))
-    secret = F.exists("findings", lambda x: x.score >= CUT)
-    return found.withColumn("text", F.when(secret, clean).otherwise(F.col("text"))).select(*docs.drop("findings").columns)
+    secret = F.exists(name, lambda x: x.score >= CUT)
+    return found.withColumn("text", F.when(secret, clean).otherwise(F.col("text"))).select(*docs.columns)

@@ -1,41 +1,15 @@
-"""Scratch tables in the cluster's shared folder, and connected components."""
+"""What several of the operators use."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.functions.scratch import folder
-
-
-class Scratch:
-    """Written intermediate tables: they cut lineage and outlive lost executors."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{folder(spark)}/newsloom-{name}-{uuid.uuid4().hex[:12]}"
-        self.paths: dict[int, str] = {}
-        self.n = 0
-
-    def save(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n:03d}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
-        for df in tables:
-            path = self.paths.pop(id(df), None)
-            if path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+from newsloom.functions.scratch import Scratch
+from newsloom.operators.graph import components  # noqa: F401
 
 
 def let(value: Column, body) -> Column:
@@ -100,33 +74,3 @@ def first_by_hash(df: DataFrame, rows: int, *key: str, by: str | None = None, se
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Connected components of ``edges(a, b)``, of any ordered type: one row ``(id, component)`` for each node with an
-    edge, ``component`` being the smallest id that it reaches.
-
-    Alternating large-star and small-star contraction; each half is a minimum per node (combined
-    on the map side) and an equi-join whose hot hubs AQE can split. Rounds grow with the logarithm
-    of the longest path; each is one job, written. Only counts reach the driver.
-    """
-    cur = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    mark, written = None, None
-    while True:
-        both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        j = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")  # hubs have no rows of their own here
-        small = j.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        new = scratch.save(small.select("e.a", "e.b").where("a <> b").distinct())
-        if written is not None:
-            scratch.drop(written)
-        cur = written = new
-        row = cur.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (row.n, row.h) == mark:
-            break
-        mark = (row.n, row.h)
-    # cur now holds stars: each node once, with its component's smallest id
-    return cur.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
-        cur.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    )

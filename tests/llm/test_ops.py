@@ -67,7 +67,7 @@ def test_embeddings_equal_brute_force(spark):
     rows = embedding_rows()
     n = len(rows)
     odd = [None, [0.0] * 16, [float("nan")] + [1.0] * 15, [None] + [1.0] * 15, [1.0, 2.0], [float("inf")] + [1.0] * 15, []]
-    data = [(i, r, 1) for i, r in enumerate(rows + odd)] + [(None, rows[0], 1), (3, rows[3], 2)]
+    data = [(i, r, 1) for i, r in enumerate(rows + odd)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>, n_links int")
     report = {}
     got = {r.vec_id: r for r in near_embeddings.near_embeddings(df, report=report).collect()}
@@ -82,6 +82,25 @@ def test_embeddings_equal_brute_force(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (*want, want[1] == i)
 
 
+def test_embeddings_that_repeat_ids_or_have_none_and_of_several_lengths(spark):
+    """Every row is answered, against brute force over rows."""
+    g = np.random.default_rng(8)
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (None, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.1, 0.0]), (None, None), (None, []), (5, [0.0, 1.0, 0.0]), (None, [0.0, 0.0, 1.0])]
+    rows += [(int(g.integers(20)) if k % 5 else None, (g.standard_normal(4) + 2).tolist()) for k in range(60)]
+
+    def linked(i, j):
+        a, b = rows[i][1], rows[j][1]
+        return i != j and bool(a) and bool(b) and len(a) == len(b) and float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)) >= 0.9
+
+    links = [(i, j) for i in range(len(rows)) for j in range(len(rows)) if linked(i, j)]
+    part = groups(links, range(len(rows)))
+    low = {c: min((rows[i][0] for i in part if part[i] == c and rows[i][0] is not None), default=None) for c in part.values()}
+    want = Counter((rows[i][0], sum(a == i for a, _ in links), low[part[i]], rows[i][0] == low[part[i]]) for i in range(len(rows)))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for x in (df, df.repartition(7)):
+        assert Counter(tuple(r) for r in near_embeddings.near_embeddings(x).collect()) == want
+
+
 def test_embeddings_of_an_empty_table(spark):
     assert near_embeddings.near_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

@@ -59,3 +59,38 @@ def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_of_any_name_stay(spark, folder):
+    """Names that stages use inside, or that Spark would read as paths, come back as they were."""
+    names = ["score", "row_key", "_key", "_id", "findings", "size", "copy", "taken", "mix_copy", "_range", "_order", "_t", "lang_pred", "held_out", "row", "group", "c0", "a.b", "target"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").repartition(3)
+    for name in names:
+        docs = docs.withColumn(name, docs.doc_id * 2)
+    docs = docs.withColumn("map", __import__("pyspark.sql.functions", fromlist=["x"]).expr("map('k', doc_id)"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, folder)
+        out.write.parquet(f"{folder}/stage{k}")
+        columns, docs = docs.columns, spark.read.parquet(f"{folder}/stage{k}")
+        more = [c for c in docs.columns if c not in columns]
+        assert docs.columns == [*columns, *more] and more == ([] if k < 4 else ["mix_mix_copy", "mix_taken"])
+        rows = docs.collect()
+        assert rows and all(r[n] == r["doc_id"] * 2 for r in rows for n in names) and all(r["map"] == {"k": r["doc_id"]} for r in rows)
+
+
+def test_tables_without_source_or_lang_and_rows_that_differ_elsewhere(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs, folder).count() > 0
+    text = "".join(f"word{k} " for k in range(60))
+    rows = spark.createDataFrame([(1, text, s) for s in "cab"], "doc_id long, text string, source string")
+    got = {corpus_pipeline.near_duplicates(spark, x, folder).first().source for x in (rows, rows.orderBy("source"), rows.repartition(3))}
+    assert len(got) == 1
+
+
+def test_a_very_long_text(spark, folder):
+    long = "".join(f"wordof{k % 977}letters{k % 31} the and of " for k in range(60_000))
+    docs = spark.createDataFrame([(1, long, "en", "s", 0), (2, long + "end", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        docs = stage(spark, docs, folder)
+    assert [(r.doc_id, r.text) for r in docs.collect()] == [(1, long)]
