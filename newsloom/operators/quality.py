@@ -9,6 +9,11 @@ from newsloom.functions import text as t
 
 #: English words by which untranslated text shows (fixed values).
 MARKERS = ["the", "and", "as", "while", "with", "from", "this", "that", "was", "were", "has", "have", "after", "before", "fell", "falls", "rose", "rises", "remained", "stable"]
+#: Words by which the older gate knows untranslated text, its numbers with units, and the names that it protects (fixed values).
+MARKERS_V2 = [*MARKERS, "delay"]
+NUMBERS_V2 = rf"(?iu)\d+(?:[.,]\d+)*(?:%|{t.JS_S}?(?:USD|VND|BTC|ETH))?"
+PROTECTED_V2 = rf"{t.JS_B}(?:[A-Z]{{2,8}}|Bitcoin|Ethereum|OpenAI|Apple|Google|Microsoft|XRP){t.JS_B}"
+HIGH_STAKES = r"(?iu)^(health|medicine|finance|economy|legal)$"
 UP, DOWN = ["tăng", "rise", "rises", "rose", "increase", "increased"], ["giảm", "fall", "falls", "fell", "decrease", "decreased"]
 CERTAIN = {"POSSIBLE": "may|might|could|dự kiến|có thể", "LIKELY": "likely|nhiều khả năng", "UNLIKELY": "unlikely|khó có khả năng", "CONFIRMED": "confirmed|xác nhận"}
 
@@ -25,9 +30,9 @@ def certainty_concepts(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(F.rlike(text, F.lit(rf"(?iu)(?<!\p{{L}})(?:{w})(?!\p{{L}})")), k) for k, w in CERTAIN.items()]))
 
 
-def english_leak(text: Column) -> Column:
+def english_leak(text: Column, markers: list[str] = MARKERS) -> Column:
     words = F.regexp_extract_all(text, F.lit("[A-Za-zÀ-ỹ]+"), F.lit(0))
-    hits = F.size(F.filter(words, lambda w: F.lower(w).isin(MARKERS)))
+    hits = F.size(F.filter(words, lambda w: F.lower(w).isin(markers)))
     return F.when(F.size(words) < 8, 0.0).otherwise(hits / F.greatest(F.lit(1.0), F.size(words) / 8))
 
 
@@ -64,25 +69,52 @@ def gate_v3(pairs: DataFrame) -> DataFrame:
 
 
 def gate_v2(pairs: DataFrame) -> DataFrame:
-    """Numbers kept, protected terms kept, not empty, no fallback; passes with no failure and a score of .9 or more."""
-    p = pairs.withColumns({"_s": F.concat_ws("\n", "source_title", "source_content"), "_l": F.concat_ws("\n", "title", "summary")})
-    nums = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"\d+(?:[.,]\d+)?%?"), F.lit(0)))
-    low = F.lower(F.col("_l"))
+    """``pairs(source_title, source_content, title, summary, source_language, target_locale)`` with failure_codes, score, passed and
+    evidence: numbers, with their units, and protected names of the source stay; nothing is blank; the text isn't the source's own, and into
+    Vietnamese not English. The last two share a code, which can stand twice and then counts twice. Nulls are empty texts."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    p = pairs.withColumns({"_s": F.concat(text("source_title"), F.lit(" "), text("source_content")), "_l": F.concat(text("title"), F.lit(" "), text("summary"))})
+    found = lambda c, pattern: F.array_distinct(F.regexp_extract_all(F.col(c), F.lit(pattern), F.lit(0)))
+    blank = lambda c: t.js_trim(text(c)) == ""
+    own = (F.col("source_language") != F.col("target_locale")) & (t.js_trim(F.col("_s")) == t.js_trim(F.col("_l")))
     codes = F.array_compact(F.array(
-        F.when(F.size(F.array_except(nums(F.col("_s")), nums(F.col("_l")))) > 0, "NUMBER_MISSING"), F.when(F.exists(F.coalesce("protected_terms", F.array().cast("array<string>")), lambda x: ~F.contains(low, F.lower(x))), "PROTECTED_TERM_MISSING"),
-        F.when(F.trim(F.coalesce("summary", F.lit(""))) == "", "EMPTY_OUTPUT"), F.when((F.col("source_language") != F.col("target_locale")) & (F.col("title") == F.col("source_title")), "TITLE_FALLBACK"),
-        F.when((F.col("source_language") != F.col("target_locale")) & (F.col("summary") == F.col("source_content")), "SUMMARY_FALLBACK")))
+        F.when(F.size(F.array_except(found("_s", NUMBERS_V2), found("_l", NUMBERS_V2))) > 0, "NUMBER_CHANGED"), F.when(F.exists(found("_s", PROTECTED_V2), lambda x: ~F.contains(F.col("_l"), x)), "ENTITY_CORRUPTED"),
+        F.when(blank("title") | blank("summary"), "EMPTY_OUTPUT"), F.when(own, "LOCALE_FALLBACK_LEAK"),
+        F.when((F.col("target_locale") == "vi") & (english_leak(F.col("_l"), MARKERS_V2) > 0.82), "LOCALE_FALLBACK_LEAK")))
     p = p.withColumn("failure_codes", codes).withColumn("score", F.greatest(F.lit(0.0), 1 - F.size("failure_codes") * 0.25))
-    return p.withColumn("passed", (F.size("failure_codes") == 0) & (F.col("score") >= 0.9)).drop("_s", "_l")
-
-
-def publication(attempts: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Decision on each attempt: the deterministic gate, then an external semantic score of .9 or more; topics with high
-    stakes are flagged for review."""
-    j = attempts.join(verdicts.select("id", "semantic_score"), "id", "left")
-    high = F.arrays_overlap("topics", F.array(F.lit("health"), F.lit("markets")))
-    status = F.when(~F.col("passed"), "REJECTED").when(F.coalesce("semantic_score", F.lit(0.0)) < 0.9, "NEEDS_REVIEW").otherwise("VERIFIED")
-    return j.withColumns({"status": status, "high_stakes": high})
+    evidence = F.array(*[F.struct(F.lit(k).alias("claim"), F.col(c).alias("source_text")) for k, c in (("title", "source_title"), ("summary", "source_content"))])
+    return p.withColumn("passed", (F.size("failure_codes") == 0) & (F.col("score") >= 0.9)).withColumn("evidence", evidence).drop("_s", "_l")
+
+
+#: The code of a translation that the semantic verifier doesn't pass, fails on, or isn't asked about.
+UNVERIFIED = "SEMANTIC_VERIFIER_FAILED"
+
+
+def high_stakes(topics: Column, metadata: Column | None = None) -> Column:
+    """Whether a topic is one of high stakes, in any case, or the JSON metadata says so by a true ``highImportance``."""
+    by_topic = F.coalesce(F.exists(topics, lambda x: F.rlike(x, F.lit(HIGH_STAKES))), F.lit(False))
+    if metadata is None:
+        return by_topic
+    value = F.try_variant_get(F.try_parse_json(metadata), "$.highImportance", "variant")
+    return by_topic | F.coalesce((F.schema_of_variant(value) == "BOOLEAN") & (F.to_json(value) == "true"), F.lit(False))
+
+
+def publication(attempts: DataFrame, verdicts: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+    """Decision on each of ``attempts(id, title, summary, topics, passed, score, failure_codes, metadata if there)``: without title or summary it is
+    EMPTY_OUTPUT; what the deterministic gate doesn't pass is rejected with its codes; the rest is published if ``verdicts(id, semantic_passed,
+    semantic_score)`` passes it with .9 or more, else rejected (UNVERIFIED). With quality_score, high_stakes, and what the revision of
+    the attempt holds: its number after those of ``previous(id, attempt_number)``, and the reason."""
+    j = attempts.join(verdicts.select("id", "semantic_passed", "semantic_score", F.lit(True).alias("_asked")), "id", "left")
+    empty = (F.coalesce("title", F.lit("")) == "") | (F.coalesce("summary", F.lit("")) == "")
+    publish = ~empty & F.col("passed") & F.coalesce(F.col("semantic_passed") & (F.col("semantic_score") >= 0.9), F.lit(False))
+    codes = F.when(empty, F.array(F.lit("EMPTY_OUTPUT"))).when(~F.col("passed"), F.col("failure_codes")).when(publish, F.array().cast("array<string>")).otherwise(F.array(F.lit(UNVERIFIED)))
+    score = F.when(empty, 0.0).when(~F.col("passed"), F.col("score")).otherwise(F.coalesce("semantic_score", F.lit(0.0)))
+    stakes = high_stakes(F.col("topics"), F.col("metadata") if "metadata" in attempts.columns else None)
+    j = j.withColumns({"status": F.when(publish, "VERIFIED").otherwise("REJECTED"), "quality_score": score, "failure_codes": codes, "high_stakes": ~empty & stakes})
+    last = F.lit(0) if previous is None else F.coalesce("_last", F.lit(0))
+    j = j if previous is None else j.join(previous.groupBy("id").agg(F.max("attempt_number").alias("_last")), "id", "left")
+    j = j.withColumns({"attempt_number": (last + 1).cast("int"), "correction_reason": F.when(F.col("status") == "REJECTED", F.left(F.array_join("failure_codes", ","), F.lit(120)))})
+    return j.drop("_asked", "_last", "semantic_passed", "semantic_score", "score", "passed")
 
 
 def work_list(contents: DataFrame, locales: DataFrame, done: DataFrame) -> DataFrame:

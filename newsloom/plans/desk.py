@@ -129,9 +129,16 @@ def jobs_triaged(spark, d):
 
 
 def jobs_identified(spark, d):
-    """Jobs delivered again are one."""
-    log = load(spark, d, "events").select("ts", circuit.job_identity("FETCH_SOURCE", F.col("user_id"), F.date_trunc("day", "ts")).alias("identity"))
-    return circuit.distinct_deliveries(log.select("identity")).agg(F.count("*").alias("n"), F.min("identity").alias("first"))
+    """Jobs of several types in the events; each once, however often delivered."""
+    e = load(spark, d, "events")
+    kind = pick(["FETCH_SOURCE", "BUILD_BRIEFS", "BACKFILL_CONTENT", "LOCALIZE_CONTENT", "unknown"], F.col("event_id"))
+    day = F.date_format("ts", "yyyy-MM-dd")
+    jobs = e.select(
+        kind.alias("type"), F.col("user_id").alias("subscription_id"), day.alias("schedule_bucket"), day.alias("date_bucket"), F.when(F.col("event_id") % 3 == 0, "vi").alias("locale"), F.when(F.col("event_id") % 2 == 0, F.col("user_id")).alias("cursor"),
+        F.lit(100).alias("batch_size"), F.col("user_id").alias("canonical_content_id"), F.sha2(F.col("event_type"), 256).alias("source_content_hash"), F.lit("p1").alias("policy_version"), F.lit("g1").alias("glossary_version"),
+    )
+    jobs = jobs.withColumn("identity", circuit.job_identity(jobs))
+    return circuit.distinct_deliveries(jobs.select("type", "identity").where("identity is not null")).groupBy("type").agg(F.count("*").alias("n"), F.min("identity").alias("first"))
 
 
 def codes_stable(spark, d):
@@ -229,18 +236,23 @@ def localizations_wanted(spark, d):
 def gates_v2(spark, d):
     c = load(spark, d, "conversations")
     n = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
+    turn, source = F.col("turn"), F.concat(F.lit("NASA said 2024 that Bitcoin has "), F.col("turn") * 3, F.lit("% and 12,5 usd"))
     p = c.join(n, ["conv_id", "turn"]).select(
-        F.concat_ws("-", "conv_id", "turn").alias("id"), F.lit("2024 title").alias("source_title"), F.col("text").alias("source_content"), F.when(F.col("turn") % 3 == 0, "2024 title").otherwise("other").alias("title"), F.when(F.col("turn") % 5 == 0, "").otherwise(F.col("next")).alias("summary"),
-        F.array(F.lit("the")).alias("protected_terms"), F.lit("en").alias("source_language"), F.lit("vi").alias("target_locale"))
+        F.concat_ws("-", "conv_id", "turn").alias("id"), source.alias("source_title"), F.col("text").alias("source_content"),
+        F.when(turn % 3 == 0, source).when(turn % 3 == 1, F.concat(F.lit("2024: Bitcoin "), turn * 3, F.lit("%, 12,5 usd, NASA"))).otherwise("and the rest was after this").alias("title"),
+        F.when(turn % 5 == 0, " ").when(turn % 4 == 3, F.col("text")).otherwise(F.col("next")).alias("summary"), F.lit("en").alias("source_language"), F.when(turn % 7 == 6, "en").otherwise("vi").alias("target_locale"))
     return quality.gate_v2(p).select("id", F.array_join("failure_codes", ",").alias("codes"), "score", "passed")
 
 
 def publications_decided(spark, d):
     c = contents(spark, d)
     n = F.col("content_id")
-    att = c.select(n.alias("id"), "topics", (n % 4 != 0).alias("passed"))
-    ver = c.where(n % 5 != 0).select(n.alias("id"), (F.lit(0.85) + n % 3 * 0.05).alias("semantic_score"))
-    return quality.publication(att, ver).groupBy("status", "high_stakes").agg(F.count("*").alias("n"))
+    bad = F.when(n % 4 == 0, F.array(F.lit("NUMBER_CHANGED"), F.lit("EMPTY_OUTPUT"))).otherwise(F.array().cast("array<string>"))
+    topics = F.concat("topics", F.array(pick(["Finance", "legal", "financed", "LEGAL", "other", "other"], n)))
+    att = c.select(n.alias("id"), F.when(n % 17 != 0, F.col("title")).alias("title"), F.lit("s").alias("summary"), topics.alias("topics"), (n % 4 != 0).alias("passed"), F.when(n % 4 == 0, 0.5).otherwise(1.0).alias("score"), bad.alias("failure_codes"), pick(['{"highImportance": true}', '{"highImportance": "true"}', "[1]", "{", None], n).alias("metadata"))
+    ver = c.where(n % 5 != 0).select(n.alias("id"), (n % 7 != 0).alias("semantic_passed"), (F.lit(0.85) + n % 3 * 0.05).alias("semantic_score"))
+    before = c.where(n % 2 == 0).select(n.alias("id"), F.explode(F.sequence(F.lit(1), (n % 5 + 1).cast("int"))).alias("attempt_number"))
+    return quality.publication(att, ver, before).groupBy("status", "high_stakes", "attempt_number", "correction_reason").agg(F.count("*").alias("n"), F.round(F.sum("quality_score"), 6).alias("score"))
 
 
 def glossary_resolved(spark, d):
@@ -369,6 +381,8 @@ _UI = "ui AS (SELECT event_id AS id, user_id, event_id % 300 AS insight_id, CASE
 _PAY = """pay AS (SELECT page_id AS payload_id, CAST(page_id % 7 AS VARCHAR) AS source_id, html, ['FULL_TEXT', 'EXCERPT_ONLY', 'METADATA_ONLY', 'METADATA_ONLY'][page_id % 4 + 1] AS policy, TIMESTAMP '2024-01-01' + to_hours(page_id % 300) AS fetched_at FROM pages WHERE page_id IS NOT NULL)"""
 _AGE = f"greatest(0.0::DOUBLE, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(published_at)) / 3.6e9::DOUBLE)"
 
+_NUM = r"[0-9]+(?:[.,][0-9]+)*(?:%|\s?(?:USD|VND|BTC|ETH))?"
+_NAMES = r"\b(?:[A-Z]{2,8}|Bitcoin|Ethereum|OpenAI|Apple|Google|Microsoft|XRP)\b"
 ORACLE_SQL = {
     "sources_default": f"WITH {USERS}, {_ASKED}, {_SOURCES} SELECT slug, tier, language, count(*) AS n FROM (SELECT {_CASE('lower(trim(topic))')} AS slug FROM asked) JOIN src USING (slug) GROUP BY ALL",
     "sources_for_topics": f"WITH {USERS}, {_ASKED}, {_SOURCES} SELECT slug, count(*) AS n, count(DISTINCT user_id) AS users FROM asked JOIN src ON list_contains(topics, lower(trim(topic))) GROUP BY slug",
@@ -397,7 +411,10 @@ SELECT content_id, count(*) AS n, md5(string_agg(k, '|' ORDER BY k)) AS terms FR
 SELECT type, CASE WHEN n % 17 = 0 THEN 'JOB_VERSION_UNSUPPORTED' WHEN n % 23 = 0 OR n % 13 = 0 OR n % 4 = 0 OR no_source OR bad_locale OR no_size THEN 'JOB_PAYLOAD_INVALID' END AS error, count(*) AS n FROM x GROUP BY 1, 2""",
     "jobs_triaged": f"""SELECT job_id, error_code, CASE WHEN error_code = 'VALIDATION_REJECTED' THEN 'POLICY_CHANGE_REQUIRED' WHEN user_id % 5 IN (1, 3) THEN 'SOURCE_CIRCUIT_OPEN' ELSE 'RETRY' END AS action
 FROM (SELECT event_id AS job_id, user_id, ['HTTP_500', 'VALIDATION_REJECTED', 'HTTP_429'][event_id % 3 + 1] AS error_code, ts FROM events WHERE event_type = 'error' AND {_list(TYPES)}[event_id % 10 + 1] = 'FETCH_SOURCE' ORDER BY ts DESC, event_id LIMIT 300)""",
-    "jobs_identified": "WITH j AS (SELECT DISTINCT 'FETCH_SOURCE-' || sha256(user_id || ':' || strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S')) AS i FROM events) SELECT count(*) AS n, min(i) AS first FROM j",
+    "jobs_identified": """WITH j AS (SELECT ['FETCH_SOURCE', 'BUILD_BRIEFS', 'BACKFILL_CONTENT', 'LOCALIZE_CONTENT', 'unknown'][event_id % 5 + 1] AS type, strftime(ts, '%Y-%m-%d') AS day, * FROM events),
+i AS (SELECT DISTINCT type, 'v2-' || lower(type) || '-' || sha256(CASE type WHEN 'FETCH_SOURCE' THEN user_id || '-' || day WHEN 'BUILD_BRIEFS' THEN day || '-' || CASE WHEN event_id % 3 = 0 THEN 'vi' ELSE 'all' END
+  WHEN 'BACKFILL_CONTENT' THEN CASE WHEN event_id % 2 = 0 THEN user_id::VARCHAR ELSE 'start' END || '-100' WHEN 'LOCALIZE_CONTENT' THEN user_id || '-' || CASE WHEN event_id % 3 = 0 THEN 'vi' END || '-' || sha256(event_type) || '-p1-g1' END) AS identity FROM j)
+SELECT type, count(*) AS n, min(identity) AS first FROM i WHERE identity IS NOT NULL GROUP BY type""",
     "codes_stable": """WITH x AS (SELECT substr(trim(string_split(['HTTP_500', 'Parser failed', ' QUOTA_EXCEEDED ', 'x', 'AB'][event_id % 5 + 1] || [': detail', '', ':a:b'][event_id % 3 + 1], ':')[1]), 1, 80) AS h FROM events)
 SELECT CASE WHEN regexp_full_match(h, '[A-Z][A-Z0-9_]{2,79}') THEN h ELSE 'UNCLASSIFIED_ERROR' END AS code, count(*) AS n FROM x GROUP BY 1""",
     "retry_afters": "SELECT event_id, [120000, 600000, NULL, 500, 0][event_id % 5 + 1]::BIGINT AS ms FROM events",
@@ -418,11 +435,21 @@ SELECT a.coverage AS v1_coverage, a.fh AS v1_freshness_hours, a.dr AS v1_duplica
 SELECT policy, count(*) AS n, count(b) + count(c) AS bodies, CAST(sum(octet_length(encode(coalesce(b, least(c, c))))) AS BIGINT) AS bytes, max(expires_at) AS expires_at FROM x GROUP BY policy""",
     "payloads_replayed": f"WITH {_PAY} SELECT payload_id, fetched_at FROM pay WHERE policy IN ('FULL_TEXT', 'EXCERPT_ONLY') AND html IS NOT NULL AND source_id = '3' AND fetched_at >= TIMESTAMP '2024-01-02' ORDER BY fetched_at, payload_id LIMIT 500",
     "localizations_wanted": f"WITH {VIEWS} SELECT content_id AS id, l AS locale FROM published, (VALUES ('vi'), ('en')) x(l) WHERE provenance_status = 'VERIFIED' AND duplicate_of_id IS NULL AND NOT (l = 'vi' AND content_id % 6 = 0)",
-    "gates_v2": """WITH p AS (SELECT a.conv_id || '-' || a.turn AS id, '2024 title' || chr(10) || a.text AS s, a.text AS sc, CASE WHEN a.turn % 3 = 0 THEN '2024 title' ELSE 'other' END AS ti, CASE WHEN a.turn % 5 = 0 THEN '' ELSE b.text END AS su FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
-q AS (SELECT *, concat_ws(chr(10), ti, su) AS l FROM p), x AS (SELECT id, list_filter([CASE WHEN len(list_filter(regexp_extract_all(s, '[0-9]+(?:[.,][0-9]+)?%?'), lambda v: NOT list_contains(regexp_extract_all(l, '[0-9]+(?:[.,][0-9]+)?%?'), v))) > 0 THEN 'NUMBER_MISSING' END, CASE WHEN NOT contains(lower(l), 'the') THEN 'PROTECTED_TERM_MISSING' END,
-  CASE WHEN trim(coalesce(su, '')) = '' THEN 'EMPTY_OUTPUT' END, CASE WHEN ti = '2024 title' THEN 'TITLE_FALLBACK' END, CASE WHEN su = sc THEN 'SUMMARY_FALLBACK' END], lambda v: v IS NOT NULL) AS c FROM q)
+    "gates_v2": f"""WITH p AS (SELECT a.conv_id || '-' || a.turn AS id, 'NASA said 2024 that Bitcoin has ' || a.turn * 3 || '% and 12,5 usd' AS st, a.text AS sc,
+  CASE WHEN a.turn % 3 = 0 THEN 'NASA said 2024 that Bitcoin has ' || a.turn * 3 || '% and 12,5 usd' WHEN a.turn % 3 = 1 THEN '2024: Bitcoin ' || a.turn * 3 || '%, 12,5 usd, NASA' ELSE 'and the rest was after this' END AS ti,
+  CASE WHEN a.turn % 5 = 0 THEN ' ' WHEN a.turn % 4 = 3 THEN a.text ELSE b.text END AS su, CASE WHEN a.turn % 7 = 6 THEN 'en' ELSE 'vi' END AS target FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+q AS (SELECT *, st || ' ' || sc AS s, ti || ' ' || su AS l FROM p),
+n AS (SELECT *, regexp_extract_all(s, '{_NUM}', 0, 'i') AS ns, regexp_extract_all(l, '{_NUM}', 0, 'i') AS nl, regexp_extract_all(s, '{_NAMES}') AS es, regexp_extract_all(l, '[A-Za-zÀ-ỹ]+') AS ws FROM q),
+x AS (SELECT id, list_filter([CASE WHEN len(list_filter(ns, lambda v: NOT list_contains(nl, v))) > 0 THEN 'NUMBER_CHANGED' END, CASE WHEN len(list_filter(es, lambda v: NOT contains(l, v))) > 0 THEN 'ENTITY_CORRUPTED' END,
+  CASE WHEN trim(ti) = '' OR trim(su) = '' THEN 'EMPTY_OUTPUT' END, CASE WHEN target <> 'en' AND trim(s, chr(10) || chr(9) || ' ') = trim(l, chr(10) || chr(9) || ' ') THEN 'LOCALE_FALLBACK_LEAK' END,
+  CASE WHEN target = 'vi' AND len(ws) >= 8 AND len(list_filter(ws, lambda w: list_contains({quality.MARKERS_V2}, lower(w)))) / greatest(1.0::DOUBLE, len(ws) / 8.0::DOUBLE) > 0.82 THEN 'LOCALE_FALLBACK_LEAK' END], lambda v: v IS NOT NULL) AS c FROM n)
 SELECT id, array_to_string(c, ',') AS codes, greatest(0.0::DOUBLE, 1 - len(c) * 0.25::DOUBLE) AS score, len(c) = 0 AS passed FROM x""",
-    "publications_decided": f"""WITH {CONTENTS} SELECT CASE WHEN content_id % 4 = 0 THEN 'REJECTED' WHEN content_id % 5 = 0 OR content_id % 3 = 0 THEN 'NEEDS_REVIEW' ELSE 'VERIFIED' END AS status, list_has_any(topics, ['health', 'markets']) AS high_stakes, count(*) AS n FROM contents GROUP BY ALL""",
+    "publications_decided": f"""WITH {CONTENTS}, a AS (SELECT content_id AS n, content_id % 17 = 0 OR title = '' AS empty, content_id % 4 <> 0 AS ok, content_id % 5 <> 0 AND content_id % 7 <> 0 AND content_id % 3 > 0 AS sem,
+  CASE WHEN content_id % 5 <> 0 THEN 0.85::DOUBLE + content_id % 3 * 0.05::DOUBLE ELSE 0 END AS ss, len(list_filter(list_append(topics, ['Finance', 'legal', 'financed', 'LEGAL', 'other', 'other'][content_id % 6 + 1]), lambda t: lower(t) IN ('health', 'medicine', 'finance', 'economy', 'legal'))) > 0 OR content_id % 5 = 0 AS high FROM contents),
+b AS (SELECT *, NOT empty AND ok AND sem AS pub FROM a),
+c AS (SELECT CASE WHEN pub THEN 'VERIFIED' ELSE 'REJECTED' END AS status, NOT empty AND high AS high_stakes, CAST(CASE WHEN n % 2 = 0 THEN n % 5 + 2 ELSE 1 END AS INT) AS attempt_number, CASE WHEN empty THEN 'EMPTY_OUTPUT' WHEN NOT ok THEN 'NUMBER_CHANGED,EMPTY_OUTPUT' WHEN NOT pub THEN 'SEMANTIC_VERIFIER_FAILED' END AS correction_reason,
+  CASE WHEN empty THEN 0 WHEN NOT ok THEN 0.5::DOUBLE ELSE ss END AS q FROM b)
+SELECT status, high_stakes, attempt_number, correction_reason, count(*) AS n, round(sum(q), 6) AS score FROM c GROUP BY ALL""",
     "glossary_resolved": f"""WITH {_ENTRIES}, d AS (SELECT * REPLACE (CASE WHEN domain = 'unknown' THEN 'default' ELSE domain END AS domain) FROM entries), e AS (SELECT *, list_position(['health', 'technology', 'default'], domain) AS p FROM d WHERE domain IN ('health', 'technology', 'default'))
 SELECT source_term, target_locale, domain, preferred_term FROM e QUALIFY row_number() OVER (PARTITION BY target_locale, source_term ORDER BY p, protected DESC, preferred_term) = 1""",
     "briefs_latest": "SELECT o_custkey AS user_id, o_orderkey AS brief_id, CAST(o_orderdate AS DATE) AS brief_date FROM orders WHERE o_orderstatus <> 'F' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) DESC NULLS LAST, o_orderkey) = 1",

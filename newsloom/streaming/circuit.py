@@ -173,9 +173,28 @@ def logical_fetches(log: DataFrame, bucket: str = "10 minutes", delay: str = "20
     return b.groupBy("subscription_id", "bucket").agg(F.min(F.struct("ts", "seq")).alias("first")).select("subscription_id", "bucket", "first.ts", "first.seq")
 
 
-def job_identity(type_: str, *parts):
-    """Logical identity of a job: digest of its type's key."""
-    return F.concat(F.lit(f"{type_}-"), F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts]), 256))
+#: What tells jobs of a type apart, with what stands for a part that is missing, and the version of jobs (fixed values).
+JOB_VERSION = 2
+JOB_PARTS = {
+    "DISCOVER_DUE_SOURCES": ["schedule_bucket"], "FETCH_SOURCE": ["subscription_id", "schedule_bucket"], "NORMALIZE_PAYLOAD": ["raw_payload_id"], "VALIDATE_CONTENT": ["canonical_content_id"],
+    "CLUSTER_CONTENT": ["canonical_content_id", "policy_version"], "LOCALIZE_CONTENT": ["canonical_content_id", "locale", "source_content_hash", "policy_version", "glossary_version"],
+    "MATCH_USERS": ["canonical_content_id", "policy_version"], "BUILD_BRIEFS": ["date_bucket", "locale"], "BACKFILL_CONTENT": ["cursor", "batch_size"], "REPLAY_PAYLOAD": ["raw_payload_id", "reason"],
+}
+JOB_DEFAULTS = {("BUILD_BRIEFS", "locale"): "all", ("BACKFILL_CONTENT", "cursor"): "start"}
+
+
+def job_identity(jobs: DataFrame, version: int = JOB_VERSION):
+    """Logical identity of each of ``jobs(type, ...)``, as a column over it: version, type and the SHA-256 of what tells jobs of the type apart.
+    Null for an unknown type and where a part is missing that has no default."""
+    part = lambda kind, c: F.coalesce(F.col(c).cast("string") if c in jobs.columns else F.lit(None).cast("string"), F.lit(JOB_DEFAULTS.get((kind, c))))
+    own = None
+    for kind, cols in JOB_PARTS.items():
+        text = part(kind, cols[0])
+        for c in cols[1:]:
+            text = F.concat(text, F.lit("-"), part(kind, c))
+        own = F.when(F.col("type") == kind, text) if own is None else own.when(F.col("type") == kind, text)
+    raw = F.concat(F.lit(f"v{version}-"), F.lower("type"), F.lit("-"), F.sha2(own, 256))
+    return F.left(F.regexp_replace(F.regexp_replace(raw, "[^a-zA-Z0-9_-]+", "-"), "-+", "-"), F.lit(240))
 
 
 def distinct_deliveries(log: DataFrame, identity: str = "identity", delay: str = "20 minutes") -> DataFrame:
