@@ -285,35 +285,97 @@ def cluster_features(contents: DataFrame, form: bool = True) -> DataFrame:
     )
 
 
-def cluster_texts(f: DataFrame) -> DataFrame:
-    """(a, b, score): pairs of feature sets of a day with a score of CLUSTER or more. Items with equal features are one set
-    here, whatever their number. Without a shared entity the score needs entities empty on both sides, or it stays at .55;
-    of two sets without entities topics and title must make .2 of .55, so that one topic or title token is shared, or
-    both have none."""
-    sets = f.select("features", "day", "entities", "topics", "vals", "title_tokens").dropDuplicates(["features"])
-    none = F.array(F.lit("\u0001none"))
-    bare = F.concat(F.when(F.size("topics") == 0, none).otherwise(F.transform("topics", lambda x: F.concat(F.lit("t:"), x))), F.when(F.size("title_tokens") == 0, none).otherwise(F.transform("title_tokens", lambda x: F.concat(F.lit("w:"), x))))
-    k = sets.withColumn("block", F.explode(F.array_distinct(F.when(F.size("entities") == 0, bare).otherwise(F.transform("entities", lambda x: F.concat(F.lit("e:"), x))))))
-    a, b = k.alias("a"), k.alias("b")
-    j = a.join(b, (F.col("a.day") == F.col("b.day")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.features") < F.col("b.features")))
-    differ = (F.size("a.vals") > 0) & (F.size("b.vals") > 0) & (F.col("a.vals") != F.col("b.vals"))
-    score = 0.45 * jaccard(F.col("a.entities"), F.col("b.entities")) + 0.2 * jaccard(F.col("a.topics"), F.col("b.topics")) + 0.35 * jaccard(F.col("a.title_tokens"), F.col("b.title_tokens"))
-    j = j.where(~differ).withColumn("score", F.round(score, 9)).where(F.col("score") >= CLUSTER)
-    return j.select(F.col("a.features").alias("a"), F.col("b.features").alias("b"), "score").dropDuplicates(["a", "b"])
+#: Weights of shared entities, topics and title tokens (fixed values).
+WEIGHTS = (0.45, 0.2, 0.35)
+NONE = "\u0001none"
+
+
+def _rare_first(f: DataFrame, name: str) -> DataFrame:
+    """(features, name): the tokens of each set of features, those of the fewest sets of its day first; NONE if there are none."""
+    tokens = F.when(F.size(name) > 0, F.col(name)).otherwise(F.array(F.lit(NONE)))
+    each = f.select("features", "day", F.explode(tokens).alias("token"))
+    n = each.groupBy("day", "token").agg(F.count("*").alias("n"))
+    ranked = each.join(n, ["day", "token"]).groupBy("features").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("x"))
+    return ranked.select("features", F.transform("x", lambda x: x.token).alias(name))
+
+
+def cluster_keys(f: DataFrame) -> DataFrame:
+    """(features, keys): of two sets of features of a day with a score of CLUSTER or more at least one key is shared.
+
+    With J for the shares of common tokens the score is .45 J(entities) + .2 J(topics) + .35 J(title). Either J(title) is half or
+    more: then a token is shared among the first n - ceil(n / 2) + 1 of each, in any one order; rare ones come first. Or it is less,
+    but not 0: then J(entities) is over .61, a token of so long a beginning is shared, and one of the titles with it. Or it is 0: then entities
+    and topics are the same. So neither an entity nor a topic that many items have is a key by itself."""
+    sets = f.select("features", "day", "entities", "topics", "title_tokens").dropDuplicates(["features"])
+    j = sets.select("features", "day", F.sort_array("entities").alias("_e"), F.sort_array("topics").alias("_t")).join(_rare_first(sets, "entities"), "features").join(_rare_first(sets, "title_tokens"), "features")
+    most = (CLUSTER - WEIGHTS[1] - WEIGHTS[2] / 2) / WEIGHTS[0]
+    begin = lambda c, share: F.slice(c, F.lit(1), (F.size(c) - F.ceil(F.size(c) * share - 1e-9) + 1).cast("int"))
+    digest = lambda *cols: F.md5(F.to_json(F.struct(*cols)))
+    half = F.transform(begin("title_tokens", 0.5), lambda w: digest(F.col("day"), w.alias("w")))
+    both = F.flatten(F.transform(begin("entities", most), lambda e: F.transform("title_tokens", lambda w: digest(F.col("day"), e.alias("e"), w.alias("w")))))
+    return j.select("features", F.array_distinct(F.concat(half, both, F.array(digest("day", "_e", "_t")))).alias("keys"))
+
+
+class Events:
+    """Items of a day in the order of place. Leaders are found by their keys, among those with the same protected values or none; their
+    score is then made from the features. What a task holds are a component's leaders."""
+
+    def __init__(self):
+        self.leads: list[tuple] = []
+        self.by_key: dict[str, dict[tuple, list[int]]] = {}
+        self.done: list[tuple] = []
+
+    @staticmethod
+    def _share(a: frozenset, b: frozenset) -> float:
+        return len(a & b) / len(a | b) if a or b else 1.0
+
+    def row(self, i, at, keys, stored) -> None:
+        own = tuple(frozenset(stored[c]) for c in ("entities", "topics", "title_tokens"))
+        vals = tuple(stored["vals"])
+        found: set[int] = set()
+        for k in keys:
+            by = self.by_key.get(k)
+            if by:
+                for there in [vals, ()] if vals else list(by):
+                    found.update(by.get(there, ()))
+        best = None
+        for n in found:
+            score = sum(w * self._share(a, b) for w, a, b in zip(WEIGHTS, self.leads[n][1], own, strict=True))
+            score = round(score, 9)
+            if score >= CLUSTER and (best is None or (-score, n) < best):
+                best = (-score, n)
+        if best is None:
+            n = len(self.leads)
+            self.leads.append((i, own))
+            for k in keys:
+                self.by_key.setdefault(k, {}).setdefault(vals, []).append(n)
+        else:
+            self.done.append((i, self.leads[best[1]][0], 0, -best[0]))
+
+    def ready(self) -> list[tuple]:
+        done, self.done = self.done, []
+        return done
+
+    rest = ready
 
 
 def clusters(contents: DataFrame, form: bool = True) -> DataFrame:
-    """(id, cluster_id, score): the cluster id is its first member's id, whose features stay the cluster's."""
+    """(id, cluster_id, score): the cluster id is its first member's id, whose features stay the cluster's; an item joins the cluster with the
+    largest score of those whose first member has its day, no other protected values, and a score of CLUSTER or more; ties
+    by the first member's place.
+
+    No pair is formed: items whose features share keys, directly or through others, are one component, which is sorted by place
+    and read once, each item being compared with the leaders that share a key. A component is one task's stream."""
+    scratch = Scratch(contents.sparkSession, "clusters")
     f = cluster_features(contents, form)
     features = F.md5(F.to_json(F.struct("day", "entities", F.sort_array("topics").alias("topics"), "vals", "title_tokens")))
-    f = written(f.withColumn("features", features).withColumn("at", F.unix_micros("place.published_at")))
-    same = f.select(F.col("features").alias("key"), F.lit(0).alias("kind"), F.lit(1.0).alias("score"), "id", "at", "place")
-    near = written(cluster_texts(f))
-    key = F.md5(F.concat("a", "b"))
-    sides = near.select(key.alias("key"), F.lit(0).alias("side"), F.col("a").alias("features"), "score").unionByName(near.select(key.alias("key"), F.lit(1).alias("side"), F.col("b").alias("features"), "score"))
-    alike = sides.join(f.select("features", "id", "at", "place"), "features").select("key", "side", F.lit(0).alias("kind"), "score", "id", "at", "place")
-    out = leaders(f.select("id", "place"), _shared(same), alike)
-    return out.select("id", F.col("leader_id").alias("cluster_id"), "score")
+    f = scratch.save(f.withColumn("features", features).withColumn("at", F.unix_micros("place.published_at")))
+    keys = scratch.save(cluster_keys(f).withColumn("_first", F.array_min("keys")))
+    part = components(keys.select(F.col("_first").alias("a"), F.explode("keys").alias("b")).where("a <> b").distinct(), scratch)
+    keyed = keys.join(part, F.col("_first") == part.id, "left").select("features", "keys", F.coalesce("component", "_first").alias("part"))
+    rows = f.join(keyed, "features").withColumn("stored", F.struct("entities", "topics", "vals", "title_tokens"))
+    out = f.select("id").join(_folded(rows.select("id", "at", "place", "keys", "part", "stored"), ["place"], Events, FOLLOWS), "id", "left")
+    return out.select("id", F.coalesce("leader_id", "id").alias("cluster_id"), F.round("score", 9).alias("score"))
 
 
 #: What clusters are stored under: the policy's version is part of a cluster's key.

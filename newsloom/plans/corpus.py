@@ -136,6 +136,11 @@ v AS (SELECT CASE WHEN r > 1 AND o_orderkey % 13 = 0 THEN 's9' ELSE 's' || (o_cu
 l AS (SELECT *, lag(content_hash) OVER w AS before, row_number() OVER w AS k FROM v WHERE source_id <> 's9' WINDOW w AS (PARTITION BY url ORDER BY CASE WHEN r = 1 THEN 0 ELSE 1 END, fetched_at, content_hash, external_id)),
 m AS (SELECT source_id, external_id, url, content_hash, title, CAST(row_number() OVER (PARTITION BY url ORDER BY k) AS INT) AS revision, min(published_at) FILTER (r = 1) OVER (PARTITION BY url) AS published_at FROM (SELECT *, coalesce(before <> content_hash, true) AS new, published_at AS p FROM l) WHERE new)"""
 _SEMANTIC = f"sha256({texts.SEM('title')} || chr(10) || {texts.SEM('content')})"
+_J = lambda c: f"CASE WHEN len(x.{c}) + len(y.{c}) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(x.{c}, y.{c}))::DOUBLE / len(list_distinct(list_concat(x.{c}, y.{c}))) END"
+_DATE = r"CASE WHEN regexp_full_match(x, '\d{1,2}[/-]\d{1,2}[/-]\d{4}') THEN regexp_replace(strftime(strptime(replace(x, '-', '/'), '%d/%m/%Y'), '%Y-%m-%d'), '$', 'T00:00:00.000Z') WHEN regexp_full_match(x, '\d{4}-\d{2}-\d{2}') THEN coalesce(strftime(try_cast(x AS TIMESTAMP), '%Y-%m-%dT00:00:00.000Z'), x) ELSE x END"
+_VALUES = ", ".join(f"r{i + 1} AS (SELECT n, regexp_replace(c, '{texts.RE2(q)}', chr(1), 'g') AS c, list_concat(v, list_transform(regexp_extract_all(c, '{texts.RE2(q)}'), lambda x: {_DATE if kind == 'DATE_TIME' else f"regexp_replace(regexp_replace(x, '{texts.S}+', ' ', 'g'), '^ | $', '', 'g')"})) AS v FROM r{i})" for i, (kind, q) in enumerate(t.FACTS))
+_ENTITIES = f"""list_distinct(list_filter(list_transform(list_concat(regexp_extract_all(b, '{texts.RE2(t.PRODUCT_IDS)}'), regexp_extract_all(b, '{texts.RE2(t.NAMES)}')), lambda x: regexp_replace(x, '^{texts.S}+|{texts.S}+$', '', 'g')),
+  lambda x: NOT regexp_matches(lower(x), '^(?:{"|".join(t.LEAD_WORDS)})(?: |$)') AND NOT regexp_matches(x, '(?i)\\b{t.PRODUCT}\\b.*\\s|\\s.*\\b{t.PRODUCT}\\b')))"""
 ORACLE_SQL = {
     "duplicates_resolved": f"""WITH RECURSIVE {CONTENTS}, b AS (SELECT content_id AS id, row_number() OVER (ORDER BY published_at, content_id) AS n, published_at AS at, {_SEMANTIC} AS h, {texts.FP("title || chr(10) || content")} AS fp,
   list_sort(list_distinct(list_concat(regexp_extract_all(title || chr(10) || content, '{texts.RE2(t.NUMBERS)}'), regexp_extract_all(title || chr(10) || content, '{texts.RE2(t.CAPITALISED)}')))) AS inv FROM contents),
@@ -148,6 +153,15 @@ g AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS led UNION ALL SELEC
 l AS (SELECT unnest(led) AS n FROM g WHERE n = (SELECT count(*) FROM b)),
 best AS (SELECT late, min_by(struct_pack(early := early, kind := kind, score := score), (kind, -score, early)) AS m FROM p WHERE early IN (SELECT n FROM l) AND late NOT IN (SELECT n FROM l) GROUP BY late)
 SELECT y.id, x.id AS duplicate_of_id, {r.KINDS}[m.kind + 1] AS duplicate_kind, m.score AS duplicate_score FROM b y LEFT JOIN best ON late = y.n LEFT JOIN b x ON x.n = m.early""",
+    "clusters_built": f"""WITH RECURSIVE {CONTENTS}, n AS (SELECT content_id AS id, row_number() OVER (ORDER BY published_at, content_id) AS n, strftime(published_at, '%Y-%m-%d') AS day, title || chr(10) || content AS b, list_sort(topics) AS topics, title FROM contents),
+r0 AS (SELECT n, b AS c, CAST([] AS VARCHAR[]) AS v FROM n), {_VALUES},
+m AS (SELECT n.*, list_sort(list_distinct(v)) AS vals, {_ENTITIES} AS ents, list_distinct(list_filter(string_split({texts.FP('title')}, ' '), lambda x: length(x) >= 3)) AS words FROM n JOIN r{len(t.FACTS)} USING (n)),
+j AS (SELECT x.n AS early, y.n AS late, round(0.45::DOUBLE * {_J('ents')} + 0.2::DOUBLE * {_J('topics')} + 0.35::DOUBLE * {_J('words')}, 9) AS score FROM m x JOIN m y ON x.day = y.day AND x.n < y.n AND (len(x.vals) = 0 OR len(y.vals) = 0 OR x.vals = y.vals)),
+p AS (SELECT * FROM j WHERE score >= 0.65), w AS (SELECT late, list(early) AS es FROM p GROUP BY late),
+g AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS led UNION ALL SELECT g.n + 1, CASE WHEN list_has_any(coalesce(es, CAST([] AS BIGINT[])), led) THEN led ELSE list_append(led, g.n + 1) END FROM g LEFT JOIN w ON late = g.n + 1 WHERE g.n < (SELECT count(*) FROM n)),
+l AS (SELECT unnest(led) AS n FROM g WHERE n = (SELECT count(*) FROM n)),
+best AS (SELECT late, min_by(struct_pack(early := early, score := score), (-score, early)) AS m FROM p WHERE early IN (SELECT n FROM l) AND late NOT IN (SELECT n FROM l) GROUP BY late)
+SELECT y.id, coalesce(x.id, y.id) AS cluster_id, best.m.score AS score FROM n y LEFT JOIN best ON late = y.n LEFT JOIN n x ON x.n = best.m.early""",
     "clusters_primary": f"""WITH {CONTENTS}, s AS (SELECT publisher || '/' || CAST(CAST(published_at AS DATE) AS VARCHAR) AS cluster_id, content_id AS id, round(0.25::DOUBLE * (4 - tier) / 3 + 0.25::DOUBLE * authority + 0.15::DOUBLE * CASE WHEN tier = 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END
   + 0.15::DOUBLE * greatest(0.0::DOUBLE, 1 - (epoch_us(TIMESTAMP '2024-01-10') - epoch_us(published_at)) / 3.6e9::DOUBLE / 72) + 0.2::DOUBLE * least(1.0::DOUBLE, length(content) / 1500.0::DOUBLE) - CASE WHEN content_id % 10 <> 0 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END, 6) AS primary_score FROM contents)
 SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY primary_score DESC, id) = 1""",

@@ -303,6 +303,49 @@ def test_cluster_rows_and_rebuild(spark):
     assert set(got) == {1, 2, 3} and got[3].size == 3 and len(got[1].cluster_key) == 64 and [got[k].reason for k in (1, 2)] == ["FIRST_MEMBER", "EVENT_SIMILARITY"]
 
 
+def _brute_clusters(f):
+    """Each item against all leaders."""
+    share = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
+    leads, out = [], {}
+    for x in sorted(f, key=lambda x: x.place):
+        found = []
+        for n, y in enumerate(leads):
+            score = round(0.45 * share(x.entities, y.entities) + 0.2 * share(x.topics, y.topics) + 0.35 * share(x.title_tokens, y.title_tokens), 9)
+            if x.day == y.day and score >= 0.65 and not (x.vals and y.vals and x.vals != y.vals):
+                found.append((-score, n))
+        if found:
+            out[x.id] = (leads[min(found)[1]].id, -min(found)[0])
+        else:
+            leads.append(x)
+            out[x.id] = (x.id, None)
+    return out
+
+
+def test_clusters_equal_brute_force(spark):
+    """With one entity that most items have, few topics, items without entities, topics or titles, and ties of score."""
+    g = np.random.default_rng(21)
+    pick = lambda xs, k: " ".join(g.choice(xs, k, replace=False))
+    names, words = ["Hot", "Acme Corp", "Beta Works", "Gamma"], [f"word{chr(97 + k)}" for k in range(8)]
+    rows = []
+    for k in range(250):
+        said = " said. ".join(["Hot"] * int(g.random() < 0.7) + list(g.choice(names[1:], int(g.integers(0, 3)), replace=False))) + " said."
+        value = ["", " 5%", " 7%"][int(g.choice(3, p=[0.7, 0.2, 0.1]))]
+        rows.append((k, pick(words, int(g.integers(0, 5))), "x. " + said + value, dt.datetime(2026, 8, 1) + dt.timedelta(hours=int(g.integers(0, 60))), sorted(set(g.choice(["a", "b", "c"], int(g.integers(0, 3)))))))
+    df = spark.createDataFrame(rows, "id long, title string, content string, published_at timestamp, topics array<string>")
+    want = _brute_clusters(resolve.cluster_features(df).collect())
+    got = {r.id: (r.cluster_id, r.score) for r in resolve.clusters(df).collect()}
+    assert got == want and 20 < len({c for c, _ in want.values()}) < 200
+
+
+def test_many_items_of_a_hot_entity_are_clustered_in_linear_time(spark):
+    """Items of one day with one common entity and few topics: their clusters, without a pair of them being formed."""
+    n = 20_000
+    i = F.col("id")
+    df = spark.range(n).select("id", F.concat(F.lit("title"), F.regexp_replace(F.conv(i, 10, 5), "[0-9]", "x"), F.lit(" "), F.translate(F.sha2(i.cast("string"), 256), "0123456789", "ghijklmnop")).alias("title"), F.lit("x. Hot said.").alias("content"), (F.lit("2026-08-01").cast("timestamp") + F.make_interval(secs=i.cast("decimal(18,6)"))).alias("published_at"), F.array((i % 4).cast("string")).alias("topics"))
+    got = resolve.clusters(df)
+    assert got.count() == n and got.select("cluster_id").distinct().count() == 4
+
+
 def test_clusters_need_equal_values_and_day(spark):
     day = dt.datetime(2026, 8, 14, 6)
     base = {"topics": ["technology"], "content": "OpenAI grew 25% today"}
