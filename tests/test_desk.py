@@ -82,3 +82,38 @@ def test_time_of_many_words_is_that_of_the_texts(spark):
     want = F.broadcast(words).join(few, F.contains("text", "token")).select("token", "doc_id")
     got = containing(words, few, "doc_id")
     assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
+def _version(k, url=None, h="h", at=0):
+    import datetime as dt
+
+    return ("s", f"e{k}", url or f"u{k}", h, "t", dt.datetime(2026, 1, 1), dt.datetime(2026, 2, 1) + dt.timedelta(minutes=at))
+
+
+VERSIONS = "source_id string, external_id string, url string, content_hash string, title string, published_at timestamp, fetched_at timestamp"
+
+
+def test_a_batch_rewrites_the_buckets_that_it_touches(spark, tmp_path):
+    """Ten keys into a large state; a rerun, also of a batch that failed before its manifest, gives the same state."""
+    folder, n, many = str(tmp_path / "s"), 200_000, 64
+    first = spark.range(n).select(F.lit("s").alias("source_id"), F.concat(F.lit("e"), "id").alias("external_id"), F.concat(F.lit("u"), "id").alias("url"), F.lit("h").alias("content_hash"), F.lit("t").alias("title"), F.lit("2026-01-01").cast("timestamp").alias("published_at"), F.lit("2026-01-02").cast("timestamp").alias("fetched_at"))
+    canonicalize.take_in(spark, first, folder, 0, many)
+    assert canonicalize.current(spark, folder, 0, many).count() == n
+    batch = spark.createDataFrame([_version(k, h="new") for k in range(5)] + [_version(n + 1, url="u77", h="new"), _version(n + 2)], VERSIONS)
+    state = lambda k: sorted(map(str, canonicalize.current(spark, folder, k, many).where("content_hash = 'new' or external_id = 'e200002' or url = 'u77'").collect()))
+    before = state(0)
+    canonicalize.take_in(spark, batch, folder, 1, many)
+    items = canonicalize.stores(spark, folder, many)[0]
+    assert sum(k == 1 for k in items.manifest(1).values()) <= 8 and set(items.manifest(1).values()) == {0, 1}
+    after = state(1)
+    assert len(after) == 7 and state(0) == before and any("e200001" in x and "u77" in x and "revision=2" in x for x in after)
+    assert canonicalize.current(spark, folder, 1, many).count() == n + 1
+    canonicalize.take_in(spark, batch, folder, 1, many)  # again
+    assert state(1) == after
+    canonicalize.take_in(spark, spark.createDataFrame([], VERSIONS), folder, 2, many)
+    assert state(2) == after
+    moved = spark.createDataFrame([_version(0, url="fresh", h="x"), _version(n + 9, url="u0", h="y", at=1)], VERSIONS)
+    canonicalize.take_in(spark, moved, folder, 3, many)
+    got = {r.url: r.external_id for r in canonicalize.current(spark, folder, 3, many).where("url in ('fresh', 'u0')").collect()}
+    assert got == {"fresh": "e0", "u0": f"e{n + 9}"}
+    assert items.collect_garbage(3, keep=1) == [2] and canonicalize.current(spark, folder, 3, many).count() == n + 2
