@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.operators.matching import clamp
+from newsloom.operators.matching import GLOBAL_IMPORTANCE, clamp, keyword_hits, publishable, ranking_score
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,6 +85,41 @@ def prepared_relevance(topic_hits: Column, refinements: Column, market_hits: Col
     return clamp(0.4 * topic_hits + 0.35 * refinements + 0.2 * market_hits + 0.25 * important.cast("int"))
 
 
+def prepared_matches(users: DataFrame, selections: DataFrame, contents: DataFrame, localizations: DataFrame, as_of: str, affected: DataFrame | None = None) -> DataFrame:
+    """(user_id, content_id, relevance, score): publishable contents of the topics of ``selections(user_id, topic, refinements)`` that have a
+    verified localization in the user's locale; with ``affected(user_id, topic)`` only those that also have one of these topics.
+    Refinements, of all of a user's topics, count where the text holds them. Contents meet users by topics, texts meet
+    distinct refinements once."""
+    none = F.array().cast("array<string>")
+    per = selections.groupBy("user_id").agg(F.collect_set("topic").alias("_topics"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("refinements", none)))).alias("keywords"))
+    u = users.select("user_id", "locale", "home_market", F.coalesce("followed_markets", none).alias("followed_markets")).join(per, "user_id")
+    c = publishable(contents)
+    by = c.select("content_id", F.explode(F.array_distinct("topics")).alias("topic"))
+    first = (selections if affected is None else affected).select("user_id", "topic").distinct().join(by, "topic").select("user_id", "content_id").distinct()
+    shown = localizations.where("status = 'VERIFIED'").select("content_id", "locale").distinct()
+    cols = c.select("content_id", "topics", "markets", "authority", "importance", "published_at")
+    j = first.join(u, "user_id").join(cols, "content_id").join(shown, ["content_id", "locale"], "left_semi")
+    topics = F.size(F.array_intersect("topics", "_topics"))
+    places = F.size(F.array_intersect("markets", F.array_union(F.array("home_market"), "followed_markets")))
+    j = j.where(topics > 0).join(keyword_hits(u.join(first.select("user_id").distinct(), "user_id", "left_semi"), c.join(first.select("content_id").distinct(), "content_id", "left_semi")), ["user_id", "content_id"], "left")
+    j = j.withColumn("relevance", F.round(prepared_relevance(topics, F.coalesce("keyword_hits", F.lit(0)), places, F.coalesce(F.col("importance") >= GLOBAL_IMPORTANCE, F.lit(False))), 6))
+    none_yet = F.lit(False)
+    r = ranking_score(F.col("relevance"), F.lit(0), F.col("authority"), F.col("importance"), F.col("published_at"), F.lit(as_of).cast("timestamp"), F.col("markets"), F.col("home_market"), F.col("followed_markets"), none_yet, none_yet)
+    return j.select("user_id", "content_id", "relevance", r["score"].alias("score"))
+
+
+def maintain_matches(matches: DataFrame, users: DataFrame, selections: DataFrame, affected: DataFrame, contents: DataFrame, localizations: DataFrame, as_of: str) -> DataFrame:
+    """The next ``matches(user_id, content_id, relevance, score, status)`` after users' selections have become ``selections``, ``affected(user_id,
+    topic)`` being the topics that were added, removed or refined: contents of these topics are matched again, those that match no more
+    expire, all other matches stay. What was only refined counts for the contents of its topic, as in the stored state."""
+    new = prepared_matches(users, selections, contents, localizations, as_of, affected).select("user_id", "content_id", F.struct("relevance", "score").alias("_new"))
+    by = contents.select("content_id", F.explode(F.array_distinct("topics")).alias("topic"))
+    again = affected.select("user_id", "topic").distinct().join(by, "topic").select("user_id", "content_id").distinct().withColumn("_again", F.lit(True))
+    j = matches.join(again, ["user_id", "content_id"], "left").join(new, ["user_id", "content_id"], "full")
+    v = lambda c: F.coalesce(F.col(f"_new.{c}"), F.col(c)).alias(c)
+    return j.select("user_id", "content_id", v("relevance"), v("score"), F.when(F.col("_new").isNotNull(), "ACTIVE").when(F.col("_again"), "EXPIRED").otherwise(F.col("status")).alias("status"))
+
+
 def latest_ready_brief(briefs: DataFrame) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy(F.col("brief_date").desc_nulls_last(), "brief_id")
     return briefs.where("status = 'READY'").withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")

@@ -179,7 +179,7 @@ SELECT * FROM j WHERE change IS NOT NULL""",
     "topic_interest_counts": f"WITH {USERS}, u AS (SELECT unnest(interests) AS topic FROM users) SELECT topic, count(*) AS n FROM u GROUP BY topic UNION ALL SELECT 'all', count(*) FROM u",
     "importance_by_age": f"""WITH {CONTENTS}, a AS (SELECT content_id, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(published_at)) / 3.6e9::DOUBLE AS age FROM contents)
 SELECT content_id, CASE WHEN age <= 6 THEN 0.82::DOUBLE WHEN age <= 24 THEN 0.72::DOUBLE ELSE 0.58::DOUBLE END AS importance, CASE WHEN age <= 6 THEN 'ALERT' ELSE 'INSIGHT' END AS type, CASE WHEN age <= 6 THEN 'actionRequired' WHEN age <= 24 THEN 'important' ELSE 'informational' END AS bucket FROM a""",
-    "glossary_chosen": """WITH b AS (SELECT item_id, unnest(string_split(text, ' ')) AS w FROM benchmark), e AS (SELECT trim(lower(w)) AS term, 't' || lpad(CAST(item_id AS VARCHAR), 6, '0') AS preferred_term, item_id % 3 = 0 AS protected FROM b)
+    "glossary_chosen": """WITH b AS (SELECT item_id, unnest(string_split(text, ' ')) AS w FROM benchmark), e AS (SELECT trim(regexp_replace(lower(w), '\\s+', ' ', 'g')) AS term, 't' || lpad(CAST(item_id AS VARCHAR), 6, '0') AS preferred_term, item_id % 3 = 0 AS protected FROM b)
 SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY term ORDER BY protected DESC, preferred_term) = 1""",
 }
 ORACLE_SQL["duplicates_arriving"] = ORACLE_SQL["duplicates_resolved"]

@@ -176,12 +176,57 @@ def insight_users(spark, d):
     return i.insight_users(e).groupBy("insight_id").agg(F.count("*").alias("users"))
 
 
+def _documents_of_entries(spark, d):
+    """Glossaries as JSON texts, one a benchmark item; some aren't JSON, some hold entries that aren't valid."""
+    n = F.col("item_id")
+    b = load(spark, d, "benchmark").where("item_id is not null").select("item_id", F.array_distinct(F.split("text", r"\s+")).alias("ws"))
+    locale = lambda w: F.when(n % 13 == 0, "fr").otherwise(pick(["vi", "en"], n + F.length(w)))
+    sure = F.when(n % 11 == 0, '"no"').otherwise(pick(["true", "false"], n))
+    entry = lambda w: F.concat(F.lit('{"sourceLanguage":"en","targetLocale":"'), locale(w), F.lit('","sourceTerm":" '), w, F.lit('  X ","preferredTerm":"t'), n.cast("string"), F.lit('","shortTerm":" s ","protected":'), sure, F.lit(',"domain":"health","version":"v1"}'))
+    text = F.concat(F.lit("["), F.array_join(F.transform("ws", entry), ",\n"), F.when(n % 7 == 0, ",").otherwise("]"))
+    return b.select(n.alias("document_id"), text.alias("json"))
+
+
+def glossary_imported(spark, d):
+    """Entries of the documents that are valid as a whole, and the errors of the others."""
+    good, bad = k.glossary_import(_documents_of_entries(spark, d))
+    won, conflicts = k.glossary_winners(good)
+    out = won.agg(F.count("*").alias("n")).select(F.lit("imported").alias("what"), "n")
+    return out.unionByName(conflicts.agg(F.sum("conflicts").alias("n")).select(F.lit("conflicts").alias("what"), "n")).unionByName(bad.groupBy(F.col("error").alias("what")).agg(F.count("*").alias("n")))
+
+
+def glossary_exported(spark, d):
+    won, _ = k.glossary_winners(k.glossary_import(_documents_of_entries(spark, d))[0])
+    return k.glossary_export(won)
+
+
+def matches_maintained(spark, d):
+    """Users' matches after some have changed their topics: only the topics that changed are matched again."""
+    u, (c, now) = users(spark, d), published(spark, d)
+    n = F.col("user_id")
+    chosen = lambda topics: u.select("user_id", F.explode(topics).alias("topic"), F.col("keywords").alias("refinements"))
+    fewer = F.when(n % 3 == 0, F.array_remove("interests", "markets")).otherwise(F.col("interests"))
+    old, new = chosen("interests"), chosen(F.when(n % 5 == 0, F.array_union(fewer, F.array(F.lit("health")))).otherwise(fewer))
+    state = i.prepared_matches(u, old, c, localizations(c), now).withColumn("status", F.lit("ACTIVE"))
+    out = i.maintain_matches(state, u, new, k.affected_topics(old, new), c, localizations(c), now)
+    return out.groupBy("content_id", "status").agg(F.count("*").alias("n"), F.sum(F.col("relevance").cast("decimal(18,6)")).cast("double").alias("relevance"))
+
+
+def backfill_counted(spark, d):
+    """What a dry run of the backfill says, batch by batch."""
+    c = contents(spark, d)
+    n = F.col("content_id")
+    e = c.select(n.alias("id"), F.when(n % 4 != 0, "PROCESSED").otherwise("NEW").alias("status"), F.concat(F.lit("u"), n.cast("string")).alias("url"), F.lit("s").alias("source_id"), n.cast("string").alias("external_id"))
+    have = c.where("content_id % 5 = 0").select(F.concat(F.lit("u"), n.cast("string")).alias("url"), F.lit("x").alias("source_id"), F.lit("y").alias("external_id"))
+    loc = c.select(n.alias("event_id"), F.explode(F.array(*[F.lit(x) for x in ("vi", "en", "vi")])).alias("locale")).where(n % 3 != 0)
+    return k.backfill_report(e, have, loc, 100)
+
+
 def matches_backfilled(spark, d):
-    """Candidates of the first thousand publishable contents, by content."""
+    """Candidates of all publishable contents, by content."""
     c, _ = published(spark, d)
-    first = m.publishable(c).orderBy("content_id").limit(1000)
     p = m.profiles(users(spark, d))
-    return m.candidates_any(p, first).groupBy("content_id").agg(F.count("*").alias("profiles"), F.sum(F.col("relevance").cast("decimal(18,6)")).cast("double").alias("relevance"))
+    return m.candidates_any(p, m.publishable(c)).groupBy("content_id").agg(F.count("*").alias("profiles"), F.sum(F.col("relevance").cast("decimal(18,6)")).cast("double").alias("relevance"))
 
 
 def tasks_first_due(spark, d):
@@ -287,8 +332,8 @@ def insights_folded(spark, d):
     """User insights after feedback made of the events of the same insight."""
     x = _insights(spark, d)
     n = F.col("id")
-    f = x.select(F.pmod(n * 3, F.lit(997)).alias("id"), "ts", F.when(n % 2 == 0, "READ").alias("status"), F.when(n % 5 == 0, n % 10 == 0).alias("useful"), F.when(n % 7 == 0, True).alias("saved"))
-    return i.fold_feedback(x, f).where("id < 997").select("id", "status", "useful", "saved", "read_at", "seen_at")
+    f = x.select((F.floor(n / 3) * 2).alias("id"), "ts", F.when(n % 2 == 0, "READ").alias("status"), F.when(n % 5 == 0, n % 10 == 0).alias("useful"), F.when(n % 7 == 0, True).alias("saved"))
+    return i.fold_feedback(x, f).select("id", "status", "useful", "saved", "read_at", "seen_at")
 
 
 def insights_without_locale(spark, d):
@@ -355,6 +400,13 @@ def keywords_parsed(spark, d):
     return load(spark, d, "customer").select(n.alias("user_id"), F.array_join(t.keywords(raw), "|").alias("keywords"))
 
 
+def metadata_masked(spark, d):
+    """Nested metadata of customers with sensitive values masked at every level."""
+    n = F.col("c_custkey")
+    meta = F.concat(F.lit('{"user":{"name":"'), "c_mktsegment", F.lit('","session_Token":"'), n.cast("string"), F.lit('","tags":["a",null,{"password":["x"],"n":'), n.cast("string"), F.lit('}]},"note":null,"ok":true}'))
+    return load(spark, d, "customer").select(n.alias("user_id"), k.masked(meta).alias("metadata"))
+
+
 def metadata_redacted(spark, d):
     n = F.col("c_custkey")
     meta = F.create_map(F.lit("apiKey"), F.lit("x"), F.lit("name"), F.when(n % 2 == 0, F.col("c_mktsegment")), F.lit("Authorization"), F.lit("y"))
@@ -381,6 +433,9 @@ _UI = "ui AS (SELECT event_id AS id, user_id, event_id % 300 AS insight_id, CASE
 _PAY = """pay AS (SELECT page_id AS payload_id, CAST(page_id % 7 AS VARCHAR) AS source_id, html, ['FULL_TEXT', 'EXCERPT_ONLY', 'METADATA_ONLY', 'METADATA_ONLY'][page_id % 4 + 1] AS policy, TIMESTAMP '2024-01-01' + to_hours(page_id % 300) AS fetched_at FROM pages WHERE page_id IS NOT NULL)"""
 _AGE = f"greatest(0.0::DOUBLE, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(published_at)) / 3.6e9::DOUBLE)"
 
+_IMPORT = """src AS (SELECT item_id, list_distinct(string_split_regex(text, '\\s+')) AS ws FROM benchmark WHERE item_id IS NOT NULL),
+docs AS (SELECT item_id, CASE WHEN item_id % 7 = 0 THEN 'GLOSSARY_JSON_INVALID' WHEN item_id % 13 = 0 THEN 'GLOSSARY_LOCALE_INVALID' WHEN item_id % 11 = 0 THEN 'GLOSSARY_ENTRY_INVALID' END AS bad FROM src),
+good AS (SELECT item_id, ' ' || w || '  X ' AS raw, lower(w) || ' x' AS term, ['vi', 'en'][(item_id + length(w)) % 2 + 1] AS target, item_id % 2 = 0 AS prot FROM (SELECT item_id, unnest(ws) AS w FROM src) JOIN docs USING (item_id) WHERE bad IS NULL)"""
 _NUM = r"[0-9]+(?:[.,][0-9]+)*(?:%|\s?(?:USD|VND|BTC|ETH))?"
 _NAMES = r"\b(?:[A-Z]{2,8}|Bitcoin|Ethereum|OpenAI|Apple|Google|Microsoft|XRP)\b"
 ORACLE_SQL = {
@@ -427,7 +482,21 @@ g AS (SELECT feed, count(*) AS coverage, round(greatest(0.0::DOUBLE, (epoch(TIME
 SELECT a.coverage AS v1_coverage, a.fh AS v1_freshness_hours, a.dr AS v1_duplicate_rate, 0.0 AS v1_broken_url_rate, a.lr AS v1_localized_rate, a.rel AS v1_relevance, a.sd AS v1_source_diversity, b.coverage AS v2_coverage, b.fh AS v2_freshness_hours, b.dr AS v2_duplicate_rate, 0.0 AS v2_broken_url_rate, b.lr AS v2_localized_rate, b.rel AS v2_relevance, b.sd AS v2_source_diversity,
   array_to_string({_NONNULL.format("CASE WHEN b.dr > a.dr THEN 'DUPLICATE_RATE_INCREASED' END, CASE WHEN b.bl THEN 'BLOCKING_LOCALIZATION_ERROR_LEAKED' END, CASE WHEN b.coverage < least(a.coverage, 10) THEN 'VI_COVERAGE_INSUFFICIENT' END")}, ',') AS blockers, CASE WHEN b.dr > a.dr OR b.bl OR b.coverage < least(a.coverage, 10) THEN 'NO_GO' ELSE 'GO' END AS decision FROM g a JOIN g b ON a.feed = 'v1' AND b.feed = 'v2'""",
     "insight_users": "SELECT event_id % 50 AS insight_id, count(DISTINCT user_id) AS users FROM events GROUP BY 1",
-    "matches_backfilled": f"WITH {VIEWS}, recent AS (SELECT * FROM published WHERE provenance_status = 'VERIFIED' AND duplicate_of_id IS NULL ORDER BY content_id LIMIT 1000), {audience.HITS} SELECT content_id, count(*) AS profiles, CAST(sum(CAST(relevance AS DECIMAL(18,6))) AS DOUBLE) AS relevance FROM hits GROUP BY content_id",
+    "glossary_imported": f"""WITH {_IMPORT} SELECT 'imported' AS what, count(*) AS n FROM (SELECT DISTINCT term, target FROM good) UNION ALL SELECT 'conflicts', CAST(sum(c) AS BIGINT) FROM (SELECT count(*) - 1 AS c FROM good GROUP BY term, target)
+UNION ALL SELECT bad, count(*) FROM docs WHERE bad IS NOT NULL GROUP BY bad""",
+    "glossary_exported": f"""WITH {_IMPORT}, w AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY term, target ORDER BY prot DESC, 't' || item_id, raw) = 1)
+SELECT '{{"sourceLanguage":"en","targetLocale":"' || target || '","sourceTerm":"' || trim(raw) || '","preferredTerm":"t' || item_id || '","shortTerm":"s","protected":' || CASE WHEN prot THEN 'true' ELSE 'false' END || ',"domain":"health","version":"v1"}}' AS json FROM w""",
+    "backfill_counted": """WITH e AS (SELECT doc_id AS id, doc_id % 5 = 0 AS reused, CASE WHEN doc_id % 3 <> 0 THEN 3 ELSE 0 END AS locs, (row_number() OVER (ORDER BY doc_id) - 1) // 100 AS batch FROM documents WHERE doc_id IS NOT NULL AND doc_id % 4 <> 0)
+SELECT batch, count(*) AS scanned, count(*) FILTER (NOT reused) AS created, count(*) FILTER (reused) AS reused, CAST(coalesce(sum(locs) FILTER (NOT reused), 0) AS BIGINT) AS localizations, max(id) AS next_cursor FROM e GROUP BY batch""",
+    "matches_maintained": f"""WITH {VIEWS}, {LOCALIZATIONS}, t AS (SELECT *, CASE WHEN user_id % 3 = 0 THEN list_filter(interests, lambda x: x <> 'markets') ELSE interests END AS fewer FROM users),
+s AS (SELECT *, CASE WHEN user_id % 5 = 0 AND NOT list_contains(fewer, 'health') THEN list_append(fewer, 'health') ELSE fewer END AS later FROM t), kw AS (SELECT k, content_id FROM (SELECT DISTINCT unnest(keywords) AS k FROM users) JOIN published ON trim(k) <> '' AND contains(lower(title || chr(10) || content), lower(trim(k)))),
+hit AS (SELECT user_id, content_id, count(*) AS n FROM (SELECT DISTINCT user_id, unnest(keywords) AS k FROM users) JOIN kw USING (k) GROUP BY ALL), shown AS (SELECT DISTINCT content_id, locale FROM localizations WHERE status = 'VERIFIED'),
+p AS (SELECT s.user_id, c.content_id, len(list_intersect(topics, interests)) AS ho, len(list_intersect(topics, later)) AS hn, len(list_filter(topics, lambda x: list_contains(interests, x) <> list_contains(later, x))) AS changed,
+  0.35::DOUBLE * coalesce(hit.n, 0) + 0.2::DOUBLE * len(list_intersect(markets, {audience.WANTED})) + CASE WHEN importance >= 0.8 THEN 0.25::DOUBLE ELSE 0 END AS more
+  FROM s JOIN shown USING (locale) JOIN (SELECT * EXCLUDE (entities) FROM published) c USING (content_id) LEFT JOIN hit ON hit.user_id = s.user_id AND hit.content_id = c.content_id WHERE provenance_status = 'VERIFIED' AND duplicate_of_id IS NULL),
+r AS (SELECT content_id, CASE WHEN hn > 0 THEN 'ACTIVE' ELSE 'EXPIRED' END AS status, round(least(1.0::DOUBLE, 0.4::DOUBLE * CASE WHEN hn > 0 THEN hn ELSE ho END + more), 6) AS rel FROM p WHERE ho + hn > 0)
+SELECT content_id, status, count(*) AS n, CAST(sum(CAST(rel AS DECIMAL(18,6))) AS DOUBLE) AS relevance FROM r GROUP BY ALL""",
+    "matches_backfilled": f"WITH {VIEWS}, recent AS (SELECT * FROM published WHERE provenance_status = 'VERIFIED' AND duplicate_of_id IS NULL), {audience.HITS} SELECT content_id, count(*) AS profiles, CAST(sum(CAST(relevance AS DECIMAL(18,6))) AS DOUBLE) AS relevance FROM hits GROUP BY content_id",
     "tasks_first_due": """SELECT o_orderkey AS task_id, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 3 = 2 THEN CASE WHEN (o_orderkey % 7 + 1 - 4 + 7) % 7 <= 4 THEN TIMESTAMP '1998-01-15' + to_days(CAST((o_orderkey % 7 + 1 - 4 + 7) % 7 AS INT)) END ELSE CAST(o_orderdate AS TIMESTAMP) END AS first_due FROM orders""",
     "events_persisted": f"WITH {_V1} SELECT source_id, external_id, content_hash, revisions, hashes FROM v1g",
     "events_rejected": f"WITH {_V1} SELECT CASE WHEN c_custkey IS NOT NULL THEN 'REJECTED' ELSE 'PROCESSED' END AS status, CASE WHEN c_custkey IS NOT NULL THEN 'HTTP_404,X' END AS reason, count(*) AS n, CAST(sum(revisions + CASE WHEN c_custkey IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS revisions FROM v1g LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) ON c_custkey = o_custkey GROUP BY 1, 2",
@@ -455,9 +524,9 @@ SELECT source_term, target_locale, domain, preferred_term FROM e QUALIFY row_num
     "briefs_latest": "SELECT o_custkey AS user_id, o_orderkey AS brief_id, CAST(o_orderdate AS DATE) AS brief_date FROM orders WHERE o_orderstatus <> 'F' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) DESC NULLS LAST, o_orderkey) = 1",
     "insights_visible": f"WITH {_UI} SELECT user_id, count(*) AS n FROM ui WHERE status <> 'DISMISSED' AND interest_id IS NOT NULL AND insight_id IN (SELECT doc_id % 300 FROM documents WHERE doc_id % 3 <> 0) GROUP BY user_id",
     "insights_of_interest": f"WITH {CONTENTS}, {_UI} SELECT id, insight_id, published_at AS generated_at FROM ui JOIN contents ON content_id = insight_id WHERE interest_id = 3",
-    "insights_folded": f"""WITH {_UI}, f AS (SELECT id * 3 % 997 AS id, ts, CASE WHEN id % 2 = 0 THEN 'READ' END AS st, CASE WHEN id % 5 = 0 THEN id % 10 = 0 END AS us, CASE WHEN id % 7 = 0 THEN true END AS sv FROM ui),
+    "insights_folded": f"""WITH {_UI}, f AS (SELECT id // 3 * 2 AS id, ts, CASE WHEN id % 2 = 0 THEN 'READ' END AS st, CASE WHEN id % 5 = 0 THEN id % 10 = 0 END AS us, CASE WHEN id % 7 = 0 THEN true END AS sv FROM ui),
 g AS (SELECT id, arg_max(st, ts) FILTER (st IS NOT NULL) AS st, arg_max(us, ts) FILTER (us IS NOT NULL) AS us, arg_max(sv, ts) FILTER (sv IS NOT NULL) AS sv, max(ts) FILTER (st = 'READ') AS r, min(ts) FILTER (st = 'READ') AS m FROM f GROUP BY id)
-SELECT id, coalesce(st, status) AS status, us AS useful, coalesce(sv, false) AS saved, r AS read_at, coalesce(seen_at, m) AS seen_at FROM ui LEFT JOIN g USING (id) WHERE id < 997""",
+SELECT id, coalesce(st, status) AS status, us AS useful, coalesce(sv, false) AS saved, r AS read_at, coalesce(seen_at, m) AS seen_at FROM ui LEFT JOIN g USING (id)""",
     "insights_without_locale": f"WITH {CONTENTS} SELECT content_id AS insight_id FROM contents WHERE content_id % 3 <> 1",
     "insights_projected": f"""WITH {CONTENTS} SELECT content_id AS id, CASE WHEN content_id % 4 = 0 AND importance >= 0.8 THEN 'actionRequired' WHEN content_id % 4 = 0 OR importance >= 0.65 THEN 'important' ELSE 'informational' END AS bucket, CASE WHEN content_id % 7 = 0 THEN 'T' ELSE title END AS title, CASE WHEN content_id % 7 = 0 THEN 'C' ELSE 'body' END AS summary,
   CASE WHEN content_id % 14 = 0 THEN 'R' WHEN content_id % 2 = 0 THEN 'Because you asked' ELSE 'This update is relevant to ' || CASE WHEN content_id % 5 <> 0 THEN publisher ELSE 'a topic you track' END || '.' END AS relevance_reason, CASE WHEN content_id % 7 = 0 THEN 'en' ELSE coalesce(lang, 'unknown') END AS served_locale, content_id % 7 <> 0 AS fallback,
@@ -473,9 +542,10 @@ l AS (SELECT content_id AS id, locale, localization_id FROM localizations QUALIF
     "runs_measured": "SELECT event_type AS pipeline, CASE WHEN event_id % 5 = 0 OR event_id % 90 > 60 THEN 'RUNNING' WHEN event_id % 3 <> 0 THEN 'SUCCESS' ELSE 'FAILED' END AS status, count(*) AS n, CAST(sum(CASE WHEN event_id % 5 <> 0 AND event_id % 90 <= 60 THEN event_id % 90 * 60000 END) AS BIGINT) AS ms FROM events WHERE event_id IS NOT NULL GROUP BY 1, 2",
     "probes_released": "SELECT event_id AS seq, 'HALF_OPEN' AS circuit FROM events WHERE event_id % 3 = 0 AND ts <= TIMESTAMP '2024-01-20'",
     "keywords_parsed": "SELECT c_custkey AS user_id, ['a|b', 'one', 'two', '', '', ''][c_custkey % 6 + 1] AS keywords FROM customer",
+    "metadata_masked": """SELECT c_custkey AS user_id, '{"user":{"name":"' || c_mktsegment || '","session_Token":"[REDACTED]","tags":["a","[NULL]",{"password":"[REDACTED]","n":' || c_custkey || '}]},"note":"[NULL]","ok":true}' AS metadata FROM customer""",
     "metadata_redacted": """SELECT c_custkey AS user_id, '{"apiKey":"[REDACTED]","name":"' || CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '[NULL]' END || '","Authorization":"[REDACTED]"}' AS metadata FROM customer""",
 }
 QUERIES = {f.__name__: f for f in (
     sources_default, sources_for_topics, tiers_bounded, catalog_labels, urls_canonical, articles_checked, urls_audited, publication_audited, interests_matched, glossary_matched, localization_requests, jobs_checked, jobs_triaged, jobs_identified, codes_stable,
     retry_afters, feeds_shadow, insight_users, matches_backfilled, tasks_first_due, events_persisted, events_rejected, payloads_retained, payloads_replayed, localizations_wanted, gates_v2, publications_decided, glossary_resolved, briefs_latest, insights_visible,
-    insights_of_interest, insights_folded, insights_without_locale, insights_projected, topics_reclassified, selections_replaced, events_backfilled, runs_measured, probes_released, keywords_parsed, metadata_redacted)}
+    insights_of_interest, insights_folded, insights_without_locale, insights_projected, topics_reclassified, selections_replaced, events_backfilled, runs_measured, probes_released, keywords_parsed, metadata_redacted, metadata_masked, glossary_imported, glossary_exported, matches_maintained, backfill_counted)}

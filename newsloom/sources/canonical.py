@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
 from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
-from newsloom.functions.scratch import Scratch
+from newsloom.functions.scratch import Scratch, written
 from newsloom.operators.graph import components
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -156,6 +159,24 @@ def backfill(events: DataFrame, canonical: DataFrame, localizations: DataFrame,
     return e, loc
 
 
+def backfill_report(events: DataFrame, canonical: DataFrame, localizations: DataFrame, size: int) -> DataFrame:
+    """What a backfill in batches of ``size`` processed events would do, without doing it: (batch, scanned, created, reused,
+    localizations, next_cursor), localizations being those of ``localizations(event_id, locale)`` of created rows. Batches are
+    cut from the ids in their order; next_cursor is the last id of a batch, after which the next one begins."""
+    e = events.where("status = 'PROCESSED'")
+    known = lambda *on: canonical.select(*on).distinct().withColumn("_k", F.lit(True))
+    e = e.join(known("url").withColumnRenamed("_k", "_u"), "url", "left").join(known("source_id", "external_id"), ["source_id", "external_id"], "left")
+    many = localizations.groupBy("event_id").agg(F.count("*").alias("_n"))
+    e = e.select("id", F.coalesce("_u", "_k", F.lit(False)).alias("_old")).join(many, F.col("id") == F.col("event_id"), "left")
+    # places over the sorted partitions: the counts of those before, and the place in one's own
+    e = written(e.select("id", "_old", F.coalesce("_n", F.lit(0)).alias("_n")).orderBy("id").withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = e.groupBy("_part").agg(F.count("*").alias("_c")).select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_first"))
+    place = F.col("_first") + F.row_number().over(Window.partitionBy("_part").orderBy("id")) - 1
+    e = e.join(first, "_part").withColumn("batch", F.floor(place / size))
+    return e.groupBy("batch").agg(F.count("*").alias("scanned"), F.count_if(~F.col("_old")).alias("created"), F.count_if("_old").alias("reused"), F.coalesce(F.sum(F.when(~F.col("_old"), F.col("_n"))), F.lit(0)).cast("long").alias("localizations"), F.max("id").alias("next_cursor"))
+
+
 def persist_events(batch: DataFrame) -> DataFrame:
     """The older store: the events of ``batch(source_id, url, title, content, published_at, fetched_at)``, one a source and
     external id (SHA-256 of the URL), as they stand after all versions in the order of fetching. A version whose content
@@ -217,17 +238,92 @@ def purge_users(tables: dict[str, DataFrame], users: DataFrame) -> tuple[dict[st
     return kept, reduce(DataFrame.unionByName, gone)
 
 
+#: Keys whose values aren't shown (fixed value).
+SENSITIVE = "(?i)password|secret|token|authorization|cookie|api_?key|credential"
+
+
 def redact(metadata: Column) -> Column:
     """Values of sensitive keys are masked, null values shown as [NULL]."""
-    secret = lambda k: F.rlike(k, F.lit("(?i)password|secret|token|authorization|cookie|api_?key|credential"))
+    secret = lambda k: F.rlike(k, F.lit(SENSITIVE))
     return F.transform_values(metadata, lambda k, v: F.when(secret(k), "[REDACTED]").otherwise(F.coalesce(v, F.lit("[NULL]"))))
 
 
+def masked(text: Column) -> Column:
+    """JSON text with the values of sensitive keys masked and nulls shown as [NULL], in objects and arrays at any depth. Null stays
+    null; what isn't JSON gives null."""
+    secret = re.compile(SENSITIVE[4:], re.I)
+
+    def walk(x):
+        if x is None:
+            return "[NULL]"
+        if isinstance(x, dict):
+            return {k: "[REDACTED]" if secret.search(k) else walk(v) for k, v in x.items()}
+        return [walk(v) for v in x] if isinstance(x, list) else x
+
+    def one(s):
+        try:
+            return None if s is None else json.dumps(walk(json.loads(s)), ensure_ascii=False, separators=(",", ":"))
+        except (ValueError, RecursionError):
+            return None
+
+    @F.pandas_udf("string")
+    def mask(s: pd.Series) -> pd.Series:
+        return s.map(one)
+
+    return mask(text)
+
+
+def normal_term(term: Column) -> Column:
+    """NFKC, lower case, runs of white space as one blank, trimmed."""
+    from newsloom.functions import text as t
+
+    return t.js_trim(F.regexp_replace(F.lower(t.unicode_form(term, "NFKC")), f"{t.JS_S}+", " "))
+
+
+#: What an entry of a glossary must give as a text that isn't blank, and the locales that are known (fixed values).
+REQUIRED = {"sourceLanguage": "source_language", "targetLocale": "target_locale", "sourceTerm": "source_term", "preferredTerm": "preferred_term", "domain": "domain", "version": "version"}
+LOCALES = ["vi", "en", "zh-Hans"]
+BAD_JSON, BAD_ENTRY, BAD_LOCALE = "GLOSSARY_JSON_INVALID", "GLOSSARY_ENTRY_INVALID", "GLOSSARY_LOCALE_INVALID"
+
+
+def glossary_import(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries of ``documents(document_id, json)``, each an array of entries as one JSON text, that are valid as a whole; and
+    (document_id, position, error) of the first thing that is wrong with each of the others, of which nothing is imported."""
+    from newsloom.functions import text as t
+
+    whole = F.try_parse_json("json")
+    ok = F.coalesce(F.schema_of_variant(whole).startswith("ARRAY"), F.lit(False))
+    d = documents.select("document_id", ok.alias("_ok"), F.posexplode_outer(F.when(ok, F.from_json("json", "array<string>"))).alias("position", "_e"))
+    d = d.withColumn("_v", F.try_parse_json("_e"))
+    of = lambda key: F.try_variant_get(F.col("_v"), f"$.{key}", "variant")
+    is_text = lambda key: F.schema_of_variant(of(key)) == "STRING"
+    text = lambda key: F.when(is_text(key), t.js_trim(F.try_variant_get(F.col("_v"), f"$.{key}", "string")))
+    d = d.withColumns({c: text(key) for key, c in REQUIRED.items()})
+    flag = F.when(F.schema_of_variant(of("protected")) == "BOOLEAN", F.try_variant_get(F.col("_v"), "$.protected", "boolean"))
+    d = d.withColumns({"protected": flag, "short_term": F.nullif(text("shortTerm"), F.lit(""))})
+    blank = F.lit(False)
+    for c in REQUIRED.values():
+        blank = blank | (F.coalesce(c, F.lit("")) == "")
+    empty = F.col("_ok") & F.col("position").isNull()
+    error = F.when(~F.col("_ok"), BAD_JSON).when(empty, None).when(blank, BAD_ENTRY).when(~F.col("source_language").isin(LOCALES) | ~F.col("target_locale").isin(LOCALES), BAD_LOCALE).when(F.col("protected").isNull(), BAD_ENTRY)
+    d = d.withColumn("error", error)
+    bad = d.where("error is not null").groupBy("document_id").agg(F.min(F.struct(F.coalesce("position", F.lit(0)).alias("position"), "error")).alias("e")).select("document_id", "e.position", "e.error")
+    good = d.where("position is not null").join(bad.select("document_id"), "document_id", "left_anti")
+    return good.select("document_id", *REQUIRED.values(), "short_term", "protected"), bad
+
+
+def glossary_export(entries: DataFrame) -> DataFrame:
+    """Entries as JSON texts, sorted by languages, domain, term and version."""
+    fields = [F.col(c).alias(key) for key, c in REQUIRED.items() if key not in ("domain", "version")]
+    row = F.struct(*fields, F.col("short_term").alias("shortTerm"), "protected", "domain", "version")
+    return entries.withColumn("_t", normal_term(F.col("source_term"))).orderBy("source_language", "target_locale", "domain", "_t", "version").select(F.to_json(row).alias("json"))
+
+
 def glossary_winners(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One entry a term: protected first, then preferred term, then short term; and the number of conflicts."""
     key = ["source_language", "target_locale", "term", "domain", "version"]
-    e = entries.withColumn("term", F.trim(F.lower("source_term")))
-    order = Window.partitionBy(*key).orderBy(F.col("protected").desc(), F.collate("preferred_term", "vi"), F.col("short_term").asc_nulls_first())
+    e = entries.withColumn("term", normal_term(F.col("source_term")))
+    order = Window.partitionBy(*key).orderBy(F.col("protected").desc(), F.collate("preferred_term", "vi"), F.col("short_term").asc_nulls_first(), "source_term")
     e = e.withColumn("_r", F.row_number().over(order))
     return e.where("_r = 1").drop("_r"), e.groupBy(*key).agg((F.count("*") - 1).alias("conflicts")).where("conflicts > 0")
 
