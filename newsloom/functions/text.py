@@ -266,6 +266,12 @@ def market_preferences(home: Column, followed: Column) -> Column:
     return F.struct(F.when(error.isNull(), h).alias("home_market"), kept.alias("followed_markets"), error.alias("error"), F.when(h.isNull(), home).when(any_bad, bad).alias("input"))
 
 
+def merged_markets(home: Column, followed: Column, new_home: Column, new_followed: Column) -> Column:
+    """(home_market, followed_markets) of a profile after a patch whose parts can be null: the home market isn't followed."""
+    h = F.coalesce(new_home, home)
+    return F.struct(h.alias("home_market"), F.filter(F.array_distinct(F.coalesce(new_followed, followed)), lambda x: x != h).alias("followed_markets"))
+
+
 def keywords(conditions: Column) -> Column:
     """Keywords of a watch rule's JSON: a string or an array under ``keywords``, or ``keyword``; blank ones go."""
     many = F.from_json(F.get_json_object(conditions, "$.keywords"), "array<string>")

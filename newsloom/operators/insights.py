@@ -141,3 +141,14 @@ def shadow_feeds(legacy: DataFrame, contents: DataFrame, localizations: DataFram
     loc = localizations.groupBy("content_id").agg(F.max(F.col("status") == "VERIFIED").alias("localized"), F.max(bad).alias("blocking_error"))
     v2 = new.join(loc.where("localized"), "content_id")
     return v1.unionByName(v2.select(F.lit("v2").alias("feed"), F.col("content_id").cast("string").alias("id"), "url", "publisher", "published_at", F.col("authority").alias("relevance"), "localized", "blocking_error", F.col("content_hash").alias("duplicate_key")))
+
+
+def category_counts(user_insights: DataFrame, interests: DataFrame, categories: list[str]) -> DataFrame:
+    """(user_id, category, n): a user's visible insights by the category of their interest (``interests(interest_id, category)``; other
+    without one), every one of ``categories`` for each user, and ``all``: those of every category, listed or not."""
+    of = user_insights.where("interest_id is not null").groupBy("user_id", "interest_id").agg(F.count("*").alias("n"))
+    by = of.join(interests.select("interest_id", "category"), "interest_id", "left").groupBy("user_id", F.coalesce("category", F.lit("other")).alias("category")).agg(F.sum("n").alias("n"))
+    total = by.groupBy("user_id").agg(F.sum("n").alias("n")).select("user_id", F.lit("all").alias("category"), "n")
+    every = user_insights.select("user_id").distinct().select("user_id", F.explode(F.array(*[F.lit(c) for c in ["all", *categories]])).alias("category"))
+    listed = by.where(F.col("category").isin(categories)).unionByName(total)
+    return every.join(listed, ["user_id", "category"], "left").select("user_id", "category", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

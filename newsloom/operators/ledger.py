@@ -25,13 +25,29 @@ def by_category(ledger: DataFrame) -> DataFrame:
 
 
 def monthly_summary(ledger: DataFrame, budgets: DataFrame) -> DataFrame:
-    """Income, expense, balance, budget and what remains of it; a month without a budget has none."""
-    kind = lambda t: F.coalesce(F.sum(F.when(F.col("type") == t, F.col("amount"))), F.lit(0).cast("decimal(19,2)"))
+    """Income, expense, balance, budget (0 without one) and what remains of it, and the expenses by category: an array of
+    (category, amount, n) by category."""
+    zero = F.lit(0).cast("decimal(19,2)")
+    kind = lambda t: F.coalesce(F.sum(F.when(F.col("type") == t, F.col("amount"))), zero)
     s = ledger.groupBy("user_id", "month").agg(kind("INCOME").alias("income"), kind("EXPENSE").alias("expense"))
-    s = s.join(budgets.select("user_id", "month", F.col("amount").alias("budget")), ["user_id", "month"], "left")
+    per = by_category(ledger).groupBy("user_id", "month").agg(F.sort_array(F.collect_list(F.struct("category", "amount", "n"))).alias("breakdown"))
+    s = s.join(budgets.select("user_id", "month", F.col("amount").alias("budget")), ["user_id", "month"], "left").join(per, ["user_id", "month"], "left")
+    s = s.withColumn("budget", F.coalesce("budget", zero)).withColumn("breakdown", F.coalesce("breakdown", F.array().cast(per.schema["breakdown"].dataType)))
     return s.withColumns({"balance": F.col("income") - F.col("expense"), "remaining": F.col("budget") - F.col("expense")})
 
 
+def month_range(key: Column, as_of: Column) -> Column:
+    """(key, start, end) of a month given as yyyy-MM; anything else is the month of ``as_of``. Times are UTC, the end excluded."""
+    k = F.when(F.rlike(key, F.lit(r"^\d{4}-(0[1-9]|1[0-2])$")), key).otherwise(F.date_format(as_of, "yyyy-MM"))
+    start = F.to_date(F.concat(k, F.lit("-01")))
+    return F.struct(k.alias("key"), start.cast("timestamp").alias("start"), F.add_months(start, 1).cast("timestamp").alias("end"))
+
+
+def local_date(as_of: Column, timezone: Column) -> Column:
+    """The calendar date of a zone at a time."""
+    return F.date_format(F.from_utc_timestamp(as_of, timezone), "yyyy-MM-dd")
+
+
 def row_errors(rows: DataFrame, categories: DataFrame) -> DataFrame:
     """First failing check of each ledger row: amount over 0, category there, not archived, of its type."""
     c = categories.select(F.col("category"), F.col("type").alias("category_type"), "archived")

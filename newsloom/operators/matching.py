@@ -265,3 +265,11 @@ def round_robin(items: DataFrame, as_of: str, limit: int = 10, candidates: int =
     top = top.withColumn("_r", F.row_number().over(bucket.orderBy("_n")))
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("_r", "_b"))
     return top.withColumn("position", place).where(F.col("position") <= limit).select("user_id", "position", "interest", "content_id", "published_at")
+
+
+def sections(items: DataFrame, version: str = "v2") -> DataFrame:
+    """Items of briefs by ``position`` (from 0) with their place and section: v2 counts from 0, the first three are important; v1
+    counts from 1, important is what has an importance of .75 or more, else other."""
+    if version == "v1":
+        return items.withColumns({"section": F.when(F.col("importance") >= 0.75, "important").otherwise("other"), "position": F.col("position") + 1})
+    return items.withColumn("section", F.when(F.col("position") < 3, "important").otherwise("more"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from newsloom.functions.scratch import written
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +49,63 @@ def source_metrics(attempts: DataFrame, as_of: str) -> DataFrame:
     return a.join(errors, "subscription_id", "left").withColumns({"success_rate": ratio(F.col("successes"), F.col("attempts"), 1.0), "stale": stale})
 
 
+def parsed_metrics(text: Column) -> Column:
+    """(attempts, successes, parserAttempts, parserRejected, errors, lastAttemptAt) of a source's health as JSON: counts are numbers cut off towards 0,
+    and 0 for what is none or negative; errors without such a count go; a time that is no text is null."""
+    v = F.try_parse_json(text)
+    number = lambda x: F.when(F.rlike(F.schema_of_variant(x), F.lit("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)")), F.try_variant_get(x, "$", "double"))
+    good = lambda x: F.when(number(x) >= 0, F.floor(number(x)).cast("long"))
+    of = lambda c: F.try_variant_get(v, f"$.{c}", "variant")
+    count = lambda c: F.coalesce(good(of(c)), F.lit(0)).alias(c)
+    errors = F.coalesce(F.try_variant_get(v, "$.errors", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    errors = F.map_filter(F.transform_values(errors, lambda _, x: good(x)), lambda _, x: x.isNotNull())
+    at = F.when(F.schema_of_variant(of("lastAttemptAt")) == "STRING", F.try_variant_get(v, "$.lastAttemptAt", "string"))
+    return F.struct(*[count(c) for c in ("attempts", "successes", "parserAttempts", "parserRejected")], errors.alias("errors"), at.alias("lastAttemptAt"))
+
+
+def data_health(runs: DataFrame, insights: DataFrame, user_insights: DataFrame, localizations: DataFrame, events: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
+    """Rows (what, status, n, mean_ms): runs by pipeline and status, the insights that some user has and that lack one of the two
+    locales, and the events that were rejected in the last ``hours``."""
+    now = F.lit(as_of).cast("timestamp")
+    have = localizations.where(F.col("locale").isin("vi", "en")).groupBy("insight_id").agg(F.count_distinct("locale").alias("_l"))
+    used = insights.join(user_insights.select("insight_id"), "insight_id", "left_semi").join(have, "insight_id", "left")
+    pending = used.agg(F.count_if(F.coalesce("_l", F.lit(0)) < 2).alias("n"))
+    rejected = events.agg(F.count_if((F.col("status") == "REJECTED") & (F.col("updated_at") >= now - F.make_interval(hours=F.lit(hours))) & (F.col("updated_at") <= now)).alias("n"))
+    one = lambda df, what: df.select(F.lit(what).alias("what"), F.lit(None).cast("string").alias("status"), "n", F.lit(None).cast("double").alias("mean_ms"))
+    by = pipeline_health(runs, as_of, hours).withColumnRenamed("pipeline", "what")
+    return by.unionByName(one(pending, "pendingLocalizations")).unionByName(one(rejected, "rejectedEvents"))
+
+
+def snapshot(subscriptions: DataFrame, contents: DataFrame, members: DataFrame, localizations: DataFrame, matches: DataFrame, users: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
+    """One row of content metrics, and the counts by kind: (group, kind, n) of duplicates, source errors and quality failures.
+
+    ``subscriptions(tier, interval_s, last_success, attempts, successes, errors map)``, ``contents(provenance_status, duplicate_of_id,
+    duplicate_kind)``, ``members(cluster_id)``, ``localizations(locale, status, generated_at, verified_at, failure_codes, cost_usd)``. Rates without a
+    denominator are 1 (success, compression, coverage) or 0. Each table is read once, combined on the map side."""
+    now = F.lit(as_of).cast("timestamp")
+    age = F.unix_seconds(now) - F.unix_seconds(F.col("last_success").cast("timestamp"))
+    stale = F.col("last_success").isNull() | (age > 3 * F.greatest(F.lit(60), F.col("interval_s")))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    s = subscriptions.agg(zero(F.sum("attempts")).alias("requests"), zero(F.sum("successes")).alias("_ok"), F.count_if((F.col("tier") == 1) & stale).alias("stale_tier1"), zero(F.sum(F.try_element_at("errors", F.lit("HTTP_429")))).cast("long").alias("n_429"))
+    lone = F.col("duplicate_of_id").isNull()
+    c = contents.agg(F.count_if((F.col("provenance_status") == "VERIFIED") & lone).alias("accepted"), F.count_if(F.col("provenance_status") == "REJECTED").alias("rejected"), F.count("duplicate_of_id").alias("duplicates"))
+    m = members.agg(F.count("*").alias("cluster_members"), F.count_distinct("cluster_id").alias("clusters"))
+    good = F.col("status") == "VERIFIED"
+    took = F.when(good, F.unix_millis(F.col("verified_at").cast("timestamp")) - F.unix_millis(F.col("generated_at").cast("timestamp")))
+    codes = zero(F.sum(F.greatest(F.lit(0), F.size("failure_codes"))))
+    l = localizations.agg(F.count_if(good).alias("verified"), F.count_if(good & (F.col("locale") == "vi")).alias("_vi"), F.count_if(F.col("status") == "FAILED").alias("provider_errors"), F.coalesce(F.avg(took), F.lit(0.0)).alias("latency_ms"), zero(F.sum("cost_usd")).cast("double").alias("cost_usd"), codes.alias("rejections"))  # noqa: E741
+    row = reduce(lambda x, y: x.join(y, F.lit(True)), [s, c, m, l, matches.agg(F.count("*").alias("matches")), users.agg(F.count("*").alias("users"))])
+    n = F.col
+    row = row.withColumns({
+        "success_rate": ratio(n("_ok"), n("requests"), 1.0), "rejection_rate": ratio(n("rejected"), n("accepted") + n("rejected"), 0.0), "compression": ratio(n("clusters"), n("cluster_members"), 1.0),
+        "vi_coverage": ratio(n("_vi"), n("accepted"), 1.0), "matches_per_user": ratio(n("matches"), n("users"), 0.0),
+    }).drop("_ok", "_vi")
+    kinds = contents.where(~lone).groupBy(F.coalesce("duplicate_kind", F.lit("UNKNOWN")).alias("kind")).agg(F.count("*").alias("n")).select(F.lit("duplicate").alias("group"), "kind", "n")
+    errors = subscriptions.select(F.explode("errors").alias("kind", "n")).groupBy("kind").agg(F.sum("n").cast("long").alias("n")).select(F.lit("error").alias("group"), "kind", "n")
+    failures = localizations.select(F.explode("failure_codes").alias("kind")).groupBy("kind").agg(F.count("*").alias("n")).select(F.lit("failure").alias("group"), "kind", "n")
+    return row, kinds.unionByName(errors).unionByName(failures)
+
+
 def error_totals(metrics: DataFrame) -> DataFrame:
     """Sums over the sources' error maps."""
     return metrics.select(F.explode("errors").alias("error_code", "n")).groupBy("error_code").agg(F.sum("n").alias("n"))
@@ -89,12 +149,29 @@ def compare_feeds(items: DataFrame, as_of: str) -> DataFrame:
     return row.withColumn("blockers", F.array_join(blockers, ",")).withColumn("decision", F.when(F.col("blockers") == "", "GO").otherwise("NO_GO")).drop("v1_blocking", "v2_blocking", "v1_no_id", "v2_no_id")
 
 
+#: Rows of which a sketch leaves 4 in ACCURACY undecided; keys of fewer rows are decided as a whole.
+ACCURACY = 10_000
+
+
 def index_percentile(df: DataFrame, value: str, p: float, *keys: str) -> DataFrame:
-    """The value at index floor(n * p) of each key's sorted values."""
-    order = Window.partitionBy(*keys)
-    n = df.withColumn("_n", F.count("*").over(order)).withColumn("_r", F.row_number().over(order.orderBy(value)))
-    at = F.least(F.floor(F.col("_n") * p), F.col("_n") - 1) + 1
-    return n.where(F.col("_r") == at).select(*keys, F.col(value).alias("percentile"))
+    """The value at index floor(n * p) of each key's sorted values, nulls first; exact.
+
+    A sketch of each key, combined on the map side, gives two values that the wanted one lies between. What is below is counted, what is
+    between is counted by value, and only the distinct values between, some 4 in ACCURACY of a key's rows, are put in order."""
+    v = F.col(value)
+    ends = F.percentile_approx(v, [max(0.0, p - 2 / ACCURACY), min(1.0, p + 2 / ACCURACY)], ACCURACY)
+    own = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.count(v).alias("_m"), F.min(v).alias("_min"), F.max(v).alias("_max"), ends.alias("_e"))
+    rank = F.least(F.floor(F.col("_n") * p), F.col("_n") - 1) + 1 - (F.col("_n") - F.col("_m"))
+    few = F.col("_m") <= ACCURACY
+    own = written(own.select(*keys, rank.alias("_rank"), F.when(few, F.col("_min")).otherwise(F.col("_e")[0]).alias("_lo"), F.when(few, F.col("_max")).otherwise(F.col("_e")[1]).alias("_hi")))
+    same = lambda a, b: reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys], F.lit(True))
+    j = df.select(*keys, value).join(own, same(df, own)).select(*[own[k] for k in keys], v, "_rank", "_lo", "_hi")
+    place = F.when(v < F.col("_lo"), F.lit(None)).otherwise(v)
+    counts = j.where(v.isNotNull() & (v <= F.col("_hi"))).groupBy(*keys, "_rank", place.alias("_v")).agg(F.count("*").alias("_c"))
+    running = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
+    found = counts.withColumn("_to", F.sum("_c").over(running)).where((F.col("_to") >= F.col("_rank")) & (F.col("_to") - F.col("_c") < F.col("_rank")) & (F.col("_rank") > 0))
+    nulls = own.where("_rank <= 0").select(*keys, F.lit(None).cast(df.schema[value].dataType).alias("percentile"))
+    return found.select(*keys, F.col("_v").alias("percentile")).unionByName(nulls)
 
 
 def retry_decision(code: Column, status: Column, retry_after_ms: Column, attempts: Column) -> Column:

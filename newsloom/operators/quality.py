@@ -117,11 +117,19 @@ def publication(attempts: DataFrame, verdicts: DataFrame, previous: DataFrame |
     return j.drop("_asked", "_last", "semantic_passed", "semantic_score", "score", "passed")
 
 
-def work_list(contents: DataFrame, locales: DataFrame, done: DataFrame) -> DataFrame:
-    """Eligible contents without a finished localization of their identity: verified, no duplicate."""
+#: What tells translations of a content apart.
+IDENTITY = ["id", "locale", "content_hash", "policy_version", "glossary_version"]
+
+
+def work_list(contents: DataFrame, targets: DataFrame, done: DataFrame) -> DataFrame:
+    """Eligible contents without a finished localization of their identity: verified, no duplicate; ``targets(locale, policy_version,
+    glossary_version)`` are a few. One of ``done`` with title and summary counts for its own IDENTITY alone: another text, policy or glossary
+    is wanted anew."""
     e = contents.where((F.col("provenance_status") == "VERIFIED") & F.col("duplicate_of_id").isNull())
-    keys = ["id", "content_hash", "locale"]
-    return e.select("id", "content_hash").join(locales.select("locale"), F.lit(True)).join(done.where("title is not null and summary is not null").select(*keys), keys, "left_anti")
+    each = targets.select("locale", "policy_version", "glossary_version").distinct()
+    wanted = e.select("id", "content_hash").join(F.broadcast(each) if each.count() <= 1000 else each, F.lit(True))
+    ready = done.where((F.coalesce("title", F.lit("")) != "") & (F.coalesce("summary", F.lit("")) != "")).select(*IDENTITY)
+    return wanted.join(ready, IDENTITY, "left_anti")
 
 
 #: A contract output: its type, and its exact keys.

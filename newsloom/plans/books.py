@@ -47,7 +47,24 @@ def ledger_categories(spark, d):
 
 
 def ledger_summary(spark, d):
-    return l.monthly_summary(_ledger(spark, d), _budgets(spark, d))
+    """With the expenses by category as one text."""
+    s = l.monthly_summary(_ledger(spark, d), _budgets(spark, d))
+    text = F.array_join(F.transform("breakdown", lambda x: F.concat_ws("/", x.category, x.amount.cast("string"), x.n.cast("string"))), ",")
+    return s.withColumn("breakdown", text)
+
+
+def months_parsed(spark, d):
+    """Months that users ask for, some of them no months."""
+    o = load(spark, d, "orders")
+    raw = F.when(F.col("o_orderkey") % 5 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(F.col("o_orderkey") % 7 == 0, "1997-13").when(F.col("o_orderkey") % 11 != 0, F.date_format("o_orderdate", "yyyy-MM"))
+    return o.select("o_orderkey", l.month_range(raw, F.lit(AS_OF).cast("timestamp")).alias("m")).select("o_orderkey", "m.key", "m.start", "m.end")
+
+
+def dates_local(spark, d):
+    """The date of events in several zones."""
+    e = load(spark, d, "events")
+    zone = F.element_at(F.array(*[F.lit(z) for z in ("UTC", "Asia/Ho_Chi_Minh", "America/New_York", "Asia/Kathmandu")]), (F.col("event_id") % 4 + 1).cast("int"))
+    return e.select("event_id", l.local_date(F.col("ts"), zone).alias("date"))
 
 
 def ledger_errors(spark, d):
@@ -107,8 +124,12 @@ ORACLE_SQL = {
     "ledger_totals": f"WITH {LEDGER} SELECT user_id, month, type, sum(amount) AS amount, count(*) AS n FROM ledger GROUP BY ALL",
     "ledger_categories": f"WITH {LEDGER} SELECT user_id, month, category, sum(amount) AS amount, count(*) AS n FROM ledger WHERE type = 'EXPENSE' GROUP BY ALL",
     "ledger_summary": f"""WITH {LEDGER}, b AS (SELECT user_id, month, max(amount) AS budget FROM ledger WHERE type = 'INCOME' GROUP BY ALL),
-s AS (SELECT user_id, month, coalesce(sum(amount) FILTER (type = 'INCOME'), 0) AS income, coalesce(sum(amount) FILTER (type = 'EXPENSE'), 0) AS expense FROM ledger GROUP BY ALL)
-SELECT user_id, month, income, expense, budget, income - expense AS balance, budget - expense AS remaining FROM s LEFT JOIN b USING (user_id, month)""",
+s AS (SELECT user_id, month, coalesce(sum(amount) FILTER (type = 'INCOME'), 0) AS income, coalesce(sum(amount) FILTER (type = 'EXPENSE'), 0) AS expense FROM ledger GROUP BY ALL),
+c AS (SELECT user_id, month, category, sum(amount) AS amount, count(*) AS n FROM ledger WHERE type = 'EXPENSE' GROUP BY ALL), k AS (SELECT user_id, month, string_agg(category || '/' || amount || '/' || n, ',' ORDER BY category) AS breakdown FROM c GROUP BY ALL)
+SELECT user_id, month, income, expense, coalesce(budget, 0) AS budget, income - expense AS balance, coalesce(budget, 0) - expense AS remaining, coalesce(breakdown, '') AS breakdown FROM s LEFT JOIN b USING (user_id, month) LEFT JOIN k USING (user_id, month)""",
+    "months_parsed": """WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 7 = 0 THEN '1997-13' WHEN o_orderkey % 11 <> 0 THEN strftime(o_orderdate, '%Y-%m') END AS raw FROM orders),
+k AS (SELECT o_orderkey, CASE WHEN regexp_full_match(raw, '[0-9]{4}-(0[1-9]|1[0-2])') THEN raw ELSE '1998-01' END AS key FROM r) SELECT o_orderkey, key, CAST(key || '-01' AS TIMESTAMP) AS start, CAST(key || '-01' AS TIMESTAMP) + INTERVAL 1 MONTH AS "end" FROM k""",
+    "dates_local": "SELECT event_id, strftime((ts AT TIME ZONE 'UTC') AT TIME ZONE ['UTC', 'Asia/Ho_Chi_Minh', 'America/New_York', 'Asia/Kathmandu'][event_id % 4 + 1], '%Y-%m-%d') AS date FROM events",
     "ledger_errors": f"""WITH {LEDGER} SELECT type, CASE WHEN amount IS NULL OR amount <= 0 THEN 'AMOUNT_INVALID' WHEN category = '3-MEDIUM' THEN 'CATEGORY_NOT_FOUND' WHEN category = '5-LOW' THEN 'CATEGORY_ARCHIVED'
   WHEN type <> 'EXPENSE' THEN 'CATEGORY_TYPE_MISMATCH' END AS error, count(*) AS n FROM ledger GROUP BY ALL""",
     "indicator_latest": f"WITH {OBS} SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY observed_at DESC) AS INT) AS place, observed_at, value FROM obs QUALIFY place <= 2",
@@ -125,4 +146,4 @@ SELECT task_id, CASE WHEN go THEN 'TODO' ELSE status END AS status, CASE WHEN go
     "tasks_rule_errors": f"""WITH {TASKS} SELECT task_id, CASE WHEN rtype = 'NONE' THEN '' ELSE array_to_string(list_filter([CASE WHEN task_id % 5 = 0 THEN 'RECURRENCE_END_REQUIRED' END,
   CASE WHEN rtype = 'WEEKLY' AND task_id % 2 <> 0 THEN 'RECURRENCE_WEEKDAY_REQUIRED' END], lambda x: x IS NOT NULL), ',') END AS errors FROM tasks""",
 }
-QUERIES = {f.__name__: f for f in (ledger_totals, ledger_categories, ledger_summary, ledger_errors, indicator_latest, indicator_changes, indicator_range, tasks_open, tasks_page, tasks_brief, tasks_advanced, tasks_rule_errors, tasks_lunar)}
+QUERIES = {f.__name__: f for f in (ledger_totals, ledger_categories, ledger_summary, months_parsed, dates_local, ledger_errors, indicator_latest, indicator_changes, indicator_range, tasks_open, tasks_page, tasks_brief, tasks_advanced, tasks_rule_errors, tasks_lunar)}

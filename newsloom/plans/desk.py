@@ -271,11 +271,35 @@ def payloads_replayed(spark, d):
 
 
 def localizations_wanted(spark, d):
+    """Translations that lack: some are done for this text, some for another policy, some lack a part."""
     c, _ = published(spark, d)
+    n = F.col("id")
     c = c.select(F.col("content_id").alias("id"), F.md5("content").alias("content_hash"), "provenance_status", "duplicate_of_id")
-    done = c.where("id % 3 = 0").select("id", "content_hash", F.lit("vi").alias("locale"), F.when(F.col("id") % 2 == 0, "t").alias("title"), F.lit("s").alias("summary"))
-    w = quality.work_list(c, r.literal_table(spark, ["locale"], [("vi",), ("en",)]), done)
-    return w.select("id", "locale")
+    done = c.where("id % 3 = 0").select("id", F.when(n % 7 == 0, "older").otherwise(F.col("content_hash")).alias("content_hash"), F.lit("vi").alias("locale"), F.when(n % 2 == 0, "t").alias("title"), F.when(n % 11 != 0, "s").otherwise("").alias("summary"), F.when(n % 5 == 0, "p0").otherwise("p1").alias("policy_version"), F.lit("g1").alias("glossary_version"))
+    w = quality.work_list(c, r.literal_table(spark, ["locale", "policy_version", "glossary_version"], [("vi", "p1", "g1"), ("en", "p1", "g1")]), done)
+    return w.select("id", "locale", "policy_version", "glossary_version")
+
+
+def categories_counted(spark, d):
+    """Users' insights by category."""
+    x = _insights(spark, d)
+    kinds = r.literal_table(spark, ["interest_id", "category"], [(0, "work"), (1, "health"), (2, "work"), (3, "travel"), (5, "elsewhere")]).select(F.col("interest_id").cast("long").alias("interest_id"), "category")
+    return i.category_counts(x.where("status <> 'DISMISSED'").select("user_id", "interest_id"), kinds, ["work", "health", "travel", "sports", "other"])
+
+
+def markets_merged(spark, d):
+    """Profiles after patches of one part, both or none."""
+    u, n = users(spark, d), F.col("user_id")
+    p = t.merged_markets(F.col("home_market"), F.col("followed_markets"), F.when(n % 2 == 0, "US"), F.when(n % 3 == 0, F.array(F.lit("US"), F.lit("CN"), F.lit("CN"))))
+    return u.select("user_id", p.alias("p")).select("user_id", "p.home_market", F.array_join("p.followed_markets", ",").alias("followed"))
+
+
+def sections_v1(spark, d):
+    """Sections of the newest ten of each user's interest, as the older brief has them."""
+    c = contents(spark, d).select("content_id", "importance", F.get("topics", F.lit(0)).alias("interest"), "published_at")
+    b = m.round_robin(users(spark, d).select("user_id", F.explode("interests").alias("interest")).join(c.drop("importance"), "interest"), "2024-01-05 00:00:00")
+    items = b.withColumn("position", F.col("position") - 1).join(c.select("content_id", "importance"), "content_id")
+    return m.sections(items, "v1").groupBy("content_id", "section").agg(F.count("*").alias("n"), F.min("position").alias("first"))
 
 
 def gates_v2(spark, d):
@@ -503,7 +527,17 @@ SELECT content_id, status, count(*) AS n, CAST(sum(CAST(rel AS DECIMAL(18,6))) A
     "payloads_retained": f"""WITH {_PAY}, x AS (SELECT policy, CASE policy WHEN 'FULL_TEXT' THEN html END AS b, CASE policy WHEN 'EXCERPT_ONLY' THEN html END AS c, CASE policy WHEN 'EXCERPT_ONLY' THEN TIMESTAMP '2024-01-31' WHEN 'METADATA_ONLY' THEN TIMESTAMP '2024-01-08' END AS expires_at FROM pay)
 SELECT policy, count(*) AS n, count(b) + count(c) AS bodies, CAST(sum(octet_length(encode(coalesce(b, least(c, c))))) AS BIGINT) AS bytes, max(expires_at) AS expires_at FROM x GROUP BY policy""",
     "payloads_replayed": f"WITH {_PAY} SELECT payload_id, fetched_at FROM pay WHERE policy IN ('FULL_TEXT', 'EXCERPT_ONLY') AND html IS NOT NULL AND source_id = '3' AND fetched_at >= TIMESTAMP '2024-01-02' ORDER BY fetched_at, payload_id LIMIT 500",
-    "localizations_wanted": f"WITH {VIEWS} SELECT content_id AS id, l AS locale FROM published, (VALUES ('vi'), ('en')) x(l) WHERE provenance_status = 'VERIFIED' AND duplicate_of_id IS NULL AND NOT (l = 'vi' AND content_id % 6 = 0)",
+    "localizations_wanted": f"WITH {VIEWS} SELECT content_id AS id, l AS locale, 'p1' AS policy_version, 'g1' AS glossary_version FROM published, (VALUES ('vi'), ('en')) x(l) WHERE provenance_status = 'VERIFIED' AND duplicate_of_id IS NULL AND NOT (l = 'vi' AND content_id % 6 = 0 AND content_id % 7 <> 0 AND content_id % 11 <> 0 AND content_id % 5 <> 0)",
+    "categories_counted": f"""WITH {_UI}, v AS (SELECT user_id, interest_id, CASE interest_id WHEN 0 THEN 'work' WHEN 1 THEN 'health' WHEN 2 THEN 'work' WHEN 3 THEN 'travel' WHEN 5 THEN 'elsewhere' ELSE 'other' END AS category FROM ui WHERE status <> 'DISMISSED'),
+e AS (SELECT user_id, unnest(['all', 'work', 'health', 'travel', 'sports', 'other']) AS category FROM (SELECT DISTINCT user_id FROM v))
+SELECT e.user_id, e.category, count(v.interest_id) AS n FROM e LEFT JOIN v ON v.user_id = e.user_id AND v.interest_id IS NOT NULL AND (e.category = 'all' OR v.category = e.category) GROUP BY ALL""",
+    "markets_merged": f"""WITH {USERS}, m AS (SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'US' ELSE home_market END AS home_market, CASE WHEN user_id % 3 = 0 THEN ['US', 'CN'] ELSE followed_markets END AS f FROM users)
+SELECT user_id, home_market, array_to_string(list_filter(f, lambda x: x <> home_market), ',') AS followed FROM m""",
+    "sections_v1": f"""WITH {CONTENTS}, {USERS}, j AS (SELECT user_id, interest, content_id, published_at, importance FROM (SELECT user_id, unnest(interests) AS interest FROM users) JOIN (SELECT content_id, published_at, importance, topics[1] AS interest FROM contents) USING (interest)),
+a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY published_at DESC, content_id) AS n FROM j QUALIFY n <= 80),
+b AS (SELECT *, published_at >= TIMESTAMP '2024-01-05' - INTERVAL 48 HOUR AS fresh, max(CASE WHEN published_at >= TIMESTAMP '2024-01-05' - INTERVAL 48 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, interest) AS anyf, min(n) OVER (PARTITION BY user_id, interest) AS bo FROM a),
+c AS (SELECT *, row_number() OVER (PARTITION BY user_id, interest ORDER BY n) AS r FROM b WHERE anyf = 0 OR fresh), p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY r, bo) AS position FROM c QUALIFY position <= 10)
+SELECT content_id, CASE WHEN importance >= 0.75 THEN 'important' ELSE 'other' END AS section, count(*) AS n, CAST(min(position) AS INT) AS first FROM p GROUP BY ALL""",
     "gates_v2": f"""WITH p AS (SELECT a.conv_id || '-' || a.turn AS id, 'NASA said 2024 that Bitcoin has ' || a.turn * 3 || '% and 12,5 usd' AS st, a.text AS sc,
   CASE WHEN a.turn % 3 = 0 THEN 'NASA said 2024 that Bitcoin has ' || a.turn * 3 || '% and 12,5 usd' WHEN a.turn % 3 = 1 THEN '2024: Bitcoin ' || a.turn * 3 || '%, 12,5 usd, NASA' ELSE 'and the rest was after this' END AS ti,
   CASE WHEN a.turn % 5 = 0 THEN ' ' WHEN a.turn % 4 = 3 THEN a.text ELSE b.text END AS su, CASE WHEN a.turn % 7 = 6 THEN 'en' ELSE 'vi' END AS target FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
@@ -548,4 +582,4 @@ l AS (SELECT content_id AS id, locale, localization_id FROM localizations QUALIF
 QUERIES = {f.__name__: f for f in (
     sources_default, sources_for_topics, tiers_bounded, catalog_labels, urls_canonical, articles_checked, urls_audited, publication_audited, interests_matched, glossary_matched, localization_requests, jobs_checked, jobs_triaged, jobs_identified, codes_stable,
     retry_afters, feeds_shadow, insight_users, matches_backfilled, tasks_first_due, events_persisted, events_rejected, payloads_retained, payloads_replayed, localizations_wanted, gates_v2, publications_decided, glossary_resolved, briefs_latest, insights_visible,
-    insights_of_interest, insights_folded, insights_without_locale, insights_projected, topics_reclassified, selections_replaced, events_backfilled, runs_measured, probes_released, keywords_parsed, metadata_redacted, metadata_masked, glossary_imported, glossary_exported, matches_maintained, backfill_counted)}
+    insights_of_interest, insights_folded, insights_without_locale, insights_projected, topics_reclassified, selections_replaced, events_backfilled, runs_measured, probes_released, keywords_parsed, metadata_redacted, metadata_masked, glossary_imported, glossary_exported, matches_maintained, backfill_counted, categories_counted, markets_merged, sections_v1)}

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from newsloom.operators import metrics as m
-from newsloom.plans.views import CONTENTS, TOPICS, contents, load
+from newsloom.plans.views import CONTENTS, LOCALIZATIONS, PUBLISHED, TOPICS, USERS, contents, load, localizations, published, users
 from newsloom.streaming import circuit
 
 AS_OF = "2024-01-20 00:00:00"
@@ -67,9 +67,47 @@ def health_due(spark, d):
 
 
 def health_props(spark, d):
-    """Tolerant JSON access: finite non-negative numbers are truncated, others dropped."""
-    k = F.get(F.map_values(F.map_filter(F.from_json("props", "map<string,double>"), lambda _, v: v.isNotNull() & (v >= 0))), F.lit(0))
-    return _attempts(spark, d).groupBy("event_type").agg(F.sum(F.floor(k)).alias("total"), F.count(k).alias("n"))
+    """Health of sources as JSON, some of it odd: what is no count doesn't count."""
+    n, t = F.col("event_id"), F.col("event_id").cast("string")
+    odd = F.element_at(F.array(*[F.lit(x) for x in ('"7"', "-3", "2.9", "null", "[1]")]), (n % 5 + 1).cast("int"))
+    text = F.when(n % 13 == 0, "not json").otherwise(F.concat(F.lit('{"attempts":'), t, F.lit(',"successes":'), odd, F.lit(',"errors":{"HTTP_403":'), odd, F.lit(',"HTTP_429":'), t, F.lit('},"lastAttemptAt":'), F.when(n % 2 == 0, '"2024"').otherwise("5"), F.lit("}")))
+    e = load(spark, d, "events").select("event_id", m.parsed_metrics(text).alias("h"))
+    return e.select("event_id", "h.attempts", "h.successes", "h.parserAttempts", F.try_element_at("h.errors", F.lit("HTTP_403")).alias("e403"), F.try_element_at("h.errors", F.lit("HTTP_429")).alias("e429"), "h.lastAttemptAt")
+
+
+def health_data(spark, d):
+    """Runs of the last day, insights that wait for a locale, events that were rejected."""
+    c = contents(spark, d)
+    n = F.col("insight_id")
+    i = c.select(F.col("content_id").alias("insight_id"))
+    loc = i.select("insight_id", F.explode(F.when(n % 3 == 0, F.array(F.lit("vi"))).when(n % 3 == 1, F.array(F.lit("en"), F.lit("vi"), F.lit("vi"))).otherwise(F.array(F.lit("fr")))).alias("locale"))
+    e = load(spark, d, "events")
+    runs = _attempts(spark, d).select(F.col("event_type").alias("pipeline"), F.when(F.col("success"), "SUCCESS").otherwise("FAILED").alias("status"), F.col("ts").alias("started_at"), "duration_ms")
+    events = e.select(F.when(F.col("event_id") % 3 == 0, "REJECTED").otherwise("PROCESSED").alias("status"), F.col("ts").alias("updated_at"))
+    return m.data_health(runs, i, e.select((F.col("event_id") * 2).alias("insight_id")), loc, events, AS_OF)
+
+
+def _snapshot(spark, d):
+    a, (c, _) = _attempts(spark, d), published(spark, d)
+    s = m.source_metrics(a, AS_OF).select("subscription_id", "interval_s", "last_success", "attempts", "successes", "errors", (F.col("subscription_id") % 3 + 1).alias("tier"))
+    n = F.col("content_id")
+    c = c.withColumn("provenance_status", F.when(n % 11 == 0, "REJECTED").otherwise(F.col("provenance_status"))).withColumn("duplicate_kind", F.when(n % 2 == 0, "EXACT_CONTENT_HASH"))
+    loc = localizations(c).join(c.select("content_id", "published_at"), "content_id")
+    i = F.col("localization_id")
+    loc = loc.select("locale", F.when(i % 17 == 0, "FAILED").otherwise(F.col("status")).alias("status"), F.col("published_at").alias("generated_at"), "verified_at", F.when(F.col("status") == "VERIFIED", F.array().cast("array<string>")).otherwise(F.array(F.lit("NUMBER_CHANGED"), F.lit("EMPTY_OUTPUT"))).alias("failure_codes"), F.when(i % 5 != 0, (i % 8 * 0.25)).alias("cost_usd"))
+    u = users(spark, d)
+    matches = u.select("user_id", F.explode("interests").alias("topic"))
+    return m.snapshot(s, c, c.where("cluster_id is not null").select("cluster_id"), loc, matches, u, AS_OF)
+
+
+def content_snapshot(spark, d):
+    """Content metrics as one row."""
+    row = _snapshot(spark, d)[0]
+    return row.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in row.dtypes])
+
+
+def content_kinds(spark, d):
+    return _snapshot(spark, d)[1]
 
 
 def topics_inventory(spark, d):
@@ -104,6 +142,12 @@ def fetch_buckets(spark, d):
 
 ATT = f"""att AS (SELECT user_id AS subscription_id, ts, event_id AS seq, event_type <> 'error' AS success, CASE WHEN event_type = 'error' THEN ['{"', '".join(CODES)}'][event_id % 4 + 1] END AS error_code, value AS duration_ms, event_type, props FROM events)"""
 NOW = f"TIMESTAMP '{AS_OF}'"
+_SNAP = f"""{ATT}, {CONTENTS}, {USERS}, {PUBLISHED}, {LOCALIZATIONS}, p AS (SELECT * REPLACE (CASE WHEN content_id % 11 = 0 THEN 'REJECTED' ELSE provenance_status END AS provenance_status) FROM published),
+g AS (SELECT subscription_id, count(*) AS attempts, count(*) FILTER (success) AS successes, max(ts) FILTER (success) AS ls FROM att GROUP BY ALL), s AS (SELECT *, ls IS NULL OR floor(epoch({NOW})) - floor(epoch(ls)) > 3 * 86400 AS stale FROM g),
+c AS (SELECT count(*) FILTER (provenance_status = 'VERIFIED' AND duplicate_of_id IS NULL) AS accepted, count(*) FILTER (provenance_status = 'REJECTED') AS rejected, count(duplicate_of_id) AS duplicates, count(cluster_id) AS cluster_members, count(DISTINCT cluster_id) AS clusters FROM p),
+lo AS (SELECT l.locale, l.status AS was, CASE WHEN localization_id % 17 = 0 THEN 'FAILED' ELSE l.status END AS status, epoch_ms(l.verified_at) - epoch_ms(p.published_at) AS ms, CASE WHEN localization_id % 5 <> 0 THEN localization_id % 8 * 0.25::DOUBLE END AS cost FROM localizations l JOIN published p USING (content_id)),
+l AS (SELECT count(*) FILTER (status = 'VERIFIED') AS verified, count(*) FILTER (status = 'VERIFIED' AND locale = 'vi') AS vi, count(*) FILTER (status = 'FAILED') AS provider_errors, coalesce(avg(ms) FILTER (status = 'VERIFIED'), 0) AS latency_ms, sum(cost) AS cost_usd, 2 * count(*) FILTER (was <> 'VERIFIED') AS rejections FROM lo),
+u AS (SELECT CAST(sum(len(interests)) AS BIGINT) AS matches, count(*) AS users FROM users)"""
 _OPENS = "(circuit_now = 'HALF_OPEN' OR failures + 1 >= 5 OR (attempts + 1 >= 4 AND greatest(e403 + is403, e429 + is429) >= 0.5 * (attempts + 1)))"
 _SPIKE = "(parses + 1 >= 10 AND rejects + rejected >= 0.4 * (parses + 1))"
 CIRCUIT = f"""WITH RECURSIVE {ATT}, log AS (SELECT subscription_id, ts, seq, CASE WHEN NOT success THEN 'failure' WHEN event_type = 'signup' THEN 'parse' ELSE 'success' END AS kind,
@@ -139,7 +183,17 @@ p AS (SELECT *, hit AND lag(hit, 1, false) OVER (PARTITION BY subscription_id OR
 SELECT subscription_id AS source_id, count(*) AS n, max(seq) AS last_seq FROM s WHERE stop IS NULL OR i <= stop GROUP BY ALL""",
     "health_next_sync": f"WITH {ATT}, g AS (SELECT subscription_id, date_trunc('second', max(ts)) AS ts FROM att GROUP BY ALL) SELECT subscription_id, ts + INTERVAL 1 HOUR + to_milliseconds(CAST(floor(3600 * 50 * (('0x' || substr(sha256(CAST(subscription_id AS VARCHAR)), 1, 4))::INT / 65535.0::DOUBLE)) AS BIGINT)) AS next_sync_at FROM g",
     "health_due": f"WITH {ATT}, g AS (SELECT subscription_id, max(ts) AS next_sync_at FROM att GROUP BY ALL) SELECT * FROM g WHERE subscription_id % 5 <> 0 AND subscription_id % 3 <> 0 AND next_sync_at <= TIMESTAMP '2024-01-30 12:00:00' ORDER BY next_sync_at, subscription_id LIMIT 50",
-    "health_props": f"WITH {ATT}, k AS (SELECT event_type, floor(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS k FROM att) SELECT event_type, CAST(sum(k) AS BIGINT) AS total, count(k) AS n FROM k WHERE k IS NULL OR k >= 0 GROUP BY ALL",
+    "health_props": """WITH o AS (SELECT event_id, event_id % 13 <> 0 AS ok, CASE WHEN event_id % 5 = 2 THEN 2 END AS k FROM events)
+SELECT event_id, CASE WHEN ok THEN event_id ELSE 0 END AS attempts, CASE WHEN ok THEN coalesce(k, 0) ELSE 0 END AS successes, 0 AS "parserAttempts", CASE WHEN ok THEN k END AS e403, CASE WHEN ok THEN event_id END AS e429, CASE WHEN ok AND event_id % 2 = 0 THEN '2024' END AS "lastAttemptAt" FROM o""",
+    "health_data": f"""WITH {ATT} SELECT event_type AS what, CASE WHEN success THEN 'SUCCESS' ELSE 'FAILED' END AS status, count(*) AS n, round(avg(duration_ms), 4) AS mean_ms FROM att WHERE ts > {NOW} - INTERVAL 24 HOUR AND ts <= {NOW} GROUP BY ALL
+UNION ALL SELECT 'pendingLocalizations', NULL, count(*), NULL FROM documents WHERE doc_id IN (SELECT event_id * 2 FROM events) AND doc_id % 3 <> 1
+UNION ALL SELECT 'rejectedEvents', NULL, count(*), NULL FROM events WHERE event_id % 3 = 0 AND ts >= {NOW} - INTERVAL 24 HOUR AND ts <= {NOW}""",
+    "content_snapshot": f"""WITH {_SNAP} SELECT sum(attempts) AS requests, sum(successes) AS _s, count(*) FILTER (subscription_id % 3 = 0 AND stale) AS stale_tier1, (SELECT count(*) FROM att WHERE error_code = 'HTTP_429') AS n_429, any_value(c.accepted) AS accepted, any_value(c.rejected) AS rejected, any_value(c.duplicates) AS duplicates,
+  any_value(c.cluster_members) AS cluster_members, any_value(c.clusters) AS clusters, any_value(l.verified) AS verified, any_value(l.provider_errors) AS provider_errors, round(any_value(l.latency_ms), 6) AS latency_ms, round(any_value(l.cost_usd), 6) AS cost_usd, any_value(l.rejections) AS rejections,
+  any_value(u.matches) AS matches, any_value(u.users) AS users, round(sum(successes) / sum(attempts), 6) AS success_rate, round(any_value(c.rejected) / (any_value(c.accepted) + any_value(c.rejected)), 6) AS rejection_rate, round(any_value(c.clusters) / any_value(c.cluster_members), 6) AS compression,
+  round(any_value(l.vi) / any_value(c.accepted), 6) AS vi_coverage, round(any_value(u.matches) / any_value(u.users), 6) AS matches_per_user FROM s, c, l, u""".replace("sum(successes) AS _s, ", ""),
+    "content_kinds": f"""WITH {_SNAP} SELECT 'duplicate' AS "group", CASE WHEN content_id % 2 = 0 THEN 'EXACT_CONTENT_HASH' ELSE 'UNKNOWN' END AS kind, count(*) AS n FROM p WHERE duplicate_of_id IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'error', error_code, count(*) FROM att WHERE NOT success GROUP BY ALL UNION ALL SELECT 'failure', k, count(*) FROM lo, (VALUES ('NUMBER_CHANGED'), ('EMPTY_OUTPUT')) x(k) WHERE was <> 'VERIFIED' GROUP BY k""",
     "topics_inventory": f"WITH {CONTENTS}, t AS (SELECT unnest(topics) AS topic, publisher, published_at FROM contents) SELECT topic, count(*) AS items, count(*) FILTER (published_at >= TIMESTAMP '2023-12-29 00:00:00') AS fresh, max(published_at) AS latest, count(DISTINCT publisher) AS publishers FROM t GROUP BY topic",
     "topics_available": f"WITH {CONTENTS}, t AS (SELECT unnest(topics) AS topic, published_at FROM contents) SELECT topic FROM t GROUP BY topic HAVING count(*) >= 60 AND count(*) FILTER (published_at >= TIMESTAMP '2023-12-29 00:00:00') >= 1",
     "feeds_compared": f"""WITH {CONTENTS}, j AS (SELECT c.*, p.url FROM contents c JOIN pages p ON p.page_id = c.content_id), i AS (SELECT 'v1' AS feed, * FROM j UNION ALL SELECT 'v2', * FROM j WHERE tier = 1),
@@ -151,4 +205,4 @@ SELECT a.coverage AS v1_coverage, a.fh AS v1_freshness_hours, a.dr AS v1_duplica
   CASE WHEN b.br > a.br OR b.dr > a.dr OR b.coverage < least(a.coverage, 10) THEN 'NO_GO' ELSE 'GO' END AS decision FROM g a JOIN g b ON a.feed = 'v1' AND b.feed = 'v2'""",
     "fetch_buckets": f"WITH {ATT} SELECT subscription_id, date_trunc('hour', ts) AS bucket, min(ts) AS ts, min_by(seq, (ts, seq)) AS seq FROM att GROUP BY 1, 2",
 }
-QUERIES = {f.__name__: f for f in (health_runs, health_sources, health_errors, health_alerts, health_latency, health_retries, health_before_stop, health_next_sync, health_due, health_props, topics_inventory, topics_available, feeds_compared, circuit_batch, fetch_buckets)}
+QUERIES = {f.__name__: f for f in (health_runs, health_sources, health_errors, health_alerts, health_latency, health_retries, health_before_stop, health_next_sync, health_due, health_props, health_data, content_snapshot, content_kinds, topics_inventory, topics_available, feeds_compared, circuit_batch, fetch_buckets)}
