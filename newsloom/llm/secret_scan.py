@@ -7,17 +7,20 @@ so that scanning and redacting are projections without a shuffle. Only built-in
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.shared import first_by_hash, let
+from newsloom.llm.shared import Scratch, first_by_hash, let
 
-KEYWORD = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)"
-#: Candidates: what a keyword is assigned, 6 characters or more of any kind up to the quote or to a blank; keys with a
+KEYWORD = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?!or(?!i[sz]))|credential|private[_-]?key)"
+#: Candidates: private keys in PEM and tokens of three parts whole; what a keyword is assigned, 6 characters or more of any kind up to the quote or to a blank; keys with a
 #: known prefix; runs of token characters, 12 or more, with a digit among them, base64 padding included.
 CANDIDATE = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[\s\S]*?-----END [A-Z ]{0,40}PRIVATE KEY-----|(?<![A-Za-z0-9_\-])eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+|"
     rf"(?<=[:=\"' \t])(?<=[:=][ \t]{{0,4}}[\"']?)(?<=(?i:{KEYWORD})[A-Za-z_]{{0,12}}[\"']?[ \t]{{0,4}}[:=]{{1,2}}[ \t]{{0,4}}[\"']?)"
     r"(?:(?<=\")[^\"\r\n]{6,}+(?=\")|(?<=')[^'\r\n]{6,}+(?=')|(?![\"':=])[^\s\"']{6,})"
     r"|(?<![A-Za-z0-9+/_\-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9+/_\-])|(?:gh[pousr]_|sk-|xox[abp]-|AIza|eyJ)[A-Za-z0-9+/_\-]{12,}+={0,2}"
@@ -43,7 +46,7 @@ DICTIONARY = [
 KEYWORDS = rf"(?i){KEYWORD}[A-Za-z_]{{0,12}}[\"']?\s*[:=]{{1,2}}\s*[\"']?$"
 ASSIGNED = r"[:=]\s*[\"']?$"
 HARMLESS = r"(?i)(commit|revision|sha-?1|sha-?256|md5|checksum|digest|uuid|guid|isbn|order|invoice|phone|tel|card|version|build|id)[\s:=#\"']*$"
-KNOWN = r"^(AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-|AIza|eyJ)"
+KNOWN = r"^(-----BEGIN|AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-|AIza|eyJ)"
 #: Paths on which labelled findings of any kind occur, samples among them.
 PATHS = ["", "web", "src/client.py", "deploy/app.env", "config/site.yml", "docs/setup.md"]
 SAMPLE_PATH = r"(?i)test|example|sample|docs?/"
@@ -95,6 +98,8 @@ def labelled_findings(docs: DataFrame, rows: int = FIT_DOCS) -> DataFrame:
         (F.concat(pick(1), F.lit("-"), pick(2), F.lit("-"), pick(5), F.lit("-"), F.substring(digits(11), 1, 3)), say("see "), F.lit(" "), 0), (F.concat(pick(1), F.lit("_"), pick(2), F.lit("_"), F.substring(digits(19), 1, 2)), say("name = "), F.lit("\n"), 0),
         (F.substring(rnd(12), 1, 40), say("commit "), F.lit(" "), 0), (F.substring(rnd(13), 1, 32), say("md5: "), F.lit("\n"), 0), (rnd(14), say("sha256:"), F.lit("\n"), 0), (F.substring(rnd(15), 1, 40), prose, F.lit(" "), 0),
         (F.concat(F.lit("2024-01-15T10-"), F.substring(digits(16), 1, 2)), prose, F.lit(" "), 0),
+        (F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), b64(30), F.lit("\n"), b64(31), F.lit("\n-----END RSA PRIVATE KEY-----")), prose, F.lit("\n"), 1),
+        (F.concat(F.lit("eyJ"), F.substring(F.translate(b64(32), "+/", "-_"), 1, 20), F.lit(".eyJ"), F.translate(b64(33), "+/", "-_"), F.lit("."), F.translate(b64(34), "+/", "-_")), say("bearer "), F.lit(" "), 1),
         # letters alone, short ones and those with other characters; and what else follows a keyword
         (F.substr(letters(20), F.lit(1), some(8, 20)), say("password="), F.lit(" "), 1), (F.substr(letters(21), F.lit(1), some(12, 21)), say('secret: "'), q, 1), (F.concat(F.lit("AKIA"), F.upper(F.substring(letters(22), 1, 16))), prose, F.lit(" "), 1),
         (F.concat_ws(" ", pick(1), pick(2), pick(5), pick(6)), say('passphrase = "'), q, 1), (F.concat(F.initcap(F.substring(letters(23), 1, 4)), F.lit("!"), F.substring(rnd(23), 1, 3), F.lit("@$")), say("password: "), F.lit("\n"), 1), (F.substring(rnd(24), 1, 8), say("pwd="), F.lit(" "), 1),
@@ -111,33 +116,52 @@ def labelled_findings(docs: DataFrame, rows: int = FIT_DOCS) -> DataFrame:
 
 
 def fit_forest(findings: DataFrame):
-    """A fitted forest, None without findings. The findings are few by their documented bound; they are ordered, so
-    that reruns grow the same trees."""
-    if findings.isEmpty():
-        return None
+    """A fitted forest, None without findings. The findings are few by their documented bound; their features are written once, since the
+    fit reads them again and again, and ordered, so that reruns grow the same trees."""
     x = findings.where("candidate is not null").select("label", "candidate", features(*[F.col(c) for c in ("candidate", "before", "after", "path")]).alias("f"))
-    x = x.select("label", "candidate", "f.*").coalesce(1).sortWithinPartitions("candidate", "label")
-    x = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(x)
+    x = Scratch(findings.sparkSession, "forest").save(x.select("label", "candidate", "f.*"))
+    if x.isEmpty():
+        return None
+    x = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(x.coalesce(1).sortWithinPartitions("candidate", "label"))
     return RandomForestClassifier(labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(x)
 
 
+def forest_table(model) -> list[list[dict]]:
+    """The trees as lists of nodes: feature f (-1 in a leaf), threshold t, places l and r of the nodes below, prediction p."""
+
+    def grow(node, out: list[dict]) -> int:
+        me = len(out)
+        if node.getClass().getSimpleName() == "LeafNode":
+            out.append({"f": -1, "t": 0.0, "l": me, "r": me, "p": float(node.prediction())})
+            return me
+        out.append({"f": int(node.split().featureIndex()), "t": float(node.split().threshold()), "p": 0.0})
+        out[me] |= {"l": grow(node.leftChild(), out), "r": grow(node.rightChild(), out)}
+        return me
+
+    trees: list[list[dict]] = [[] for _ in model.trees]
+    for t, out in zip(model.trees, trees, strict=True):
+        grow(t._call_java("rootNode"), out)
+    return trees
+
+
 def forest_expression(model, f: Column) -> Column:
     """Share of the forest's trees that vote for a secret, over the struct of features f; 0 without a forest
-    (texts without a word to make findings from hold no candidate)."""
+    (texts without a word to make findings from hold no candidate). The trees are one constant that is walked down, so that
+    the plan stays small, whatever the forest's size."""
     if model is None:
         return F.lit(0.0)
+    trees = forest_table(model)
+    forest = F.from_json(F.lit(json.dumps(trees)), "array<array<struct<f:int,t:double,l:int,r:int,p:double>>>")
+    steps = F.sequence(F.lit(1), F.lit(DEPTH))
 
-    def grow(node) -> Column:
-        if node.getClass().getSimpleName() == "LeafNode":
-            return F.lit(float(node.prediction()))
-        s = node.split()
-        return F.when(f[FEATURES[s.featureIndex()]] <= F.lit(float(s.threshold())), grow(node.leftChild())).otherwise(grow(node.rightChild()))
-
-    votes = [grow(t._call_java("rootNode")) for t in model.trees]
-    total = votes[0]
-    for v in votes[1:]:
-        total = total + v
-    return total / len(votes)
+    def vote(values, tree):
+        def down(at, _):
+            return let(F.get(tree, at), lambda n: F.when(n.f < 0, at).when(F.get(values, n.f) <= n.t, n.l).otherwise(n.r))
+
+        return F.get(tree, F.aggregate(steps, F.lit(0), down)).p
+
+    votes = let(F.array(*[f[name] for name in FEATURES]), lambda v: F.aggregate(forest, F.lit(0.0), lambda n, tree: n + vote(v, tree)))
+    return votes / len(trees)
 
 
 def _candidates(text: Column) -> Column:

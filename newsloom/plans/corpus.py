@@ -7,7 +7,7 @@ from newsloom.functions import text as t
 from newsloom.operators import insights
 from newsloom.operators import resolve as r
 from newsloom.plans import texts
-from newsloom.plans.views import AS_OF, CONTENTS, TOPICS, USERS, contents, load, users
+from newsloom.plans.views import CONTENTS, PUBLISHED, TOPICS, USERS, contents, load, published, users
 from newsloom.sources import canonical as k
 
 
@@ -123,8 +123,8 @@ def topic_interest_counts(spark, d):
 
 def importance_by_age(spark, d):
     """Importance and bucket of items by age."""
-    c = contents(spark, d)
-    age = (F.unix_micros(F.lit(AS_OF).cast("timestamp")) - F.unix_micros("published_at")) / 3.6e9
+    c, now = published(spark, d)
+    age = (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros("published_at")) / 3.6e9
     imp = insights.importance_by_age(age)
     kind = F.when(imp >= 0.75, "ALERT").otherwise("INSIGHT")
     return c.select("content_id", imp.alias("importance"), kind.alias("type"), insights.bucket(kind, imp).alias("bucket"))
@@ -177,7 +177,7 @@ SELECT * FROM j WHERE change IS NOT NULL""",
     "account_purge": "SELECT 'orders' AS name, count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 0) UNION ALL SELECT 'events', count(*) FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 0)",
     "status_audit": f"WITH {CONTENTS} SELECT content_id AS id, CASE WHEN tier = 1 THEN 'VERIFIED' ELSE 'NEEDS_REVIEW' END AS old_status, 'REJECTED' AS new_status, 'toxic' AS reason FROM contents WHERE content_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     "topic_interest_counts": f"WITH {USERS}, u AS (SELECT unnest(interests) AS topic FROM users) SELECT topic, count(*) AS n FROM u GROUP BY topic UNION ALL SELECT 'all', count(*) FROM u",
-    "importance_by_age": f"""WITH {CONTENTS}, a AS (SELECT content_id, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(published_at)) / 3.6e9::DOUBLE AS age FROM contents)
+    "importance_by_age": f"""WITH {CONTENTS}, {PUBLISHED}, a AS (SELECT content_id, (epoch_us((SELECT max(published_at) FROM published)) - epoch_us(published_at)) / 3.6e9::DOUBLE AS age FROM published)
 SELECT content_id, CASE WHEN age <= 6 THEN 0.82::DOUBLE WHEN age <= 24 THEN 0.72::DOUBLE ELSE 0.58::DOUBLE END AS importance, CASE WHEN age <= 6 THEN 'ALERT' ELSE 'INSIGHT' END AS type, CASE WHEN age <= 6 THEN 'actionRequired' WHEN age <= 24 THEN 'important' ELSE 'informational' END AS bucket FROM a""",
     "glossary_chosen": """WITH b AS (SELECT item_id, unnest(string_split(text, ' ')) AS w FROM benchmark), e AS (SELECT trim(regexp_replace(lower(w), '\\s+', ' ', 'g')) AS term, 't' || lpad(CAST(item_id AS VARCHAR), 6, '0') AS preferred_term, item_id % 3 = 0 AS protected FROM b)
 SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY term ORDER BY protected DESC, preferred_term) = 1""",

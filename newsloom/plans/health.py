@@ -111,11 +111,13 @@ def content_kinds(spark, d):
 
 
 def topics_inventory(spark, d):
-    return m.topic_inventory(contents(spark, d), TOPICS, "2024-01-05 00:00:00")
+    """Of the last time of publication."""
+    c, now = published(spark, d)
+    return m.topic_inventory(c, TOPICS, now)
 
 
 def topics_available(spark, d):
-    return m.available_topics(m.topic_inventory(contents(spark, d), TOPICS, "2024-01-05 00:00:00"), 60)
+    return m.available_topics(topics_inventory(spark, d), 60)
 
 
 def feeds_compared(spark, d):
@@ -194,8 +196,8 @@ UNION ALL SELECT 'rejectedEvents', NULL, count(*), NULL FROM events WHERE event_
   round(any_value(l.vi) / any_value(c.accepted), 6) AS vi_coverage, round(any_value(u.matches) / any_value(u.users), 6) AS matches_per_user FROM s, c, l, u""".replace("sum(successes) AS _s, ", ""),
     "content_kinds": f"""WITH {_SNAP} SELECT 'duplicate' AS "group", CASE WHEN content_id % 2 = 0 THEN 'EXACT_CONTENT_HASH' ELSE 'UNKNOWN' END AS kind, count(*) AS n FROM p WHERE duplicate_of_id IS NOT NULL GROUP BY ALL
 UNION ALL SELECT 'error', error_code, count(*) FROM att WHERE NOT success GROUP BY ALL UNION ALL SELECT 'failure', k, count(*) FROM lo, (VALUES ('NUMBER_CHANGED'), ('EMPTY_OUTPUT')) x(k) WHERE was <> 'VERIFIED' GROUP BY k""",
-    "topics_inventory": f"WITH {CONTENTS}, t AS (SELECT unnest(topics) AS topic, publisher, published_at FROM contents) SELECT topic, count(*) AS items, count(*) FILTER (published_at >= TIMESTAMP '2023-12-29 00:00:00') AS fresh, max(published_at) AS latest, count(DISTINCT publisher) AS publishers FROM t GROUP BY topic",
-    "topics_available": f"WITH {CONTENTS}, t AS (SELECT unnest(topics) AS topic, published_at FROM contents) SELECT topic FROM t GROUP BY topic HAVING count(*) >= 60 AND count(*) FILTER (published_at >= TIMESTAMP '2023-12-29 00:00:00') >= 1",
+    "topics_inventory": f"WITH {CONTENTS}, {PUBLISHED}, t AS (SELECT unnest(topics) AS topic, publisher, published_at FROM published) SELECT topic, count(*) AS items, count(*) FILTER (published_at >= (SELECT max(published_at) FROM published) - INTERVAL 7 DAY) AS fresh, max(published_at) AS latest, count(DISTINCT publisher) AS publishers FROM t GROUP BY topic",
+    "topics_available": f"WITH {CONTENTS}, {PUBLISHED}, t AS (SELECT unnest(topics) AS topic, published_at FROM published) SELECT topic FROM t GROUP BY topic HAVING count(*) >= 60 AND count(*) FILTER (published_at >= (SELECT max(published_at) FROM published) - INTERVAL 7 DAY) >= 1",
     "feeds_compared": f"""WITH {CONTENTS}, j AS (SELECT c.*, p.url FROM contents c JOIN pages p ON p.page_id = c.content_id), i AS (SELECT 'v1' AS feed, * FROM j UNION ALL SELECT 'v2', * FROM j WHERE tier = 1),
 g AS (SELECT feed, count(*) AS coverage, round(greatest(0.0::DOUBLE, (epoch(TIMESTAMP '2024-03-01') - epoch(max(published_at))) / 3600), 2) AS fh, round((count(*) - count(DISTINCT title))::DOUBLE / count(*), 4) AS dr,
   round(count(*) FILTER (NOT regexp_matches(url, '^(?i)https?://[^/\\s]+'))::DOUBLE / count(*), 4) AS br, round(count(*) FILTER (lang = 'en')::DOUBLE / count(*), 4) AS lr, round(avg(importance), 4) AS rel, round(count(DISTINCT publisher)::DOUBLE / count(*), 4) AS sd FROM i GROUP BY feed)

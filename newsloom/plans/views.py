@@ -9,19 +9,17 @@ from pyspark.sql import functions as F
 
 #: Topic catalog keys, markets, and the time at which registered queries look at the data.
 TOPICS = ["travel", "markets", "technology", "career", "health", "sports", "entertainment", "products"]
-MARKETS = ["VN", "GLOBAL", "US", "CN"]
+MARKETS = ["VN", "GLOBAL", "US", "CN", "JP", "KR", "SG", "TH", "ID", "MY", "PH", "IN", "DE", "FR", "GB", "BR"]
 AS_OF = "2024-01-05 00:00:00"
 
 
-#: Tables of texts, and the size up to which one is dealt out anew: a small file can be a single row group, which
-#: only one task reads, while work on its texts is worth many.
-TEXTS, SMALL_BYTES = ("documents", "pages"), 256 << 20
+#: Tables of texts: one that is a single file can be a single row group, which only one task reads, so it is dealt out anew.
+TEXTS = ("documents", "pages")
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() if name in TEXTS else 0
-    return df.repartition(spark.sparkContext.defaultParallelism) if 1 << 20 < size < SMALL_BYTES else df
+    return df.repartition(spark.sparkContext.defaultParallelism) if name in TEXTS and len(df.inputFiles()) == 1 else df
 
 
 def pick(values: list, index):
@@ -37,7 +35,8 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.timestamp_seconds(F.lit(1704067200) + i * 420).alias("published_at"), tier.alias("tier"), (1.0 - 0.25 * (tier - 1)).alias("authority"),
         F.array_distinct(F.array(pick(TOPICS, i), pick(TOPICS, i * 3 + 1))).alias("topics"), F.array_distinct(F.array(pick(MARKETS, i), pick(MARKETS, i * 5 + 2))).alias("markets"),
     )
-    return d.withColumn("importance", F.when(F.col("tier") == 1, F.col("authority")).otherwise(F.col("authority") * 0.75))
+    own = F.when(F.col("tier") == 1, F.col("authority")).otherwise(F.col("authority") * 0.75)
+    return d.withColumn("importance", own * F.when(F.col("content_id") % 7 == 0, 1.0).otherwise(0.75))
 
 
 #: Words that users watch; a blank one watches nothing.
@@ -93,7 +92,7 @@ def _uniq(a: str, b: str) -> str:
     return f"CASE WHEN {a} = {b} THEN [{a}] ELSE [{a}, {b}] END"
 
 
-CONTENTS = f"""contents AS (SELECT *, CASE WHEN tier = 1 THEN authority ELSE authority * 0.75::DOUBLE END AS importance FROM (
+CONTENTS = f"""contents AS (SELECT *, CASE WHEN tier = 1 THEN authority ELSE authority * 0.75::DOUBLE END * CASE WHEN content_id % 7 = 0 THEN 1.0::DOUBLE ELSE 0.75::DOUBLE END AS importance FROM (
 SELECT doc_id AS content_id, source AS publisher, lang, split_part(text, chr(10), 1) AS title, text AS content,
   TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id * 420) AS published_at, CAST(1 + doc_id % 3 AS INT) AS tier, 1.0::DOUBLE - 0.25::DOUBLE * (doc_id % 3) AS authority,
   {_uniq(_sql_pick(TOPICS, 'doc_id'), _sql_pick(TOPICS, 'doc_id * 3 + 1'))} AS topics,
