@@ -117,3 +117,63 @@ def test_a_batch_rewrites_the_buckets_that_it_touches(spark, tmp_path):
     got = {r.url: r.external_id for r in canonicalize.current(spark, folder, 3, many).where("url in ('fresh', 'u0')").collect()}
     assert got == {"fresh": "e0", "u0": f"e{n + 9}"}
     assert items.collect_garbage(3, keep=1) == [2] and canonicalize.current(spark, folder, 3, many).count() == n + 2
+
+
+def test_quantiles_are_those_of_sorted_values(spark):
+    import numpy as np
+    from newsloom.operators import metrics
+
+    g = np.random.default_rng(2)
+    rows = [("big", float(x)) for x in g.normal(size=30_000).round(2)] + [("big", None)] * 40 + [("few", 3.0), ("few", None), ("one", None), (None, 1.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    for p in (0.0, 0.001, 0.5, 0.95, 1.0):
+        want = {}
+        for k in {k for k, _ in rows}:
+            vs = sorted((v for kk, v in rows if kk == k), key=lambda v: (v is not None, v))
+            want[k] = vs[min(int(len(vs) * p), len(vs) - 1)]
+        assert {r.k: r.percentile for r in metrics.index_percentile(df, "v", p, "k").collect()} == want
+
+
+def test_masking_at_every_level(spark):
+    from newsloom.sources import canonical
+
+    rows = ['{"a":{"Cookie":1,"b":[null,{"api_key":{"x":1}}]},"n":1.5}', "[null]", "not json", None, "5"]
+    got = [r.m for r in spark.createDataFrame([(x,) for x in rows], "x string").select(canonical.masked(F.col("x")).alias("m")).collect()]
+    assert got == ['{"a":{"Cookie":"[REDACTED]","b":["[NULL]",{"api_key":"[REDACTED]"}]},"n":1.5}', '["[NULL]"]', None, None, "5"]
+
+
+def test_a_glossary_is_imported_whole_or_not_at_all(spark):
+    from newsloom.sources import canonical
+
+    good = {"sourceLanguage": "en", "targetLocale": "vi", "sourceTerm": " Interest   Rate ", "preferredTerm": "lãi suất", "protected": True, "domain": "economy-finance", "version": "v1"}
+    docs = [(1, json.dumps([good, good | {"sourceTerm": "interest rate", "preferredTerm": "lãi vay", "protected": False}])), (2, json.dumps([good, good | {"protected": "yes"}, good | {"targetLocale": "xx"}])), (3, json.dumps([good | {"targetLocale": "fr"}])), (4, "{"), (5, json.dumps(good)), (6, "[]"), (7, json.dumps([good | {"domain": " "}])), (8, None), (9, json.dumps([5]))]
+    entries, errors = canonical.glossary_import(spark.createDataFrame(docs, "document_id int, json string"))
+    assert {r.document_id for r in entries.collect()} == {1}
+    assert {r.document_id: (r.position, r.error) for r in errors.collect()} == {2: (1, canonical.BAD_ENTRY), 3: (0, canonical.BAD_LOCALE), 4: (0, canonical.BAD_JSON), 5: (0, canonical.BAD_JSON), 7: (0, canonical.BAD_ENTRY), 8: (0, canonical.BAD_JSON), 9: (0, canonical.BAD_ENTRY)}
+    won, conflicts = canonical.glossary_winners(entries)
+    assert [(r.term, r.preferred_term) for r in won.collect()] == [("interest rate", "lãi suất")] and conflicts.first().conflicts == 1
+    assert json.loads(canonical.glossary_export(won).first().json) == good | {"sourceTerm": "Interest   Rate"}
+
+
+def test_the_older_gate_on_its_known_cases(spark):
+    from newsloom.operators import quality
+
+    source = ("XRP falls 5.5% after Senate delay", "XRP fell 5.5% while Bitcoin remained stable.")
+    rows = [(1, *source, "XRP giảm 5.5% sau khi Thượng viện trì hoãn", "XRP giảm 5.5% trong khi Bitcoin giữ ổn định."), (2, *source, "XRP falls 4% after Senate delay", "XRP fell 4% while Bitcoin remained stable."), (3, *source, " ", None), (4, *source, *source)]
+    df = spark.createDataFrame([(*r, "en", "vi") for r in rows], "id int, source_title string, source_content string, title string, summary string, source_language string, target_locale string")
+    got = {r.id: r for r in quality.gate_v2(df).collect()}
+    assert got[1].passed and got[1].score == 1.0 and got[1].evidence[0].source_text == source[0]
+    assert got[2].failure_codes == ["NUMBER_CHANGED", "LOCALE_FALLBACK_LEAK"] and not got[2].passed
+    assert got[3].failure_codes == ["NUMBER_CHANGED", "ENTITY_CORRUPTED", "EMPTY_OUTPUT"] and got[4].failure_codes == ["LOCALE_FALLBACK_LEAK"] * 2
+
+
+def test_a_session_without_the_setting_makes_one_folder(spark):
+    """Nothing is set on the session; the folder stays the same."""
+    from newsloom.functions import scratch
+
+    class Plain:
+        sparkContext = spark.sparkContext
+        conf = type("C", (), {"get": staticmethod(lambda key, other=None: other)})()
+
+    a, b = scratch.folder(Plain()), scratch.folder(Plain())
+    assert a == b and "newsloom-" in a
