@@ -119,6 +119,25 @@ def feeds_parsed(spark, d):
     return p.select(F.col("external_id").cast("long").alias("content_id"), "url", "publisher", "published_at", F.md5("content").alias("content"))
 
 
+def feeds_parsed_v1(spark, d):
+    """The older normalizer: the feed's own title is no publisher."""
+    p = a.parse_feeds(_feeds(spark, d), v1=True)
+    return p.select(F.col("external_id").cast("long").alias("content_id"), "url", "publisher", F.md5("content").alias("content"))
+
+
+def offline_checked(spark, d):
+    """Turns as sources of localizations, with evidence that isn't there, no claims, or an action that goes too far in some."""
+    c = load(spark, d, "conversations")
+    n, lit = F.col("turn"), F.lit
+    source = F.struct(lit("en").alias("language"), lit("P").alias("publisher"), F.when(n % 7 == 0, "http://p.org/a").otherwise("https://p.org/a").alias("canonicalUrl"), lit("2024-01-01T00:00:00Z").alias("publishedAt"), lit("h").alias("contentHash"), lit("T").alias("title"), F.col("text").alias("content"))
+    claim = F.struct(F.left("text", lit(20)).alias("text"), F.array(F.when(n % 3 == 1, "\u0001nowhere").otherwise(F.left("text", lit(10)))).alias("evidence"))
+    none = F.array().cast("array<struct<text:string,evidence:array<string>>>")
+    local = F.struct(F.when(n % 6 == 5, "fr").otherwise("vi").alias("locale"), lit("L").alias("title"), F.col("text").alias("summary"), lit("R").alias("relevanceReason"), F.when(n % 4 == 0, "You should BUY it").otherwise("Read on").alias("suggestedAction"), F.when(n % 5 == 0, none).otherwise(F.array(claim)).alias("claims"))
+    made = F.struct(lit("p").alias("provider"), lit("m").alias("model"), lit("v").alias("promptVersion"), lit("g").alias("generatedAt"))
+    p = c.select(F.concat_ws("-", "conv_id", "turn").alias("id"), source.alias("source"), local.alias("localization"), made.alias("generation"), F.when(n % 3 == 2, F.array(lit("t"), lit("\u0001no"))).otherwise(F.array(lit("t"))).alias("preserved_values"), F.array().cast("array<struct<source:string,target:string>>").alias("preserved_terms"), (n % 2 == 0).alias("attribution_required"))
+    return q.offline_pairs(p).select("id", F.array_join("errors", "|").alias("errors"), F.array_join("warnings", "|").alias("warnings"), "quality_score", "valid")
+
+
 def gate_pairs(spark, d):
     """Each turn against the next one, as if it were its localization."""
     c = load(spark, d, "conversations")
@@ -153,6 +172,12 @@ SELECT page_id, array_to_string(list_filter([CASE WHEN proto <> 'https' THEN 'UR
   CASE WHEN page_id % 11 = 0 THEN 'PUBLISHED_AT_INVALID' END], lambda x: x IS NOT NULL), ',') AS errors FROM p""",
     "pages_domains": "WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '^www\\.', '') AS h FROM pages) SELECT page_id, h = 'example.org' OR h LIKE '%.example.org' OR 'example.org' LIKE '%.' || h AS same FROM h",
     "feeds_parsed": f"WITH {CONTENTS}, x AS (SELECT *, regexp_replace(content, '[^\\x{{20}}-\\x{{7E}}À-ỹ]', ' ', 'g') AS html FROM contents) SELECT content_id, 'https://feeds.example.org/n/' || content_id AS url, publisher, published_at, md5({CLEAN}) AS content FROM x",
+    "feeds_parsed_v1": f"WITH {CONTENTS}, x AS (SELECT *, regexp_replace(content, '[^\\x{{20}}-\\x{{7E}}À-ỹ]', ' ', 'g') AS html FROM contents) SELECT content_id, 'https://feeds.example.org/n/' || content_id AS url, 'Unknown' AS publisher, md5({CLEAN}) AS content FROM x",
+    "offline_checked": """WITH c AS (SELECT conv_id || '-' || turn AS id, turn AS n, text, lower('L' || chr(10) || text || chr(10) || 'R' || chr(10) || CASE WHEN turn % 4 = 0 THEN 'You should BUY it' ELSE 'Read on' END) AS o FROM conversations),
+e AS (SELECT id, text, list_filter([CASE WHEN n % 7 = 0 THEN 'SOURCE_URL_NOT_HTTPS' END, CASE WHEN n % 6 = 5 THEN 'LOCALIZATION_LOCALE_UNSUPPORTED' END, CASE WHEN n % 5 = 0 THEN 'CLAIMS_REQUIRED' END, CASE WHEN n % 2 = 0 AND NOT contains(o, 'p') THEN 'REQUIRED_ATTRIBUTION_MISSING' END, CASE WHEN n % 4 = 0 THEN 'ACTION_OVERREACH' END,
+  CASE WHEN n % 5 <> 0 AND n % 3 = 1 THEN 'CLAIM_0_EVIDENCE_0_NOT_IN_SOURCE' END, CASE WHEN NOT contains('t' || chr(10) || lower(text), 't') THEN 'PRESERVED_VALUE_NOT_IN_SOURCE:t' END, CASE WHEN NOT contains(o, 't') THEN 'PRESERVED_VALUE_NOT_IN_OUTPUT:t' END, CASE WHEN n % 3 = 2 THEN 'PRESERVED_VALUE_NOT_IN_SOURCE:' || chr(1) || 'no' END, CASE WHEN n % 3 = 2 THEN 'PRESERVED_VALUE_NOT_IN_OUTPUT:' || chr(1) || 'no' END], lambda x: x IS NOT NULL) AS errs,
+  CASE WHEN length(text) BETWEEN 1 AND 39 THEN 'SUMMARY_TOO_SHORT_FOR_REVIEW' WHEN length(text) > 1200 THEN 'SUMMARY_TOO_LONG' ELSE '' END AS warnings FROM c)
+SELECT id, array_to_string(errs, '|') AS errors, warnings, greatest(0, round(1 - len(errs) * 0.2::DOUBLE - CASE WHEN warnings <> '' THEN 0.05::DOUBLE ELSE 0 END, 2)) AS quality_score, len(errs) = 0 AND quality_score >= 0.9 AS valid FROM e""",
     "text_excerpts": f"""WITH {CONTENTS}, h AS (SELECT content_id, content, substr(content, 1, 500) AS head, regexp_extract(substr(content, 1, 500), '(?s)^(.*[.!?])(?:\\s|$)', 1) AS cut FROM contents)
 SELECT content_id, md5(CASE WHEN length(content) > 500 THEN substr(content, 1, 497) || '...' ELSE content END) AS excerpt, CAST(length(CASE WHEN length(content) <= 500 THEN content WHEN length(cut) >= 160 THEN cut ELSE regexp_replace(head, '^{S}+|{S}+$', '', 'g') END) AS INT) AS summary_chars FROM h""",
     "text_entities": f"""WITH {CONTENTS}, e AS (SELECT content_id, list_distinct(list_filter(list_transform(list_concat(regexp_extract_all(content, '{RE2(t.PRODUCT_IDS)}'), regexp_extract_all(content, '{RE2(t.NAMES)}')), lambda x: regexp_replace(x, '^{S}+|{S}+$', '', 'g')),
@@ -162,4 +187,4 @@ SELECT content_id, CAST(len(e) AS INT) AS n, md5(array_to_string(list_sort(e), '
     + ", ".join(f"r{k + 1} AS (SELECT content_id, regexp_replace(c, '{RE2(p)}', chr(1), 'g') AS c, len(regexp_extract_all(c, '{RE2(p)}')) AS n FROM r{k})" for k, (_, p) in enumerate(t.FACTS))
     + " " + " UNION ALL ".join(f"SELECT content_id, '{kind}' AS kind, CAST(n AS BIGINT) AS n FROM r{k + 1} WHERE n > 0" for k, (kind, _) in enumerate(t.FACTS)),
 }
-QUERIES = {f.__name__: f for f in (text_language, text_hashes, text_tokens, text_excerpts, text_folded, text_facts, text_entities, text_claims, text_percentages, locales_parsed, markets_parsed, pages_articles, pages_clean, pages_errors, pages_domains, pages_provenance, feeds_parsed, gate_pairs)}
+QUERIES = {f.__name__: f for f in (text_language, text_hashes, text_tokens, text_excerpts, text_folded, text_facts, text_entities, text_claims, text_percentages, locales_parsed, markets_parsed, pages_articles, pages_clean, pages_errors, pages_domains, pages_provenance, feeds_parsed, feeds_parsed_v1, offline_checked, gate_pairs)}
