@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,21 +168,30 @@ def rank(matches: DataFrame, users: DataFrame, contents: DataFrame, as_of: str)
 
 def diversify(ranked: DataFrame, limit: int, per_publisher: int, per_topic: int, depth: int, user: str = "user_id") -> DataFrame:
     """Greedy top-k of each user: by score, then content_id; an item is skipped if its publisher or
-    topic (``other`` without one) has its number already. The ``depth`` best of a user are looked at, so arrays stay bounded; a
-    fold keeps what was selected."""
+    topic (``other`` without one) has its number already. The ``depth`` best of a user are looked at, sorted within partitions and
+    read once, with counters of one user at a time."""
     order = Window.partitionBy(user).orderBy(F.col("score").desc(), "content_id")
     top = ranked.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= depth)
-    item = F.struct("_place", "content_id", "score", "publisher", F.coalesce("topic", F.lit("other")).alias("topic"))
-    lists = top.groupBy(user).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    kind = "array<struct<_place:int,content_id:bigint,score:double,publisher:string,topic:string>>"
-
-    def step(taken, x):
-        same = lambda f: F.size(F.filter(taken, lambda t: t[f].eqNullSafe(x[f])))
-        fits = (F.size(taken) < limit) & (same("publisher") < per_publisher) & (same("topic") < per_topic)
-        return F.when(fits, F.array_append(taken, x)).otherwise(taken)
-
-    chosen = lists.select(user, F.aggregate("items", F.array().cast(kind), step).alias("chosen"))
-    return chosen.select(user, F.posexplode("chosen").alias("position", "x")).select(user, (F.col("position")).cast("int").alias("position"), "x.content_id", "x.score", "x.publisher", "x.topic")
+    top = top.select(user, F.col("content_id").cast("long").alias("content_id"), F.col("score").cast("double").alias("score"), F.col("publisher").cast("string").alias("publisher"), F.coalesce(F.col("topic").cast("string"), F.lit("other")).alias("topic"), "_place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, who, n, seen = True, None, 0, {}
+        for b in batches:
+            keep, places = [], []
+            for i, (u, publisher, topic) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
+                if first or u != who:
+                    first, who, n, seen = False, u, 0, {}
+                p, t = ("p", publisher), ("t", topic)
+                if n < limit and seen.get(p, 0) < per_publisher and seen.get(t, 0) < per_topic:
+                    keep.append(i)
+                    places.append(n)
+                    n += 1
+                    seen[p], seen[t] = seen.get(p, 0) + 1, seen.get(t, 0) + 1
+            at = b.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([at.column(0), pa.array(places, pa.int32()), *[at.column(k) for k in range(1, 5)]], names=[user, "position", "content_id", "score", "publisher", "topic"])
+
+    kind = ranked.schema[user].dataType.simpleString()
+    return top.repartition(user).sortWithinPartitions(user, "_place").mapInArrow(run, f"{user} {kind}, position int, content_id long, score double, publisher string, topic string")
 
 
 def app_category(topics: Column) -> Column:
