@@ -149,12 +149,19 @@ def lunar_calendar(spark, start: str, days: int, timezone: str) -> DataFrame:
 
 
 def next_lunar(rules: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Next listed lunar day of ``rules(rule_id, lunar_days, zone, until, after, preferred)``: an equi-join with the
-    calendar on zone and lunar day, then the first time that is later."""
-    r = rules.withColumn("lunar_day", F.explode("lunar_days")).join(calendar.select("date", "zone", "lunar_day"), ["zone", "lunar_day"])
-    at = F.col("date").cast("timestamp") + F.make_interval(hours=F.hour("preferred"), mins=F.minute("preferred"))
-    r = r.withColumn("next_at", at).where("next_at > after").groupBy("rule_id").agg(F.min("next_at").alias("next_at"), F.min("until").alias("until"))
-    return rules.select("rule_id").distinct().join(r, "rule_id", "left").select("rule_id", F.when(F.col("next_at") <= F.col("until"), F.col("next_at")).alias("next_at"))
+    """Next listed lunar day of ``rules(rule_id, lunar_days, zone, until, after, preferred)``: for each day of the calendar and
+    each lunar day the first date from then on and the one after it are laid out once, so that a rule's listed day meets one row."""
+    zones = calendar.groupBy("zone").agg(F.min("date").alias("first"))
+    order = Window.partitionBy("zone", "lunar_day").orderBy("date")
+    c = calendar.select("zone", "lunar_day", "date").distinct().withColumns({"before": F.lag("date").over(order), "later": F.lead("date").over(order)}).join(F.broadcast(zones), "zone")
+    c = c.select("zone", "lunar_day", "date", "later", F.explode(F.sequence(F.coalesce(F.date_add("before", 1), "first"), "date")).alias("day"))
+    r = rules.join(F.broadcast(zones), "zone", "left").withColumn("day", F.greatest(F.to_date("after"), "first")).withColumn("lunar_day", F.explode_outer("lunar_days"))
+    r = r.join(F.broadcast(c), ["zone", "lunar_day", "day"], "left")
+    at = lambda d: F.col(d).cast("timestamp") + F.make_interval(hours=F.hour("preferred"), mins=F.minute("preferred"))
+    later = lambda d: F.when(at(d) > F.col("after"), at(d))
+    r = r.withColumn("next_at", F.coalesce(later("date"), later("later")))
+    r = r.groupBy("rule_id").agg(F.min("next_at").alias("next_at"), F.min(F.when(F.col("next_at").isNotNull(), F.col("until"))).alias("until"))
+    return r.select("rule_id", F.when(F.col("next_at") <= F.col("until"), F.col("next_at")).alias("next_at"))
 
 
 def complete_and_advance(tasks: DataFrame) -> DataFrame:
