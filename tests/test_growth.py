@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from newsloom.operators import ledger, matching
+from newsloom.operators import insights, ledger, matching
 from newsloom.plans import audience
 from pyspark.sql import functions as F
 
@@ -35,3 +35,35 @@ def test_rounds_of_the_older_brief_are_made_once_for_equal_interests(spark):
     key = lambda df: sorted((r.user_id, r.position, r.content_id, r.interest) for r in df.collect())
     assert key(audience.older_brief(u, c, now)) == key(matching.round_robin(pairs, now))
     assert matching.newest_of_interest(c.select("content_id", "published_at", F.get("topics", F.lit(0)).alias("interest"))).count() == 240
+
+
+def test_what_contents_mention_is_matched_once_a_class(spark):
+    """As one by one: two contents that mention the same, one without anything, entities and keywords that normalise alike."""
+    u = spark.createDataFrame([(1, "VN", ["US"], ["health"], ["ACME", "acme "], ["Rate", "rate"]), (2, None, None, None, None, None)], "user_id long, home_market string, followed_markets array<string>, interests array<string>, entities array<string>, keywords array<string>")
+    rows = [(1, ["health"], ["CN"], 0.1, ["Acme"], "t", "a RATE"), (2, ["health"], ["CN"], 0.1, ["Acme"], "other", "rate"), (3, [], [], 0.1, [], "t", "x"), (4, [], [], 0.9, None, None, None)]
+    c = spark.createDataFrame(rows, "content_id long, topics array<string>, markets array<string>, importance double, entities array<string>, title string, content string")
+    got = sorted((r.user_id, r.content_id, r.topic_hits, r.entity_matches, r.keyword_hits, r.relevance, r.first_entity) for r in matching.candidates_any(u, c).collect())
+    assert got == [(1, 1, 1, 1, 2, 1.0, "Acme"), (1, 2, 1, 1, 2, 1.0, "Acme"), (1, 4, 0, 0, 0, 0.4, None), (2, 4, 0, 0, 0, 0.4, None)]
+
+
+def test_best_orders_only_what_can_be_among_the_best(spark):
+    r = spark.range(3000).select((F.col("id") % 2).alias("user_id"), F.col("id").alias("content_id"), (F.floor(F.col("id") / 7) % 400 / 400).alias("score"))
+    plain = {u: sorted(((-x.score, x.content_id) for x in r.collect() if x.user_id == u))[:50] for u in (0, 1)}
+    got = {u: sorted((-x.score, x.content_id) for x in matching.best(r, 50).collect() if x.user_id == u) for u in (0, 1)}
+    assert got == plain and matching.best(r, 5000).count() == 3000
+
+
+def test_pairs_reach_each_user_of_a_profile(spark):
+    u = spark.range(100).select(F.col("id").alias("user_id"), F.when(F.col("id") % 3 == 0, "vi").otherwise("en").alias("locale"))
+    pairs = matching.profiles(u).withColumn("content_id", F.explode(F.array(F.lit(1), F.lit(2))))
+    for most in (1000, 10):
+        assert sorted(tuple(x) for x in matching.pairs_to_users(pairs.select("user_id", "content_id"), u, most).select("user_id", "content_id").collect()) == sorted((k, c) for k in range(100) for c in (1, 2))
+
+
+def test_topics_by_insights_that_many_users_got(spark):
+    c = spark.createDataFrame([(1, 1, ["health"]), (2, 2, ["health"]), (3, 3, ["travel"])], "content_id int, event_id int, topics array<string>")
+    links = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (3, 12)], "event_id int, insight_id int")
+    got = spark.range(200_000).select((F.col("id") % 2 + 10).cast("int").alias("insight_id"), F.when(F.col("id") % 2 == 0, 5).otherwise(6).cast("int").alias("interest_id"))
+    q = spark.createDataFrame([(5, " Health"), (6, "openai"), (7, "none")], "interest_id int, topic_key string")
+    out = {r.content_id: r.new_topics for r in insights.reclassify(c, links, got, q, ["health", "technology"]).collect()}
+    assert out == {1: ["health", "technology"]}
