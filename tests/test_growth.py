@@ -3,7 +3,7 @@
 import datetime as dt
 
 from newsloom.operators import insights, ledger, matching
-from newsloom.plans import audience
+from newsloom.plans import audience, views
 from pyspark.sql import functions as F
 
 
@@ -67,3 +67,11 @@ def test_topics_by_insights_that_many_users_got(spark):
     q = spark.createDataFrame([(5, " Health"), (6, "openai"), (7, "none")], "interest_id int, topic_key string")
     out = {r.content_id: r.new_topics for r in insights.reclassify(c, links, got, q, ["health", "technology"]).collect()}
     assert out == {1: ["health", "technology"]}
+
+
+def test_pair_queries_have_the_markets_and_importance_they_had(spark):
+    c, u = views.contents(spark, "/root/testdata/sf0.001", True), views.users(spark, "/root/testdata/sf0.001", True)
+    assert {r[0] for r in c.select(F.explode("markets")).distinct().collect()} == {r[0] for r in u.select("home_market").distinct().collect()} == {"VN", "GLOBAL", "US", "CN"}
+    assert c.where("tier = 1 and importance <> 1.0").count() == 0
+    for name in ("match_candidates", "rank_breakdown", "feed_v2", "rollout_matches"):
+        assert "'BR'" not in audience.ORACLE_SQL[name] and "content_id % 7 = 0 THEN 1.0" not in audience.ORACLE_SQL[name]
