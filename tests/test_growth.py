@@ -1,8 +1,9 @@
 """Steps that must not grow faster than their input, on small cases."""
 
 import datetime as dt
+import math
 
-from newsloom.operators import insights, ledger, matching
+from newsloom.operators import insights, ledger, matching, metrics
 from newsloom.plans import audience, views
 from pyspark.sql import functions as F
 
@@ -75,3 +76,10 @@ def test_pair_queries_have_the_markets_and_importance_they_had(spark):
     assert c.where("tier = 1 and importance <> 1.0").count() == 0
     for name in ("match_candidates", "rank_breakdown", "feed_v2", "rollout_matches"):
         assert "'BR'" not in audience.ORACLE_SQL[name] and "content_id % 7 = 0 THEN 1.0" not in audience.ORACLE_SQL[name]
+
+
+def test_freshness_of_feeds_rounds_as_doubles(spark):
+    seconds = [522, 1026, 2034, 3600]
+    for s in seconds:
+        i = spark.range(1).select(F.lit("v1").alias("feed"), F.lit("1").alias("id"), F.lit("https://a.org/1").alias("url"), F.lit("p").alias("publisher"), (F.lit("2024-03-01").cast("timestamp") - F.make_interval(secs=F.lit(s).cast("decimal(18,6)"))).alias("published_at"), F.lit(0.5).alias("relevance"), F.lit(True).alias("localized"), F.lit(False).alias("blocking_error"), F.lit("k").alias("duplicate_key"))
+        assert metrics.compare_feeds(i, "2024-03-01 00:00:00").first().v1_freshness_hours == math.floor(s / 3600 * 100 + 0.5) / 100
