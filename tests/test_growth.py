@@ -2,10 +2,15 @@
 
 import datetime as dt
 import math
+import random
+import re
 
-from newsloom.operators import insights, ledger, matching, metrics
+import pandas as pd
+from newsloom.functions import text as t
+from newsloom.operators import insights, ledger, matching, metrics, resolve
 from newsloom.plans import audience, views
 from pyspark.sql import functions as F
+from test_operators import _brute_duplicates, _hashes, _item
 
 
 def test_lunar_days_meet_one_row_of_the_calendar(spark):
@@ -83,3 +88,82 @@ def test_freshness_of_feeds_rounds_as_doubles(spark):
     for s in seconds:
         i = spark.range(1).select(F.lit("v1").alias("feed"), F.lit("1").alias("id"), F.lit("https://a.org/1").alias("url"), F.lit("p").alias("publisher"), (F.lit("2024-03-01").cast("timestamp") - F.make_interval(secs=F.lit(s).cast("decimal(18,6)"))).alias("published_at"), F.lit(0.5).alias("relevance"), F.lit(True).alias("localized"), F.lit(False).alias("blocking_error"), F.lit("k").alias("duplicate_key"))
         assert metrics.compare_feeds(i, "2024-03-01 00:00:00").first().v1_freshness_hours == math.floor(s / 3600 * 100 + 0.5) / 100
+
+
+def test_cluster_keys_dont_multiply_titles_by_entities(spark):
+    """Long titles and many entities, most of them had by one item alone; whatever counts as common, alike items share a key."""
+    g = random.Random(3)
+    rows = []
+    for k in range(60):
+        title = g.sample([f"title{n}" for n in range(400)], 150) if k % 2 else [f"title{n}" for n in range(40 + k % 5)]
+        entities = ["Hot", *(g.sample([f"E{n}" for n in range(300)], 100) if k % 2 else [f"E{n}" for n in range(12)])]
+        rows.append((str(k), "2026-01-01", entities, ["a", "b"], title))
+    f = spark.createDataFrame(rows, "features string, day string, entities array<string>, topics array<string>, title_tokens array<string>")
+    share = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    alike = [(a[0], b[0]) for a in rows for b in rows if a < b and 0.45 * share(a[2], b[2]) + 0.2 + 0.35 * share(a[4], b[4]) >= resolve.CLUSTER]
+    assert len(alike) > 100
+    for common in (0, 3, 100):
+        keys = {r.features: set(r["keys"]) for r in resolve.cluster_keys(f, common).collect()}
+        assert all(keys[a] & keys[b] for a, b in alike)
+    assert max(map(len, keys.values())) < 150 + 101  # 40 * 150 and more when each entity met each title token
+
+
+def test_facts_are_sought_where_they_can_be(spark, monkeypatch):
+    """The same facts as by looking for every kind everywhere; nothing is sought in texts that can't hold it."""
+    g = random.Random(5)
+    bits = ["12/08/2026", "2026-08-14T07:00Z", "$5 million", "usd 7", "9 TỶ đồng", "25 %", "+1,5%", "gpt-4.1", "IPHONE 14 Pro", "ios 1", "İOS 2", "v1.2", "Version\n3.4", "12", "7.5", "a1", "1b", "__3", "x", "Ủy 4", "đ5", ".", " ", "\n", "-", "$", "%"]
+    texts = [(k, "".join(g.choice(bits) + g.choice(["", " ", ", "]) for _ in range(g.randrange(12)))) for k in range(400)] + [(400, None)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    now = dict(df.select("id", t.facts(F.col("text"))).collect())
+    monkeypatch.setattr(t, "NEEDS", dict.fromkeys(t.NEEDS, ""))
+    monkeypatch.setattr(t, "FIRST", {})
+    every = dict(df.select("id", t.facts(F.concat("text", F.lit(" zz 99")))).collect())
+    assert now[400] is None and {f.kind for x in now.values() for f in x or []} == {k for k, _ in t.FACTS}
+    assert all([f for f in x if f.start < len(s)] == now[k] for (k, s), x in zip(texts, (every[k] for k, _ in texts), strict=True) if s is not None and not re.search(r"[\w$%]\s*$|\d\s*$|[+-]$", s))
+
+
+def test_trimming_and_blanks_equal_patterns(spark):
+    """What is trimmed by characters and what runs become, against the plain patterns."""
+    g = random.Random(9)
+    rows = [(k, "".join(g.choice(["a", "ủ", " ", " ", "\t", "\n", "\xa0", " ", "​", "　", "﻿", "\x0b", "\r"]) for _ in range(g.randrange(14)))) for k in range(500)]
+    c = F.col("text")
+    df = spark.createDataFrame([*rows, (500, None)], "id long, text string")
+    old = lambda x: F.regexp_replace(x, f"^{t.JS_S}+|{t.JS_S}+$", "")
+    got = df.select(t.js_trim(c).alias("a"), old(c).alias("b"), t.compact(c).alias("c"), old(F.regexp_replace(c, f"{t.JS_S}+", " ")).alias("d")).collect()
+    assert all(r.a == r.b and r.c == r.d for r in got)
+
+
+def test_a_text_with_many_variants_has_few_keys_a_row(spark):
+    """A text that returns daily, with another variant of it each day: a row has the keys of variants near it in time."""
+    words = [f"word{chr(97 + k)}" for k in range(26)]
+    first, rows = dt.datetime(2026, 1, 1), []
+    for k in range(80):
+        more = f"more{chr(97 + k // 26)}{chr(97 + k % 26)}"
+        rows += [_item(2 * k + n, first + dt.timedelta(days=k, hours=n), " ".join(w), title="") for n, w in enumerate((words, [*words, more]))]
+    df = spark.createDataFrame(pd.DataFrame(rows))
+    keys = resolve.near_keys(resolve._features(df, True)).distinct().groupBy("id").count().collect()
+    assert len(keys) == 160 and max(r["count"] for r in keys) <= 6  # up to 80 when rows had the keys of all variants
+    got = {r.id: r.duplicate_of_id is not None and (r.duplicate_of_id, r.duplicate_kind) or None for r in resolve.resolve_duplicates(df).collect()}
+    assert got == _brute_duplicates(rows, _hashes(df))
+
+
+def test_an_arrival_asks_survivors_in_its_span_only():
+    """Survivors of one key that lie days apart: the work of an arrival doesn't grow with their number."""
+    def asked(n):
+        fold, count = resolve.Arrivals(), [0]
+
+        class Key(dict):
+            def __getitem__(self, name):
+                count[0] += name == "kind"
+                return super().__getitem__(name)
+
+        for k in range(n):
+            fold.row(k, k * 4 * resolve.DAY, [{"key": "x", "side": -1, "span": 3 * resolve.DAY, "kind": 2, "score": 1.0}], {"old": True, "place": {"p": k * 4 * resolve.DAY, "c": 0, "i": k}})
+        at = 4 * resolve.DAY * (n // 2) + 5
+        fold.row(n, at, [Key(key="x", side=-1, span=3 * resolve.DAY, kind=2, score=1.0)], {"old": False, "place": {"p": at, "c": 0, "i": n}})
+        assert fold.rest() == [(n, n // 2, 2, 1.0)]
+        fold.row(n + 1, at - 10, [{"key": "x", "side": -1, "span": 3 * resolve.DAY, "kind": 2, "score": 1.0}], {"old": False, "place": {"p": at - 10, "c": 0, "i": n + 1}})
+        assert dict((x[0], x[1]) for x in fold.rest())[n // 2] == n + 1
+        return fold, count[0]
+
+    assert asked(400)[1] == asked(20)[1]
