@@ -6,9 +6,11 @@ import random
 import re
 
 import pandas as pd
+import pyarrow as pa
 from newsloom.functions import text as t
 from newsloom.operators import insights, ledger, matching, metrics, resolve
 from newsloom.plans import audience, views
+from newsloom.sources import canonical
 from pyspark.sql import functions as F
 from test_operators import _brute_duplicates, _hashes, _item
 
@@ -167,3 +169,12 @@ def test_an_arrival_asks_survivors_in_its_span_only():
         return fold, count[0]
 
     assert asked(400)[1] == asked(20)[1]
+
+
+def test_versions_are_read_without_datetimes():
+    """Times pass as numbers and come back as the same times."""
+    at = [dt.datetime(1969, 12, 31, 23, 59, 59, 999999, tzinfo=dt.UTC), None, dt.datetime(2026, 8, 14, 7, 0, 0, 1, tzinfo=dt.UTC)]
+    b = pa.RecordBatch.from_arrays([pa.array(at, pa.timestamp("us", "UTC")), pa.array(["a", "b", None])], names=["at", "x"])
+    rows = list(canonical._rows(b))
+    assert [type(r["at"]) for r in rows] == [int, type(None), int]
+    assert pa.RecordBatch.from_pylist(rows, b.schema).equals(b)
