@@ -10,7 +10,7 @@ import pyarrow as pa
 from newsloom.functions import text as t
 from newsloom.operators import insights, ledger, matching, metrics, resolve
 from newsloom.plans import audience, views
-from newsloom.sources import canonical
+from newsloom.sources import articles, canonical
 from pyspark.sql import functions as F
 from test_operators import _brute_duplicates, _hashes, _item
 
@@ -178,3 +178,31 @@ def test_versions_are_read_without_datetimes():
     rows = list(canonical._rows(b))
     assert [type(r["at"]) for r in rows] == [int, type(None), int]
     assert pa.RecordBatch.from_pylist(rows, b.schema).equals(b)
+
+
+def test_feeds_pass_python_once(spark):
+    """Entries go through Python for their URL once, however many columns and conditions use it; no text is cleaned for two columns."""
+    item = lambda k, link: f"<item><title>T &amp;amp; {k}</title><link>{link}</link><pubDate>Fri, 14 Aug 2026 06:00:00 GMT</pubDate><description>&lt;p&gt;a{k}&lt;/p&gt;  b</description></item>"
+    body = "<rss><channel><title>P</title>" + item(1, "/n/1") + item(2, "https://q.org/2") + item(3, "http://[bad") + item(4, "//[bad") + item(5, "") + "</channel></rss>"
+    df = spark.createDataFrame([("s", "https://p.org/all.xml", bytearray(body.encode()))], "source_id string, final_url string, body binary")
+    for v1 in (False, True):
+        p = articles.parse_feeds(df, v1)
+        got = [(r.i, r.url, r.external_id, r.title, r.content, r.publisher) for r in p.orderBy("i").collect()]
+        who = "Unknown" if v1 else "P"
+        assert got == [(0, "https://p.org/n/1", "https://p.org/n/1", "T & 1", "a1 b", who), (1, "https://q.org/2", "https://q.org/2", "T & 2", "a2 b", who), (2, "http://[bad", "http://[bad", "T & 3", "a3 b", who)]
+        plan = p.select("url", "external_id", "publisher", F.md5("content"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and plan.count(".description") == 1
+
+
+def test_cleaning_equals_patterns(spark):
+    """Tags, entities and runs, with and without each, against the plain patterns."""
+    g = random.Random(4)
+    bits = ["a", "ủ", "é", " ", "  ", "\t", "\n", "\xa0", " ", "​", "　", "﻿", "<", ">", "<b>", "< ", "&nbsp;", "&amp;", "&amp;lt;", "&quot;", "&#39;", "&lt;", "&gt;", "&", "\x85", "😀"]
+    texts = ["", " ", "a", "a b", *("".join(g.choice(bits[: g.choice([6, 12, 26])]) for _ in range(g.randrange(12))) for _ in range(800)), None]
+    def plain(x):
+        for a, b in (("&nbsp;", " "), ("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">")):
+            x = F.replace(x if a != "&nbsp;" else F.regexp_replace(x, "<[^>]+>", " "), F.lit(a), F.lit(b))
+        return F.regexp_replace(F.regexp_replace(x, f"{t.JS_S}+", " "), f"^{t.JS_S}+|{t.JS_S}+\\z", "")
+
+    got = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select(t.clean_html(F.col("text")).alias("a"), plain(F.col("text")).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and len({r.a for r in got}) > 300
