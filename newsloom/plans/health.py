@@ -124,7 +124,7 @@ def feeds_compared(spark, d):
     c, p = contents(spark, d), load(spark, d, "pages")
     one = lambda f, keep: c.join(p.withColumnRenamed("page_id", "content_id"), "content_id").where(keep).select(F.lit(f).alias("feed"), F.col("content_id").cast("string").alias("id"), "url", "publisher", "published_at", F.col("importance").alias("relevance"), (F.col("lang") == "en").alias("localized"), F.lit(False).alias("blocking_error"), "title")
     items = one("v1", F.col("tier") >= 1).unionByName(one("v2", F.col("tier") == 1)).withColumn("duplicate_key", F.md5("title")).drop("title")
-    return m.compare_feeds(items, "2024-03-01 00:00:00")
+    return m.both_feeds(m.compare_feeds(items, "2024-03-01 00:00:00"))
 
 
 def _log(spark, d):
