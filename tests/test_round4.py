@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 from newsloom.operators import matching, metrics
 from newsloom.plans import registry
@@ -44,3 +45,20 @@ def test_pairs_of_a_profile_lie_together(spark):
     rows = [(r.content_id, r.user_id) for r in out.where(F.col("part") == min(users)).collect()]
     runs = [[x[1] for x in g] for _, g in itertools.groupby(rows, lambda x: x[0])]
     assert len({frozenset(r) for r in runs}) <= 4 and all(r == next(s for s in runs if set(s) == set(r)) for r in runs)
+
+
+def test_feeds_keep_documents_without_title_text_or_plain_source(spark, tmp_path):
+    """As their SQL: no row is lost to a blank first line, a missing text, the text "null", or another row's source."""
+    texts = [None, "", " \n ", "\nabc", "<b>\nabc", "&nbsp;", "null", "null\nnull", "a & b", "(none)", "(untitled)\n<b>", "<a\nb>"]
+    sources = ["src0", "src0", None, "", "a&b", "a<b", " s  p ", "null", "<i>x</i>", "中"]
+
+    def change(table):
+        n = table.num_rows
+        odd = {"text": [texts[k % len(texts)] for k in range(n)], "source": [sources[k % len(sources)] for k in range(n)]}
+        for name, values in odd.items():
+            table = table.set_column(table.column_names.index(name), name, pa.array(values, pa.string()))
+        return table
+
+    folder = _folder(tmp_path, documents=change)
+    for name in ("feeds_parsed", "feeds_parsed_v1"):
+        same(spark, registry.QUERIES[name], registry.ORACLE_SQL[name], folder)
