@@ -5,7 +5,7 @@ import itertools
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from newsloom.operators import matching, metrics
+from newsloom.operators import insights, matching, metrics
 from newsloom.plans import registry
 from oracle import same
 from pyspark.sql import functions as F
@@ -62,3 +62,27 @@ def test_feeds_keep_documents_without_title_text_or_plain_source(spark, tmp_path
     folder = _folder(tmp_path, documents=change)
     for name in ("feeds_parsed", "feeds_parsed_v1"):
         same(spark, registry.QUERIES[name], registry.ORACLE_SQL[name], folder)
+
+
+def test_contents_that_are_alike_match_as_one(spark):
+    """As one by one: alike contents have the same users, relevance and status; what differs in a word, locale or market isn't alike."""
+    words, places = [["Rate"], ["rate", "oil"], ["oil"], [" "]], ["VN", "US"]
+    u = spark.createDataFrame([(k, "vi" if k % 2 else "en", places[k % 2], ["US"]) for k in range(8)], "user_id long, locale string, home_market string, followed_markets array<string>")
+    rows = lambda topics: [(k, t, words[k % 4]) for k in range(8) for t in topics(k)]
+    before, after = (spark.createDataFrame(rows(f), "user_id long, topic string, refinements array<string>") for f in (lambda k: ["a", "b"], lambda k: ["a"] if k % 3 else ["a", "c"]))
+    c = spark.createDataFrame(
+        [(k, [["a"], ["b"], ["a", "c"]][k % 3], [places[k % 2]], 0.9 if k % 5 else 0.1, 0.5, dt.datetime(2024, 1, 1 + k % 20), "VERIFIED", None, "t", ["RATE", "oil", ""][k % 3] + f" {k % 2}") for k in range(120)],
+        "content_id long, topics array<string>, markets array<string>, importance double, authority double, published_at timestamp, provenance_status string, duplicate_of_id long, title string, content string",
+    )
+    loc = spark.createDataFrame([(k, x, "VERIFIED" if k % 7 or x == "en" else "REJECTED") for k in range(120) for x in ("vi", "en")], "content_id long, locale string, status string")
+    affected = spark.createDataFrame([(k, t) for k in range(8) for t in (["b"] if k % 3 else ["b", "c"])], "user_id long, topic string")
+    like = dict(map(tuple, insights.alike(c, c.select("content_id", "title", "content"), loc, before.select(F.explode("refinements").alias("k"))).collect()))
+
+    def maintained(some):
+        state = insights.prepared_matches(u, before, some, loc, "2024-02-01 00:00:00").withColumn("status", F.lit("ACTIVE"))
+        return insights.maintain_matches(state, u, after, affected, some, loc, "2024-02-01 00:00:00").collect()
+
+    every = {(r.user_id, r.content_id): (r.relevance, r.status) for r in maintained(c)}
+    once = {(r.user_id, r.content_id): (r.relevance, r.status) for r in maintained(c.where(F.col("content_id").isin(list(set(like.values())))))}
+    assert len(like) == 120 and len(set(like.values())) < 60 and {s for _, s in every.values()} == {"ACTIVE", "EXPIRED"}
+    assert every == {(a, k): v for k, x in like.items() for (a, y), v in once.items() if y == x}
