@@ -2,9 +2,11 @@
 
 import datetime as dt
 import itertools
+import random
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from newsloom.functions import text as t
 from newsloom.operators import insights, matching, metrics
 from newsloom.plans import registry
 from oracle import same
@@ -86,3 +88,16 @@ def test_contents_that_are_alike_match_as_one(spark):
     once = {(r.user_id, r.content_id): (r.relevance, r.status) for r in maintained(c.where(F.col("content_id").isin(list(set(like.values())))))}
     assert len(like) == 120 and len(set(like.values())) < 60 and {s for _, s in every.values()} == {"ACTIVE", "EXPIRED"}
     assert every == {(a, k): v for k, x in like.items() for (a, y), v in once.items() if y == x}
+
+
+def test_long_runs_of_capitalised_words_and_numbers(spark):
+    """Runs that overflowed the stack of the JVM; the same matches as by the plain patterns."""
+    g = random.Random(7)
+    bits = ["Word", "WORD", "Ủy", "Aa", "a", "A1", " ", "  ", "\n", "1", "12", "1234", "56789", ".", ",", "-", "/", ":", "%", "_"]
+    rows = [(k, "".join(g.choice(bits) for _ in range(g.randrange(40)))) for k in range(500)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    plain = F.sort_array(F.array_distinct(F.concat(F.regexp_extract_all("text", F.lit(t.NUMBERS), F.lit(0)), F.regexp_extract_all("text", F.lit(t.CAPITALISED), F.lit(0)))))
+    assert all(r.a == r.b for r in df.select(t.invariants(F.col("text")).alias("a"), plain.alias("b")).collect())
+    words, numbers = " ".join(["Worda"] * 50_000), "1234," * 50_000
+    long = spark.createDataFrame([(1, words), (2, numbers)], "id long, text string")
+    assert {r.id: r.v for r in long.select("id", t.invariants(F.col("text")).alias("v")).collect()} == {1: [words], 2: [numbers]}
